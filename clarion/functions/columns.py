@@ -32,8 +32,9 @@ def squash(c) -> Column:
 
 
 def cents(c) -> Column:
-    """Double -> integer cents; the same text on Spark and DuckDB for hashing."""
-    return F.round(col_(c) * 100).cast("bigint")
+    """Non-negative double -> integer cents, floor(x * 100 + 0.5): the same
+    integer on Spark and DuckDB (and no per-value BigDecimal like ``round``)."""
+    return F.floor(col_(c) * 100 + 0.5).cast("bigint")
 
 
 def threshold_class(p, threshold: float = DEFAULT_THRESHOLD, strict: bool = False,

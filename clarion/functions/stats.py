@@ -48,15 +48,15 @@ def exact_percentiles(long_df: DataFrame, value_col: str, probs: Sequence[float]
     data = long_df.select(*g, F.col(value_col).cast("double").alias("_x")).where(
         F.col("_x").isNotNull() & ~F.isnan("_x"))
     probs = [float(p) for p in probs]
-    n_targets = None
     for margin in (8.0 / accuracy, 256.0 / accuracy, 8192.0 / accuracy, 1.0):
         out = _bracket_attempt(data, g, probs, margin, accuracy)
         if margin >= 1.0:
+            return out.where(F.col("value").isNotNull())
+        # one action: the result has (#groups x #probs) rows, cache that small table
+        out = out.cache()
+        if out.where(F.col("value").isNull()).count() == 0:
             return out
-        if n_targets is None:
-            n_targets = data.select(*g).distinct().count() * len(probs)
-        if out.count() == n_targets:
-            return out
+        out.unpersist()
     return out
 
 
@@ -93,7 +93,8 @@ def _bracket_attempt(data: DataFrame, g: list[str], probs: list[float], eps: flo
         .select(*g, "p", "_h", "_klo", F.col("_x").alias("_xlo"))
     pick_hi = ranked.where((F.col("_khi") >= F.col("_first")) & (F.col("_khi") <= F.col("_last"))) \
         .select(*g, "p", F.col("_x").alias("_xhi"))
-    out = pick_lo.join(pick_hi, on=[*g, "p"])
+    # left join from the targets: an uncovered target shows up with a NULL value
+    out = brackets.select(*g, "p").join(pick_lo.join(pick_hi, on=[*g, "p"]), on=[*g, "p"], how="left")
     frac = F.col("_h") - F.col("_klo")
     return out.select(*g, "p", (F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * frac).alias("value"))
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -56,8 +57,11 @@ def score_groups(df: DataFrame, group_cols=("model",), label="label", score="sco
 def _ranked_groups(df: DataFrame, group_cols, label, score) -> DataFrame:
     """Score groups with running totals in descending score order plus a 1-based rank."""
     g = _g(group_cols)
-    sg = score_groups(df, g, label, score).withColumn("one", F.lit(1))
-    return running_totals(sg, g, "score", ["pos", "neg", "one"], descending=True)
+    # The grouped table feeds the cell split points, the offsets and the
+    # ranks; keep it (and the ranked result) instead of re-aggregating.
+    sg = score_groups(df, g, label, score).withColumn("one", F.lit(1)).persist(StorageLevel.MEMORY_AND_DISK)
+    return running_totals(sg, g, "score", ["pos", "neg", "one"], descending=True).persist(
+        StorageLevel.MEMORY_AND_DISK)
 
 
 def auc(df: DataFrame, group_cols=("model",), label="label", score="score") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,18 +81,23 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Dat
     return filled, med_long
 
 
-def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Q9/A5: Pearson correlation of every ordered pair i < j, as (col_i, col_j, r).
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
+    """Q9/A5: Pearson matrix in one distributed pass (MLlib ``Correlation``:
+    a treeAggregate of the centred Gramian, not d(d-1)/2 aggregate
+    expressions).  Rows with a NULL in any column are skipped (complete
+    cases).  The d x d result is bounded by the column count."""
+    va = VectorAssembler(inputCols=[c for c in columns], outputCol="_corr_v", handleInvalid="skip")
+    vec = va.transform(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    m = Correlation.corr(vec, "_corr_v", "pearson").first()[0]
+    return m.toArray().tolist()
 
-    One aggregation pass; Spark's ``corr`` uses the numerically stable
-    co-moment update (no sum-of-squares cancellation).
-    """
+
+def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Q9: every ordered pair i < j as (col_i, col_j, r)."""
     cols = list(columns)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
-    long_df = row.unpivot([], [f"{a}__{b}" for a, b in pairs], "pair", "r")
-    return long_df.select(F.split("pair", "__").getItem(0).alias("col_i"),
-                          F.split("pair", "__").getItem(1).alias("col_j"), "r")
+    m = correlation_matrix(df, cols)
+    rows = [(a, c, float(m[i][j])) for i, a in enumerate(cols) for j, c in enumerate(cols) if j > i]
+    return df.sparkSession.createDataFrame(rows, "col_i string, col_j string, r double")
 
 
 def box_summary(df: DataFrame, columns: Sequence[str], label: str = "label", whis: float = 1.5) -> DataFrame:

@@ -15,7 +15,7 @@ def r6(expr: str) -> str:
 
 
 def _cents(c: str) -> str:
-    return f"CAST(CAST(round({c} * 100) AS BIGINT) AS VARCHAR)"
+    return f"CAST(CAST(floor({c} * 100 + 0.5) AS BIGINT) AS VARCHAR)"
 
 
 def _line_select(keep_orderkey: bool = False) -> str:

@@ -3,6 +3,7 @@ pruning, weights, scoring and evaluation.  Each has a DuckDB oracle."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from clarion.functions.columns import squash
@@ -164,14 +165,10 @@ def scaled_lines(spark, d):
     f"FROM scaled GROUP BY split" for c in b.LINE_FEATURES)))
 def standardized_stats(spark, d):
     s = scaled_lines(spark, d)
-    agg = s.groupBy("split").agg(*[e for c in b.LINE_FEATURES for e in
-                                   (F.avg(c).alias(f"mean__{c}"), F.stddev_pop(c).alias(f"std__{c}"))])
-    parts = [agg.select("split", F.lit(c).alias("column"), F.col(f"mean__{c}").alias("mean"),
-                        F.col(f"std__{c}").alias("std")) for c in b.LINE_FEATURES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return finish(out)
+    agg = s.groupBy("split").agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c)
+                                   for c in b.LINE_FEATURES])
+    long_df = agg.unpivot(["split"], b.LINE_FEATURES, "column", "_s")  # one Expand, not a union of scans
+    return finish(long_df.select("split", "column", "_s.mean", "_s.std"))
 
 
 def _prune_sql() -> str:
@@ -290,7 +287,8 @@ def flagship_scores(spark, d):
     test = fe.apply_scaler(s.where(F.col("split") == "test"), stats, b.LINE_FEATURES)
     models = F.array(*[F.struct(F.lit(n).alias("model"), squash(_zscore_logit(n)).alias("score"))
                        for n in SCALED_SCORERS])
-    return sc.label_scores(test.select("row_id", "label", F.inline(models)))
+    # consumed twice (confusion counts and AUC): keep it instead of re-running the split
+    return sc.label_scores(test.select("row_id", "label", F.inline(models))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _flagship_sql() -> str:

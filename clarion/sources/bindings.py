@@ -22,8 +22,24 @@ GRID_SIDE = 8  # 64-d embedding -> 8 x 8 raster
 WORD_SPLIT = r"[ \t\n\x0B\f\r]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row work at least one task per core.
+
+    A scan of a file with a single row group reads everything in one task
+    even when the file is split; then every per-row expression up to the
+    first shuffle runs on one core.  When the scan has fewer partitions than
+    the cluster's default parallelism, rows are spread round-robin.  On a
+    large table (many more splits than cores) this adds nothing.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if spread_rows else df
 
 
 def row_key(*cols) -> F.Column:
