@@ -22,6 +22,11 @@ def _g(group_cols) -> list[str]:
     return [group_cols] if isinstance(group_cols, str) else list(group_cols or [])
 
 
+def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on the group keys; with no keys both sides are one-row tables."""
+    return a.join(b, keys, how) if keys else a.crossJoin(b)
+
+
 def confusion_counts(df: DataFrame, group_cols=("model",), label: str = "label", pred: str = "pred") -> DataFrame:
     """Tn, fp, fn, tp per group -- always four cells, even with one class."""
     g = _g(group_cols)
@@ -90,7 +95,7 @@ def roc_curve(df: DataFrame, group_cols=("model",), label="label", score="score"
     rg = _ranked_groups(df, g, label, score).withColumnRenamed("cum_one", "idx")
     totals = rg.groupBy(*g).agg(F.max("idx").alias("_L"), F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     nxt = rg.select(*g, (F.col("idx") - 1).alias("idx"), F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
-    pts = rg.join(totals, g).join(nxt, [*g, "idx"], "left")
+    pts = _join(rg, totals, g).join(nxt, [*g, "idx"], "left")
     if drop_intermediate:
         keep = ((F.col("idx") == 1) | (F.col("idx") == F.col("_L")) | (F.col("_L") <= 2)
                 | (F.col("pos") != F.col("_npos")) | (F.col("neg") != F.col("_nneg")))
@@ -137,7 +142,7 @@ def classification_table(df: DataFrame, group_cols=("model",), label="label", pr
     g = _g(group_cols)
     rep = report_from_counts(confusion_counts(df, g, label, pred))
     if score is not None:
-        rep = rep.join(auc(df, g, label, score).select(*g, F.col("auc").alias("roc_auc")), g)
+        rep = _join(rep, auc(df, g, label, score).select(*g, F.col("auc").alias("roc_auc")), g)
     return rep
 
 
@@ -148,7 +153,7 @@ def sens_spec(df: DataFrame, group_cols=("model",), label="label", pred="pred",
     out = c.select(*g, "tn", "fp", "fn", "tp",
                    safe_div(F.col("tp"), F.col("tp") + F.col("fn"), None).alias("sensitivity"),
                    safe_div(F.col("tn"), F.col("tn") + F.col("fp"), None).alias("specificity"))
-    return out.join(auc(df, g, label, score).select(*g, "auc"), g)
+    return _join(out, auc(df, g, label, score).select(*g, "auc"), g)
 
 
 def auc_gap(df: DataFrame, dataset_col: str, in_name: str, out_name: str,
@@ -179,13 +184,13 @@ def ari_nmi(df: DataFrame, truth: str, pred: str, group_cols=()) -> DataFrame:
     c_tab = cols.groupBy(*g).agg(F.count(F.lit(1)).alias("n_pred"),
                                  F.sum(F.col("bj").cast("double") ** 2).alias("sb2"),
                                  F.sum(-(F.col("bj") * F.log("bj"))).alias("_hb_raw"))
-    cells = ct.join(rows, [*g, truth]).join(cols, [*g, pred]).join(n_tab.select(*g, "n"), g)
+    cells = _join(ct.join(rows, [*g, truth]).join(cols, [*g, pred]), n_tab.select(*g, "n"), g)
     nd = F.col("n").cast("double")
     term = ((F.col("nij") / nd) * (F.log("nij") - F.log(nd))
             + (F.col("nij") / nd) * (-F.log(F.col("ai").cast("double") * F.col("bj")) + F.log(nd) + F.log(nd)))
     cell_sums = cells.groupBy(*g).agg(F.sum(F.col("nij").cast("double") ** 2).alias("s2"),
                                       F.sum(term).alias("_mi"))
-    t = cell_sums.join(n_tab, g).join(c_tab, g)
+    t = _join(_join(cell_sums, n_tab, g), c_tab, g)
     n2 = F.col("n").cast("double") * F.col("n")
     tp = F.col("s2") - F.col("n")
     fp = F.col("sb2") - F.col("s2")
@@ -222,27 +227,31 @@ def _is_array(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, ArrayType)
 
 
-def silhouette_sq_frame(df: DataFrame, features: str, cluster: str, group_cols: Sequence[str] = ()) -> DataFrame:
+def silhouette_sq_frame(df: DataFrame, id_col: str, features: str, cluster: str,
+                        group_cols: Sequence[str] = ()) -> DataFrame:
     """E8 as a relational job: per-cluster (count, vector sum, sum of squared
-    norms) -- a table of k rows -- give every point's mean squared distance to
-    each cluster; same definition as MLlib's evaluator, per group."""
+    norms) -- a table of k rows per group -- give every point's mean squared
+    distance to each cluster; same definition as MLlib's evaluator (own cluster
+    excludes the point itself, a singleton scores 0), noise (-1) removed."""
     g = _g(group_cols)
-    valid = df.where(F.col(cluster) != -1).select(*g, F.col(cluster).alias("_k"), F.col(features).alias("_v"))
+    valid = df.where(F.col(cluster) != -1).select(*g, F.col(id_col).alias("_id"), F.col(cluster).alias("_k"),
+                                                  F.col(features).alias("_v"))
     valid = valid.withColumn("_sq", F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x * x))
     dims = valid.select(F.size("_v").alias("d")).first()["d"]
     cstats = valid.groupBy(*g, "_k").agg(
         F.count(F.lit(1)).alias("_nk"), F.sum("_sq").alias("_psi"),
         F.array(*[F.sum(F.col("_v")[i]) for i in range(dims)]).alias("_y"))
     # every point against every cluster of its group: points x k (k is small)
-    pairs = valid.join(cstats.withColumnRenamed("_k", "_ko"), g)
+    pairs = valid.join(cstats.withColumnRenamed("_k", "_ko"), g) if g else valid.crossJoin(
+        F.broadcast(cstats.withColumnRenamed("_k", "_ko")))
     dot = F.aggregate(F.arrays_zip("_v", "_y"), F.lit(0.0), lambda acc, z: acc + z["_v"] * z["_y"])
     dist = F.col("_sq") + F.col("_psi") / F.col("_nk") - 2 * dot / F.col("_nk")
-    per = pairs.select(*g, "_k", "_ko", "_nk", dist.alias("_d"), "_v")
+    per = pairs.select(*g, "_id", "_k", "_ko", "_nk", dist.alias("_d"))
     own = per.where(F.col("_k") == F.col("_ko")).select(
-        *g, "_k", "_v", F.when(F.col("_nk") == 1, F.lit(None)).otherwise(
+        *g, "_id", F.when(F.col("_nk") == 1, F.lit(None)).otherwise(
             F.col("_d") * F.col("_nk") / (F.col("_nk") - 1)).alias("_a"), F.col("_nk").alias("_own_n"))
-    other = per.where(F.col("_k") != F.col("_ko")).groupBy(*g, "_k", "_v").agg(F.min("_d").alias("_b"))
-    s = own.join(other, [*g, "_k", "_v"]).select(
+    other = per.where(F.col("_k") != F.col("_ko")).groupBy(*g, "_id").agg(F.min("_d").alias("_b"))
+    s = own.join(other, [*g, "_id"]).select(
         *g, F.when(F.col("_own_n") == 1, F.lit(0.0))
         .when(F.col("_a") < F.col("_b"), 1 - F.col("_a") / F.col("_b"))
         .when(F.col("_a") > F.col("_b"), F.col("_b") / F.col("_a") - 1)
