@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ["tabular", "raster", "clusters", "explain"]
+PLAN_MODULES = ["tabular", "raster", "clusters", "explain", "models"]
 
 
 def registries():
