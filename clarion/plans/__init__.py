@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ["tabular", "raster", "clusters", "explain", "models"]
+PLAN_MODULES = ["tabular", "raster", "clusters", "explain", "models", "stream"]
 
 
 def registries():
