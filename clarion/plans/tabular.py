@@ -281,8 +281,10 @@ def _zscore_logit_sql(name: str) -> str:
 
 
 def flagship_scores(spark, d):
-    lf = qa.drop_exact_duplicates(b.line_features(spark, d))
-    s = sp.stratified_split(lf, "label", "row_id", TEST_FRACTION, SEED)
+    # the de-duplicated rows feed three split passes and the split feeds the
+    # scaler fit and the scoring: keep each once instead of re-shuffling
+    lf = qa.drop_exact_duplicates(b.line_features(spark, d)).persist(StorageLevel.MEMORY_AND_DISK)
+    s = sp.stratified_split(lf, "label", "row_id", TEST_FRACTION, SEED).persist(StorageLevel.MEMORY_AND_DISK)
     stats = fe.scaler_stats(s.where(F.col("split") == "train"), b.LINE_FEATURES)
     test = fe.apply_scaler(s.where(F.col("split") == "test"), stats, b.LINE_FEATURES)
     models = F.array(*[F.struct(F.lit(n).alias("model"), squash(_zscore_logit(n)).alias("score"))
