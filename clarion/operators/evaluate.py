@@ -257,3 +257,17 @@ def silhouette_sq_frame(df: DataFrame, id_col: str, features: str, cluster: str,
         .when(F.col("_a") > F.col("_b"), F.col("_b") / F.col("_a") - 1)
         .otherwise(F.lit(0.0)).alias("_s"))
     return s.groupBy(*g).agg(F.avg("_s").alias("silhouette_sq"), F.count(F.lit(1)).alias("n"))
+
+
+def roc_downsample(roc: DataFrame, group_cols=("model",), target_points: int = 60) -> DataFrame:
+    """Every step-th ROC point, step = max(1, n // 60) with n the number of
+    points of the curve; the last point (1, 1) is always kept (the reference
+    could lose it).  Positions come from running totals, not a global window."""
+    g = _g(group_cols)
+    ones = roc.withColumn("_one", F.lit(1)).withColumn("_o", F.col("idx").cast("double"))
+    pos = running_totals(ones, g, "_o", ["_one"], descending=False, n_cells=64, prefix="_cum")
+    n = pos.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    step = F.greatest(F.lit(1), (F.col("_n") / target_points).cast("long"))
+    j = _join(pos, n, g).withColumn("_pos", F.col("_cum_one") - 1)
+    keep = ((F.col("_pos") % step) == 0) | (F.col("_pos") == F.col("_n") - 1)
+    return j.where(keep).select(*g, "idx", "fpr", "tpr")

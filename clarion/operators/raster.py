@@ -310,3 +310,69 @@ def joint_loss(class_df: DataFrame, seg: DataFrame, weight: float = 0.5,
     lg = F.col("lesion_guidance") if weight > 0 else F.lit(0.0)
     return j.select((F.col("classification") + weight * lg).alias("total"), "classification",
                     lg.alias("lesion_guidance"))
+
+
+# ------------------------------------------------------------------ R4 CLAHE
+
+CLAHE_CLIP = 2.0
+CLAHE_TILES = 8
+LEVELS = 256
+
+
+def clahe(px: DataFrame, clip_limit: float = CLAHE_CLIP, tiles: int = CLAHE_TILES) -> DataFrame:
+    """Contrast-limited adaptive histogram equalisation of 8-bit images
+    whose sides are multiples of ``tiles``.
+
+    Per tile: dense 256-bin histogram, bins clipped at
+    max(int(clip * tile_pixels / 256), 1), the clipped excess spread evenly
+    (remainder one count every 256 // residual bins), cumulative LUT
+    round(cdf * 255 / tile_pixels); each pixel blends the LUTs of its four
+    nearest tile centres bilinearly.  Every window holds one tile's 256 bins.
+    """
+    d = dims(px)
+    p = px.join(d, "image_id").select(
+        "image_id", "r", "c", "level", (F.col("h") / tiles).cast("int").alias("th"),
+        (F.col("w") / tiles).cast("int").alias("tw"))
+    p = p.withColumn("ty", (F.col("r") / F.col("th")).cast("int")).withColumn(
+        "tx", (F.col("c") / F.col("tw")).cast("int"))
+    hist = p.groupBy("image_id", "ty", "tx", "level").agg(F.count(F.lit(1)).alias("cnt"))
+    tile = p.select("image_id", "ty", "tx", "th", "tw").distinct()
+    dense = tile.select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")) \
+        .join(hist, ["image_id", "ty", "tx", "level"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    total = F.col("th") * F.col("tw")
+    limit = F.greatest(F.floor(F.lit(clip_limit) * total / LEVELS), F.lit(1)).cast("long")
+    dense = dense.withColumn("_lim", limit)
+    tkey = Window.partitionBy("image_id", "ty", "tx")
+    dense = dense.withColumn("_clipped", F.sum(F.greatest(F.col("cnt") - F.col("_lim"), F.lit(0))).over(tkey))
+    batch = (F.col("_clipped") / LEVELS).cast("long")
+    resid = F.col("_clipped") - batch * LEVELS
+    step = F.greatest((F.lit(LEVELS) / F.greatest(resid, F.lit(1))).cast("long"), F.lit(1))
+    extra = F.when((resid > 0) & (F.col("level") % step == 0) & ((F.col("level") / step).cast("long") < resid), 1) \
+        .otherwise(0)
+    dense = dense.withColumn("_new", F.least(F.col("cnt"), F.col("_lim")) + batch + extra)
+    cdf = F.sum("_new").over(tkey.orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
+    lut = dense.withColumn("lut", F.least(F.greatest(F.bround(cdf * (255.0 / total), 0), F.lit(0.0)), F.lit(255.0))) \
+        .select("image_id", "ty", "tx", "level", "lut")
+    # bilinear position between tile centres
+    ntx, nty = tiles, tiles
+    txf = F.col("c") / F.col("tw") - 0.5
+    tyf = F.col("r") / F.col("th") - 0.5
+    q = p.select("image_id", "r", "c", "level",
+                 F.floor(txf).cast("int").alias("_tx1"), (txf - F.floor(txf)).alias("_xa"),
+                 F.floor(tyf).cast("int").alias("_ty1"), (tyf - F.floor(tyf)).alias("_ya"))
+    q = q.select("*", F.greatest(F.col("_tx1"), F.lit(0)).alias("tx1"),
+                 F.least(F.col("_tx1") + 1, F.lit(ntx - 1)).alias("tx2"),
+                 F.greatest(F.col("_ty1"), F.lit(0)).alias("ty1"),
+                 F.least(F.col("_ty1") + 1, F.lit(nty - 1)).alias("ty2"))
+
+    def pick(ty, tx, name):
+        return lut.select("image_id", F.col("ty").alias(ty), F.col("tx").alias(tx), "level",
+                          F.col("lut").alias(name))
+    j = (q.join(pick("ty1", "tx1", "l11"), ["image_id", "ty1", "tx1", "level"])
+          .join(pick("ty1", "tx2", "l12"), ["image_id", "ty1", "tx2", "level"])
+          .join(pick("ty2", "tx1", "l21"), ["image_id", "ty2", "tx1", "level"])
+          .join(pick("ty2", "tx2", "l22"), ["image_id", "ty2", "tx2", "level"]))
+    xa, ya = F.col("_xa"), F.col("_ya")
+    val = (F.col("l11") * (1 - xa) + F.col("l12") * xa) * (1 - ya) + (F.col("l21") * (1 - xa) + F.col("l22") * xa) * ya
+    return j.select("image_id", "r", "c", F.least(F.greatest(F.bround(val, 0), F.lit(0.0)), F.lit(255.0))
+                    .cast("int").alias("level"))

@@ -149,3 +149,14 @@ def clustering_summary(spark, d):
     sil = ev.silhouette_sq_frame(labels, "id", "v", "cluster", ["method"]).select("method", "silhouette_sq")
     scores = ev.ari_nmi(labels, "true_label", "cluster", ["method"]).select("method", "ari", "nmi")
     return finish(scores.join(sil, "method", "left"), 3)
+
+
+@REG.add("projection_feed")
+def projection_feed(spark, d):
+    """PCA 2-D coordinates (rounded 4) joined by id to the decoded label
+    (label 0 as 'Benign', others 'Malignant') and the k-means cluster."""
+    vec = b.vectors(spark, d)
+    proj = cl.pca_project(vec, "vec_id", "v", 2)
+    truth = vec.select(F.col("vec_id").alias("id"), (F.col("true_label") != 0).cast("int").alias("label"))
+    clusters = cl.kmeans_best(vec, "vec_id", "v", N_CLUSTERS, restarts=2)
+    return cl.projection_feed(proj, truth, clusters, "label")

@@ -168,3 +168,50 @@ agg AS (SELECT count(*) AS n_masked, avg(1.0 - (2.0 * pt + 1e-6) / (p + tt + 1e-
        {r6('coalesce(dice, 0.0) + coalesce(bce, 0.0)')} AS loss FROM agg"""))
 def dice_bce(spark, d):
     return finish(ra.segmentation_losses(_loss_frame(spark, d), "logit", "target", "dice_bce"))
+
+
+CLAHE_TILES_GRID = 2   # 8 x 8 grids -> 2 x 2 tiles of 4 x 4 pixels
+
+
+@REG.add("clahe_equalize")
+def clahe_equalize(spark, d):
+    """R4 on every grid (clip 2.0, 2 x 2 tiles); rows-only check, range and
+    shape invariants in tests."""
+    return ra.clahe(b.grids(spark, d), ra.CLAHE_CLIP, CLAHE_TILES_GRID)
+
+
+@REG.add("minmax_rescale", with_ctes(GRIDS_CTE, """
+mm AS (SELECT image_id, min(level) AS mn, max(level) AS mx FROM grids GROUP BY image_id)""", body=f"""
+SELECT g.image_id, g.r, g.c,
+       {r6('least(greatest(CASE WHEN mm.mx = 0 THEN 0.0 ELSE (g.level - mm.mn) / mm.mx * 255.0 END, 0.0), 255.0)')} AS value
+FROM grids g JOIN mm USING (image_id)"""))
+def minmax_rescale(spark, d):
+    """R3 on the grids (as if they were not already 8-bit)."""
+    g = b.grids(spark, d).withColumn("value", F.col("level").cast("double"))
+    return finish(ra.minmax_rescale(g, "value"))
+
+
+@REG.add("mask_binarize", with_ctes(GRIDS_CTE, body="""
+SELECT image_id, r, c, CAST(level > 127 AS INTEGER) AS mask FROM grids"""))
+def mask_binarize(spark, d):
+    """V > 127 -> 1."""
+    return ra.binarize_mask(b.grids(spark, d)).select("image_id", "r", "c", "mask")
+
+
+@REG.add("texture_row")
+def texture_row(spark, d):
+    """GLCM properties and Sobel statistics per image (each part has its
+    own oracle: glcm_features, sobel_stats)."""
+    return finish(ra.texture_row(b.grids(spark, d)))
+
+
+@REG.add("joint_loss")
+def joint_loss(spark, d):
+    """Class BCE (image logit = 8 * (mean heat - 0.5), label = label of the
+    embedding is odd) + 0.5 * Dice/BCE lesion loss."""
+    hm = b.heat_mask(spark, d)
+    cls = hm.groupBy("image_id").agg((LOGIT_GAIN * (F.avg("heat") - 0.5)).alias("class_logit")).join(
+        b.vectors(spark, d).select(F.col("vec_id").alias("image_id"), (F.col("true_label") % 2).alias("label")),
+        "image_id")
+    seg = ra.segmentation_losses(_loss_frame(spark, d), "logit", "target", "dice_bce")
+    return finish(ra.joint_loss(cls, seg, 0.5))

@@ -373,3 +373,46 @@ FROM au GROUP BY model"""))
 def auc_gap(spark, d):
     scored = b.scored(spark, d, split_lines(spark, d), keep=["split"])
     return finish(ev.auc_gap(scored, "split", "train", "test", ["model"], "label", "score"))
+
+
+@REG.add("quality_shape", with_ctes(with_missing_cte(), body="""
+SELECT count(*) AS n_rows, CAST(9 AS INTEGER) AS n_cols FROM with_missing"""))
+def quality_shape(spark, d):
+    """Q1: rows and columns of the frame under inspection."""
+    return qa.shape(b.with_missing(spark, d))
+
+
+def _three_way_sql() -> str:
+    second = split_cte("_rest", 0.15, f"{SEED}v", "split2")
+    return with_ctes(LINE_FEATURES_CTE, SPLIT_SQL, "_rest AS (SELECT * EXCLUDE (split) FROM split_rows WHERE split = 'train')",
+                     second, body="""
+SELECT label, split, count(*) AS n FROM (
+  SELECT label, CASE WHEN split = 'test' THEN 'val' ELSE 'train' END AS split FROM split2
+  UNION ALL SELECT label, 'test' AS split FROM split_rows WHERE split = 'test')
+GROUP BY label, split""")
+
+
+@REG.add("three_way_split_counts", _three_way_sql())
+def three_way_split_counts(spark, d):
+    """20 % test, then 15 % of the rest as validation (second salt)."""
+    s = sp.three_way_split(b.line_features(spark, d), "label", "row_id", TEST_FRACTION, 0.15, SEED)
+    return s.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@REG.add("roc_downsample", with_ctes(LINE_FEATURES_CTE, SCORED_SQL, *_roc_sql_ctes(), """
+pos AS (SELECT model, idx, fpr, tpr, row_number() OVER (PARTITION BY model ORDER BY idx) - 1 AS p,
+               count(*) OVER (PARTITION BY model) AS n FROM roc)""", body=f"""
+SELECT model, idx, {r6('fpr')} AS fpr, {r6('tpr')} AS tpr FROM pos
+WHERE p % greatest(1, n // 60) = 0 OR p = n - 1"""))
+def roc_downsample(spark, d):
+    roc = ev.roc_curve(b.scored(spark, d), ["model"], "label", "score")
+    return finish(ev.roc_downsample(roc, ["model"]))
+
+
+@REG.add("importance_ranking")
+def importance_ranking(spark, d):
+    """random-forest impurity importance of the pruned line features
+    (training-dependent: rows-only)."""
+    train = split_lines(spark, d).where(F.col("split") == "train")
+    kept = ["quantity", "ext", "discount", "tax", "unit"]
+    return finish(fe.importance_ranking(train, kept, "label", num_trees=20), 6)

@@ -54,3 +54,11 @@ def test_losses_without_masks_are_zero(spark):
     perfect = spark.createDataFrame([(1, True, 10.0, 1.0)] * 256, "image_id long, has_mask boolean, logit double, target double")
     r = ra.segmentation_losses(perfect, mode="dice").first()
     assert r["loss"] < 1e-3
+
+
+def test_clahe_keeps_shape_and_range(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    px = _grid(spark, [int(x) for x in rng.integers(0, 255, 64)], 8, 8)
+    out = ra.clahe(px, 2.0, 2).collect()
+    assert len(out) == 64 and all(0 <= r["level"] <= 255 for r in out)
