@@ -5,10 +5,12 @@ MLlib PCA).  For unit ``u``, ``|u.x - u.y| <= ||x - y||``, so every neighbour
 within radius ``r`` of ``x`` lies in the projection band ``[u.x - r, u.x + r]``.
 
 * radius search: band join with ``r = eps``.
-* k nearest: a first pass over equal-depth projection cells (each point meets
-  the points of its own and the two adjacent cells -- bounded by the cell size)
-  gives every point an upper bound ``r_x`` of its k-th distance; the exact pass
-  is then a band join with ``r_x``.  Both passes are equi-joins on cell ids.
+* k nearest: a first pass over equal-depth projection cells (rank // 64, from
+  running totals; each point meets the points of its own and the two adjacent
+  cells -- bounded by the cell size) gives every point an upper bound ``r_x``
+  of its k-th distance; the exact pass is then a band join with ``r_x`` over a
+  fixed-width grid of the projection.  Both passes are equi-joins on cell ids;
+  only the projection's min and max reach the driver.
 
 Exact, but output-sensitive: when the projection does not separate the data
 (high intrinsic dimension, radius near the data diameter) the band holds most
@@ -17,12 +19,15 @@ points and the work approaches all pairs -- reduce dimension first (F7).
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, Bucketizer
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clarion.functions.stats import running_totals
+
 DEFAULT_CELL_SIZE = 64
+MAX_GRID_CELLS = 1024
 
 
 def euclidean(a, b) -> F.Column:
@@ -37,50 +42,44 @@ def principal_axis(df: DataFrame, vec_col: str) -> list[float]:
     return [float(x) for x in model.pc.toArray()[:, 0]]
 
 
-def _project(df: DataFrame, vec_col: str, axis: list[float]) -> F.Column:
+def _project(vec: F.Column, axis: list[float]) -> F.Column:
     u = F.array(*[F.lit(x) for x in axis])
-    return F.aggregate(F.zip_with(F.col(vec_col), u, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
+    return F.aggregate(F.zip_with(vec, u, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
-def _cell_splits(df: DataFrame, p_col: str, cell_size: int) -> list[float]:
-    n = df.count()
-    n_cells = max(1, n // max(1, cell_size))
-    if n_cells <= 1:
-        return []
-    probs = [i / n_cells for i in range(1, n_cells)]
-    return sorted(set(df.approxQuantile(p_col, probs, 1.0 / (4 * n_cells))))
 
-
-def _bucketize(df: DataFrame, splits: list[float], pairs: list[tuple[str, str]]) -> DataFrame:
-    if not splits:
-        for src, dst in pairs:
-            df = df.withColumn(dst, F.lit(0))
-        return df
-    full = [float("-inf"), *splits, float("inf")]
-    bz = Bucketizer(splitsArray=[full] * len(pairs), inputCols=[s for s, _ in pairs],
-                    outputCols=[f"{d}_f" for _, d in pairs])
-    out = bz.transform(df)
-    for _, dst in pairs:
-        out = out.withColumn(dst, F.col(f"{dst}_f").cast("int")).drop(f"{dst}_f")
-    return out
+def _grid_cell(value, lo: float, width: float):
+    return F.least(F.greatest(F.floor((value - F.lit(lo)) / F.lit(width)), F.lit(0)),
+                   F.lit(MAX_GRID_CELLS)).cast("long")
 
 
 def _prepared(df: DataFrame, id_col: str, vec_col: str, cell_size: int):
+    """Project, then two cell ids per point:
+
+    * ``_rcell`` = rank // cell_size by projection (equal depth, from running
+      totals -- nothing is collected), for the bounded first pass;
+    * ``_gcell`` = a fixed-width grid over the projection range with at most
+      ``MAX_GRID_CELLS`` cells, to turn a value band into cell ids.
+    Returns (points, p_min, width)."""
     axis = principal_axis(df, vec_col)
-    pts = df.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")).withColumn(
-        "_p", _project(df, "_v", axis)).cache()
-    splits = _cell_splits(pts, "_p", cell_size)
-    pts = _bucketize(pts, splits, [("_p", "_cell")])
-    return pts, splits
-
-
-def _band_join(pts: DataFrame, splits: list[float], radius_col: str) -> DataFrame:
-    """For each left point: all other points with |p_y - p_x| <= radius (via cells)."""
-    left = pts.withColumn("_plo", F.col("_p") - F.col(radius_col)).withColumn("_phi", F.col("_p") + F.col(radius_col))
-    left = _bucketize(left, splits, [("_plo", "_clo"), ("_phi", "_chi")])
-    left = left.select("_id", "_v", "_p", radius_col, F.explode(F.sequence("_clo", "_chi")).alias("_jc"))
+    pts = df.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"))
+    pts = pts.withColumn("_p", _project(F.col("_v"), axis))
+    ranked = running_totals(pts.withColumn("_one", F.lit(1)), [], "_p", ["_one"], descending=False,
+                            n_cells=256, prefix="_cum")
+    pts = ranked.select("_id", "_v", "_p", ((F.col("_cum_one") - 1) / cell_size).cast("long").alias("_rcell"))
+    st = pts.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).first()
+    lo, hi = float(st["lo"]), float(st["hi"])
+    width = max((hi - lo) / MAX_GRID_CELLS, 1e-12)
+    pts = pts.withColumn("_gcell", _grid_cell(F.col("_p"), lo, width)).cache()
+    return pts, lo, width
+
+
+def _band_join(pts: DataFrame, lo: float, width: float, radius_col: str) -> DataFrame:
+    """For each left point: all other points with |p_y - p_x| <= radius (via grid cells)."""
+    left = pts.select("_id", "_v", "_p", radius_col,
+                      F.explode(F.sequence(_grid_cell(F.col("_p") - F.col(radius_col), lo, width),
+                                           _grid_cell(F.col("_p") + F.col(radius_col), lo, width))).alias("_jc"))
     right = pts.select(F.col("_id").alias("_nid"), F.col("_v").alias("_nv"), F.col("_p").alias("_np"),
-                       F.col("_cell").alias("_jc"))
+                       F.col("_gcell").alias("_jc"))
     j = left.join(right, "_jc").where((F.col("_nid") != F.col("_id"))
                                       & (F.abs(F.col("_np") - F.col("_p")) <= F.col(radius_col)))
     return j.select("_id", "_nid", radius_col, euclidean(F.col("_v"), F.col("_nv")).alias("dist"))
@@ -89,9 +88,9 @@ def _band_join(pts: DataFrame, splits: list[float], radius_col: str) -> DataFram
 def radius_pairs(df: DataFrame, id_col: str, vec_col: str, eps: float,
                  cell_size: int = DEFAULT_CELL_SIZE) -> DataFrame:
     """All ordered pairs (id, nid, dist) with 0 < dist <= eps (self excluded)."""
-    pts, splits = _prepared(df, id_col, vec_col, cell_size)
+    pts, lo, width = _prepared(df, id_col, vec_col, cell_size)
     pts = pts.withColumn("_r", F.lit(float(eps)))
-    j = _band_join(pts, splits, "_r")
+    j = _band_join(pts, lo, width, "_r")
     return j.where(F.col("dist") <= eps).select(F.col("_id").alias("id"), F.col("_nid").alias("nid"), "dist")
 
 
@@ -99,10 +98,10 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5,
         cell_size: int = DEFAULT_CELL_SIZE) -> DataFrame:
     """Exact k nearest neighbours (self excluded, ties by neighbour id):
     (id, rank, nid, dist)."""
-    pts, splits = _prepared(df, id_col, vec_col, max(cell_size, k + 1))
-    # pass 1: own and adjacent cells -> an upper bound of the k-th distance
-    near = pts.select("_id", "_v", "_p", F.explode(F.sequence(F.col("_cell") - 1, F.col("_cell") + 1)).alias("_jc"))
-    right = pts.select(F.col("_id").alias("_nid"), F.col("_v").alias("_nv"), F.col("_cell").alias("_jc"))
+    pts, lo, width = _prepared(df, id_col, vec_col, max(cell_size, k + 1))
+    # pass 1: own and adjacent rank cells (<= 3 x cell_size candidates) -> bound of the k-th distance
+    near = pts.select("_id", "_v", "_p", F.explode(F.sequence(F.col("_rcell") - 1, F.col("_rcell") + 1)).alias("_jc"))
+    right = pts.select(F.col("_id").alias("_nid"), F.col("_v").alias("_nv"), F.col("_rcell").alias("_jc"))
     cand = near.join(right, "_jc").where(F.col("_nid") != F.col("_id")).select(
         "_id", "_nid", euclidean(F.col("_v"), F.col("_nv")).alias("dist"))
     w = Window.partitionBy("_id").orderBy("dist", "_nid")
@@ -112,6 +111,6 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5,
     bounded = pts.join(bound, "_id", "left").withColumn(
         "_r", F.when(F.col("_kn") >= k, F.col("_kd")).otherwise(F.lit(float("inf"))))
     # pass 2: exact band join with the per-point bound
-    j = _band_join(bounded, splits, "_r").where(F.col("dist") <= F.col("_r"))
+    j = _band_join(bounded, lo, width, "_r").where(F.col("dist") <= F.col("_r"))
     ranked = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("_id").alias("id"), "rank", F.col("_nid").alias("nid"), "dist")
