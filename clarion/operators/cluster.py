@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clarion.functions.stats import running_totals
 from clarion.operators.neighbors import radius_pairs
 from clarion.session import cut_lineage
 
@@ -146,8 +147,10 @@ def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = DBSCAN_EPS,
                   .select(F.col("id").alias("src"), F.col("nid").alias("dst")))
     comps = connected_components(core, core_edges)
     # number clusters 0..K-1 in order of their smallest core id (table of K rows)
-    order = comps.select("comp").distinct().withColumn(
-        "cluster", (F.row_number().over(Window.orderBy("comp")) - 1).cast("int"))
+    distinct = comps.select("comp").distinct().withColumn("_one", F.lit(1)).withColumn(
+        "_c", F.col("comp").cast("double"))
+    order = running_totals(distinct, [], "_c", ["_one"], descending=False, prefix="_cum").select(
+        "comp", (F.col("_cum_one") - 1).cast("int").alias("cluster"))
     core_lab = comps.join(order, "comp").select("id", "cluster")
     border = (pairs.join(core, "id", "left_anti")
               .join(core_lab.withColumnRenamed("id", "nid"), "nid")
