@@ -54,14 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     (a local test run) a fresh folder is created under the system temp dir.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
+    try:
+        sc = spark.sparkContext
+        current = sc._jsc.sc().getCheckpointDir()
+    except Exception:  # noqa: BLE001 - no SparkContext handle (Spark Connect): use the conf as is
+        sc, current = None, None
+    if current is not None and current.isDefined():
         return current.get()
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="clarion-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc.setCheckpointDir(conf_dir)
+    if sc is not None:
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 

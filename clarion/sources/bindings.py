@@ -31,10 +31,12 @@ def spread(df: DataFrame) -> DataFrame:
     the cluster's default parallelism, rows are spread round-robin.  On a
     large table (many more splits than cores) this adds nothing.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no RDD API, leave the scan as is
+        return df
+    return df.repartition(par) if n < par else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
