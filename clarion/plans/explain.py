@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ REG = Registry()
 
 
 def _scaled_split(spark, d):
-    s = sp.stratified_split(b.line_features(spark, d), "label", "row_id", tb.TEST_FRACTION, tb.SEED)
+    # feeds the background means (train) and the explained rows (test): keep it once
+    s = sp.stratified_split(b.line_features(spark, d), "label", "row_id", tb.TEST_FRACTION, tb.SEED).persist(
+        StorageLevel.MEMORY_AND_DISK)
     stats = fe.scaler_stats(s.where(F.col("split") == "train"), b.LINE_FEATURES)
     return fe.apply_scaler(s, stats, b.LINE_FEATURES)
 
