@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +77,8 @@ def stratified_split(df: DataFrame, label: str = "label", key_col: str = "row_id
 def three_way_split(df: DataFrame, label: str = "label", key_col: str = "row_id",
                     test_fraction: float = 0.2, val_fraction: float = 0.15, seed: int = 42) -> DataFrame:
     """Test first, then a validation share of the remaining rows."""
-    first = stratified_split(df, label, key_col, test_fraction, seed, "_s1")
+    # read twice (the rest is split again, the test part is kept): keep it once
+    first = stratified_split(df, label, key_col, test_fraction, seed, "_s1").persist(StorageLevel.MEMORY_AND_DISK)
     rest = first.where(F.col("_s1") == "train").drop("_s1")
     second = stratified_split(rest, label, key_col, val_fraction, f"{seed}v", "split")
     second = second.withColumn("split", F.when(F.col("split") == "test", "val").otherwise("train"))

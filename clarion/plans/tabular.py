@@ -155,7 +155,7 @@ def _scale_sql_ctes() -> list[str]:
 
 
 def scaled_lines(spark, d):
-    s = split_lines(spark, d)
+    s = split_lines(spark, d).persist(StorageLevel.MEMORY_AND_DISK)  # scaler fit + its application
     stats = fe.scaler_stats(s.where(F.col("split") == "train"), b.LINE_FEATURES)
     return fe.apply_scaler(s, stats, b.LINE_FEATURES)
 
