@@ -77,7 +77,8 @@ def _dedup_impute_sql() -> str:
 
 @REG.add("dedup_impute_summary", _dedup_impute_sql())
 def dedup_impute_summary(spark, d):
-    dd = qa.drop_exact_duplicates(b.with_missing(spark, d))
+    # read by the median pass and by the fill: one shuffle for the de-duplication
+    dd = qa.drop_exact_duplicates(b.with_missing(spark, d)).persist(StorageLevel.MEMORY_AND_DISK)
     filled, med = qa.impute_median(dd, b.LINE_FEATURES)
     after = filled.agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(c).alias(c) for c in b.LINE_FEATURES])
     long_after = after.unpivot(["n_rows"], b.LINE_FEATURES, "column", "mean_after")
