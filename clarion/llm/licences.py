@@ -28,6 +28,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clarion.llm.common import stored
+
 #: Notices of well-known licences, by family.
 TEMPLATES = {
     "Apache": [
@@ -97,7 +99,7 @@ UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *sorted(TEMPLATES)]
 UNKNOWN_ROWS, WINDOW_WORDS, COMMON = 4_000, (6, 12, 24), 0.002
 LEAST_PROBABILITY, LEAST_SHARED = 0.5, 0.6
-ITERATIONS, L1 = 60, 0.0005
+ITERATIONS, L1 = 40, 0.0005
 TEMPERATURES = (0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0)
 
 
@@ -109,10 +111,19 @@ def pairs_of(words: Column) -> Column:
     return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` plus a column that is computed once per row.
+
+    A generator's output is not copied into the expressions that use it, as a
+    projection's is.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph (its line number from 0) and words of every line with words."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("paragraph", "line"))
-    return lines.select("doc_id", "paragraph", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    lines = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\r?\n"), words_of)).alias("paragraph", "words"))
+    return lines.where(F.size("words") > 0)
 
 
 def template_pairs(spark: SparkSession) -> DataFrame:
@@ -153,17 +164,20 @@ class LicenceModel:
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with words) plus the likeliest class and its calibrated probability."""
         known = rows.where(F.arrays_overlap("words", F.lit(self.anchors)))
-        raw = self.classifier.transform(self.counts(known)).withColumn("_raw", vector_to_array("rawPrediction"))
-        p = calibrated(F.col("_raw"), self.temperature)
-        best = F.array_max(F.transform(p, lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
-        return raw.withColumn("_best", best).select(*rows.columns, F.element_at(F.lit(FAMILIES), (1 - F.col("_best.i")).cast("int")).alias("family"), F.col("_best.p").alias("probability"))
+        raw = once(self.classifier.transform(self.counts(known)), "_raw", vector_to_array("rawPrediction"))
+        named = with_best(raw.select(*rows.columns, "_raw"))
+        return named.select(*rows.columns, F.element_at(F.lit(FAMILIES), (1 - F.col("_best.i")).cast("int")).alias("family"),
+                            F.exp(-excess(self.temperature)).alias("probability"))
+
+
+def with_best(raw: DataFrame) -> DataFrame:
+    """Adds ``_best``: the largest margin of array ``_raw`` and its place, negated; of equal ones the first."""
+    return once(raw, "_best", F.expr("greatest(" + ", ".join(f"struct(_raw[{i}] AS top, {-i} AS i)" for i in range(len(FAMILIES))) + ")"))
 
 
-def calibrated(raw: Column, temperature: float) -> Column:
-    top = F.array_max(raw)
-    e = F.transform(raw, lambda x: F.exp((x - top) / F.lit(temperature)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+def excess(temperature: float) -> Column:
+    """Log of the sum of the calibrated exponentials, relative to the largest."""
+    return F.expr("log(" + " + ".join(f"exp((_raw[{i}] - _best.top) / {temperature}D)" for i in range(len(FAMILIES))) + ")")
 
 
 def fit(docs: DataFrame) -> LicenceModel:
@@ -172,10 +186,11 @@ def fit(docs: DataFrame) -> LicenceModel:
     templates = template_pairs(spark)
     # only line numbers are ranked; the lowest hashes of all lines make the sample
     h = F.xxhash64("doc_id", "paragraph", "words")
-    sample = paragraphs(docs).withColumn("h", h).orderBy("h").limit(UNKNOWN_ROWS).withColumn("pairs", F.array_distinct(pairs_of(F.col("words"))))
+    sample = paragraphs(docs).withColumn("h", h).orderBy("h").limit(UNKNOWN_ROWS)
+    sample = stored(once(sample, "pairs", F.array_distinct(pairs_of(F.col("words")))).coalesce(2), "licence-lines")
     near = sample.join(F.broadcast(templates.select(F.col("pairs").alias("t"))), resemblance(F.col("pairs"), F.col("t")) >= LEAST_SHARED / 2, "left_anti")
     others = spark.createDataFrame([(t,) for t in OTHERS], "t string").select(words_of(F.col("t")).alias("words"))
-    unknown = near.select("words").unionByName(others).persist()
+    unknown = stored(near.select("words").unionByName(others).coalesce(2), "licence-sample")
     # the vocabulary is bounded by the templates
     n = max(1, unknown.count())
     often = {r.w for r in unknown.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().where(F.col("count") > max(1, COMMON * n)).orderBy(F.desc("count")).limit(50_000).select("w").collect()}
@@ -186,25 +201,27 @@ def fit(docs: DataFrame) -> LicenceModel:
     rows = _windows(templates).unionByName(unknown.withColumn("family", F.lit(UNKNOWN)))
     label = F.array_position(F.lit(FAMILIES), F.col("family")) - 1
     back = F.pmod(F.xxhash64("words"), F.lit(4)) == 0
-    counted = model.counts(rows.withColumn("label", label.cast("double")).withColumn("back", back)).select("label", "back", "features").persist()
-    whole = counted.where("label > 0")  # short notices are few: they train and calibrate
-    weighted = counted.where("not back").unionByName(whole.where("back")).withColumn("weight", F.when(F.col("label") > 0, 4.0).otherwise(1.0))
+    rows = rows.withColumn("label", label.cast("double")).withColumn("back", back)
+    # a few thousand rows: two partitions, as every iteration is a job
+    counted = model.counts(rows.coalesce(2)).select("label", "back", "features").persist()
+    # notices are few: they train and calibrate
+    weighted = counted.where("label > 0 or not back").withColumn("weight", F.when(F.col("label") > 0, 4.0).otherwise(1.0))
     lr = LogisticRegression(family="multinomial", maxIter=ITERATIONS, regParam=L1, elasticNetParam=1.0, weightCol="weight")
     # every class has a template, so the classifier always knows all of FAMILIES
     model.classifier = lr.fit(weighted)
-    raw = model.classifier.transform(counted.where("back")).select("label", vector_to_array("rawPrediction").alias("raw"))
-    loss = lambda t: F.coalesce(F.sum(-F.log(F.greatest(F.element_at(calibrated(F.col("raw"), t), (F.col("label") + 1).cast("int")), F.lit(1e-12)))), F.lit(0.0))
+    raw = with_best(once(model.classifier.transform(counted.where("back")), "_raw", vector_to_array("rawPrediction")).select("label", "_raw"))
+    loss = lambda t: F.coalesce(F.sum(excess(t) - (F.get("_raw", F.col("label").cast("int")) - F.col("_best.top")) / t), F.lit(0.0))
     losses = raw.agg(*[loss(t).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]).first()
     model.temperature = min(zip(losses, TEMPERATURES))[1]
     counted.unpersist()
-    unknown.unpersist()
     return model
 
 
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """Paragraphs that the classifier takes for a licence: doc_id, paragraph, family, probability, shared, confirmed."""
     found = model.score(paragraphs(docs)).where(F.col("family") != UNKNOWN).where(F.col("probability") >= LEAST_PROBABILITY)
-    found = found.withColumn("pairs", F.array_distinct(pairs_of(F.col("words"))))
+    # few rows, written once: what follows looks at them again and again
+    found = stored(once(found, "pairs", F.array_distinct(pairs_of(F.col("words")))).drop("words"), "licence-found")
     # the templates are fixed; a paragraph meets those of its family
     templates = F.broadcast(template_pairs(docs.sparkSession).groupBy("family").agg(F.collect_list("pairs").alias("templates")))
     shared = F.array_max(F.transform("templates", lambda t: resemblance(F.col("pairs"), t)))
