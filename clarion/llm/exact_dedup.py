@@ -28,10 +28,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarion.llm.common import stored
+from clarion.llm.common import fresh, stored
 
 BLANKS = b" \t\n\x0b\x0c\r"
 BUCKET_KEYS, MOST_DEPTH = 2_000, 16
@@ -179,9 +179,16 @@ def dedup(docs: DataFrame, bucket_keys: int = BUCKET_KEYS, key_of: Callable[[byt
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, whole; of rows with the same doc_id that stay, one."""
-    stay = dedup(docs).where("kept").groupBy("keep_id").agg(F.count(F.lit(1)).alias("n"))
-    one, more = (stay.where(c).select(F.col("keep_id").alias("_stay")) for c in ("n = 1", "n > 1"))
-    match = lambda s: docs["doc_id"].eqNullSafe(s["_stay"])
-    again = docs.join(more, match(more), "left_semi")
-    return docs.join(one, match(one), "left_semi").unionByName(again.dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` that stay, whole; of repeated rows (same doc_id and text), one."""
+    stay = dedup(docs).where("kept").groupBy(F.col("keep_id").alias("_stay"), F.col("text_sha256").alias("_text")).agg(F.count(F.lit(1)).alias("n"))
+    digest = fresh(docs, "digest")
+    blanks = BLANKS.decode()
+    named = docs.withColumn(digest, F.sha2(F.translate(F.coalesce("text", F.lit("")), blanks, ""), 256))
+    match = lambda s: named["doc_id"].eqNullSafe(s["_stay"]) & (named[digest] == s["_text"])
+    one, more = (stay.where(c).drop("n") for c in ("n = 1", "n > 1"))
+    again = named.join(more, match(more), "left_semi")
+    # of rows under one doc_id the longest text stays
+    longest = F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(F.length("text").desc()))
+    turn = fresh(named, "turn")
+    again = again.withColumn(turn, longest).where(F.col(turn) == 1).drop(turn)
+    return named.join(one, match(one), "left_semi").unionByName(again).drop(digest)

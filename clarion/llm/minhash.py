@@ -10,17 +10,20 @@ similarity of 0.8 a pair misses all of them with probability 3e-6.
 
 Documents with equal sets form one class with one representative, so copies
 never meet in a group.  Links are confirmed on full sets (64-bit shingle
-hashes).  A group's members are not all paired: each is compared with a pivot
-of the group; the links are contracted to components, and only groups that
-still hold several components go on:
-
-* up to ``SMALL`` members: the pairs of different components;
-* more: further pivots, and from the ``REFINE_AT``-th round on each group falls
-  into groups by prefix shingles: in any fixed order (here: rarest first), two
-  sets with a similarity of t share one of their first n - ceil(t n) + 1
-  shingles, so no link is lost, and frequent passages come last.
-
-Every round drops at least the pivots, so the rounds end.
+hashes).  A group's members are not all paired: ``STARS`` times each is compared
+with a pivot of the group, the links are contracted to components, and only
+groups that still hold several components go on.  For those, exactly:
+
+* A shingle that no other remaining document holds cannot be shared.  With c
+  of a document's n shingles left, a partner of m shingles is in reach only if
+  c >= t (n + m - c); members that reach nobody in their group leave it.  Most
+  edited copies that miss the threshold fall out here.
+* Groups of over ``SMALL`` members fall into groups by prefix shingles: in any
+  fixed order (here: rarest first), two sets with a similarity of t share one of
+  their first n - ceil(t n) + 1 shingles, so no link is lost, and frequent
+  passages come last.
+* In each group, members outside its largest component are compared with the
+  members of other components that are in reach.
 
 Null and empty texts have no shingles and link with nothing; fewer words than a
 shingle make one shingle of all of them.  Rows that repeat a doc_id get the same
@@ -43,7 +46,7 @@ from clarion.llm.common import SHINGLE_WORDS, SIMILARITY, stored
 
 BANDS, ROWS = 32, 5
 UNIVERSE, SEED = 1 << 22, 20_250_101
-SMALL, REFINE_AT = 48, 3
+SMALL, STARS = 32, 2
 #: Groups of the pivots: bands with equal number modulo this share their choice.
 PIVOTS = 3
 _WORDS_HELD = 500_000
@@ -115,8 +118,8 @@ def _sketch(words: int):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 bands.append(band_keys(signature(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.string()),
-                                              pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.string()),
+                                              pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "class", "bands"])
     return run
 
 
@@ -149,38 +152,40 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``v`` and its component's smallest vertex ``root``, for all vertices of ``edges`` (a, b).
+    """``v`` and its component's smallest vertex ``root``, for all vertices of ``edges`` (a, b) but the roots.
 
     Large-star and small-star steps; every step keeps one row per edge and no
-    vertex's neighbours are gathered.
+    vertex's neighbours are gathered.  Done when every vertex hangs on one root.
     """
     least, most = F.least("a", "b"), F.greatest("a", "b")
-    star = stored(edges.where("a <> b").select(most.alias("u"), least.alias("v")).distinct(), "near-edges")
-    before = None
+    star = edges.where("a <> b").select(most.alias("u"), least.alias("v")).distinct()
     while True:
-        state = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         star = stored(small.where("u <> v").distinct(), "near-stars")
-    return star.select(F.col("u").alias("v"), F.col("v").alias("root"))
+        ends = star.select("u", F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(star.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+        ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
+        if not ends.agg(F.count_if((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("low") == 1)))).first()[0]:
+            return star.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
 def _sizes_fit(percent: int) -> Column:
     return (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
 
 
+def _several(groups: DataFrame) -> DataFrame:
+    """Members of the groups that hold more than one component."""
+    open_ = groups.groupBy("g").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("g")
+    return groups.join(open_, "g", "left_semi")
+
+
 def _contract(groups: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with their component, in groups that still hold more than one."""
-    found = groups.drop("root").join(roots.withColumnRenamed("v", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    open_ = found.groupBy("g").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("members")).where("_lo <> _hi")
-    return found.drop("members").join(open_.select("g", "members"), "g")
+    known = roots.withColumnRenamed("v", "rep")
+    return _several(groups.drop("root").join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep")))
 
 
 def _star(groups: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
@@ -188,17 +193,36 @@ def _star(groups: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
     order = F.xxhash64("rep", F.col("pick"), F.lit(salt))
     pivots = groups.groupBy("g").agg(F.min(F.struct(order.alias("o"), "rep", "n")).alias("p")).select("g", F.col("p.rep").alias("b"), F.col("p.n").alias("nb"))
     met = groups.join(pivots, "g").where("rep <> b")
-    return met.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", "nb", "root", "g", "pick"), met.select(*groups.columns)
+    return met.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", "nb"), met.select(*groups.columns)
+
+
+def _in_reach(c: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether a set of n shingles, c of which others hold, can be similar enough to one of m."""
+    return F.lit(100) * c >= F.lit(percent) * (n + m - c)
 
 
-def _by_prefix(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Groups by prefix shingle inside each group; shingles ordered by how many members hold them."""
+def _remaining(groups: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
+    """The pairs of members that pivots have not settled and that are in each other's reach."""
     words = sets.join(groups.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode(F.arrow_udf(_as_longs, "array<long>")("hashes")).alias("s"))
-    counts = words.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "s"))
-    head = words.join(counts, "s").withColumn("place", place).join(groups.select("rep", "n").distinct(), "rep")
-    head = head.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1).where("df > 1").select("rep", "s")
-    return groups.join(head, "rep").withColumn("g", F.xxhash64("g", "s")).drop("s")
+    words = stored(words, "near-words")
+    held = words.join(words.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s")
+    left = held.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
+    members = groups.join(left, "rep")  # without a shared shingle there is no partner
+    smallest = members.groupBy("g").agg(F.min("n").alias("_m"))
+    members = members.join(smallest, "g").where(_in_reach(F.col("c"), F.col("n"), F.greatest("_m", F.ceil(F.col("n") * percent / 100)), percent)).drop("_m")
+    members = stored(_several(members), "near-members")
+    # large groups by prefix shingle; unshared shingles come first in the order and take their places
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+    large = members.join(sizes.where(F.col("members") > small), "g").drop("members")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "s")) + F.col("n") - F.col("c")
+    head = held.join(large.select("rep", "n", "c").distinct(), "rep").withColumn("place", place)
+    head = head.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1).select("rep", "s")
+    split = large.join(head, "rep").withColumn("g", F.xxhash64("g", "s")).drop("s")
+    parts = members.join(sizes.where(F.col("members") <= small), "g", "left_semi").unionByName(_several(split))
+    main = parts.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("main")).select("g", F.col("main.root").alias("main"))
+    one = parts.join(main, "g").where("root <> main").select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"))
+    two = parts.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("root").alias("rb"))
+    return one.join(two, "g").where("ra <> rb").where(_in_reach(F.least("ca", "cb"), F.col("na"), F.col("nb"), percent))
 
 
 def _as_longs(b: pa.Array) -> pa.Array:
@@ -207,52 +231,49 @@ def _as_longs(b: pa.Array) -> pa.Array:
 
 def near_components(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+    return _components_of(docs, words, similarity, small).drop("text_hash")
+
+
+def _components_of(docs: DataFrame, words: int, similarity: float, small: int = SMALL) -> DataFrame:
     percent = math.ceil(round(similarity * 100, 6))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = stored(rows.mapInArrow(_sketch(words), "doc_id long, n_shingles long, class string, bands array<long>"), "near-sketch")
+    sketch = stored(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch(words), "doc_id long, text_hash long, n_shingles long, class string, bands array<long>"), "near-sketch")
     classes = stored(sketch.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-classes")
     banded = classes.where(F.col("rep").isNotNull()).select("rep", "n", F.posexplode("bands").alias("pick", "g")).withColumn("pick", F.col("pick") % PIVOTS)
-    shared = banded.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    groups = stored(banded.join(shared, "g").withColumn("root", F.col("rep")), "near-groups")
+    shared = banded.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("g")
+    groups = stored(banded.join(shared, "g", "left_semi").withColumn("root", F.col("rep")), "near-groups")
     wanted = groups.select("rep").distinct()
     text = rows.where(F.col("doc_id").isNotNull()).join(wanted, rows["doc_id"] == wanted["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
     sets = stored(text.mapInArrow(_sets(words), "rep long, hashes binary").dropDuplicates(["rep"]), "near-sets")
 
-    edges, round_ = None, 0
-    while True:
-        left, big = groups.agg(F.count(F.lit(1)), F.max("members")).first()
-        if not left:
-            break
-        last = round_ > 0 and big <= small
-        if last:
-            other = groups.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = groups.select("g", F.col("rep").alias("a"), F.col("n").alias("na"), "root").join(other, "g").where("a < b and root <> rb")
-        else:
-            if round_ == REFINE_AT:
-                groups = stored(_by_prefix(groups, sets, percent), "near-prefix")
-            pairs, rest = _star(groups, round_)
+    edges = None
+
+    def link(pairs: DataFrame) -> DataFrame:
+        """The components with the links among ``pairs`` added, as one row per linked class."""
         pairs = pairs.where(_sizes_fit(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stored(confirm(pairs, sets, percent), "near-links")
-        edges = found if edges is None else stored(edges.unionByName(found), "near-links")
-        # what is known is kept as stars, so later rounds work on one row per linked class
-        roots = components(edges)
-        edges = roots.select(F.col("v").alias("a"), F.col("root").alias("b"))
-        if last:
+        found = confirm(pairs, sets, percent)
+        return components(found if edges is None else found.unionByName(edges.select(F.col("v").alias("a"), F.col("root").alias("b"))))
+
+    for salt in range(STARS):
+        if groups.isEmpty():
             break
-        groups = stored(_contract(rest, roots), "near-groups")
-        round_ += 1
+        pairs, rest = _star(groups, salt)
+        edges = link(pairs)
+        groups = stored(_contract(rest, edges), "near-groups")
+    if not groups.isEmpty():
+        edges = link(_remaining(groups, sets, percent, small))
 
     if edges is None:
         classes = classes.withColumn("component_id", F.col("rep"))
     else:
-        classes = classes.join(edges.select(F.col("a").alias("rep"), F.col("b").alias("_root")), "rep", "left").withColumn("component_id", F.coalesce("_root", "rep"))
-    out = sketch.select("doc_id", "n_shingles", "class").join(classes.select("class", "component_id"), "class", "left")
+        classes = classes.join(edges.select(F.col("v").alias("rep"), F.col("root").alias("_root")), "rep", "left").withColumn("component_id", F.coalesce("_root", "rep"))
+    out = sketch.select("doc_id", "text_hash", "n_shingles", "class").join(classes.select("class", "component_id"), "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay, whole: the smallest doc_id of each group of near-duplicates."""
-    stay = near_components(docs, words, similarity).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    stay = _components_of(docs, words, similarity).where("kept").select(F.col("doc_id").alias("_stay"), F.col("text_hash").alias("_text")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]) & (F.xxhash64(docs["text"]) == stay["_text"]), "left_semi")
