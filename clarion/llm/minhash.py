@@ -158,11 +158,13 @@ def components(edges: DataFrame) -> DataFrame:
     vertex's neighbours are gathered.  Done when every vertex hangs on one root.
     """
     least, most = F.least("a", "b"), F.greatest("a", "b")
-    star = edges.where("a <> b").select(most.alias("u"), least.alias("v")).distinct()
+    # written at once: every step reads it several times
+    star = stored(edges.where("a <> b").select(most.alias("u"), least.alias("v")).distinct(), "near-edges")
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large, "near-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         star = stored(small.where("u <> v").distinct(), "near-stars")
@@ -205,7 +207,7 @@ def _remaining(groups: DataFrame, sets: DataFrame, percent: int, small: int) ->
     """The pairs of members that pivots have not settled and that are in each other's reach."""
     words = sets.join(groups.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode(F.arrow_udf(_as_longs, "array<long>")("hashes")).alias("s"))
     words = stored(words, "near-words")
-    held = words.join(words.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s")
+    held = stored(words.join(words.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s"), "near-held")
     left = held.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
     members = groups.join(left, "rep")  # without a shared shingle there is no partner
     smallest = members.groupBy("g").agg(F.min("n").alias("_m"))
@@ -219,6 +221,7 @@ def _remaining(groups: DataFrame, sets: DataFrame, percent: int, small: int) ->
     head = head.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1).select("rep", "s")
     split = large.join(head, "rep").withColumn("g", F.xxhash64("g", "s")).drop("s")
     parts = members.join(sizes.where(F.col("members") <= small), "g", "left_semi").unionByName(_several(split))
+    parts = stored(parts, "near-parts")
     main = parts.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("main")).select("g", F.col("main.root").alias("main"))
     one = parts.join(main, "g").where("root <> main").select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"))
     two = parts.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("root").alias("rb"))
@@ -251,7 +254,7 @@ def _components_of(docs: DataFrame, words: int, similarity: float, small: int =
 
     def link(pairs: DataFrame) -> DataFrame:
         """The components with the links among ``pairs`` added, as one row per linked class."""
-        pairs = pairs.where(_sizes_fit(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stored(pairs.where(_sizes_fit(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         found = confirm(pairs, sets, percent)
         return components(found if edges is None else found.unionByName(edges.select(F.col("v").alias("a"), F.col("root").alias("b"))))
 
