@@ -116,7 +116,9 @@ def decode_column(ids: Column, model: bytes) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sp = _coder(model).sp
         for batch in batches:
-            yield pa.array([sp.decode(x) if x else "" for x in (v.as_py() if v.is_valid else [] for v in batch)], pa.string())
+            flat, ends = batch.values.to_numpy(), batch.offsets.to_numpy()
+            lists = (flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:]))  # a null list is empty
+            yield pa.array([sp.decode(x) if x else "" for x in lists], pa.string())
 
     return decode(ids)
 
