@@ -127,13 +127,15 @@ def running_totals(df: DataFrame, key_cols: Sequence[str], order_col: str, value
             cell = F.lit(len(splits)) - cell
     else:
         bucketed, cell = df.withColumn("_bucket", F.lit(0.0)), F.lit(0)
+    # NULL order values come last, in a cell of their own
+    cell = F.when(F.col(order_col).isNull(), F.lit(len(splits) + 2)).otherwise(cell)
     with_cell = bucketed.withColumn("_cell", cell.cast("int")).drop("_bucket")
     totals = with_cell.groupBy(*keys, "_cell").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     wo = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_cell", *[F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}")
                                               for v in value_cols])
     # offsets has at most (#keys x n_cells) rows; broadcast only when keys are few.
-    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    order = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_last()
     wi = Window.partitionBy(*keys, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = with_cell.join(offsets, on=[*keys, "_cell"])
     return out.select(*[c for c in with_cell.columns],

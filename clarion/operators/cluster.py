@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarion.functions.stats import running_totals
 from clarion.operators.neighbors import radius_pairs
 from clarion.session import cut_lineage
 
@@ -25,7 +23,6 @@ KMEANS_RESTARTS = 10
 SEED = 42
 DBSCAN_EPS = 1.5
 DBSCAN_MIN_SAMPLES = 5
-WARD_MICRO_CLUSTERS = 1000
 
 
 def kmeans_best(df: DataFrame, id_col: str, vec_col: str, k: int = KMEANS_K,
@@ -43,72 +40,12 @@ def kmeans_best(df: DataFrame, id_col: str, vec_col: str, k: int = KMEANS_K,
 
 
 def bisecting_kmeans(df: DataFrame, id_col: str, vec_col: str, k: int = KMEANS_K, seed: int = SEED) -> DataFrame:
-    """C2 (cheap alternative): divisive hierarchical clustering."""
+    """Divisive hierarchical clustering; every level is distributed work, at any row count."""
     data = df.select(F.col(id_col).alias("id"), array_to_vector(vec_col).alias("features"))
     model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
     return model.transform(data).select("id", F.col("cluster").cast("int").alias("cluster"))
 
 
-def _ward_merge(centroids: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Ward agglomeration of weighted points down to k groups; returns the
-    group of each input point (groups numbered by their smallest member).
-    Merge cost n_i n_j / (n_i + n_j) * ||c_i - c_j||^2; only the merged row of
-    the cost matrix is recomputed.  Runs on the micro-cluster table, whose size
-    is bounded by ``WARD_MICRO_CLUSTERS``, not by the data."""
-    m = len(centroids)
-    cent = centroids.astype(float).copy()
-    size = weights.astype(float).copy()
-    alive = np.ones(m, dtype=bool)
-    d2 = ((cent[:, None, :] - cent[None, :, :]) ** 2).sum(-1)
-    cost = (size[:, None] * size[None, :]) / (size[:, None] + size[None, :]) * d2
-    np.fill_diagonal(cost, np.inf)
-    parent = np.arange(m)
-    for _ in range(m - k):
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)
-        i, j = (i, j) if i < j else (j, i)
-        tot = size[i] + size[j]
-        cent[i] = (cent[i] * size[i] + cent[j] * size[j]) / tot
-        size[i] = tot
-        alive[j] = False
-        parent[parent == j] = i
-        cost[j, :] = np.inf
-        cost[:, j] = np.inf
-        row = (size[i] * size) / (size[i] + size) * ((cent - cent[i]) ** 2).sum(-1)
-        row[~alive] = np.inf
-        row[i] = np.inf
-        cost[i, :] = row
-        cost[:, i] = row
-    roots = sorted(set(parent.tolist()))
-    rank = {r: gi for gi, r in enumerate(roots)}   # root = smallest member index
-    return np.array([rank[p] for p in parent])
-
-
-def ward_hierarchical(df: DataFrame, id_col: str, vec_col: str, k: int = KMEANS_K,
-                      micro: int = WARD_MICRO_CLUSTERS, seed: int = SEED) -> DataFrame:
-    """Ward clustering via micro-clusters (BIRCH idea): K-means to at most
-    ``micro`` centroids on the cluster, weighted Ward merge of the centroids,
-    labels joined back.  Exact Ward when n <= micro (every point its own
-    micro-cluster)."""
-    spark = df.sparkSession
-    data = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).cache()
-    n = data.count()
-    if n <= micro:
-        assign = data.select("id", F.col("id").alias("mc"))
-        cents = data.select(F.col("id").alias("mc"), "v", F.lit(1).alias("w"))
-    else:
-        km = KMeans(k=micro, seed=seed, featuresCol="features", predictionCol="mc").fit(
-            data.select("id", array_to_vector("v").alias("features")))
-        assign = km.transform(data.select("id", array_to_vector("v").alias("features"))).select("id", "mc")
-        dim = len(data.first()["v"])
-        cents = assign.join(data, "id").groupBy("mc").agg(
-            F.array(*[F.avg(F.col("v")[i]) for i in range(dim)]).alias("v"), F.count(F.lit(1)).alias("w"))
-    rows = cents.orderBy("mc").collect()          # bounded by ``micro`` rows
-    labels = _ward_merge(np.array([r["v"] for r in rows]), np.array([r["w"] for r in rows]), k)
-    lab = spark.createDataFrame([(rows[i]["mc"], int(labels[i])) for i in range(len(rows))],
-                                "mc long, cluster int")
-    return assign.join(F.broadcast(lab), "mc").select("id", "cluster")
-
-
 def connected_components(vertices: DataFrame, edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
     """Min-label propagation: (id, comp) with comp = smallest id in the
     component.  ``edges`` (src, dst) are taken as undirected.  Iterates to a
@@ -147,10 +84,9 @@ def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = DBSCAN_EPS,
                   .select(F.col("id").alias("src"), F.col("nid").alias("dst")))
     comps = connected_components(core, core_edges)
     # number clusters 0..K-1 in order of their smallest core id (table of K rows)
-    distinct = comps.select("comp").distinct().withColumn("_one", F.lit(1)).withColumn(
-        "_c", F.col("comp").cast("double"))
-    order = running_totals(distinct, [], "_c", ["_one"], descending=False, prefix="_cum").select(
-        "comp", (F.col("_cum_one") - 1).cast("int").alias("cluster"))
+    # by the id itself: strings and longs beyond 2 ** 53 keep their order
+    order = comps.select("comp").distinct().withColumn(
+        "cluster", (F.row_number().over(Window.orderBy("comp")) - 1).cast("int"))
     core_lab = comps.join(order, "comp").select("id", "cluster")
     border = (pairs.join(core, "id", "left_anti")
               .join(core_lab.withColumnRenamed("id", "nid"), "nid")
@@ -183,13 +119,11 @@ def projection_feed(proj: DataFrame, truth: DataFrame, clusters: DataFrame, labe
                     F.col("cluster").cast("string").alias("kmeansCluster")))
 
 
-def nearest_axis_clusters(df: DataFrame, id_col: str, vec_col: str, n_axes: int = 4) -> DataFrame:
-    """A deterministic partition for metric checks: the index of the largest of
-    the first ``n_axes`` coordinates; -1 (noise) when that largest value is
-    negative."""
-    head = F.slice(vec_col, 1, n_axes)
-    mx = F.array_max(head)
-    idx = F.array_position(head, mx) - 1
+def nearest_axis_clusters(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """A deterministic partition for metric checks: the index of the largest
+    coordinate; -1 (noise) when that largest value is negative."""
+    mx = F.array_max(vec_col)
+    idx = F.array_position(F.col(vec_col), mx) - 1
     return df.select(F.col(id_col).alias("id"),
                      F.when(mx < 0, F.lit(-1)).otherwise(idx).cast("int").alias("cluster"))
 

@@ -78,7 +78,7 @@ def auc(df: DataFrame, group_cols=("model",), label="label", score="score") -> D
     agg = rg.groupBy(*g).agg(
         F.sum(F.col("neg") * (above + F.col("pos") / 2.0)).alias("_u"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    den = F.col("n_pos") * F.col("n_neg")
+    den = F.col("n_pos").cast("double") * F.col("n_neg")  # the product of two counts outgrows a long
     return agg.select(*g, "n_pos", "n_neg",
                       F.when(den == 0, F.lit(None).cast("double")).otherwise(F.col("_u") / den).alias("auc"))
 

@@ -28,6 +28,7 @@ from clarion.functions.stats import running_totals
 
 DEFAULT_CELL_SIZE = 64
 MAX_GRID_CELLS = 1024
+BAND_SLACK = 1e-9
 
 
 def euclidean(a, b) -> F.Column:
@@ -66,22 +67,27 @@ def _prepared(df: DataFrame, id_col: str, vec_col: str, cell_size: int):
     ranked = running_totals(pts.withColumn("_one", F.lit(1)), [], "_p", ["_one"], descending=False,
                             n_cells=256, prefix="_cum")
     pts = ranked.select("_id", "_v", "_p", ((F.col("_cum_one") - 1) / cell_size).cast("long").alias("_rcell"))
-    st = pts.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).first()
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x * x))
+    st = pts.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi"), F.max(norm).alias("norm")).first()
     lo, hi = float(st["lo"]), float(st["hi"])
     width = max((hi - lo) / MAX_GRID_CELLS, 1e-12)
+    # projections are rounded: the band is wider by far more than their error
+    pts = pts.withColumn("_slack", F.lit(BAND_SLACK * float(st["norm"])))
     pts = pts.withColumn("_gcell", _grid_cell(F.col("_p"), lo, width)).cache()
     return pts, lo, width
 
 
 def _band_join(pts: DataFrame, lo: float, width: float, radius_col: str) -> DataFrame:
-    """For each left point: all other points with |p_y - p_x| <= radius (via grid cells)."""
-    left = pts.select("_id", "_v", "_p", radius_col,
-                      F.explode(F.sequence(_grid_cell(F.col("_p") - F.col(radius_col), lo, width),
-                                           _grid_cell(F.col("_p") + F.col(radius_col), lo, width))).alias("_jc"))
+    """For each left point: all other points with |p_y - p_x| <= radius plus slack (via grid cells);
+    only the distance decides."""
+    reach = F.col(radius_col) + F.col("_slack")
+    left = pts.select("_id", "_v", "_p", radius_col, "_slack",
+                      F.explode(F.sequence(_grid_cell(F.col("_p") - reach, lo, width),
+                                           _grid_cell(F.col("_p") + reach, lo, width))).alias("_jc"))
     right = pts.select(F.col("_id").alias("_nid"), F.col("_v").alias("_nv"), F.col("_p").alias("_np"),
                        F.col("_gcell").alias("_jc"))
     j = left.join(right, "_jc").where((F.col("_nid") != F.col("_id"))
-                                      & (F.abs(F.col("_np") - F.col("_p")) <= F.col(radius_col)))
+                                      & (F.abs(F.col("_np") - F.col("_p")) <= reach))
     return j.select("_id", "_nid", radius_col, euclidean(F.col("_v"), F.col("_nv")).alias("dist"))
 
 

@@ -151,14 +151,13 @@ def nearest_resize(px: DataFrame, out_h: int, out_w: int, value: str = "level")
 
 
 def minmax_rescale(px: DataFrame, value: str = "value", invert: bool = False) -> DataFrame:
-    """(v - min) / max * 255 per image (0 when flat), optional inversion max - v."""
+    """(v - min) / (max - min) * 255 per image, truncated to 8 bits (0 when flat); optional inversion max - v."""
     st = px.groupBy("image_id").agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
     j = px.join(st, "image_id")
-    v = (F.col("_mx") - F.col(value)) if invert else F.col(value)
-    lo = F.lit(0.0) if invert else F.col("_mn")
-    hi = (F.col("_mx") - F.col("_mn")) if invert else F.col("_mx")
-    scaled = F.when(hi == 0, F.lit(0.0)).otherwise((v - lo) / hi * 255.0)
-    return j.select("image_id", "r", "c", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(255.0)).alias("value"))
+    above = (F.col("_mx") - F.col(value)) if invert else (F.col(value) - F.col("_mn"))
+    span = F.col("_mx") - F.col("_mn")
+    scaled = F.when(span == 0, F.lit(0)).otherwise(F.floor(above / span * 255.0).cast("int"))
+    return j.select("image_id", "r", "c", scaled.alias("value"))
 
 
 def unit_scale(px: DataFrame, value: str = "level") -> DataFrame:

@@ -31,9 +31,11 @@ def class_quota(counts: DataFrame, label: str, fraction: float) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy())
     with_total = counts.withColumn("_total", total)
     k_all = F.ceil(F.lit(fraction) * F.col("_total")).cast("bigint")
+    # the product of two row counts outgrows a long
+    share = "(CAST(_kall AS DECIMAL(19, 0)) * CAST(n AS DECIMAL(18, 0)))"
     base = with_total.withColumn("_kall", k_all) \
-        .withColumn("_floor", F.expr("(_kall * n) div _total")) \
-        .withColumn("_rem", (F.col("_kall") * F.col("n")) % F.col("_total"))
+        .withColumn("_floor", F.expr(f"{share} div CAST(_total AS DECIMAL(19, 0))")) \
+        .withColumn("_rem", F.expr(f"{share} % CAST(_total AS DECIMAL(19, 0))"))
     left = F.col("_kall") - F.sum("_floor").over(Window.partitionBy())
     rk = F.row_number().over(Window.partitionBy().orderBy(F.col("_rem").desc(), F.col(label)))
     return base.withColumn("_left", left).withColumn("_rk", rk).select(

@@ -26,8 +26,8 @@ def _dist_sql(a: str, c: str) -> str:
             f"lambda i: ({a}[i] - {c}[i]) * ({a}[i] - {c}[i])), lambda x, y: x + y))")
 
 
-AXIS_SQL = ("axis AS (SELECT vec_id AS id, v, true_label, CASE WHEN list_max(v[1:4]) < 0 THEN -1 "
-            "ELSE list_position(v[1:4], list_max(v[1:4])) - 1 END AS cluster FROM vectors)")
+AXIS_SQL = ("axis AS (SELECT vec_id AS id, v, true_label, CASE WHEN list_max(v) < 0 THEN -1 "
+            "ELSE list_position(v, list_max(v)) - 1 END AS cluster FROM vectors)")
 
 
 def axis_clusters(spark, d):
@@ -131,8 +131,8 @@ def pca_projection(spark, d):
 
 @REG.add("hierarchical_clusters")
 def hierarchical_clusters(spark, d):
-    """C2 Ward via micro-clusters (exact Ward when n <= 1000)."""
-    return cl.ward_hierarchical(b.vectors(spark, d), "vec_id", "v", N_CLUSTERS)
+    """Divisive hierarchical clustering (training-dependent: rows-only check)."""
+    return cl.bisecting_kmeans(b.vectors(spark, d), "vec_id", "v", N_CLUSTERS)
 
 
 @REG.add("clustering_summary")
@@ -141,7 +141,7 @@ def clustering_summary(spark, d):
     vec = b.vectors(spark, d).cache()
     methods = {
         "kmeans": cl.kmeans_best(vec, "vec_id", "v", N_CLUSTERS),
-        "hierarchical": cl.ward_hierarchical(vec, "vec_id", "v", N_CLUSTERS),
+        "hierarchical": cl.bisecting_kmeans(vec, "vec_id", "v", N_CLUSTERS),
         "dbscan": cl.dbscan(vec, "vec_id", "v", DBSCAN_EPS, DBSCAN_MIN),
     }
     labels = cl.clusterings_long(methods).join(
@@ -158,5 +158,5 @@ def projection_feed(spark, d):
     vec = b.vectors(spark, d)
     proj = cl.pca_project(vec, "vec_id", "v", 2)
     truth = vec.select(F.col("vec_id").alias("id"), (F.col("true_label") != 0).cast("int").alias("label"))
-    clusters = cl.kmeans_best(vec, "vec_id", "v", N_CLUSTERS, restarts=2)
+    clusters = cl.kmeans_best(vec, "vec_id", "v", N_CLUSTERS)
     return cl.projection_feed(proj, truth, clusters, "label")

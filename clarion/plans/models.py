@@ -31,15 +31,6 @@ QUICK = {
     "gradient_boosting": [{"n_estimators": 5, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0}],
     "mlp": [{"hidden_layer_sizes": [8], "max_iter": 15}],
 }
-ROWS_PER_PARTITION = 200_000
-
-
-def sized(df):
-    """Partitions sized to the row count (iterative fits launch one job per
-    iteration; a few hundred rows do not need eight tasks).  Large inputs keep
-    one partition per ``ROWS_PER_PARTITION`` rows."""
-    n = df.count()
-    return df.repartition(max(1, -(-n // ROWS_PER_PARTITION))).cache()
 
 
 def scaled_docs(spark, d):
@@ -77,9 +68,9 @@ def resampling_effect(spark, d):
     train = z.where(F.col("split") == "train")
     test = mo.vector_column(z.where(F.col("split") == "test"), "v").select(
         F.col("doc_id").cast("string").alias("id"), "features", F.col("label").cast("double").alias("label"))
-    base = sized(mo.vector_column(train, "v").select("features", F.col("label").cast("double").alias("label")))
+    base = mo.vector_column(train, "v").select("features", F.col("label").cast("double").alias("label")).cache()
     sm = im.smote(train, "doc_id", "v", "label", im.SMOTE_K, SEED)
-    res = sized(mo.vector_column(sm, "v").select("features", F.col("label").cast("double").alias("label")))
+    res = mo.vector_column(sm, "v").select("features", F.col("label").cast("double").alias("label")).cache()
     rows = []
     for run, tr in (("baseline_no_smote", base), ("with_smote", res)):
         p = _fit_eval("logistic_regression", {"C": 1.0, "max_iter": 30}, tr, test)
@@ -96,10 +87,10 @@ def ensemble_comparison(spark, d):
     on the held-out rows."""
     z = scaled_docs(spark, d)
     z = sp.stratified_folds(z, "label", "row_id", QUICK_FOLDS, SEED).cache()
-    train = sized(mo.vector_column(z.where(F.col("split") == "train"), "v").select(
-        F.col("row_id").alias("_rid"), "fold", "features", F.col("label").cast("double").alias("label")))
-    test = sized(mo.vector_column(z.where(F.col("split") == "test"), "v").select(
-        F.col("row_id").alias("_rid"), "features", F.col("label").cast("double").alias("label")))
+    train = mo.vector_column(z.where(F.col("split") == "train"), "v").select(
+        F.col("row_id").alias("_rid"), "fold", "features", F.col("label").cast("double").alias("label")).cache()
+    test = mo.vector_column(z.where(F.col("split") == "test"), "v").select(
+        F.col("row_id").alias("_rid"), "features", F.col("label").cast("double").alias("label")).cache()
     nf = len(b.DOC_FEATURES)
     fitted, cv = {}, []
     for pos, (name, cands) in enumerate(QUICK.items()):

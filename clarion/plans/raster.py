@@ -181,9 +181,9 @@ def clahe_equalize(spark, d):
 
 
 @REG.add("minmax_rescale", with_ctes(GRIDS_CTE, """
-mm AS (SELECT image_id, min(level) AS mn, max(level) AS mx FROM grids GROUP BY image_id)""", body=f"""
+mm AS (SELECT image_id, min(level) AS mn, max(level) AS mx FROM grids GROUP BY image_id)""", body="""
 SELECT g.image_id, g.r, g.c,
-       {r6('least(greatest(CASE WHEN mm.mx = 0 THEN 0.0 ELSE (g.level - mm.mn) / mm.mx * 255.0 END, 0.0), 255.0)')} AS value
+       CAST(CASE WHEN mm.mx = mm.mn THEN 0 ELSE floor((g.level - mm.mn)::DOUBLE / (mm.mx - mm.mn)::DOUBLE * 255.0::DOUBLE) END AS INTEGER) AS value
 FROM grids g JOIN mm USING (image_id)"""))
 def minmax_rescale(spark, d):
     """R3 on the grids (as if they were not already 8-bit)."""

@@ -38,16 +38,16 @@ def normalise_header(name: str) -> str:
     return name.strip().lower().replace(" ", "_")
 
 
+#: How the alternate source spells a measure's family, and the suffix it gets here.
+ALTERNATE_FORMS = ((r"mean (?P<measure>.+)", "mean"), (r"worst (?P<measure>.+)", "worst"), (r"(?P<measure>.+) error", "se"))
+
+
 def alternate_name(name: str) -> str:
     """S2: 'mean X' -> x_mean, 'worst X' -> x_worst, 'X error' -> x_se, spaces -> '_'."""
-    n = name.strip()
-    if n.startswith("mean "):
-        n = n[len("mean "):] + "_mean"
-    elif n.startswith("worst "):
-        n = n[len("worst "):] + "_worst"
-    elif n.endswith(" error"):
-        n = n[: -len(" error")] + "_se"
-    return n.replace(" ", "_")
+    words = name.strip()
+    forms = ((re.fullmatch(pattern, words), suffix) for pattern, suffix in ALTERNATE_FORMS)
+    words = next((f"{m['measure']} {suffix}" for m, suffix in forms if m), words)
+    return "_".join(words.split(" "))
 
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:

@@ -42,8 +42,23 @@ def test_smote_balances_and_stays_on_segments(spark):
     assert res.where("synthetic").count() == 30
 
 
-def test_ward_exact_two_groups(spark):
+def test_bisecting_two_groups(spark):
     pts = [(i, [float(i % 2) * 10 + 0.01 * i, 0.0]) for i in range(20)]
     df = spark.createDataFrame(pts, "id long, v array<double>")
-    lab = {r["id"]: r["cluster"] for r in cl.ward_hierarchical(df, "id", "v", 2).collect()}
+    lab = {r["id"]: r["cluster"] for r in cl.bisecting_kmeans(df, "id", "v", 2).collect()}
     assert len({lab[i] for i in range(0, 20, 2)}) == 1 and lab[0] != lab[1]
+
+
+def test_knn_keeps_collinear_neighbours(spark):
+    for a, b in ((1.0, 1.0), (3.0, 7.0)):
+        df = spark.createDataFrame([(i, [a * i * 0.1, b * i * 0.1]) for i in range(60)], "id long, v array<double>")
+        counts = {r["id"]: r["count"] for r in nb.knn(df, "id", "v", 5).groupBy("id").count().collect()}
+        assert counts == {i: 5 for i in range(60)}
+
+
+def test_dbscan_keeps_string_and_wide_ids(spark):
+    pts = [(f"p{i}", 2 ** 60 + i, [0.01 * (i % 5) + 5.0 * (i // 5), 0.0]) for i in range(10)]
+    df = spark.createDataFrame(pts, "s string, n long, v array<double>")
+    for key in ("s", "n"):
+        lab = {r["id"]: r["cluster"] for r in cl.dbscan(df, key, "v", eps=0.2, min_samples=3).collect()}
+        assert [lab[p[0] if key == "s" else p[1]] for p in pts] == [0] * 5 + [1] * 5

@@ -50,6 +50,19 @@ def test_running_totals_match_plain_window(spark):
     assert all(r["cum_pos"] == want[r["score"]] for r in rt)
 
 
+def test_running_totals_keep_null_scores(spark):
+    df = spark.createDataFrame([("m", 0.5, 1), ("m", None, 1), ("m", 0.2, 1)], "model string, score double, pos long")
+    rt = {r["score"]: r["cum_pos"] for r in running_totals(df, ["model"], "score", ["pos"]).collect()}
+    assert rt == {0.5: 1, 0.2: 2, None: 3}
+
+
+def test_quota_of_very_large_classes(spark):
+    n = 3 * 10 ** 11
+    counts = spark.createDataFrame([(0, n), (1, 2 * n)], "label int, n long")
+    got = {r["label"]: r["k"] for r in sp.class_quota(counts, "label", 0.2).collect()}
+    assert got == {0: n // 5, 1: 2 * n // 5}
+
+
 def _frame(spark, n=1000):
     return spark.createDataFrame([(f"r{i}", float(i % 17), 1 if i % 3 == 0 else 0) for i in range(n)],
                                  "row_id string, x double, label int")

@@ -12,6 +12,13 @@ def test_histogram_last_bin_closed(spark):
     assert len(h) == 32 and h[0] == 1 and h[31] == 2 and h[16] == 1
 
 
+def test_minmax_rescale_subtracts_the_minimum_first(spark):
+    px = _grid(spark, [100, 150, 200, 100], 2, 2)
+    assert sorted(r["value"] for r in ra.minmax_rescale(px, "level").collect()) == [0, 0, 127, 255]
+    assert sorted(r["value"] for r in ra.minmax_rescale(px, "level", invert=True).collect()) == [0, 127, 255, 255]
+    assert {r["value"] for r in ra.minmax_rescale(_grid(spark, [9] * 4, 2, 2), "level").collect()} == {0}
+
+
 def test_concentration_edges(spark):
     zero = spark.createDataFrame([(1, i, 0, 0.0) for i in range(9)], "image_id long, r int, c int, heat double")
     assert ra.attention_concentration(zero).first()["concentration"] == 0.0
