@@ -46,10 +46,10 @@ from clarion.llm.common import SHINGLE_WORDS, SIMILARITY, stored
 
 BANDS, ROWS = 32, 5
 UNIVERSE, SEED = 1 << 22, 20_250_101
-SMALL, STARS = 32, 2
+SMALL, STARS = 32, 3
 #: Groups of the pivots: bands with equal number modulo this share their choice.
 PIVOTS = 3
-_WORDS_HELD = 500_000
+_WORDS_HELD = 150_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -213,19 +213,22 @@ def _remaining(groups: DataFrame, sets: DataFrame, percent: int, small: int) ->
     smallest = members.groupBy("g").agg(F.min("n").alias("_m"))
     members = members.join(smallest, "g").where(_in_reach(F.col("c"), F.col("n"), F.greatest("_m", F.ceil(F.col("n") * percent / 100)), percent)).drop("_m")
     members = stored(_several(members), "near-members")
-    # large groups by prefix shingle; unshared shingles come first in the order and take their places
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
-    large = members.join(sizes.where(F.col("members") > small), "g").drop("members")
+    narrow = members.join(sizes.where(F.col("members") <= small), "g", "left_semi").select("g", "rep", "n", "c", "root", F.lit(True).alias("short"))
+    # large groups by prefix shingle, across groups; unshared shingles come first in the order and take their places
+    large = members.join(sizes.where(F.col("members") > small), "g", "left_semi").select("rep", "n", "c", "root").distinct()
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "s")) + F.col("n") - F.col("c")
-    head = held.join(large.select("rep", "n", "c").distinct(), "rep").withColumn("place", place)
-    head = head.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1).select("rep", "s")
-    split = large.join(head, "rep").withColumn("g", F.xxhash64("g", "s")).drop("s")
-    parts = members.join(sizes.where(F.col("members") <= small), "g", "left_semi").unionByName(_several(split))
-    parts = stored(parts, "near-parts")
+    head = held.join(large, "rep").withColumn("place", place)
+    head = head.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1)
+    # of a pair, the smaller set shares one of fewer first shingles: its overlap is 2t / (1 + t) of its size at least
+    short = F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent)) + 1
+    split = head.select(F.xxhash64(F.lit("prefix"), "s").alias("g"), "rep", "n", "c", "root", short.alias("short"))
+    parts = stored(narrow.unionByName(_several(split)), "near-parts")
     main = parts.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("main")).select("g", F.col("main.root").alias("main"))
-    one = parts.join(main, "g").where("root <> main").select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"))
-    two = parts.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("root").alias("rb"))
-    return one.join(two, "g").where("ra <> rb").where(_in_reach(F.least("ca", "cb"), F.col("na"), F.col("nb"), percent))
+    one = parts.join(main, "g").where("root <> main").select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"), F.col("short").alias("sa"))
+    two = parts.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("root").alias("rb"), F.col("short").alias("sb"))
+    smaller = (F.col("na") <= F.col("nb")) & F.col("sa") | (F.col("nb") <= F.col("na")) & F.col("sb")
+    return one.join(two, "g").where(F.col("ra") != F.col("rb")).where(smaller).where(_in_reach(F.least("ca", "cb"), F.col("na"), F.col("nb"), percent))
 
 
 def _as_longs(b: pa.Array) -> pa.Array:

@@ -31,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-TABLE_CHUNKS = 200_000
+TABLE_CHUNKS = 100_000
 #: Characters of text whose chunks are held at a time.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _CROSSES = re.compile(f"[^{MARK}]{MARK}")
 
