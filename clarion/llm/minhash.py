@@ -205,7 +205,7 @@ def _in_reach(c: Column, n: Column, m: Column, percent: int) -> Column:
 
 def _remaining(groups: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
     """The pairs of members that pivots have not settled and that are in each other's reach."""
-    words = sets.join(groups.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode(F.arrow_udf(_as_longs, "array<long>")("hashes")).alias("s"))
+    words = sets.join(groups.select("rep").distinct(), "rep", "left_semi").select("rep", (F.length("hashes") / 8).cast("long").alias("n"), F.explode(F.arrow_udf(_as_longs, "array<long>")("hashes")).alias("s"))
     words = stored(words, "near-words")
     held = stored(words.join(words.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s"), "near-held")
     left = held.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
@@ -217,9 +217,10 @@ def _remaining(groups: DataFrame, sets: DataFrame, percent: int, small: int) ->
     narrow = members.join(sizes.where(F.col("members") <= small), "g", "left_semi").select("g", "rep", "n", "c", "root", F.lit(True).alias("short"))
     # large groups by prefix shingle, across groups; unshared shingles come first in the order and take their places
     large = members.join(sizes.where(F.col("members") > small), "g", "left_semi").select("rep", "n", "c", "root").distinct()
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "s")) + F.col("n") - F.col("c")
-    head = held.join(large, "rep").withColumn("place", place)
-    head = head.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1)
+    unshared = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("rep"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "s")) + unshared
+    head = held.select("rep", "s", "n", place.alias("place")).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1)
+    head = head.drop("n").join(large, "rep")
     # of a pair, the smaller set shares one of fewer first shingles: its overlap is 2t / (1 + t) of its size at least
     short = F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent)) + 1
     split = head.select(F.xxhash64(F.lit("prefix"), "s").alias("g"), "rep", "n", "c", "root", short.alias("short"))
