@@ -12,7 +12,8 @@ Documents with equal sets form one class with one representative, so copies
 never meet in a group.  Links are confirmed on full sets (64-bit shingle
 hashes).  A group's members are not all paired: ``STARS`` times each is compared
 with a pivot of the group, the links are contracted to components, and only
-groups that still hold several components go on.  For those, exactly:
+groups that still hold several components go on.  These meet one more pivot, the
+member whose shingles are held most widely.  For the rest, exactly:
 
 * A shingle that no other remaining document holds cannot be shared.  With c
   of a document's n shingles left, a partner of m shingles is in reach only if
@@ -21,7 +22,8 @@ groups that still hold several components go on.  For those, exactly:
 * Groups of over ``SMALL`` members fall into groups by prefix shingles: in any
   fixed order (here: rarest first), two sets with a similarity of t share one of
   their first n - ceil(t n) + 1 shingles, so no link is lost, and frequent
-  passages come last.
+  passages come last.  Only shingles behind the shared one can be shared
+  besides, so a pair whose places are too late is left out.
 * In each group, members outside its largest component are compared with the
   members of other components that are in reach.
 
@@ -190,9 +192,8 @@ def _contract(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return _several(groups.drop("root").join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep")))
 
 
-def _star(groups: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
-    """Each member with its group's pivot, and the groups without their pivots."""
-    order = F.xxhash64("rep", F.col("pick"), F.lit(salt))
+def _star(groups: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
+    """Each member with its group's pivot, the first by ``order``, and the groups without their pivots."""
     pivots = groups.groupBy("g").agg(F.min(F.struct(order.alias("o"), "rep", "n")).alias("p")).select("g", F.col("p.rep").alias("b"), F.col("p.n").alias("nb"))
     met = groups.join(pivots, "g").where("rep <> b")
     return met.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", "nb"), met.select(*groups.columns)
@@ -203,33 +204,43 @@ def _in_reach(c: Column, n: Column, m: Column, percent: int) -> Column:
     return F.lit(100) * c >= F.lit(percent) * (n + m - c)
 
 
-def _remaining(groups: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
-    """The pairs of members that pivots have not settled and that are in each other's reach."""
+def _held(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members' shingles that another member of any group holds too, with the number of holders."""
     words = sets.join(groups.select("rep").distinct(), "rep", "left_semi").select("rep", (F.length("hashes") / 8).cast("long").alias("n"), F.explode(F.arrow_udf(_as_longs, "array<long>")("hashes")).alias("s"))
     words = stored(words, "near-words")
-    held = stored(words.join(words.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s"), "near-held")
+    return stored(words.join(words.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s"), "near-held")
+
+
+def _most_typical(groups: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A star around each group's member with the most widely held shingles: most likely what the others are edits of."""
+    typical = held.groupBy("rep").agg((F.sum("df") / F.first("n")).alias("typical"))
+    pairs, rest = _star(groups.join(typical, "rep"), F.struct(-F.col("typical"), F.xxhash64("rep")))  # without a shared shingle there is no partner
+    return pairs, rest.drop("typical")
+
+
+def _remaining(groups: DataFrame, held: DataFrame, percent: int, small: int) -> DataFrame:
+    """The pairs of members that pivots have not settled and that are in each other's reach."""
     left = held.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
     members = groups.join(left, "rep")  # without a shared shingle there is no partner
     smallest = members.groupBy("g").agg(F.min("n").alias("_m"))
     members = members.join(smallest, "g").where(_in_reach(F.col("c"), F.col("n"), F.greatest("_m", F.ceil(F.col("n") * percent / 100)), percent)).drop("_m")
     members = stored(_several(members), "near-members")
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
-    narrow = members.join(sizes.where(F.col("members") <= small), "g", "left_semi").select("g", "rep", "n", "c", "root", F.lit(True).alias("short"))
+    narrow = members.join(sizes.where(F.col("members") <= small), "g", "left_semi").select("g", "rep", "n", "c", "root", F.lit(1).alias("place"))
     # large groups by prefix shingle, across groups; unshared shingles come first in the order and take their places
     large = members.join(sizes.where(F.col("members") > small), "g", "left_semi").select("rep", "n", "c", "root").distinct()
     unshared = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("rep"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "s")) + unshared
     head = held.select("rep", "s", "n", place.alias("place")).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1)
     head = head.drop("n").join(large, "rep")
-    # of a pair, the smaller set shares one of fewer first shingles: its overlap is 2t / (1 + t) of its size at least
-    short = F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent)) + 1
-    split = head.select(F.xxhash64(F.lit("prefix"), "s").alias("g"), "rep", "n", "c", "root", short.alias("short"))
+    split = head.select(F.xxhash64(F.lit("prefix"), "s").alias("g"), "rep", "n", "c", "root", "place")
     parts = stored(narrow.unionByName(_several(split)), "near-parts")
     main = parts.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("main")).select("g", F.col("main.root").alias("main"))
-    one = parts.join(main, "g").where("root <> main").select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"), F.col("short").alias("sa"))
-    two = parts.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("root").alias("rb"), F.col("short").alias("sb"))
-    smaller = (F.col("na") <= F.col("nb")) & F.col("sa") | (F.col("nb") <= F.col("na")) & F.col("sb")
-    return one.join(two, "g").where(F.col("ra") != F.col("rb")).where(smaller).where(_in_reach(F.least("ca", "cb"), F.col("na"), F.col("nb"), percent))
+    one = parts.join(main, "g").where("root <> main").select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"), F.col("place").alias("pa"))
+    two = parts.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("root").alias("rb"), F.col("place").alias("pb"))
+    # the first shingle that a pair shares has all others of both sets behind it
+    most = F.least("ca", "cb", F.col("na") - F.col("pa") + 1, F.col("nb") - F.col("pb") + 1)
+    return one.join(two, "g").where(F.col("ra") != F.col("rb")).where(_in_reach(most, F.col("na"), F.col("nb"), percent))
 
 
 def _as_longs(b: pa.Array) -> pa.Array:
@@ -265,11 +276,16 @@ def _components_of(docs: DataFrame, words: int, similarity: float, small: int =
     for salt in range(STARS):
         if groups.isEmpty():
             break
-        pairs, rest = _star(groups, salt)
+        pairs, rest = _star(groups, F.xxhash64("rep", F.col("pick"), F.lit(salt)))
         edges = link(pairs)
         groups = stored(_contract(rest, edges), "near-groups")
     if not groups.isEmpty():
-        edges = link(_remaining(groups, sets, percent, small))
+        held = _held(groups, sets)
+        pairs, rest = _most_typical(groups, held)
+        edges = link(pairs)
+        groups = stored(_contract(rest, edges), "near-groups")
+        if not groups.isEmpty():
+            edges = link(_remaining(groups, held, percent, small))
 
     if edges is None:
         classes = classes.withColumn("component_id", F.col("rep"))

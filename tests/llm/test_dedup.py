@@ -114,6 +114,21 @@ def test_near_components(spark, words, small):
     assert got == brute_near(texts, words)
 
 
+def test_near_components_of_many_edits_at_shared_places(spark):
+    """Edits that several copies share are no proof of a link, and groups stay large after the pivots."""
+    rng = random.Random(11)
+    base = prose(rng, 110).split(" ")
+    texts = []
+    for _ in range(110):
+        gone = set(rng.sample(range(0, 110, 7), rng.randrange(9)))
+        w = [x for k, x in enumerate(base) if k not in gone]
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = "edit" + str(rng.randrange(3))
+        texts.append(" ".join(w))
+    got = {tuple(r) for r in minhash.near_components(frame(spark, texts), 4, 0.8, 2).collect()}
+    assert got == brute_near(texts, 4)
+
+
 def test_near_edges(spark):
     docs = frame(spark, ["a b c d e", "a b c d e", "x y z q r", None], [None, 4, 7, None])
     rows = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_components(docs).collect()), key=str)
