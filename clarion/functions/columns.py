@@ -71,8 +71,9 @@ def specimen_tag(name) -> Column:
     return F.concat(F.lit(SPECIMEN_PREFIX), F.lpad(F.conv(h.cast("string"), 10, 36), 6, "0"))
 
 
-def round6(c) -> Column:
-    return F.round(col_(c), 6)
+def half_even(c, digits: int) -> Column:
+    """P10: rounding for display; ties go to the even digit."""
+    return F.bround(col_(c), digits)
 
 
 def safe_div(num, den, zero_value=0.0) -> Column:

@@ -7,44 +7,56 @@
   prefix positions are exploded, every coalition is scored by ONE
   ``model.transform``, and marginal differences are averaged with a groupBy.
 * X6 local surrogate: perturbed neighbours per row, kernel weights, a weighted
-  ridge fit per row from normal-equation sums (the d x d solve per row runs in
-  ``applyInPandas`` on a group of d^2 + d numbers).
+  ridge fit per row from normal-equation sums (d^2 + d numbers a row, solved for
+  a batch of rows at once in ``mapInPandas``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarion.functions.columns import threshold_class
+from clarion.operators.score import label_scores
 
 TOP_K_DEFAULT = 5
 TOP_K_SERVICE = 6
 SUMMARY_NAMES = 2
 
 
-def linear_contributions(df: DataFrame, id_cols: Sequence[str], features: Sequence[str],
-                         coefs: dict[str, float], background: DataFrame) -> DataFrame:
-    """X4(a): long (id..., feature, value, contribution) with
-    contribution = w * (x - mean_background(x)) -- exact for linear models."""
+def contribution_rows(df: DataFrame, id_cols: Sequence[str], features: Sequence[str],
+                      coefs: dict[str, float], background: DataFrame) -> DataFrame:
+    """X4(a): id columns and ``contributions``, one (feature, value, contribution) per feature, with
+    contribution = w * (x - mean_background(x)) -- exact for linear models.  No shuffle of ``df``."""
     means = background.agg(*[F.avg(c).alias(f"_m_{c}") for c in features])
-    j = df.crossJoin(F.broadcast(means))
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
                               (F.lit(float(coefs.get(c, 0.0))) * (F.col(c) - F.col(f"_m_{c}"))).alias("contribution"))
                      for c in features])
-    return j.select(*id_cols, F.inline(rows))
+    return df.crossJoin(F.broadcast(means)).select(*id_cols, rows.alias("contributions"))  # means: one row
 
 
-def top_contributors(contrib: DataFrame, id_cols: Sequence[str], k: int = TOP_K_DEFAULT) -> DataFrame:
-    """The k features with the largest |contribution| per row (ties by
-    feature name).  The window holds one row's features only."""
-    w = Window.partitionBy(*id_cols).orderBy(F.abs("contribution").desc(), "feature")
-    return contrib.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def linear_contributions(rows: DataFrame) -> DataFrame:
+    """X4(a) in long form: (id..., feature, value, contribution)."""
+    return rows.select(*[c for c in rows.columns if c != "contributions"], F.inline("contributions"))
+
+
+def ranked(contributions, k: int) -> Column:
+    """W3 within a row: the k entries with the largest |contribution| (ties by feature name; NULL last)."""
+    x = lambda s: s["contribution"]
+    keyed = F.transform(contributions, lambda s: F.struct(
+        x(s).isNull().alias("none"), (~F.isnan(x(s))).alias("number"), (-F.abs(x(s))).alias("size"), s["feature"].alias("feature"), s.alias("entry")))
+    return F.slice(F.transform(F.array_sort(keyed), lambda s: s["entry"]), 1, k)
+
+
+def top_contributors(rows: DataFrame, k: int = TOP_K_DEFAULT) -> DataFrame:
+    """(id..., feature, value, contribution, rank) of every row's k strongest features, without a shuffle."""
+    ids = [c for c in rows.columns if c != "contributions"]
+    out = rows.select(*ids, F.posexplode(ranked("contributions", k)).alias("_at", "_e"))
+    return out.select(*ids, "_e.*", (F.col("_at") + 1).alias("rank"))
 
 
 def global_importance(contrib: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -55,25 +67,21 @@ def global_importance(contrib: DataFrame, group_cols: Sequence[str] = ()) -> Dat
     return agg.withColumn("rank", F.row_number().over(w))
 
 
-def summary_text(top: DataFrame, id_cols: Sequence[str], predicted_class: str = "predicted_class",
-                 max_names: int = SUMMARY_NAMES) -> DataFrame:
-    """Plain-language sentence from a row's top contributors (in rank order).
+def summary_text(top: Column, predicted_class: Column, max_names: int = SUMMARY_NAMES) -> Column:
+    """Plain-language sentence from a row's top contributors (an array in rank order).
 
     malignant and something pushes up -> "elevated a and b"; benign and
     something pushes down -> "comparatively low ..."; else whichever side
     exists; else "No single feature dominates".  At most two names, '_' -> ' '.
     """
-    lst = top.groupBy(*id_cols).agg(
-        F.first(predicted_class).alias(predicted_class),
-        F.array_sort(F.collect_list(F.struct("rank", "feature", "contribution"))).alias("_t"))
-    up = F.transform(F.filter("_t", lambda s: s["contribution"] > 0), lambda s: s["feature"])
-    down = F.transform(F.filter("_t", lambda s: s["contribution"] < 0), lambda s: s["feature"])
+    up = F.transform(F.filter(top, lambda s: s["contribution"] > 0), lambda s: s["feature"])
+    down = F.transform(F.filter(top, lambda s: s["contribution"] < 0), lambda s: s["feature"])
 
     def names(arr):
         return F.array_join(F.transform(F.slice(arr, 1, max_names), lambda n: F.regexp_replace(n, "_", " ")), " and ")
 
-    cls = F.lower(F.col(predicted_class))
-    text = (F.when((cls == "malignant") & (F.size(up) > 0),
+    cls = F.lower(predicted_class)
+    return (F.when((cls == "malignant") & (F.size(up) > 0),
                    F.concat(F.lit("This prediction is primarily driven by elevated "), names(up), F.lit(" values.")))
             .when((cls == "benign") & (F.size(down) > 0),
                   F.concat(F.lit("This prediction is primarily driven by comparatively low "), names(down),
@@ -82,7 +90,14 @@ def summary_text(top: DataFrame, id_cols: Sequence[str], predicted_class: str =
             .when(F.size(down) > 0, F.concat(F.lit("This prediction is primarily driven by "), names(down),
                                              F.lit(".")))
             .otherwise(F.lit("No single feature dominates this prediction.")))
-    return lst.select(*id_cols, predicted_class, text.alias("summary"))
+
+
+def drill_down(rows: DataFrame, k: int = TOP_K_SERVICE) -> DataFrame:
+    """Everything a service shows for a case: raw probability, class, tier and model source of the
+    row, its k strongest contributors and the sentence.  ``rows`` are ``contribution_rows`` whose id
+    columns include ``score`` (and the provenance columns), so nothing is joined."""
+    out = label_scores(rows.withColumn("contributors", ranked("contributions", k)).drop("contributions"))
+    return out.withColumn("summary", summary_text(F.col("contributors"), F.col("predicted_class")))
 
 
 def attention_narrative(df: DataFrame, concentration: str = "concentration", contrast: str = "glcm_contrast",
@@ -200,29 +215,25 @@ def local_surrogate(model, rows: DataFrame, id_col: str, features: Sequence[str]
     va = VectorAssembler(inputCols=list(features), outputCol=features_col)
     scored = model.transform(va.transform(pert)).withColumn("_y", vector_to_array(prob_col)[1])
     dist = F.sqrt(sum(((1.0 - F.col(f"_z{k}")) ** 2 for k in range(d)), F.lit(0.0)))
-    scored = scored.withColumn("_w", F.exp(-(dist * dist) / (kw * kw)))
+    scored = scored.withColumn("_w", F.sqrt(F.exp(-(dist * dist) / (kw * kw))))
     # weighted normal equations with intercept: X = [1, z_0..z_{d-1}]
     xs = [F.lit(1.0)] + [F.col(f"_z{k}") for k in range(d)]
     sums = [F.sum(F.col("_w") * xs[a] * xs[b]).alias(f"_a{a}_{b}") for a in range(d + 1) for b in range(a, d + 1)]
     sums += [F.sum(F.col("_w") * xs[a] * F.col("_y")).alias(f"_b{a}") for a in range(d + 1)]
     ne = scored.groupBy("_id").agg(*sums)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            A = np.zeros((d + 1, d + 1))
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            A = np.zeros((len(pdf), d + 1, d + 1))
             for a in range(d + 1):
                 for b2 in range(a, d + 1):
-                    A[a, b2] = A[b2, a] = row[f"_a{a}_{b2}"]
-            A[1:, 1:] += ridge * np.eye(d)
-            bvec = np.array([row[f"_b{a}"] for a in range(d + 1)])
-            coef = np.linalg.solve(A, bvec)
-            for k in range(d):
-                out.append((row["_id"], k, float(coef[k + 1])))
-        return pd.DataFrame(out, columns=["_id", "_k", "weight"])
+                    A[:, a, b2] = A[:, b2, a] = pdf[f"_a{a}_{b2}"]
+            A[:, 1:, 1:] += ridge * np.eye(d)
+            coef = np.linalg.solve(A, pdf[[f"_b{a}" for a in range(d + 1)]].to_numpy()[:, :, None])[:, 1:, 0]
+            yield pd.DataFrame({"_id": pdf["_id"].repeat(d).to_numpy(), "_k": np.tile(np.arange(d, dtype=np.int32), len(pdf)), "weight": coef.ravel()})
 
     id_type = rows.schema[id_col].dataType.simpleString()
-    weights = ne.groupBy("_id").applyInPandas(solve, schema=f"_id {id_type}, _k int, weight double")
+    weights = ne.mapInPandas(solve, schema=f"_id {id_type}, _k int, weight double")
     names = F.array(*[F.lit(c) for c in features])
     texts = []
     for k, c in enumerate(features):
@@ -237,7 +248,3 @@ def local_surrogate(model, rows: DataFrame, id_col: str, features: Sequence[str]
     return top.join(bins, "_id").select(F.col("_id").alias(id_col), "rank",
                                         F.element_at(names, F.col("_k") + 1).alias("feature_name"),
                                         F.element_at("_txt", F.col("_k") + 1).alias("feature"), "weight")
-
-
-def predicted_class_col(score: str = "score"):
-    return threshold_class(score)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clarion.functions.columns import half_even
 from clarion.functions.stats import exact_percentiles, unpivot_values
 
 
@@ -51,7 +52,7 @@ def class_balance(df: DataFrame, label: str = "label", digits: int | None = None
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy())
     if digits is not None:
-        share = F.round(share, digits)
+        share = half_even(share, digits)
     return counts.withColumn("share", share)
 
 

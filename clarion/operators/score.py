@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clarion.functions.columns import (
-    DEFAULT_THRESHOLD, risk_tier, threshold_class, threshold_label)
+    DEFAULT_THRESHOLD, half_even, risk_tier, threshold_class, threshold_label)
 
 
 def label_scores(df: DataFrame, score: str = "score", threshold: float = DEFAULT_THRESHOLD,
@@ -19,7 +19,7 @@ def label_scores(df: DataFrame, score: str = "score", threshold: float = DEFAULT
     return df.select("*",
                      threshold_class(score, threshold, strict).alias("predicted_class"),
                      threshold_label(score, threshold, strict).alias("pred"),
-                     F.round(F.col(score), digits).alias("probability_malignant"),
+                     half_even(score, digits).alias("probability_malignant"),
                      risk_tier(score).alias("risk_tier"))
 
 
@@ -48,5 +48,5 @@ def scored_report(df: DataFrame, input_source: str, ts_col: str | None = None) -
     ts = F.col(ts_col) if ts_col else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     warn = F.when(F.col("is_demo"), F.lit("Demo model output - not clinically meaningful"))
     return df.select(ts.alias("timestamp"), F.lit(input_source).alias("input_source"),
-                     "predicted_class", F.round("score", 4).alias("probability_malignant"),
+                     "predicted_class", half_even("score", 4).alias("probability_malignant"),
                      warn.alias("warning"))

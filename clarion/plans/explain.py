@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clarion.functions.columns import specimen_tag, squash
@@ -29,20 +32,18 @@ def _scaled_split(spark, d):
     return fe.apply_scaler(s, stats, b.LINE_FEATURES)
 
 
-def contributions(spark, d):
+def contribution_rows(spark, d):
+    """row_id, model, score and the contributions of every test row, for both linear scorers."""
     z = _scaled_split(spark, d)
     train, test = z.where(F.col("split") == "train"), z.where(F.col("split") == "test")
-    parts = []
-    for name, (b0, w) in tb.SCALED_SCORERS.items():
-        feats = list(w)
-        c = ex.linear_contributions(test.withColumn("model", F.lit(name)), ["row_id", "model"], feats, w, train)
-        score = squash(tb._zscore_logit(name))
-        c = c.join(test.select("row_id", score.alias("score")), "row_id")
-        parts.append(c)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [ex.contribution_rows(test.select("*", F.lit(name).alias("model"), squash(tb._zscore_logit(name)).alias("score")),
+                                  ["row_id", "model", "score"], list(w), w, train)
+             for name, (_, w) in tb.SCALED_SCORERS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def contributions(spark, d):
+    return ex.linear_contributions(contribution_rows(spark, d).drop("score"))
 
 
 def _contrib_sql_ctes() -> list[str]:
@@ -62,7 +63,7 @@ def _contrib_sql_ctes() -> list[str]:
 @REG.add("linear_contributions", with_ctes(LINE_FEATURES_CTE, *_contrib_sql_ctes(), body=f"""
 SELECT row_id, model, feature, {r6('value')} AS value, {r6('contribution')} AS contribution FROM contrib"""))
 def linear_contributions(spark, d):
-    return finish(contributions(spark, d).drop("score"))
+    return finish(contributions(spark, d))
 
 
 @REG.add("top_contributors", with_ctes(LINE_FEATURES_CTE, *_contrib_sql_ctes(), """
@@ -71,8 +72,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY row_id, model ORDER BY abs(cont
 SELECT row_id, model, CAST(rank AS INTEGER) AS rank, feature, {r6('value')} AS value,
        {r6('contribution')} AS contribution FROM rk WHERE rank <= {ex.TOP_K_DEFAULT}"""))
 def top_contributors(spark, d):
-    t = ex.top_contributors(contributions(spark, d).drop("score"), ["row_id", "model"], ex.TOP_K_DEFAULT)
-    return finish(t.withColumn("rank", F.col("rank").cast("int")))
+    return finish(ex.top_contributors(contribution_rows(spark, d).drop("score"), ex.TOP_K_DEFAULT))
 
 
 @REG.add("global_importance", with_ctes(LINE_FEATURES_CTE, *_contrib_sql_ctes(), """
@@ -105,10 +105,23 @@ SELECT row_id, model, predicted_class,
        ELSE 'No single feature dominates this prediction.' END AS summary
 FROM lst"""))
 def summary_text(spark, d):
-    c = contributions(spark, d)
-    c = c.withColumn("predicted_class", F.when(F.col("score") >= 0.5, "Malignant").otherwise("Benign"))
-    top = ex.top_contributors(c, ["row_id", "model"], ex.TOP_K_SERVICE)
-    return ex.summary_text(top, ["row_id", "model"])
+    return ex.drill_down(contribution_rows(spark, d)).select("row_id", "model", "predicted_class", "summary")
+
+
+@REG.add("drill_down", with_ctes(LINE_FEATURES_CTE, *_contrib_sql_ctes(), """
+rk AS (SELECT *, row_number() OVER (PARTITION BY row_id, model ORDER BY abs(contribution) DESC, feature) AS rank
+       FROM contrib)""", body=f"""
+SELECT row_id, model, {r6('any_value(score)')} AS score,
+       CASE WHEN any_value(score) >= 0.5 THEN 'Malignant' ELSE 'Benign' END AS predicted_class,
+       CASE WHEN any_value(score) < 0.35 THEN 'Low' WHEN any_value(score) < 0.65 THEN 'Moderate' ELSE 'High' END AS risk_tier,
+       string_agg(feature, ',' ORDER BY rank) AS contributors, {r6('sum(contribution)')} AS contribution_sum
+FROM rk WHERE rank <= {ex.TOP_K_SERVICE} GROUP BY row_id, model"""))
+def drill_down(spark, d):
+    """X3 over the whole test split."""
+    x = ex.drill_down(contribution_rows(spark, d))
+    total = F.aggregate("contributors", F.lit(0.0), lambda acc, s: acc + s["contribution"])
+    return finish(x.select("row_id", "model", "score", "predicted_class", "risk_tier",
+                           F.array_join("contributors.feature", ",").alias("contributors"), total.alias("contribution_sum")))
 
 
 _B36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
