@@ -30,6 +30,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clarion.llm.common import fresh
+
 MARK = "▁"
 TABLE_CHUNKS = 100_000
 #: Characters of text whose chunks are held at a time.
@@ -76,9 +78,11 @@ class PieceCoder:
         return [np.fromiter(chain.from_iterable(map(get, c)), dtype=np.int32) for c in cut]
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts (null: empty) in parts, so that few are Python strings at a time."""
     part, chars = [], 0
-    for t in texts:
+    for x in texts:
+        t = x.as_py() or ""
         part.append(t)
         chars += len(t)
         if chars >= SLICE_CHARS:
@@ -101,7 +105,7 @@ def encode_column(text: Column, model: bytes) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(model)
         for batch in batches:
-            ids = [x for part in _slices([t or "" for t in batch.to_pylist()]) for x in coder.encode(part)]
+            ids = [x for part in _slices(batch) for x in coder.encode(part)]
             ends = np.cumsum([0, *map(len, ids)])
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
@@ -133,11 +137,34 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded")
     return df.withColumn(text, decode_column(F.col(ids), model))
 
 
+def round_trip(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the ids of column ``text`` and the text that the library decodes from them.
+
+    Both are made by one Python operator, so a task has one worker and its ids
+    do not travel back for decoding.
+    """
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = _coder(model)
+        for batch in batches:
+            flat, counts, texts = [np.empty(0, np.int32)], [0], []
+            for part in _slices(batch):
+                coded = coder.encode(part)
+                flat += coded
+                counts += map(len, coded)
+                texts.append(pa.array([coder.sp.decode(x.tolist()) if len(x) else "" for x in coded], pa.string()))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+            yield pa.StructArray.from_arrays([lists, pa.concat_arrays(texts) if texts else pa.array([], pa.string())], ["ids", "decoded"])
+
+    coded = fresh(df, "coded")
+    out = df.withColumn(coded, both(F.col(text)))
+    return out.withColumn(ids, F.col(f"{coded}.ids")).withColumn(decoded, F.col(f"{coded}.decoded")).drop(coded)
+
+
 def digest(df: DataFrame, model: bytes) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, from a real round trip."""
-    coded = encode(df.select("doc_id", "text"), model)
-    both = decode(coded, model)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+    return round_trip(df.select("doc_id", "text"), model).select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 

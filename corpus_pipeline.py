@@ -48,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = pieces.read_model(public_tokenizers.path(MODEL_FILE))
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model), model)
+    both = pieces.round_trip(docs.select("doc_id", "text"), model)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

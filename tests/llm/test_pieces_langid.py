@@ -6,6 +6,7 @@ import random
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from clarion.llm import langid, pieces
 
@@ -51,6 +52,10 @@ def test_digests_and_round_trip(spark, model):
         ids = sp.encode(t or "")
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == pieces.digest_one(ids, sp.decode(ids) if ids else "")
     assert pieces.digest(docs.limit(0), model).count() == 0
+    apart = pieces.decode(pieces.encode(docs, model), model).select("doc_id", "ids", "decoded")
+    together = pieces.round_trip(docs.withColumn("_coded", F.lit(1)), model)
+    assert set(together.columns) == {*docs.columns, "_coded", "ids", "decoded"} and len(set(together.columns)) == len(together.columns)
+    assert sorted(map(str, apart.collect())) == sorted(map(str, together.select("doc_id", "ids", "decoded").collect()))
 
 
 def test_language_held_out_accuracy_and_edges(spark):
