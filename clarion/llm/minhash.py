@@ -218,6 +218,12 @@ def _most_typical(groups: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFr
     return pairs, rest.drop("typical")
 
 
+def _largest(groups: DataFrame) -> DataFrame:
+    """Each group's component with the most members, as ``main``."""
+    sizes = groups.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k"))
+    return sizes.groupBy("g").agg(F.max(F.struct("k", "root")).alias("main")).select("g", F.col("main.root").alias("main"))
+
+
 def _remaining(groups: DataFrame, held: DataFrame, percent: int, small: int) -> DataFrame:
     """The pairs of members that pivots have not settled and that are in each other's reach."""
     left = held.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
@@ -228,15 +234,19 @@ def _remaining(groups: DataFrame, held: DataFrame, percent: int, small: int) ->
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
     narrow = members.join(sizes.where(F.col("members") <= small), "g", "left_semi").select("g", "rep", "n", "c", "root", F.lit(1).alias("place"))
     # large groups by prefix shingle, across groups; unshared shingles come first in the order and take their places
-    large = members.join(sizes.where(F.col("members") > small), "g", "left_semi").select("rep", "n", "c", "root").distinct()
+    many = members.join(sizes.where(F.col("members") > small), "g", "left_semi")
+    large = many.select("rep", "n", "c", "root").distinct()
     unshared = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("rep"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "s")) + unshared
     head = held.select("rep", "s", "n", place.alias("place")).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1)
-    head = head.drop("n").join(large, "rep")
+    head = stored(head.drop("n"), "near-prefixes")
+    # one of any two components in a group is not its largest, so only prefix shingles of members outside the largest count
+    outside = many.join(_largest(many), "g").where("root <> main").select("rep").distinct()
+    wanted = head.join(outside, "rep", "left_semi").select("s").distinct()
+    head = head.join(wanted, "s", "left_semi").join(large, "rep")
     split = head.select(F.xxhash64(F.lit("prefix"), "s").alias("g"), "rep", "n", "c", "root", "place")
     parts = stored(narrow.unionByName(_several(split)), "near-parts")
-    main = parts.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("main")).select("g", F.col("main.root").alias("main"))
-    one = parts.join(main, "g").where("root <> main").select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"), F.col("place").alias("pa"))
+    one = parts.join(_largest(parts), "g").where("root <> main").select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"), F.col("place").alias("pa"))
     two = parts.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("root").alias("rb"), F.col("place").alias("pb"))
     # the first shingle that a pair shares has all others of both sets behind it
     most = F.least("ca", "cb", F.col("na") - F.col("pa") + 1, F.col("nb") - F.col("pb") + 1)
