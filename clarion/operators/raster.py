@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ SOBEL_X = [(-1, -1, -1), (0, -1, -2), (1, -1, -1), (-1, 1, 1), (0, 1, 2), (1, 1,
 SOBEL_Y = [(-1, -1, -1), (-1, 0, -2), (-1, 1, -1), (1, -1, 1), (1, 0, 2), (1, 1, 1)]
 GLCM_DISTANCES = (1, 3)
 GLCM_ANGLES_DEG = (0, 45, 90, 135)
+TAN_22_Q15 = 13573  # tan(22.5 degrees) in 15-bit fixed point
 HIST_BINS = 32
 EPS_DICE = 1e-6
 
@@ -245,9 +248,49 @@ def glcm_features(px: DataFrame) -> DataFrame:
     return per.groupBy("image_id").agg(*[F.avg(p).alias(f"glcm_{p}") for p in props])
 
 
+def _edges(grid: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Edge pixels of one image: 3x3 gradients with replicated borders, L1 magnitude, thinning
+    across the gradient, then weak pixels (> low) that touch strong ones (> high) in a chain."""
+    p = np.pad(grid, 1, mode="edge")
+    down, right = p[:-2] + 2 * p[1:-1] + p[2:], p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
+    gx, gy = down[:, 2:] - down[:, :-2], right[2:] - right[:-2]
+    mag = np.abs(gx) + np.abs(gy)
+    around = np.pad(mag, 1)
+    at = lambda dr, dc: around[1 + dr: 1 + dr + mag.shape[0], 1 + dc: 1 + dc + mag.shape[1]]
+    ax, ay = np.abs(gx), np.abs(gy) << 15
+    flat = ay < ax * TAN_22_Q15
+    steep = ay > ax * (TAN_22_Q15 + (1 << 16))
+    falling = (gx < 0) != (gy < 0)
+    slant = np.where(falling, (mag > at(-1, 1)) & (mag > at(1, -1)), (mag > at(-1, -1)) & (mag > at(1, 1)))
+    crest = np.where(flat, (mag > at(0, -1)) & (mag >= at(0, 1)), np.where(steep, (mag > at(-1, 0)) & (mag >= at(1, 0)), slant))
+    weak = crest & (mag > low)
+    out = weak & (mag > high)
+    while True:
+        near = np.pad(out, 1)
+        near = near[:-2] | near[1:-1] | near[2:]
+        grown = weak & (near[:, :-2] | near[:, 1:-1] | near[:, 2:])
+        if (grown == out).all():
+            return out
+        out = grown
+
+
+def edge_density(px: DataFrame, low: float = 100, high: float = 200) -> DataFrame:
+    """Share of edge pixels per image: (image_id, canny_edge_density).
+
+    Following weak edges from pixel to pixel is a loop over one image, so an image (bounded by its
+    resolution) is one group; images are spread by the shuffle."""
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((pdf["r"].max() + 1, pdf["c"].max() + 1), np.int64)
+        grid[pdf["r"], pdf["c"]] = pdf["level"]
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[:1], "canny_edge_density": _edges(grid, low, high).mean()})
+
+    kind = px.schema["image_id"].dataType.simpleString()
+    return px.select("image_id", "r", "c", "level").groupBy("image_id").applyInPandas(share, f"image_id {kind}, canny_edge_density double")
+
+
 def texture_row(px: DataFrame) -> DataFrame:
-    """GLCM properties and Sobel statistics side by side, keyed by image."""
-    return glcm_features(px).join(sobel_stats(px), "image_id")
+    """The nine texture values, keyed by image: GLCM properties, edge density, Sobel statistics."""
+    return glcm_features(px).join(edge_density(px), "image_id").join(sobel_stats(px), "image_id")
 
 
 def mask_coverage(heat: DataFrame, value: str = "heat", threshold: float = 0.5) -> DataFrame:

@@ -158,12 +158,15 @@ def _loss_frame(spark, d):
                      F.col("mask").cast("double").alias("target"))
 
 
-@REG.add("dice_bce", with_ctes(HEAT_MASK_CTE, f"""
+LOSS_CTES = [f"""
 lf AS (SELECT image_id, has_mask, {_f(LOGIT_GAIN)} * (heat - 0.5) AS x, CAST(mask AS DOUBLE) AS t FROM heat_mask)""", """
 per AS (SELECT image_id, sum((1.0 / (1.0 + exp(-x))) * t) AS pt, sum(1.0 / (1.0 + exp(-x))) AS p, sum(t) AS tt,
                avg(greatest(x, 0.0) - x * t + ln(1 + exp(-abs(x)))) AS bce
         FROM lf WHERE has_mask GROUP BY image_id)""", """
-agg AS (SELECT count(*) AS n_masked, avg(1.0 - (2.0 * pt + 1e-6) / (p + tt + 1e-6)) AS dice, avg(bce) AS bce FROM per)""",
+agg AS (SELECT count(*) AS n_masked, avg(1.0 - (2.0 * pt + 1e-6) / (p + tt + 1e-6)) AS dice, avg(bce) AS bce FROM per)"""]
+
+
+@REG.add("dice_bce", with_ctes(HEAT_MASK_CTE, *LOSS_CTES,
     body=f"""SELECT n_masked, {r6('coalesce(dice, 0.0)')} AS dice, {r6('coalesce(bce, 0.0)')} AS bce,
        {r6('coalesce(dice, 0.0) + coalesce(bce, 0.0)')} AS loss FROM agg"""))
 def dice_bce(spark, d):
@@ -198,14 +201,44 @@ def mask_binarize(spark, d):
     return ra.binarize_mask(b.grids(spark, d)).select("image_id", "r", "c", "mask")
 
 
-@REG.add("texture_row")
+# neighbours across the gradient: beside it, above and below it, or on the diagonal that it points along
+_EDGE_SQL = with_ctes("RECURSIVE " + GRIDS_CTE, *_neighbours_sql(_sobel_values(), "dr, dc, wx, wy", "replicate"), """
+gr AS (SELECT image_id, r, c, CAST(sum(wx * v) AS BIGINT) AS gx, CAST(sum(wy * v) AS BIGINT) AS gy FROM nbv GROUP BY ALL)""", """
+mg AS (SELECT *, abs(gx) + abs(gy) AS m FROM gr)""", f"""
+way AS (SELECT *, CASE WHEN abs(gy) * 32768 < abs(gx) * {ra.TAN_22_Q15} THEN 'h'
+                       WHEN abs(gy) * 32768 > abs(gx) * {ra.TAN_22_Q15 + 65536} THEN 'v'
+                       WHEN (gx < 0) <> (gy < 0) THEN 'f' ELSE 'd' END AS k FROM mg)""", """
+step AS (SELECT *, CASE k WHEN 'h' THEN 0 ELSE 1 END AS sr, CASE k WHEN 'v' THEN 0 WHEN 'f' THEN -1 ELSE 1 END AS sc FROM way)""", """
+weak AS (SELECT s.image_id, s.r, s.c, s.m FROM step s
+         LEFT JOIN mg a ON a.image_id = s.image_id AND a.r = s.r - s.sr AND a.c = s.c - s.sc
+         LEFT JOIN mg z ON z.image_id = s.image_id AND z.r = s.r + s.sr AND z.c = s.c + s.sc
+         WHERE s.m > 100 AND s.m > coalesce(a.m, 0) AND (s.m > coalesce(z.m, 0) OR k IN ('h', 'v') AND s.m = coalesce(z.m, 0)))""", """
+edge AS (SELECT image_id, r, c FROM weak WHERE m > 200
+         UNION SELECT w.image_id, w.r, w.c FROM edge e JOIN weak w
+               ON w.image_id = e.image_id AND abs(w.r - e.r) <= 1 AND abs(w.c - e.c) <= 1)""", body=f"""
+SELECT d.image_id, {r6('count(e.image_id) / any_value(d.h * d.w)::DOUBLE')} AS canny_edge_density
+FROM dims d LEFT JOIN edge e USING (image_id) GROUP BY d.image_id""")
+
+
+@REG.add("edge_density", _EDGE_SQL)
+def edge_density(spark, d):
+    """R9 on every grid."""
+    return finish(ra.edge_density(b.grids(spark, d)))
+
+
+@REG.add("texture_row", f"""
+SELECT * FROM ({REG.oracles["glcm_features"]}) JOIN ({_EDGE_SQL}) USING (image_id) JOIN ({REG.oracles["sobel_stats"]}) USING (image_id)""")
 def texture_row(spark, d):
-    """GLCM properties and Sobel statistics per image (each part has its
-    own oracle: glcm_features, sobel_stats)."""
+    """The nine texture values per image."""
     return finish(ra.texture_row(b.grids(spark, d)))
 
 
-@REG.add("joint_loss")
+@REG.add("joint_loss", with_ctes(HEAT_MASK_CTE, *LOSS_CTES, f"""
+ci AS (SELECT image_id, {_f(LOGIT_GAIN)} * (avg(heat) - 0.5) AS x FROM heat_mask GROUP BY image_id)""", """
+cl AS (SELECT avg(greatest(x, 0.0) - x * (true_label % 2) + ln(1 + exp(-abs(x)))) AS classification
+       FROM ci JOIN vectors ON vec_id = image_id)""", body=f"""
+SELECT {r6('classification + 0.5 * (coalesce(dice, 0.0) + coalesce(bce, 0.0))')} AS total, {r6('classification')} AS classification,
+       {r6('coalesce(dice, 0.0) + coalesce(bce, 0.0)')} AS lesion_guidance FROM cl, agg"""))
 def joint_loss(spark, d):
     """Class BCE (image logit = 8 * (mean heat - 0.5), label = label of the
     embedding is odd) + 0.5 * Dice/BCE lesion loss."""

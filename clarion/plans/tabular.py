@@ -415,5 +415,5 @@ def importance_ranking(spark, d):
     """random-forest impurity importance of the pruned line features
     (training-dependent: rows-only)."""
     train = split_lines(spark, d).where(F.col("split") == "train")
-    kept = ["quantity", "ext", "discount", "tax", "unit"]
-    return finish(fe.importance_ranking(train, kept, "label", num_trees=20), 6)
+    kept = fe.kept_columns(fe.correlation_prune(train, b.LINE_FEATURES, fe.PRUNE_THRESHOLD))
+    return finish(fe.importance_ranking(train, kept, "label"), 6)

@@ -37,10 +37,20 @@ def test_texture_values_finite(spark):
     rng = np.random.default_rng(0)
     px = _grid(spark, [int(x) for x in rng.integers(0, 255, 64)], 8, 8)
     row = ra.texture_row(px).first().asDict()
-    assert all(np.isfinite(v) for k, v in row.items() if k != "image_id")
+    assert len(row) == 10 and all(np.isfinite(v) for k, v in row.items() if k != "image_id")
     assert 0 < row["glcm_ASM"] <= 1 and 0 < row["glcm_energy"] <= 1
 
 
+def test_edge_density_of_steps(spark):
+    step = lambda top, low: [(low if i // 8 > 3 else top) if i % 8 > 3 else 0 for i in range(64)]
+    px = _grid(spark, step(255, 255), 8, 8).unionByName(_grid(spark, step(30, 30), 8, 8, 2)).unionByName(_grid(spark, [7] * 64, 8, 8, 3))
+    share = {r["image_id"]: r["canny_edge_density"] for r in ra.edge_density(px).collect()}
+    assert share == {1: 8 / 64, 2: 0.0, 3: 0.0}  # one column of the strong step; a weak step alone is none
+    mixed = ra.edge_density(_grid(spark, step(255, 40), 8, 8)).first()["canny_edge_density"]
+    assert mixed >= 7 / 64  # the weak half hangs on the strong one
+    assert ra.edge_density(_grid(spark, [], 1, 1)).count() == 0
+
+
 def test_sobel_constant_image_is_zero(spark):
     px = _grid(spark, [100] * 16, 4, 4)
     r = ra.sobel_stats(px).first()
