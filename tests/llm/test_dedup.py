@@ -172,6 +172,25 @@ def test_passages_are_found_and_clean_documents_left(spark):
     assert passages.repeated(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(spark):
+    rng = random.Random(21)
+    passage = prose(rng, 60).split(" ")
+    part = lambda a, b: " ".join([prose(rng, 40), *passage[a: b], prose(rng, 40)])
+    texts = [part(0, 32), part(28, 60), part(0, 49), part(11, 60), part(15, 45), prose(rng, 90), part(0, 60), part(0, 60)]
+    got = {(r.doc_id, r.ref_id, r.start, r.end, r.ref_start, r.ref_end) for r in passages.repeated(frame(spark, texts)).collect()}
+    assert (7, 6, 40, 100, 40, 100) in got
+
+
+def test_keys_of_runs_meet_wherever_they_stand():
+    words = passages.word_hashes(prose(random.Random(3), 200))
+    for k in (1, 4, 5, 50):
+        h = passages.runs(words, k)
+        assert len(h) == 201 - k and (passages.runs(words[60:140], k) == h[60: 141 - k]).all()
+    assert passages.segments(np.array([3, 4, 40]), np.array([13, 14, 50]), np.array([50, 50, 5])) == [(3, 13, 51)]
+    keys, at, n = passages.contexts(words)
+    assert len(keys) == len(at) == len(n) > 151 and (at + n <= 200).all()
+
+
 def test_fenwick_chaining_is_the_quadratic_optimum():
     rng = random.Random(2)
     for _ in range(60):
