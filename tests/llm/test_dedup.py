@@ -181,6 +181,48 @@ def test_passages_whose_parts_stand_in_earlier_documents(spark):
     assert (7, 6, 40, 100, 40, 100) in got
 
 
+def test_edited_passages_whose_halves_stand_in_earlier_documents(spark):
+    rng = random.Random(22)
+    texts, pairs = [], []
+    for _ in range(25):
+        passage = prose(rng, 60).split(" ")
+        edited = list(passage)
+        edited[12] = edited[40] = "changed"
+        for cut in (passage[:30], passage[30:], passage, edited):
+            texts.append(" ".join([prose(rng, 40), *cut, prose(rng, 40)]))
+        pairs.append((len(texts) - 1, len(texts) - 2))
+    got = {(r.doc_id, r.ref_id) for r in passages.repeated(frame(spark, texts)).collect()}
+    assert got == set(pairs)
+
+
+def longest_alike(same, least=50, similarity=0.8):
+    """The longest stretch between two equal words that is at least 80 % equal, by trying all."""
+    return max((j - i for i in range(len(same)) for j in range(i + least, len(same) + 1) if same[i] and same[j - 1] and sum(same[i:j]) >= similarity * (j - i)), default=0)
+
+
+def test_edited_passages_against_trying_all_stretches(spark):
+    rng = random.Random(23)
+    texts, pairs = [], []
+    for trial in range(120):
+        passage = prose(rng, 60).split(" ")
+        every, rate = (5, 6, 7, 8)[trial % 4], (0.1, 0.15)[trial % 2]
+        same = [k % every != every - 1 for k in range(60)] if trial < 60 else [rng.random() >= rate for _ in range(60)]
+        for cut in (passage, [w if s else "changed" for w, s in zip(passage, same)]):
+            texts.append(" ".join([prose(rng, 20), *cut, prose(rng, 20)]))
+        if longest_alike(same) > 0:
+            pairs.append((len(texts) - 1, len(texts) - 2))
+    got = {(r.doc_id, r.ref_id) for r in passages.repeated(frame(spark, texts)).collect()}
+    assert len(pairs) > 90 and got == set(pairs)
+
+
+def test_stretches_are_cut_out_of_a_chain_with_a_wide_gap():
+    rng = random.Random(24)
+    one, two, a, b = (passages.word_hashes(prose(rng, n)) for n in (55, 60, 38, 38))
+    x, y = np.r_[one, a, two], np.r_[one, b, two]
+    found = passages.stretches(x, y, passages.aligned(x, y, [(0, 0, 55), (93, 93, 60)]), 50, 0.8)
+    assert sorted(found) == [(0, 55, 0, 55, 1.0), (93, 153, 93, 153, 1.0)]
+
+
 def test_keys_of_runs_meet_wherever_they_stand():
     words = passages.word_hashes(prose(random.Random(3), 200))
     for k in (1, 4, 5, 50):
