@@ -10,10 +10,11 @@ predicted family stands if its calibrated probability is at least
 ``LEAST_PROBABILITY`` and a template of the family confirms it: of the word
 pairs of the shorter one, ``LEAST_SHARED`` are shared.
 
-The vocabulary consists of the templates' n-grams with at least one word that
-is rare in the sample.  A paragraph without such a word has no features at all,
-is scored by the intercepts alone, and is unknown; so only the others are
-turned into vectors, without changing any result.
+The vocabulary consists of all word pairs of the templates, however common their
+words are, and of the templates' words that are rare in the sample.  A paragraph
+with none of them has no features at all, is scored by the intercepts alone, and
+is unknown; so only the others are turned into vectors, without changing any
+result.
 
 Null and empty texts have no paragraphs; every document gets a row, and rows
 that repeat a doc_id the same one (paragraphs of all of them together).  With
@@ -150,21 +151,23 @@ def resemblance(pairs: Column, template: Column) -> Column:
 
 
 class LicenceModel:
-    """Vocabulary, anchor words, classifier and temperature."""
+    """Vocabulary, the words in it (alone or in pairs), classifier and temperature."""
 
     def __init__(self, vocabulary: list[str], anchors: list[str], classifier: LogisticRegressionModel, temperature: float):
         self.anchors, self.classifier, self.temperature = anchors, classifier, temperature
         self.vocabulary = vocabulary
 
-    def counts(self, rows: DataFrame) -> DataFrame:
-        grams = F.array_distinct(F.concat("words", pairs_of(F.col("words"))))
+    def counts(self, rows: DataFrame, featured: bool = False) -> DataFrame:
+        """``rows`` (``featured``: those with a gram of the vocabulary) plus their features."""
+        grams = once(rows, "_grams", F.array_distinct(F.concat("words", pairs_of(F.col("words")))))
+        if featured:
+            grams = grams.where(F.arrays_overlap("_grams", F.lit(self.vocabulary)))
         model = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="_grams", outputCol="features", binary=True)
-        return model.transform(rows.withColumn("_grams", grams)).drop("_grams")
+        return model.transform(grams).drop("_grams")
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with words) plus the likeliest class and its calibrated probability."""
-        known = rows.where(F.arrays_overlap("words", F.lit(self.anchors)))
-        raw = once(self.classifier.transform(self.counts(known)), "_raw", vector_to_array("rawPrediction"))
+        raw = once(self.classifier.transform(self.counts(rows, featured=True)), "_raw", vector_to_array("rawPrediction"))
         named = with_best(raw.select(*rows.columns, "_raw"))
         return named.select(*rows.columns, F.element_at(F.lit(FAMILIES), (1 - F.col("_best.i")).cast("int")).alias("family"),
                             F.exp(-excess(self.temperature)).alias("probability"))
@@ -195,8 +198,8 @@ def fit(docs: DataFrame) -> LicenceModel:
     n = max(1, unknown.count())
     often = {r.w for r in unknown.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().where(F.col("count") > max(1, COMMON * n)).orderBy(F.desc("count")).limit(50_000).select("w").collect()}
     grams = templates.select(F.explode(F.concat("words", "pairs")).alias("g")).distinct()
-    vocabulary = sorted(r.g for r in grams.collect() if any(w not in often for w in r.g.split(" ")))
-    anchors = sorted({w for g in vocabulary for w in g.split(" ")} - often)
+    vocabulary = sorted(r.g for r in grams.collect() if " " in r.g or r.g not in often)
+    anchors = sorted({w for g in vocabulary for w in g.split(" ")})
     model = LicenceModel(vocabulary, anchors, None, 1.0)
     rows = _windows(templates).unionByName(unknown.withColumn("family", F.lit(UNKNOWN)))
     label = F.array_position(F.lit(FAMILIES), F.col("family")) - 1

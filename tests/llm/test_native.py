@@ -52,6 +52,22 @@ def test_paragraphs_without_anchor_words_have_no_features(spark, scanned):
     assert grams.where(F.col("g").isin(model.vocabulary)).count() == 0
 
 
+def test_notices_of_everyday_words_are_found(spark):
+    """Their words stand in many lines, singly and in other orders."""
+    rng = random.Random(4)
+    common = ["all", "rights", "reserved", "released", "under", "the", "license", "of", "a", "public", "and", "was", "to", "mit", "prior", "written", "permission"]
+    other = ["river", "tree", "walked", "house", "green", "evening", "table", "letter", "north", "sang"]
+    lines = [" ".join(rng.choice(common if rng.random() < 0.3 else other) for _ in range(rng.randrange(8, 30))) for _ in range(1_500)]
+    notices = {2_001: ("All rights reserved.", "proprietary"), 2_002: ("Released under the MIT License.", "MIT"),
+               2_003: ("No part of this publication may be reproduced without the prior written permission of the publisher.", "proprietary")}
+    rows = list(enumerate(lines)) + [(i, t) for i, (t, _) in notices.items()] + [(3_000 + i, lines[i] + "\nAll rights reserved.") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.family for r in licences.by_document(docs, licences.fit(docs)).collect()}
+    assert {i: got[i] for i in notices} == {i: f for i, (_, f) in notices.items()}
+    assert all(got[3_000 + i] == "proprietary" for i in range(50))
+    assert sum(got[i] is not None for i in range(1_500)) <= 5
+
+
 # reputation
 
 def test_rules_hosts_and_paths(spark):
