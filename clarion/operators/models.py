@@ -10,8 +10,10 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier)
@@ -134,18 +136,22 @@ def cross_validate(name: str, data: DataFrame, fold_col: str, candidates: list[d
                    parallelism: int = 4, seed: int = SEED):
     """M6/M7: k-fold search with a fold column (stratified, T3); every
     candidate is a separate estimator, so each gets its own parameters.
+    ``parallelism`` fits run at a time.
     Returns (best_model refit on all rows, best params, mean recall, std recall)."""
     n = data.count()
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
     ev = recall_evaluator()
+
+    def recall(job):
+        params, f = job
+        m = make_estimator(name, params, n, n_features, seed).fit(data.where(F.col(fold_col) != f))
+        return ev.evaluate(m.transform(data.where(F.col(fold_col) == f)))
+
+    with ThreadPool(parallelism) as pool:
+        found = pool.map(inheritable_thread_target(data.sparkSession)(recall), list(itertools.product(candidates, folds)), chunksize=1)
     best = None
-    for params in candidates:
-        scores = []
-        for f in folds:
-            tr = data.where(F.col(fold_col) != f)
-            va = data.where(F.col(fold_col) == f)
-            m = make_estimator(name, params, n, n_features, seed).fit(tr)
-            scores.append(ev.evaluate(m.transform(va)))
+    for i, params in enumerate(candidates):
+        scores = found[i * len(folds): (i + 1) * len(folds)]
         mean, std = float(np.mean(scores)), float(np.std(scores))
         if best is None or mean > best[1]:
             best = (params, mean, std)

@@ -22,15 +22,6 @@ from clarion.sources import bindings as b
 
 REG = Registry()
 SEED = 42
-# Registered-query search spaces: a declared subset of the reference grids so
-# the benchmark stays bounded (the operators accept the full ``mo.GRIDS``).
-QUICK_FOLDS = 3
-QUICK = {
-    "logistic_regression": [{"C": c, "max_iter": 30} for c in (0.1, 10.0)],
-    "random_forest": [{"n_estimators": 20, "max_depth": 5, "min_samples_leaf": 1}],
-    "gradient_boosting": [{"n_estimators": 5, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0}],
-    "mlp": [{"hidden_layer_sizes": [8], "max_iter": 15}],
-}
 
 
 def scaled_docs(spark, d):
@@ -73,7 +64,7 @@ def resampling_effect(spark, d):
     res = mo.vector_column(sm, "v").select("features", F.col("label").cast("double").alias("label")).cache()
     rows = []
     for run, tr in (("baseline_no_smote", base), ("with_smote", res)):
-        p = _fit_eval("logistic_regression", {"C": 1.0, "max_iter": 30}, tr, test)
+        p = _fit_eval("logistic_regression", {"C": 1.0}, tr, test)
         rows.append(p.select(F.lit(run).alias("model"), "label", "score", threshold_label("score").alias("pred")))
     long_df = rows[0].unionByName(rows[1])
     return finish(ev.classification_table(long_df, ["model"], "label", "pred", "score"), 4)
@@ -81,20 +72,20 @@ def resampling_effect(spark, d):
 
 @REG.add("ensemble_comparison")
 def ensemble_comparison(spark, d):
-    """M1-M9: per model a fold-column search on recall of class 1 (stratified
-    folds, T3), refit on all training rows; top 3 by mean CV recall form the
-    soft-voting and stacking ensembles; one grouped evaluation of all models
-    on the held-out rows."""
+    """M1-M9: per model of ``mo.GRIDS`` a fold-column search of its candidates on
+    recall of class 1 (stratified folds, T3), refit on all training rows; top 3
+    by mean CV recall form the soft-voting and stacking ensembles; one grouped
+    evaluation of all models on the held-out rows."""
     z = scaled_docs(spark, d)
-    z = sp.stratified_folds(z, "label", "row_id", QUICK_FOLDS, SEED).cache()
+    z = sp.stratified_folds(z, "label", "row_id", mo.FOLDS, SEED).cache()
     train = mo.vector_column(z.where(F.col("split") == "train"), "v").select(
         F.col("row_id").alias("_rid"), "fold", "features", F.col("label").cast("double").alias("label")).cache()
     test = mo.vector_column(z.where(F.col("split") == "test"), "v").select(
         F.col("row_id").alias("_rid"), "features", F.col("label").cast("double").alias("label")).cache()
     nf = len(b.DOC_FEATURES)
     fitted, cv = {}, []
-    for pos, (name, cands) in enumerate(QUICK.items()):
-        model, params, mean, std = mo.cross_validate(name, train, "fold", cands, nf)
+    for pos, name in enumerate(mo.GRIDS):
+        model, params, mean, std = mo.cross_validate(name, train, "fold", mo.param_candidates(name), nf)
         fitted[name] = (model, params)
         cv.append((mean, pos, name))
     top = [n for _, _, n in sorted(cv, key=lambda t: (-t[0], t[1]))[:mo.TOP_N_ENSEMBLE]]
