@@ -154,7 +154,7 @@ def shapley_contributions(spark, d):
     (background: the 100-row hash sample of the train split, as the reference
     caps its explainer background).  Training-dependent: rows-only check."""
     z = _scaled_split(spark, d)
-    feats = ["quantity", "discount", "tax", "unit"]
+    feats = list(b.LINE_FEATURES)
     train = z.where(F.col("split") == "train")
     va = VectorAssembler(inputCols=feats, outputCol="features")
     model = LogisticRegression(featuresCol="features", labelCol="label", maxIter=50).fit(
@@ -163,4 +163,4 @@ def shapley_contributions(spark, d):
     pipe = PipelineModel(stages=[model])
     bg = sp.capped_sample(train, 100, "row_id", tb.SEED)
     test = z.where(F.col("split") == "test")
-    return finish(ex.shapley_sampled(pipe, test, "row_id", feats, bg, n_permutations=8))
+    return finish(ex.shapley_sampled(pipe, test, "row_id", feats, bg))

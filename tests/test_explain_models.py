@@ -70,3 +70,16 @@ def test_search_in_threads_keeps_the_order_of_candidates(spark):
     cands = [{"C": c} for c in (0.001, 1.0, 100.0)]
     one, many = (mo.cross_validate("logistic_regression", data, "fold", cands, 2, parallelism=n)[1:] for n in (1, 4))
     assert one == many
+
+
+def test_registered_shapley_explains_every_feature_of_every_test_row(spark, monkeypatch):
+    from clarion.plans import explain as pe
+    from clarion.sources import bindings as b
+
+    used, sampled = [], ex.shapley_sampled
+    monkeypatch.setattr(ex, "shapley_sampled", lambda *a, **kw: used.append(kw) or sampled(*a, **kw))
+    d = "/root/testdata/sf0.001"
+    out = pe.shapley_contributions(spark, d)
+    n = pe._scaled_split(spark, d).where("split = 'test'").count()
+    assert {r["feature"]: r["count"] for r in out.groupBy("feature").count().collect()} == {f: n for f in b.LINE_FEATURES}
+    assert used == [{}]
