@@ -155,15 +155,15 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
 
 
 def predict_column(text: Column, net: ByteNet) -> Column:
-    """``struct<lang: string, score: double>`` of a text."""
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
+    """``struct<lang: string, score: double, best: double>`` of a text; best: the largest probability of a label in any window."""
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("best", pa.float64())])
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, best double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tabs = net.tables()
         for batch in batches:
             texts = batch.to_pylist()
-            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+            langs, scores, best = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             todo = [k for k, t in enumerate(texts) if net.langs and t and _LETTER.search(t)]
             at = 0
             while at < len(todo):
@@ -173,19 +173,22 @@ def predict_column(text: Column, net: ByteNet) -> Column:
                     size += len(texts[todo[at]])
                     at += 1
                 x, owner, filled = windows([texts[k].encode() for k in part])
-                p = net.probabilities(x, tabs) * filled[:, None]
+                p = net.probabilities(x, tabs)
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                top = np.maximum.reduceat(p.max(axis=1), starts)
+                p = p * filled[:, None]
                 mean = np.add.reduceat(p, starts, axis=0) / np.add.reduceat(filled, starts)[:, None]
-                for k, row in zip(part, mean):
+                for k, row, most in zip(part, mean, top):
                     langs[k] = net.langs[int(row.argmax())]
                     scores[k] = min(1.0, round(float(row.max()), 6))
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
+                    best[k] = min(1.0, round(float(most), 6))
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(best, pa.float64())], fields=list(kind))
 
     return predict(text)
 
 
 def predict(df: DataFrame, net: ByteNet, text: str = "text", out: str = "language") -> DataFrame:
-    """``df`` plus struct column ``out`` with ``lang`` and ``score``."""
+    """``df`` plus struct column ``out`` with ``lang``, ``score`` and ``best``."""
     return df.withColumn(out, predict_column(F.col(text), net))
 
 

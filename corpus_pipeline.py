@@ -5,7 +5,9 @@ kept, and returns a DataFrame that is written as Parquet and read again as the
 next stage's docs.  All but the last return the columns of ``documents``.
 
 * language: trains on the labelled rows of its input and drops documents in no
-  language (no letters) or without a likely one (score under ``LEAST_SCORE``);
+  language: those without letters, and those of ``LEAST_BYTES`` or more of which
+  no window looks like any language (``LEAST_SCORE``).  Short texts and texts in
+  several languages stay; without labels all with letters do;
 * copies: of equal texts one stays; near copies: of each group of documents
   linked by five-word shingles at 0.8 or more one stays;
 * mix: documents come as often as the source weights ask (0, 1 or 2 times);
@@ -24,14 +26,17 @@ from clarion.llm import exact_dedup, langid, minhash, mixing, pieces
 from clarion.llm.common import fresh, stored, table
 from clarion.llm.queries import MODEL_FILE
 
-LEAST_SCORE = 0.4
+LEAST_SCORE, LEAST_BYTES = 0.4, 1_024
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = langid.fit(docs.where(~langid.held_out()))
+    if not net.langs:  # nothing learned
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     out = fresh(docs, "language")
     named = langid.predict(docs, net, out=out)
-    return named.where((F.col(f"{out}.lang") != "und") & (F.col(f"{out}.score") >= LEAST_SCORE)).drop(out)
+    unlike = (F.octet_length("text") >= LEAST_BYTES) & (F.col(f"{out}.best") < LEAST_SCORE)
+    return named.where((F.col(f"{out}.lang") != "und") & ~unlike).drop(out)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

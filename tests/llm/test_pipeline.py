@@ -86,6 +86,20 @@ def test_stages_agree_with_the_plain_version(spark, tables):
     assert sorted(map(str, whole)) == sorted(map(str, out))
 
 
+def test_language_loses_no_clean_document(spark, tables):
+    """Short texts, texts in all languages and unlabelled tables are no evidence against a document."""
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) AS lang", "source", "n_chars")
+    assert {r.doc_id for r in stage(spark, unlabelled, tables).collect()} == {r[0] for r in corpus() if r[0] < 500}
+    by_lang = {lang: [r[1] for r in corpus() if r[2] == lang] for lang in SYLLABLES}
+    mixed = [" ".join(by_lang[lang][k % len(by_lang[lang])][:600] for lang in SYLLABLES) for k in range(40)]
+    short = [by_lang[lang][k][:n].strip() for lang in SYLLABLES for k, n in enumerate((2, 3, 5, 8, 12, 20))]
+    rows = [(1_000 + k, t, None, "a", len(t)) for k, t in enumerate(mixed + short)]
+    got = {r.doc_id for r in stage(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), tables).collect()}
+    assert len({r[0] for r in rows} - got) == 0
+
+
 def test_empty_table_runs_through(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
