@@ -67,6 +67,16 @@ def connected_components(vertices: DataFrame, edges: DataFrame, checkpoint_every
             return lab
 
 
+def numbered(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``df`` of distinct ``col`` plus ``out``, its place 0, 1, ... in order of ``col``: range partitions and their prefix-summed counts."""
+    # cut, so that the partitions that are counted are those that are numbered
+    parted = cut_lineage(df.repartitionByRange(F.col(col)).withColumn("_pid", F.spark_partition_id()))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    place = F.col("_n0") + F.row_number().over(Window.partitionBy("_pid").orderBy(col)) - 1
+    return parted.join(F.broadcast(starts), "_pid").select(*df.columns, place.cast("int").alias(out))
+
+
 def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = DBSCAN_EPS,
            min_samples: int = DBSCAN_MIN_SAMPLES) -> DataFrame:
     """(id, cluster) with -1 for noise.
@@ -85,8 +95,7 @@ def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = DBSCAN_EPS,
     comps = connected_components(core, core_edges)
     # number clusters 0..K-1 in order of their smallest core id (table of K rows)
     # by the id itself: strings and longs beyond 2 ** 53 keep their order
-    order = comps.select("comp").distinct().withColumn(
-        "cluster", (F.row_number().over(Window.orderBy("comp")) - 1).cast("int"))
+    order = numbered(comps.select("comp").distinct(), "comp", "cluster")
     core_lab = comps.join(order, "comp").select("id", "cluster")
     border = (pairs.join(core, "id", "left_anti")
               .join(core_lab.withColumnRenamed("id", "nid"), "nid")

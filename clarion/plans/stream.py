@@ -22,7 +22,7 @@ def event_window_drift(spark, d):
     """EXT2: hourly tumbling windows of the events stream (10 minute watermark)."""
     ev = st.read_stream(spark, d, "events.parquet")
     agg = st.window_balance(ev, "ts", F.col("event_type") == "purchase", "value", ["event_type"])
-    res = st.run_to_completion(agg, mode="complete", sink="memory")
+    res = st.run_to_completion(agg, mode="complete", sink="table")
     return finish(res.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                              "event_type", "n", "n_pos", "mean_score"))
 

@@ -53,8 +53,10 @@ def window_balance(events: DataFrame, ts: str = "ts", label_expr=None, score: st
 def run_to_completion(sdf: DataFrame, mode: str = "complete", sink: str = "memory") -> DataFrame:
     """Drive a streaming frame over everything available and return the result.
 
-    ``memory`` is for bounded (aggregated) outputs; ``parquet`` writes to the
-    shared checkpoint folder and reads the files back (row-level outputs)."""
+    ``memory`` holds the output on the driver; ``parquet`` writes to the shared
+    checkpoint folder and reads the files back (row-level outputs); ``table`` is
+    for mode ``complete``: each batch writes the whole result there, the last is
+    read back."""
     spark = sdf.sparkSession
     ckpt = _scratch(spark, "ckpt")
     if sink == "memory":
@@ -65,6 +67,19 @@ def run_to_completion(sdf: DataFrame, mode: str = "complete", sink: str = "memor
         q.stop()
         return spark.table(name)
     out = _scratch(spark, "out")
+    if sink == "table":
+        last = [None]
+
+        def keep(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/{batch_id}")
+            last[0] = batch_id
+
+        q = sdf.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", ckpt).start()
+        q.processAllAvailable()
+        q.stop()
+        if last[0] is None:
+            return spark.createDataFrame([], sdf.schema)
+        return spark.read.schema(sdf.schema).parquet(f"{out}/{last[0]}")
     q = (sdf.writeStream.format("parquet").outputMode("append").option("path", out)
          .option("checkpointLocation", ckpt).start())
     q.processAllAvailable()

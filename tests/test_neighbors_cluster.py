@@ -62,3 +62,24 @@ def test_dbscan_keeps_string_and_wide_ids(spark):
     for key in ("s", "n"):
         lab = {r["id"]: r["cluster"] for r in cl.dbscan(df, key, "v", eps=0.2, min_samples=3).collect()}
         assert [lab[p[0] if key == "s" else p[1]] for p in pts] == [0] * 5 + [1] * 5
+
+
+def test_numbers_of_clusters_over_range_partitions(spark):
+    from clarion.operators.cluster import numbered
+
+    ids = [f"c{i:05d}" for i in range(0, 9_000, 3)]
+    spread = spark.createDataFrame([(i,) for i in reversed(ids)], "comp string").repartition(7)
+    out = numbered(spread, "comp", "cluster")
+    assert {r.comp: r.cluster for r in out.collect()} == {c: k for k, c in enumerate(ids)}
+    assert numbered(spread.limit(0), "comp", "cluster").count() == 0
+
+
+def test_windows_of_the_event_stream_are_not_held_by_the_driver(spark, monkeypatch):
+    from clarion.plans import stream as ps
+    from clarion.streaming import score_stream as st
+
+    sinks, run = [], st.run_to_completion
+    monkeypatch.setattr(st, "run_to_completion", lambda *a, **kw: sinks.append(kw["sink"]) or run(*a, **kw))
+    d = "/root/testdata/sf0.001"
+    got = ps.event_window_drift(spark, d)
+    assert sinks == ["table"] and got.selectExpr("sum(n)").first()[0] == spark.read.parquet(f"{d}/events.parquet").count()
