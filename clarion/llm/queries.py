@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarion.llm import divergence, exact_dedup, langid, licences, minhash, mixing, passages, pieces, reputation, sharding, winnowing
+from clarion.llm import credentials, divergence, exact_dedup, langid, licences, minhash, mixing, passages, pieces, reputation, sharding, winnowing
 from clarion.llm.common import table
 
 MODEL_FILE = "piece_bpe_32k.model"
@@ -63,6 +63,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_url_reputation, op4_source_mixing, op5_language_id, op6_byte_shards,
-                                   op7_sentencepiece, op8_winnowing, op9_exact_dedup, op10_substring_dedup, op11_source_divergence, pipeline)}
+                                   op7_sentencepiece, op8_winnowing, op9_exact_dedup, op10_substring_dedup, op11_source_divergence, op13_secret_scan, pipeline)}
 
 ORACLES = {
     # all pairs of documents that share a shingle, then the components' smallest ids
@@ -170,5 +174,29 @@ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f,
 terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""",
+    # a match starts behind the text before it and the matches before it
+    "op13_secret_scan": r"""
+WITH d AS (SELECT row_number() OVER () AS row_, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents),
+patterns(kind, pattern, grp) AS (VALUES (0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2),
+  (1, 'AKIA[A-Z0-9]+', 0), (2, '[0-9a-f]{32,}', 0), (3, '[A-Za-z0-9+/_-]{20,}={0,2}', 0)),
+parts AS (SELECT row_, doc_id, owner, kind, string_split_regex(text, pattern) AS gaps, regexp_extract_all(text, pattern) AS hits,
+    CASE WHEN grp = 2 THEN regexp_extract_all(text, pattern, 2) ELSE regexp_extract_all(text, pattern) END AS vals
+  FROM d, patterns WHERE regexp_matches(text, pattern)),
+each_ AS (SELECT row_, doc_id, owner, kind, gaps, hits, vals, unnest(range(1, len(hits) + 1)) AS i FROM parts),
+found AS (SELECT row_, doc_id, owner, kind, vals[i] AS val, length(array_to_string(gaps[1:i], '')) + length(array_to_string(hits[1:i - 1], '')) AS start_, length(hits[i]) AS size_ FROM each_),
+base AS (SELECT * FROM found WHERE kind = 0 AND length(val) >= 8 OR kind = 1 AND size_ >= 16 OR kind = 2),
+live AS (SELECT * FROM found f WHERE kind = 3 AND len(list_distinct(string_split(val, ''))) >= 12 AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[0-9]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row_ = f.row_ AND b.start_ < f.start_ + f.size_ AND f.start_ < b.start_ + b.size_)),
+all_ AS (SELECT * FROM base UNION ALL SELECT * FROM live),
+owners AS (SELECT val, count(DISTINCT owner) AS owners FROM all_ GROUP BY val),
+spans AS (SELECT row_, kind, start_, owners, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start_ || ':' || (start_ + size_) AS span
+  FROM all_ JOIN owners USING (val) WHERE kind < 3 OR owners = 1),
+lists AS (SELECT row_, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_live,
+  string_agg(span, ',' ORDER BY start_, kind) FILTER (kind < 3) AS base_spans, string_agg(span, ',' ORDER BY start_, kind) AS spans,
+  count(*) FILTER (owners = 1) AS n_owned, count(*) FILTER (owners = 2) AS n_shared, count(*) FILTER (owners >= 3) AS n_example FROM spans GROUP BY row_)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_live, 0) AS n_live,
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN lists USING (row_)
 """,
 }
