@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarion.llm import credentials, divergence, exact_dedup, langid, licences, minhash, mixing, passages, pieces, reputation, sharding, winnowing
+from clarion.llm import credentials, divergence, exact_dedup, langid, licences, minhash, mixing, passages, pieces, repair, reputation, sharding, winnowing
 from clarion.llm.common import table
 
 MODEL_FILE = "piece_bpe_32k.model"
@@ -63,6 +63,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.report(table(spark, sf_dir, "documents"))
 
@@ -74,7 +78,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_url_reputation, op4_source_mixing, op5_language_id, op6_byte_shards,
-                                   op7_sentencepiece, op8_winnowing, op9_exact_dedup, op10_substring_dedup, op11_source_divergence, op13_secret_scan, pipeline)}
+                                   op7_sentencepiece, op8_winnowing, op9_exact_dedup, op10_substring_dedup, op11_source_divergence, op12_conversation_repair,
+                                   op13_secret_scan, pipeline)}
 
 ORACLES = {
     # all pairs of documents that share a shingle, then the components' smallest ids
