@@ -81,6 +81,52 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3
                                    op7_sentencepiece, op8_winnowing, op9_exact_dedup, op10_substring_dedup, op11_source_divergence, op12_conversation_repair,
                                    op13_secret_scan, pipeline)}
 
+def _repair_sql() -> str:
+    """The damage, then for every row the cheapest and least edits that end in each state, as text: six digits of cost and the letters."""
+    add = lambda x, cost, letter: f"(lpad(({x}[1:6]::INTEGER + {cost})::VARCHAR, 6, '0') || {x}[7:] || '{letter}')"
+    keep = lambda x, initial: f"CASE WHEN NOT doomed AND initial = '{initial}' THEN {add(x, '3 * open_', 'K')} END"
+    rerole = lambda x: f"CASE WHEN NOT doomed THEN {add(x, '3 + 3 * open_', 'R')} END"
+    delete = lambda x: add(x, 4, "D")
+    to_user = ", ".join(f"{keep(x, 'u')}, {rerole(x)}" for x in ("z", "s", "a"))
+    put = lambda x: add(x, 3, "I")
+    return rf"""
+WITH RECURSIVE crc(t) AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce([4294967295::BIGINT] || list_transform(
+    string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS k
+  FROM conversations, crc),
+copies AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE k WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM keyed),
+hashed AS (SELECT *, sha256(length(role) || ':' || role || text) AS h, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM copies),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h, copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, h ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM hashed),
+rows_ AS (SELECT conv_id, turn, role, text, i, role[1:1] AS initial, body = '' AS blank, again AND body <> '' AS duplicate, NOT again AND body <> '' AND right(body, 1) NOT IN ('.', '!', '?') AS truncated,
+  lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+marks AS (SELECT conv_id, i, initial, blank OR duplicate AS doomed, truncated::INTEGER AS open_ FROM rows_),
+best AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000' AS z, NULL::VARCHAR AS s, '000003I' AS u, '000006II' AS a FROM (SELECT DISTINCT conv_id FROM marks)
+  UNION ALL
+  SELECT conv_id, i, z, s, u, least(a, {put("u")}) FROM (
+    SELECT conv_id, i, z, s, least(u, {put("z")}, {put("s")}, {put("a")}) AS u, a FROM (
+      SELECT b.conv_id, m.i, {delete("z")} AS z, least({delete("s")}, {keep("z", "s")}) AS s, least({delete("u")}, {to_user}) AS u, least({delete("a")}, {keep("u", "a")}, {rerole("u")}) AS a
+      FROM best b JOIN marks m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i + 1))),
+ends AS (SELECT conv_id, max(i) AS n FROM marks GROUP BY conv_id),
+chosen AS (SELECT e.conv_id, least(z, a) AS way FROM ends e JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id AND b.i = e.n),
+letters AS (SELECT conv_id, unnest(string_split(way[7:], '')) AS letter, unnest(range(1, length(way[7:]) + 1)) AS at_ FROM chosen WHERE length(way) > 6),
+placed AS (SELECT *, sum((letter <> 'I')::INTEGER) OVER (PARTITION BY conv_id ORDER BY at_) AS i FROM letters),
+turns AS (SELECT p.conv_id, p.at_, p.letter, r.role, r.text, row_number() OVER (PARTITION BY p.conv_id ORDER BY p.at_) AS j
+  FROM placed p LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i WHERE p.letter <> 'D'),
+lead_ AS (SELECT *, first_value(letter = 'K' AND role[1:1] = 's') OVER (PARTITION BY conv_id ORDER BY j)::INTEGER AS sys FROM turns),
+texts AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS body
+  FROM lead_ GROUP BY conv_id),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(way[1:6], '0')::BIGINT AS cost, coalesce(way[7:], '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 ORACLES = {
     # all pairs of documents that share a shingle, then the components' smallest ids
     "op2_minhash_near_dedup": r"""
@@ -204,4 +250,5 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example
 FROM d LEFT JOIN lists USING (row_)
 """,
+    "op12_conversation_repair": _repair_sql(),
 }
