@@ -1,27 +1,31 @@
 """Distributed statistics that stay exact without sending a group to one task.
 
 * ``exact_percentiles`` -- linear-interpolated percentiles (numpy / DuckDB
-  ``quantile_cont`` / Spark ``percentile`` definition).  Spark's ``percentile``
-  and ``median`` keep every distinct value of a group in one aggregation buffer;
-  here ``percentile_approx`` first brackets the answer, and only the values
-  inside the bracket (about 4/accuracy of the group, collapsed to distinct
-  values with counts so a hot value is one row) are ranked.
+  ``quantile_cont`` / Spark ``percentile`` definition) by radix selection.
+  Spark's ``percentile`` and ``median`` keep every distinct value of a group in
+  one aggregation buffer, and a window would rank a whole group.  Here values are
+  seen as 64-bit integers in the same order; a pass counts them by their next
+  bits and keeps, per group and rank, the one cell that holds it.  Three passes
+  settle every bit, fewer when the cells hold one value each.
 * ``running_totals`` -- ordered cumulative sums inside a partition key.  A
   plain ``Window.partitionBy(key).orderBy(x)`` moves a whole key to one task;
-  here rows are cut into range cells by approximate quantiles of ``x``, per-cell
-  totals (a table of at most ``keys x cells`` rows) give cell offsets, and the
-  window only runs inside a cell.
+  here rows are range-partitioned by (key, x), totals per key and partition (at
+  most partitions + keys rows) are prefix-summed, and the window only runs
+  inside a key's share of a partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
+from clarion.session import kept
+
+#: Bits left to settle after each pass of the selection.
+SHIFTS = (43, 22, 0)
 
 
 def _group_cols(group_cols) -> list[str]:
@@ -35,108 +39,92 @@ def unpivot_values(df: DataFrame, value_cols: Sequence[str], id_cols: Sequence[s
         list(id_cols), list(value_cols), name_col, value_col)
 
 
+def ordered_long(x: Column) -> Column:
+    """A double as a long in the same order (its bits in IEEE 754; negative values mirrored).
+
+    Powers of two are exact in Java's ``pow``, so division and subtraction are
+    exact too.  Both zeros give 0; not defined for NaN and infinity.
+    """
+    two = lambda e: F.pow(F.lit(2.0), e)
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
+    power = guess + F.when(size >= two(guess + 1), 1).when(size < two(guess), -1).otherwise(0)
+    normal = ((power + 1023) * (1 << 52)).cast("long") + ((size / two(power) - 1) * float(1 << 52)).cast("long")
+    small = (size * float(2 ** 537) * float(2 ** 537)).cast("long")
+    image = F.when(size < 2.0 ** -1022, small).otherwise(normal)
+    return F.when(x == 0, F.lit(0).cast("long")).when(x < 0, -image).otherwise(image)
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, NULLs equal; the keys of ``a`` stay."""
+    if not keys:
+        return a.join(b, how=how)
+    right = b.withColumnsRenamed({k: f"{k}__right" for k in keys})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}__right")) for k in keys])
+    return a.join(right, on, how).drop(*[f"{k}__right" for k in keys])
+
+
 def exact_percentiles(long_df: DataFrame, value_col: str, probs: Sequence[float],
-                      group_cols: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                      group_cols: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated percentiles of ``value_col`` per group.
 
-    Returns ``(group..., p, value)``.  NULL and NaN values are ignored; a group
-    with no values yields no rows.  The sketch bracket is verified: when a
-    target rank falls outside it, the bracket is widened (finally to the whole
-    range), so the answer is exact whatever the sketch's error.
+    Returns ``(group..., p, value)``.  NULL and NaN values are ignored,
+    infinities are not supported; a group with no values yields no rows.  The
+    input is read once per pass; between passes only one row per group,
+    percentile and neighbouring rank is kept.
     """
     g = _group_cols(group_cols)
-    data = long_df.select(*g, F.col(value_col).cast("double").alias("_x")).where(
-        F.col("_x").isNotNull() & ~F.isnan("_x"))
-    probs = [float(p) for p in probs]
-    for margin in (8.0 / accuracy, 256.0 / accuracy, 8192.0 / accuracy, 1.0):
-        out = _bracket_attempt(data, g, probs, margin, accuracy)
-        if margin >= 1.0:
-            return out.where(F.col("value").isNotNull())
-        # one action: the result has (#groups x #probs) rows, cache that small table
-        out = out.cache()
-        if out.where(F.col("value").isNull()).count() == 0:
-            return out
-        out.unpersist()
-    return out
-
-
-def _bracket_attempt(data: DataFrame, g: list[str], probs: list[float], eps: float, accuracy: int) -> DataFrame:
-    lo_p = [max(0.0, p - eps) for p in probs]
-    hi_p = [min(1.0, p + eps) for p in probs]
-    stats = data.groupBy(*g).agg(
-        F.count("_x").alias("_n"),
-        F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-        F.percentile_approx("_x", lo_p, accuracy).alias("_lo"),
-        F.percentile_approx("_x", hi_p, accuracy).alias("_hi"))
-    prob_rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)])
-    brackets = stats.select(*g, "_n", "_min", "_max", "_lo", "_hi", F.explode(prob_rows).alias("_pp")).select(
-        *g, "_n",
-        F.col("_pp.p").alias("p"),
-        F.when(F.col("_pp.p") - eps <= 0, F.col("_min")).otherwise(F.element_at("_lo", F.col("_pp.i") + 1)).alias("_blo"),
-        F.when(F.col("_pp.p") + eps >= 1, F.col("_max")).otherwise(F.element_at("_hi", F.col("_pp.i") + 1)).alias("_bhi"),
-    ).withColumn("_h", (F.col("_n") - 1) * F.col("p")) \
-     .withColumn("_klo", F.floor("_h")) \
-     .withColumn("_khi", F.ceil("_h"))
-
-    # brackets has (#groups x #probs) rows; with no groups it is a handful of rows.
-    joined = data.join(brackets, on=g, how="inner") if g else data.crossJoin(F.broadcast(brackets))
-    below = joined.groupBy(*g, "p").agg(F.count_if(F.col("_x") < F.col("_blo")).alias("_below"))
-    # values inside the bracket collapse to (value, count): a hot value is one row
-    inside = (joined.where((F.col("_x") >= F.col("_blo")) & (F.col("_x") <= F.col("_bhi")))
-              .groupBy(*g, "p", "_x").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*g, "p").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (inside.withColumn("_cum", F.sum("_c").over(w))
-              .join(below, on=[*g, "p"]).join(brackets.select(*g, "p", "_klo", "_khi", "_h"), on=[*g, "p"])
-              .withColumn("_first", F.col("_below") + F.col("_cum") - F.col("_c"))
-              .withColumn("_last", F.col("_below") + F.col("_cum") - 1))
-    pick_lo = ranked.where((F.col("_klo") >= F.col("_first")) & (F.col("_klo") <= F.col("_last"))) \
-        .select(*g, "p", "_h", "_klo", F.col("_x").alias("_xlo"))
-    pick_hi = ranked.where((F.col("_khi") >= F.col("_first")) & (F.col("_khi") <= F.col("_last"))) \
-        .select(*g, "p", F.col("_x").alias("_xhi"))
-    # left join from the targets: an uncovered target shows up with a NULL value
-    out = brackets.select(*g, "p").join(pick_lo.join(pick_hi, on=[*g, "p"]), on=[*g, "p"], how="left")
-    frac = F.col("_h") - F.col("_klo")
-    return out.select(*g, "p", (F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * frac).alias("value"))
+    x = F.col("_x")
+    data = long_df.select(*g, F.col(value_col).cast("double").alias("_x")).where(x.isNotNull() & ~F.isnan(x)).withColumn("_k", ordered_long(x))
+    counted = [F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
+
+    def placed(cells: DataFrame, keys: list[str]) -> DataFrame:
+        """Cells with the number of values in earlier cells of the same key."""
+        order = Window.partitionBy(*keys).orderBy("_cell")
+        return cells.withColumn("_before", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
+
+    first = placed(data.groupBy(*g, F.shiftright("_k", SHIFTS[0]).alias("_cell")).agg(*counted), g)
+    first = first.withColumn("_n", F.sum("_c").over(Window.partitionBy(*g)))
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(up).alias("up"), (F.ceil if up else F.floor)((F.col("_n") - 1) * float(p)).alias("rank"))
+                      for p in probs for up in (False, True)])
+    here = first.select("*", F.explode(ranks).alias("t")).select(*first.columns, "t.*").where("rank >= _before AND rank < _before + _c")
+    here = kept(here.select(*g, "p", "up", "_n", "_cell", "_lo", "_hi", (F.col("rank") - F.col("_before")).alias("rank")), "percentile")
+    for shift, before in zip(SHIFTS[1:], SHIFTS):
+        open_ = here.where("_lo < _hi")
+        if open_.isEmpty():
+            break
+        cells = open_.select(*g, F.col("_cell").alias("_from")).distinct()
+        inside = same_keys(data.withColumn("_from", F.shiftright("_k", before)), cells, [*g, "_from"])
+        finer = placed(inside.groupBy(*g, "_from", F.shiftright("_k", shift).alias("_cell")).agg(*counted), [*g, "_from"])
+        found = same_keys(finer, open_.select(*g, "p", "up", "_n", F.col("_cell").alias("_from"), "rank"), [*g, "_from"]).where("rank >= _before AND rank < _before + _c")
+        found = found.select(*g, "p", "up", "_n", "_cell", "_lo", "_hi", (F.col("rank") - F.col("_before")).alias("rank"))
+        here = kept(here.where("_lo = _hi").unionByName(found), "percentile")
+    ends = here.groupBy(*g, "p").agg(F.max("_n").alias("_n"), F.max(F.when(~F.col("up"), F.col("_lo"))).alias("_a"), F.max(F.when(F.col("up"), F.col("_lo"))).alias("_b"))
+    at = (F.col("_n") - 1) * F.col("p")
+    return ends.select(*g, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * (at - F.floor(at))).alias("value"))
 
 
 def exact_percentiles_wide(df: DataFrame, value_cols: Sequence[str], p: float,
-                           group_cols: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                           group_cols: Sequence[str] = ()) -> DataFrame:
     """One percentile of several columns: ``(group..., column, value)``."""
     g = _group_cols(group_cols)
     long_df = unpivot_values(df, value_cols, g)
-    return exact_percentiles(long_df, "x", [p], [*g, "column"], accuracy).drop("p")
+    return exact_percentiles(long_df, "x", [p], [*g, "column"]).drop("p")
 
 
 def running_totals(df: DataFrame, key_cols: Sequence[str], order_col: str, value_cols: Sequence[str],
-                   descending: bool = True, n_cells: int = 1024, prefix: str = "cum_") -> DataFrame:
+                   descending: bool = True, prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of ``value_cols`` over ``order_col`` within ``key_cols``.
 
     ``(key, order_col)`` should be unique (aggregate first).  Adds
-    ``{prefix}{v}`` for each value column.  Ties in ``order_col`` do not occur
-    after that aggregation, so the running sum is well defined.
+    ``{prefix}{v}`` for each value column.  NULL order values come last.
     """
     keys = _group_cols(key_cols)
-    probs = [i / n_cells for i in range(1, n_cells)]
-    splits = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * n_cells))))
-    # Range cell id by binary search over the split points (MLlib Bucketizer, JVM-side).
-    if splits:
-        bucketed = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol=order_col,
-                              outputCol="_bucket", handleInvalid="keep").transform(df)
-        cell = F.col("_bucket").cast("int")
-        if descending:
-            cell = F.lit(len(splits)) - cell
-    else:
-        bucketed, cell = df.withColumn("_bucket", F.lit(0.0)), F.lit(0)
-    # NULL order values come last, in a cell of their own
-    cell = F.when(F.col(order_col).isNull(), F.lit(len(splits) + 2)).otherwise(cell)
-    with_cell = bucketed.withColumn("_cell", cell.cast("int")).drop("_bucket")
-    totals = with_cell.groupBy(*keys, "_cell").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    wo = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_cell", *[F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}")
-                                              for v in value_cols])
-    # offsets has at most (#keys x n_cells) rows; broadcast only when keys are few.
     order = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_last()
-    wi = Window.partitionBy(*keys, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = with_cell.join(offsets, on=[*keys, "_cell"])
-    return out.select(*[c for c in with_cell.columns],
-                      *[(F.col(f"_o_{v}") + F.sum(v).over(wi)).alias(f"{prefix}{v}") for v in value_cols])
+    parted = kept(df.repartitionByRange(*[F.col(k) for k in keys], order).withColumn("_part", F.spark_partition_id()), "running")
+    totals = parted.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
+    within = Window.partitionBy("_part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = same_keys(parted, offsets, [*keys, "_part"])
+    return out.select(*df.columns, *[(F.col(f"_o_{v}") + F.sum(v).over(within)).alias(f"{prefix}{v}") for v in value_cols])

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clarion.functions.columns import safe_div
 from clarion.functions.stats import running_totals
+from clarion.session import kept
 
 GRID_POINTS = 61  # fpr grid 0, 1/60, ..., 1 used to merge ROC curves
 
@@ -62,11 +62,8 @@ def score_groups(df: DataFrame, group_cols=("model",), label="label", score="sco
 def _ranked_groups(df: DataFrame, group_cols, label, score) -> DataFrame:
     """Score groups with running totals in descending score order plus a 1-based rank."""
     g = _g(group_cols)
-    # The grouped table feeds the cell split points, the offsets and the
-    # ranks; keep it (and the ranked result) instead of re-aggregating.
-    sg = score_groups(df, g, label, score).withColumn("one", F.lit(1)).persist(StorageLevel.MEMORY_AND_DISK)
-    return running_totals(sg, g, "score", ["pos", "neg", "one"], descending=True).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    sg = score_groups(df, g, label, score).withColumn("one", F.lit(1))
+    return running_totals(sg, g, "score", ["pos", "neg", "one"], descending=True)
 
 
 def auc(df: DataFrame, group_cols=("model",), label="label", score="score") -> DataFrame:
@@ -92,7 +89,8 @@ def roc_curve(df: DataFrame, group_cols=("model",), label="label", score="score"
     (collinear).  The 'next group' is an equi-join on rank + 1, not a window.
     """
     g = _g(group_cols)
-    rg = _ranked_groups(df, g, label, score).withColumnRenamed("cum_one", "idx")
+    # read for the points, the totals and the next points
+    rg = kept(_ranked_groups(df, g, label, score).withColumnRenamed("cum_one", "idx"), "ranked-scores")
     totals = rg.groupBy(*g).agg(F.max("idx").alias("_L"), F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     nxt = rg.select(*g, (F.col("idx") - 1).alias("idx"), F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
     pts = _join(rg, totals, g).join(nxt, [*g, "idx"], "left")
@@ -265,7 +263,7 @@ def roc_downsample(roc: DataFrame, group_cols=("model",), target_points: int = 6
     could lose it).  Positions come from running totals, not a global window."""
     g = _g(group_cols)
     ones = roc.withColumn("_one", F.lit(1)).withColumn("_o", F.col("idx").cast("double"))
-    pos = running_totals(ones, g, "_o", ["_one"], descending=False, n_cells=64, prefix="_cum")
+    pos = running_totals(ones, g, "_o", ["_one"], descending=False, prefix="_cum")
     n = pos.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     step = F.greatest(F.lit(1), (F.col("_n") / target_points).cast("long"))
     j = _join(pos, n, g).withColumn("_pos", F.col("_cum_one") - 1)

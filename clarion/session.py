@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,8 +51,10 @@ def get_spark(master: str | None = None, app: str = "clarion",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is always used as is. Only when nothing is configured
-    (a local test run) a fresh folder is created under the system temp dir.
+    The cluster's setting is always used as is.  When nothing is configured, a
+    session on ``local[...]`` (tests) gets a fresh folder under the system temp
+    dir; elsewhere that would be a different folder on every machine, so it is
+    an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -62,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current is not None and current.isDefined():
         return current.get()
     if not conf_dir:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="clarion-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc is not None:
@@ -73,3 +78,15 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df, tag: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``cut_lineage`` and leaves statistics of its size, so
+    that Spark can broadcast what is small.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
