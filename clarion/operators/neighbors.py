@@ -1,122 +1,263 @@
-"""Exact neighbour search (C0) without a cross join.
-
-Points are projected on their first principal axis ``u`` (a d-vector from
-MLlib PCA).  For unit ``u``, ``|u.x - u.y| <= ||x - y||``, so every neighbour
-within radius ``r`` of ``x`` lies in the projection band ``[u.x - r, u.x + r]``.
-
-* radius search: band join with ``r = eps``.
-* k nearest: a first pass over equal-depth projection cells (rank // 64, from
-  running totals; each point meets the points of its own and the two adjacent
-  cells -- bounded by the cell size) gives every point an upper bound ``r_x``
-  of its k-th distance; the exact pass is then a band join with ``r_x`` over a
-  fixed-width grid of the projection.  Both passes are equi-joins on cell ids;
-  only the projection's min and max reach the driver.
-
-Exact, but output-sensitive: when the projection does not separate the data
-(high intrinsic dimension, radius near the data diameter) the band holds most
-points and the work approaches all pairs -- reduce dimension first (F7).
+"""Exact neighbour search (C0) without a cross join: pivot cells and blocks.
+
+* **Cells.**  A few points, the smallest by content hash, are pivots; every point
+  belongs to its nearest pivot (a Voronoi cell).
+* **Blocks.**  A cell is cut by hash into blocks of about ``BLOCK`` points, so a
+  cell that holds a third of all points (equal ones, say) is many blocks.
+* **Bounds.**  A block keeps the range of its points' distances to ``REFERENCES``
+  pivots.  For any reference p, ``| |xp| - |yp| | <= |xy|``, so the gap between
+  two blocks' ranges is a lower bound of all their distances.  Cells are paired
+  first, then the blocks of the cells that are left.
+* **Search.**  A block's own points bound the k-th distance from above.  Only
+  blocks whose lower bound is within it are met, nearest first, and of a block's
+  points only those whose own distances to the references leave room for a
+  nearer neighbour.  A radius search meets the blocks within the radius.
+
+Exact whatever the data; how much is compared depends on how well distances to
+pivots tell points apart (``compared``).  In few dimensions that is little; for
+directions spread evenly over many dimensions any exact search compares nearly
+all pairs, and ``knn_probed`` looks only at the blocks of the nearest cells.
+
+Ids are unique.  Vectors have one length and no NULL or NaN.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clarion.functions.stats import running_totals
+from clarion.session import kept
 
-DEFAULT_CELL_SIZE = 64
-MAX_GRID_CELLS = 1024
-BAND_SLACK = 1e-9
+#: Points of a block, and the most pivots (each is a vector that every task holds).
+BLOCK, MOST_PIVOTS = 256, 1_024
+REFERENCES = 16
+#: Distances are rounded: bounds give way by this share of the vectors' size.
+SLACK = 1e-9
+PROBES = 8
 
 
-def euclidean(a, b) -> F.Column:
+def euclidean(a, b) -> Column:
     """sqrt(sum_i (a_i - b_i)^2), folded left to right (JVM-side)."""
     sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
     return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
 
 
-def principal_axis(df: DataFrame, vec_col: str) -> list[float]:
-    """First principal component (unit length, d floats)."""
-    model = PCA(k=1, inputCol="_pv", outputCol="_pp").fit(df.select(array_to_vector(vec_col).alias("_pv")))
-    return [float(x) for x in model.pc.toArray()[:, 0]]
-
-
-def _project(vec: F.Column, axis: list[float]) -> F.Column:
-    u = F.array(*[F.lit(x) for x in axis])
-    return F.aggregate(F.zip_with(vec, u, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _grid_cell(value, lo: float, width: float):
-    return F.least(F.greatest(F.floor((value - F.lit(lo)) / F.lit(width)), F.lit(0)),
-                   F.lit(MAX_GRID_CELLS)).cast("long")
-
-
-def _prepared(df: DataFrame, id_col: str, vec_col: str, cell_size: int):
-    """Project, then two cell ids per point:
-
-    * ``_rcell`` = rank // cell_size by projection (equal depth, from running
-      totals -- nothing is collected), for the bounded first pass;
-    * ``_gcell`` = a fixed-width grid over the projection range with at most
-      ``MAX_GRID_CELLS`` cells, to turn a value band into cell ids.
-    Returns (points, p_min, width)."""
-    axis = principal_axis(df, vec_col)
-    pts = df.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"))
-    pts = pts.withColumn("_p", _project(F.col("_v"), axis))
-    ranked = running_totals(pts.withColumn("_one", F.lit(1)), [], "_p", ["_one"], descending=False,
-                            n_cells=256, prefix="_cum")
-    pts = ranked.select("_id", "_v", "_p", ((F.col("_cum_one") - 1) / cell_size).cast("long").alias("_rcell"))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x * x))
-    st = pts.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi"), F.max(norm).alias("norm")).first()
-    lo, hi = float(st["lo"]), float(st["hi"])
-    width = max((hi - lo) / MAX_GRID_CELLS, 1e-12)
-    # projections are rounded: the band is wider by far more than their error
-    pts = pts.withColumn("_slack", F.lit(BAND_SLACK * float(st["norm"])))
-    pts = pts.withColumn("_gcell", _grid_cell(F.col("_p"), lo, width)).cache()
-    return pts, lo, width
-
-
-def _band_join(pts: DataFrame, lo: float, width: float, radius_col: str) -> DataFrame:
-    """For each left point: all other points with |p_y - p_x| <= radius plus slack (via grid cells);
-    only the distance decides."""
-    reach = F.col(radius_col) + F.col("_slack")
-    left = pts.select("_id", "_v", "_p", radius_col, "_slack",
-                      F.explode(F.sequence(_grid_cell(F.col("_p") - reach, lo, width),
-                                           _grid_cell(F.col("_p") + reach, lo, width))).alias("_jc"))
-    right = pts.select(F.col("_id").alias("_nid"), F.col("_v").alias("_nv"), F.col("_p").alias("_np"),
-                       F.col("_gcell").alias("_jc"))
-    j = left.join(right, "_jc").where((F.col("_nid") != F.col("_id"))
-                                      & (F.abs(F.col("_np") - F.col("_p")) <= reach))
-    return j.select("_id", "_nid", radius_col, euclidean(F.col("_v"), F.col("_nv")).alias("dist"))
-
-
-def radius_pairs(df: DataFrame, id_col: str, vec_col: str, eps: float,
-                 cell_size: int = DEFAULT_CELL_SIZE) -> DataFrame:
-    """All ordered pairs (id, nid, dist) with 0 < dist <= eps (self excluded)."""
-    pts, lo, width = _prepared(df, id_col, vec_col, cell_size)
-    pts = pts.withColumn("_r", F.lit(float(eps)))
-    j = _band_join(pts, lo, width, "_r")
-    return j.where(F.col("dist") <= eps).select(F.col("_id").alias("id"), F.col("_nid").alias("nid"), "dist")
-
-
-def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5,
-        cell_size: int = DEFAULT_CELL_SIZE) -> DataFrame:
-    """Exact k nearest neighbours (self excluded, ties by neighbour id):
-    (id, rank, nid, dist)."""
-    pts, lo, width = _prepared(df, id_col, vec_col, max(cell_size, k + 1))
-    # pass 1: own and adjacent rank cells (<= 3 x cell_size candidates) -> bound of the k-th distance
-    near = pts.select("_id", "_v", "_p", F.explode(F.sequence(F.col("_rcell") - 1, F.col("_rcell") + 1)).alias("_jc"))
-    right = pts.select(F.col("_id").alias("_nid"), F.col("_v").alias("_nv"), F.col("_rcell").alias("_jc"))
-    cand = near.join(right, "_jc").where(F.col("_nid") != F.col("_id")).select(
-        "_id", "_nid", euclidean(F.col("_v"), F.col("_nv")).alias("dist"))
-    w = Window.partitionBy("_id").orderBy("dist", "_nid")
-    bound = (cand.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
-             .groupBy("_id").agg(F.max("dist").alias("_kd"), F.count(F.lit(1)).alias("_kn")))
-    # fewer than k candidates (tiny inputs): the whole range
-    bounded = pts.join(bound, "_id", "left").withColumn(
-        "_r", F.when(F.col("_kn") >= k, F.col("_kd")).otherwise(F.lit(float("inf"))))
-    # pass 2: exact band join with the per-point bound
-    j = _band_join(bounded, lo, width, "_r").where(F.col("dist") <= F.col("_r"))
-    ranked = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("_id").alias("id"), "rank", F.col("_nid").alias("nid"), "dist")
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), -1) if len(flat) else np.zeros((len(lists), 0))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All distances, by rows of x so that few differences are held."""
+    out = np.empty((len(x), len(y)))
+    step = max(1, 1_000_000 // max(1, y.size))
+    for i in range(0, len(x), step):
+        out[i : i + step] = np.sqrt(((x[i : i + step, None] - y) ** 2).sum(axis=2))
+    return out
+
+
+def _ids(values: pa.Array) -> np.ndarray:
+    """Ids in an array that sorts as they do."""
+    return values.to_numpy(zero_copy_only=False).astype(str) if pa.types.is_string(values.type) else values.to_numpy(zero_copy_only=False)
+
+
+class Nearest:
+    """The nearest points found so far for the points of a block."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int | None, eps: float):
+        self.ids, self.v, self.k, self.eps = ids, v, k, eps
+        self.centre = v.mean(axis=0)
+        self.size = ((v - self.centre) ** 2).sum(axis=1)
+        self.limit = np.full(len(ids), eps)  # distance of the k-th neighbour so far
+        self.row, self.nid, self.dist = np.empty(0, np.int64), ids[:0], np.empty(0)
+        self.compared = 0
+
+    def meet(self, ids: np.ndarray, v: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        """Compare the points ``rows`` of the block with all of ``v``."""
+        x, y = (self.v - self.centre)[rows], v - self.centre
+        if not len(x):
+            return
+        self.compared += len(x) * len(y)
+        other = (y ** 2).sum(axis=1)
+        near = self.size[rows, None] + other - 2 * x @ y.T  # close to the squares of the distances
+        slack = SLACK * (self.size.max() + other.max())
+        most = self.limit[rows] ** 2 + slack
+        if self.k is not None and len(ids) > self.k:  # one more than k: a point may be met itself
+            most = np.minimum(most, np.partition(near, self.k, axis=1)[:, self.k] + 2 * slack)
+        row, col = np.nonzero(near <= most[:, None])
+        row = np.arange(len(self.ids))[rows][row]
+        ok = self.ids[row] != ids[col]
+        row, col = row[ok], col[ok]
+        dist = np.sqrt(((self.v[row] - v[col]) ** 2).sum(axis=1))
+        ok = dist <= self.limit[row]
+        row, nid, dist = (np.concatenate(p) for p in ((self.row, row[ok]), (self.nid, ids[col[ok]]), (self.dist, dist[ok])))
+        if self.k is not None:
+            order = np.lexsort((nid, dist, row))
+            row, nid, dist = row[order], nid[order], dist[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            ok = rank < self.k
+            last = rank == self.k - 1
+            self.limit[row[last]] = dist[last]
+            row, nid, dist = row[ok], nid[ok], dist[ok]
+        self.row, self.nid, self.dist = row, nid, dist
+
+    def ranks(self) -> np.ndarray:
+        return np.arange(len(self.row)) - np.searchsorted(self.row, self.row) + 1
+
+
+def _pivots(points: DataFrame, n: int) -> np.ndarray:
+    """Distinct vectors, the smallest by content hash; at most ``MOST_PIVOTS``."""
+    want = min(MOST_PIVOTS, max(1, n // BLOCK))
+    rows = points.select("_v").distinct().orderBy(F.xxhash64("_v"), "_v").limit(max(want, REFERENCES)).collect()
+    return np.array([r[0] for r in rows])
+
+
+def _assign(pivots: np.ndarray, want: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = _distances(_matrix(b.column("_v")), pivots[:want]).argmin(axis=1) if b.num_rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=[*b.schema.names, "cell"])
+    return run
+
+
+def _bounded(pivots: np.ndarray, k: int | None, eps: float):
+    """Of each block: its number, the largest distance that matters and the ranges of distances to the references."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i in range(b.num_rows):
+                points = b.column("points")[i].values
+                ids, v = _ids(points.field("_id")), _matrix(points.field("_v"))
+                d = _distances(v, pivots[:REFERENCES])
+                bound = eps
+                if k is not None:
+                    own = Nearest(ids, v, k, np.inf)
+                    own.meet(ids, v)
+                    bound = float(own.limit.max())
+                slack = SLACK * float(np.abs(d).max() + np.sqrt((v ** 2).sum(axis=1)).max())
+                rows.append((len(ids), bound + slack, (d.min(axis=0) - slack).tolist(), (d.max(axis=0) + slack).tolist()))
+            n, bound, lo, hi = ([r[j] for r in rows] for j in range(4))
+            doubles = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("cell"), b.column("block"), pa.array(n, pa.int64()), pa.array(bound, pa.float64()), pa.array(lo, doubles), pa.array(hi, doubles), b.column("points")],
+                                             names=["cell", "block", "n", "bound", "lo", "hi", "points"])
+    return run
+
+
+def _gap(a: str, b: str) -> Column:
+    """The largest gap between two ranges of distances: no two points are nearer."""
+    gaps = F.zip_with(F.arrays_zip(f"{a}.lo", f"{a}.hi"), F.arrays_zip(f"{b}.lo", f"{b}.hi"), lambda x, y: F.greatest(x["lo"] - y["hi"], y["lo"] - x["hi"]))
+    return F.greatest(F.array_max(gaps), F.lit(0.0))
+
+
+class Blocks:
+    """Points in blocks, with bounds: what all searches start from."""
+
+    def __init__(self, df: DataFrame, id_col: str, vec_col: str, k: int | None, eps: float = float("inf")):
+        points = kept(df.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")), "points")
+        self.k, self.eps, self.id_type = k, eps, points.schema["_id"].dataType
+        self.n = points.count()
+        self.pivots = _pivots(points, self.n)
+        want = self.cells = min(MOST_PIVOTS, max(1, self.n // BLOCK), max(1, len(self.pivots)))
+        kind = T.StructType([*points.schema.fields, T.StructField("cell", T.IntegerType())])
+        celled = kept(points.mapInArrow(_assign(self.pivots, want), kind), "cells")
+        sizes = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))  # a row per pivot at most
+        block = F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")
+        grouped = celled.join(F.broadcast(sizes), "cell").groupBy("cell", block.alias("block")).agg(F.collect_list(F.struct("_id", "_v")).alias("points"))
+        out = T.StructType.fromDDL("cell int, block int, n long, bound double, lo array<double>, hi array<double>").add("points", grouped.schema["points"].dataType)
+        self.table = kept(grouped.mapInArrow(_bounded(self.pivots, k, eps), out), "blocks")
+        self.refs = min(REFERENCES, len(self.pivots))
+
+    def pairs(self, probes: int | None = None) -> DataFrame:
+        """(cell, block, other, other_block, gap) of the blocks to meet; with ``probes`` those of the nearest cells only."""
+        at = lambda f, c, i: f(F.col(c)[i])
+        cells = self.table.groupBy("cell").agg(
+            F.max("bound").alias("bound"), F.array(*[at(F.min, "lo", i) for i in range(self.refs)]).alias("lo"), F.array(*[at(F.max, "hi", i) for i in range(self.refs)]).alias("hi"))
+        # at most MOST_PIVOTS cells on each side
+        near = cells.alias("x").crossJoin(F.broadcast(cells.alias("y"))).where(_gap("x", "y") <= F.col("x.bound")).select(F.col("x.cell").alias("cell"), F.col("y.cell").alias("other"))
+        if probes is not None:
+            own = self.pivots[:self.cells]
+            order = np.argsort(_distances(own, own), axis=1, kind="stable")[:, :probes]
+            probed = [(i, int(j)) for i, row in enumerate(order) for j in row]
+            near = near.join(F.broadcast(self.table.sparkSession.createDataFrame(probed, "cell int, other int")), ["cell", "other"])
+        slim = self.table.drop("points")
+        met = near.join(slim.alias("a"), "cell").join(slim.withColumnRenamed("cell", "other").alias("b"), "other")
+        return met.withColumn("gap", _gap("a", "b")).where(F.col("gap") <= F.col("a.bound")).select(
+            "cell", F.col("a.block").alias("block"), "other", F.col("b.block").alias("other_block"), "gap")
+
+    def _stream(self, probes: int | None) -> DataFrame:
+        """A block's points, then the blocks that it meets, nearest first."""
+        data = self.table.select(F.col("cell").alias("other"), F.col("block").alias("other_block"), "lo", "hi", "points")
+        met = self.pairs(probes).select("cell", "block", "other", "other_block", "gap").join(data, ["other", "other_block"])
+        own = self.table.select("cell", "block", F.lit(-1.0).alias("gap"), "lo", "hi", "points")
+        rows = own.unionByName(met.select("cell", "block", "gap", "lo", "hi", "points"))
+        return rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "gap")
+
+    def compared(self) -> float:
+        """The share of all ordered pairs of points that an exact search compares."""
+        if not self.n:
+            return 0.0
+        counts = self._stream(None).mapInArrow(_searched(self.pivots[:REFERENCES], self.k, self.eps, count=True), "n long")
+        return counts.agg(F.sum(F.col("n").cast("double"))).first()[0] / self.n ** 2
+
+    def search(self, probes: int | None = None) -> DataFrame:
+        """(id, rank, nid, dist)."""
+        out = T.StructType([T.StructField("id", self.id_type), T.StructField("rank", T.IntegerType()), T.StructField("nid", self.id_type), T.StructField("dist", T.DoubleType())])
+        if not self.n:
+            return self.table.sparkSession.createDataFrame([], out)
+        return self._stream(probes).mapInArrow(_searched(self.pivots[:REFERENCES], self.k, self.eps), out)
+
+
+def _searched(references: np.ndarray, k: int | None, eps: float, count: bool = False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = found = kind = own = None
+
+        def told() -> pa.RecordBatch:
+            if count:
+                return pa.RecordBatch.from_arrays([pa.array([found.compared], pa.int64())], names=["n"])
+            ids = pa.array(found.ids[found.row], kind)
+            return pa.RecordBatch.from_arrays([ids, pa.array(found.ranks(), pa.int32()), pa.array(found.nid, kind), pa.array(found.dist, pa.float64())], names=["id", "rank", "nid", "dist"])
+        for b in batches:
+            for i, key in enumerate(zip(b.column("cell").to_pylist(), b.column("block").to_pylist())):
+                points = b.column("points")[i].values
+                ids, v = _ids(points.field("_id")), _matrix(points.field("_v"))
+                if key != here:
+                    if found is not None:
+                        yield told()
+                    here, found, kind, own = key, Nearest(ids, v, k, eps), points.field("_id").type, _distances(v, references)
+                    continue
+                lo, hi = (b.column(c)[i].values.to_numpy() for c in ("lo", "hi"))
+                gap = np.maximum(lo - own, own - hi).max(axis=1)
+                found.meet(ids, v, np.flatnonzero(gap <= found.limit * (1 + SLACK)))
+                if k is None and len(found.row) and not count:  # every pair counts: hand them on
+                    yield told()
+                    found.row, found.nid, found.dist = found.row[:0], found.nid[:0], found.dist[:0]
+        if found is not None:
+            yield told()
+    return run
+
+
+def radius_pairs(df: DataFrame, id_col: str, vec_col: str, eps: float) -> DataFrame:
+    """All ordered pairs (id, nid, dist) with dist <= eps, self excluded."""
+    return Blocks(df, id_col, vec_col, None, float(eps)).search().select("id", "nid", "dist")
+
+
+def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5) -> DataFrame:
+    """Exact k nearest neighbours (self excluded, ties by neighbour id): (id, rank, nid, dist)."""
+    return Blocks(df, id_col, vec_col, k).search()
+
+
+def knn_probed(df: DataFrame, id_col: str, vec_col: str, k: int = 5, probes: int = PROBES) -> DataFrame:
+    """Approximate k nearest neighbours: each point is compared with the points of the ``probes`` cells
+    nearest to its own (measure the recall with ``recall``)."""
+    return Blocks(df, id_col, vec_col, k).search(probes)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact neighbours that were found."""
+    both = exact.join(found.select("id", "nid"), ["id", "nid"], "left_semi").count()
+    return both / max(1, exact.count())

@@ -14,7 +14,7 @@ def _vectors(spark, n=120, d=6, seed=0):
 
 def test_knn_matches_brute_force(spark):
     df, x = _vectors(spark)
-    got = {(r["id"], r["rank"]): r["nid"] for r in nb.knn(df, "id", "v", 5, cell_size=16).collect()}
+    got = {(r["id"], r["rank"]): r["nid"] for r in nb.knn(df, "id", "v", 5).collect()}
     for i in range(len(x)):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         d[i] = np.inf
@@ -83,3 +83,51 @@ def test_windows_of_the_event_stream_are_not_held_by_the_driver(spark, monkeypat
     d = "/root/testdata/sf0.001"
     got = ps.event_window_drift(spark, d)
     assert sinks == ["table"] and got.selectExpr("sum(n)").first()[0] == spark.read.parquet(f"{d}/events.parquet").count()
+
+
+def _brute(x, k):
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    return [[(j, d[i, j]) for j in sorted(range(len(x)), key=lambda j: (d[i, j], j))[:k]] for i in range(len(x))]
+
+
+def test_knn_over_many_blocks_and_a_hot_cell(spark):
+    """A third of the points are equal, the others lie in clusters of very different density."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.full((700, 3), 0.25), rng.normal(0, 0.01, (700, 3)) + 5, rng.normal(0, 40, (700, 3))])
+    df = spark.createDataFrame([(f"p{i:05d}", [float(c) for c in row]) for i, row in enumerate(x)], "id string, v array<double>")
+    blocks = nb.Blocks(df, "id", "v", 3)
+    assert blocks.table.agg({"n": "max"}).first()[0] < 1.5 * nb.BLOCK and blocks.table.count() >= 5
+    got = {}
+    for r in blocks.search().orderBy("id", "rank").collect():
+        got.setdefault(int(r.id[1:]), []).append((int(r.nid[1:]), r.dist))
+    for i, want in enumerate(_brute(x, 3)):
+        assert [j for j, _ in got[i]] == [j for j, _ in want] and np.allclose([d for _, d in got[i]], [d for _, d in want])
+
+
+def test_radius_pairs_match_brute_force(spark):
+    df, x = _vectors(spark, 1_500, 2)
+    got = {(r.id, r.nid) for r in nb.radius_pairs(df, "id", "v", 0.1).collect()}
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    assert got == {(i, j) for i, j in zip(*np.nonzero(d <= 0.1)) if i != j}
+    assert nb.radius_pairs(df.limit(0), "id", "v", 0.1).count() == 0
+
+
+def test_little_is_compared_in_few_dimensions(spark):
+    """5 and 2 dimensions: far below all pairs."""
+    df, _ = _vectors(spark, 20_000, 2)
+    assert nb.Blocks(df, "id", "v", 5).compared() < 0.1
+    from clarion.plans import models as pm
+
+    docs = pm.scaled_docs(spark, "/root/testdata/sf0.1")
+    assert nb.Blocks(docs, "doc_id", "v", 5).compared() < 0.35
+
+
+def test_probed_search_has_its_recall(spark):
+    """64 dimensions, points around 40 centres: half of the cells are never met."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (40, 64))[rng.integers(0, 40, 4_000)] + rng.normal(0, 0.3, (4_000, 64))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    blocks = nb.Blocks(df, "id", "v", 5)
+    assert blocks.cells == 15 and nb.PROBES < blocks.cells
+    assert nb.recall(blocks.search(nb.PROBES), blocks.search()) >= 0.9
