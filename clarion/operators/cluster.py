@@ -6,8 +6,9 @@ folder named by ``spark.checkpoint.dir`` (see ``clarion.session``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,11 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clarion.operators.neighbors import radius_pairs
-from clarion.session import cut_lineage
+from clarion.session import cut_lineage, kept
 
 # Reference defaults (fixed values).
 KMEANS_K = 2
 KMEANS_RESTARTS = 10
+RESTARTS_AT_A_TIME = 4
 SEED = 42
 DBSCAN_EPS = 1.5
 DBSCAN_MIN_SAMPLES = 5
@@ -30,12 +32,14 @@ def kmeans_best(df: DataFrame, id_col: str, vec_col: str, k: int = KMEANS_K,
     """K-means with ``restarts`` seeds, the lowest training cost wins:
     (id, cluster)."""
     data = df.select(F.col(id_col).alias("id"), array_to_vector(vec_col).alias("features")).cache()
-    best, best_cost = None, float("inf")
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(data)
-        cost = model.summary.trainingCost
-        if cost < best_cost:
-            best, best_cost = model, cost
+
+    def fitted(i: int):
+        return KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(data)
+
+    with ThreadPool(RESTARTS_AT_A_TIME) as pool:
+        models = pool.map(inheritable_thread_target(df.sparkSession)(fitted), range(restarts), chunksize=1)
+    best = min(models, key=lambda m: m.summary.trainingCost)  # the first of equal ones
+    data.unpersist()
     return best.transform(data).select("id", F.col("cluster").cast("int").alias("cluster"))
 
 
@@ -46,25 +50,44 @@ def bisecting_kmeans(df: DataFrame, id_col: str, vec_col: str, k: int = KMEANS_K
     return model.transform(data).select("id", F.col("cluster").cast("int").alias("cluster"))
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
-    """Min-label propagation: (id, comp) with comp = smallest id in the
-    component.  ``edges`` (src, dst) are taken as undirected.  Iterates to a
-    fixed point; each round is a join + groupBy, lineage cut by checkpoint."""
-    und = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    und = und.distinct().cache()
-    lab = vertices.select("id", F.col("id").alias("comp"))
-    lab = cut_lineage(lab)
-    it = 0
-    while True:
-        it += 1
-        prop = und.join(lab.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(
-            F.min("comp").alias("c2"))
-        new = lab.join(prop, "id", "left").select("id", F.least("comp", F.coalesce("c2", "comp")).alias("comp"))
-        new = cut_lineage(new) if it % checkpoint_every == 0 else new.cache()
-        changed = new.join(lab.withColumnRenamed("comp", "old"), "id").where(F.col("comp") != F.col("old")).count()
-        lab = new
-        if changed == 0:
-            return lab
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a vertex gets an edge to the smallest vertex around it."""
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
+    return both.where(F.col("dst") > F.col("src")).join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A vertex and its smaller neighbours get an edge to the smallest of them."""
+    down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    least = down.groupBy("src").agg(F.min("dst").alias("m"))
+    moved = down.join(least, "src").where(F.col("dst") != F.col("m")).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    return moved.unionByName(least.withColumnRenamed("m", "dst")).distinct()
+
+
+def contracted(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (src, dst) from every vertex to the smallest of its component, and the rounds it took.
+
+    Alternating large and small stars; the rounds grow with the logarithm of a
+    component's size, not with its diameter.  Each round is written, so a lost
+    executor costs its tasks only.
+    """
+    edges = kept(edges.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst")), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+    before, rounds = mark(edges), 0
+    while before[0]:
+        edges, rounds = kept(_small_star(_large_star(edges)), "edges"), rounds + 1
+        after = mark(edges)
+        if after == before:
+            break
+        before = after
+    return edges, rounds
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, comp) with comp = smallest id in the component; ``edges`` (src, dst) have no direction."""
+    stars, _ = contracted(edges)
+    return vertices.select("id").join(stars.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("dst", "id").alias("comp"))
 
 
 def numbered(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -86,7 +109,7 @@ def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = DBSCAN_EPS,
     core id; a border point joins the smallest adjacent cluster.
     """
     pts = df.select(F.col(id_col).alias("id"))
-    pairs = radius_pairs(df, id_col, vec_col, eps).cache()
+    pairs = kept(radius_pairs(df, id_col, vec_col, eps), "pairs")
     deg = pairs.groupBy("id").agg((F.count(F.lit(1)) + 1).alias("n_eps"))
     core = deg.where(F.col("n_eps") >= min_samples).select("id")
     core_edges = (pairs.join(core, "id", "left_semi")
@@ -144,7 +167,3 @@ def clusterings_long(methods: dict[str, DataFrame]) -> DataFrame:
         part = frame.select(F.lit(name).alias("method"), "id", "cluster")
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def cluster_sizes(labels: DataFrame, group_cols: Sequence[str] = ("method",)) -> DataFrame:
-    return labels.groupBy(*group_cols, "cluster").agg(F.count(F.lit(1)).alias("n"))

@@ -131,3 +131,14 @@ def test_probed_search_has_its_recall(spark):
     blocks = nb.Blocks(df, "id", "v", 5)
     assert blocks.cells == 15 and nb.PROBES < blocks.cells
     assert nb.recall(blocks.search(nb.PROBES), blocks.search()) >= 0.9
+
+
+def test_a_long_path_takes_few_rounds(spark):
+    n = 10_000
+    ids = np.random.default_rng(1).permutation(n).tolist()
+    path = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+    stars, rounds = cl.contracted(path)
+    assert rounds < 20
+    assert stars.count() == n - 1 and stars.agg({"dst": "max"}).first()[0] == 0
+    two = cl.connected_components(spark.range(5), spark.createDataFrame([(1, 2), (2, 1), (4, 4), (3, 1)], "src long, dst long"))
+    assert {tuple(r) for r in two.collect()} == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 4)}
