@@ -8,7 +8,9 @@
   pivots.  For any reference p, ``| |xp| - |yp| | <= |xy|``, so the gap between
   two blocks' ranges is a lower bound of all their distances.  Cells are paired
   first, then the blocks of the cells that are left.
-* **Search.**  A block's own points bound the k-th distance from above.  Only
+* **Search.**  Blocks of neighbouring cells work as a team of some thousand points,
+  so a block's vectors travel once per team that needs them, not once per block.
+  A block's own points bound the k-th distance from above.  Only
   blocks whose lower bound is within it are met, nearest first, and of a block's
   points only those whose own distances to the references leave room for a
   nearer neighbour.  A radius search meets the blocks within the radius.
@@ -36,6 +38,8 @@ from clarion.session import kept
 #: Points of a block, and the most pivots (each is a vector that every task holds).
 BLOCK, MOST_PIVOTS = 256, 1_024
 REFERENCES = 16
+#: Neighbouring cells, and blocks of one cell, that make a team.
+TEAM = 16
 #: Distances are rounded: bounds give way by this share of the vectors' size.
 SLACK = 1e-9
 PROBES = 8
@@ -118,11 +122,20 @@ def _pivots(points: DataFrame, n: int) -> np.ndarray:
 
 
 def _assign(pivots: np.ndarray, want: int):
+    """Cells by nearest pivot, numbered so that neighbouring numbers lie near each other."""
+    order = [0]
+    left = set(range(1, want))
+    while left:  # from each pivot to the nearest that is left
+        far = np.array(sorted(left))
+        order.append(int(far[((pivots[far] - pivots[order[-1]]) ** 2).sum(axis=1).argmin()]))
+        left.remove(order[-1])
+    ordered = pivots[order] if want else pivots
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cell = _distances(_matrix(b.column("_v")), pivots[:want]).argmin(axis=1) if b.num_rows else np.empty(0, np.int64)
+            cell = _distances(_matrix(b.column("_v")), ordered).argmin(axis=1) if b.num_rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=[*b.schema.names, "cell"])
-    return run
+    return run, ordered
 
 
 def _bounded(pivots: np.ndarray, k: int | None, eps: float):
@@ -164,7 +177,8 @@ class Blocks:
         self.pivots = _pivots(points, self.n)
         want = self.cells = min(MOST_PIVOTS, max(1, self.n // BLOCK), max(1, len(self.pivots)))
         kind = T.StructType([*points.schema.fields, T.StructField("cell", T.IntegerType())])
-        celled = kept(points.mapInArrow(_assign(self.pivots, want), kind), "cells")
+        assign, self.centres = _assign(self.pivots, want) if self.n else (_assign(self.pivots, 0)[0], self.pivots)
+        celled = kept(points.mapInArrow(assign, kind), "cells")
         sizes = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))  # a row per pivot at most
         block = F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")
         grouped = celled.join(F.broadcast(sizes), "cell").groupBy("cell", block.alias("block")).agg(F.collect_list(F.struct("_id", "_v")).alias("points"))
@@ -180,8 +194,7 @@ class Blocks:
         # at most MOST_PIVOTS cells on each side
         near = cells.alias("x").crossJoin(F.broadcast(cells.alias("y"))).where(_gap("x", "y") <= F.col("x.bound")).select(F.col("x.cell").alias("cell"), F.col("y.cell").alias("other"))
         if probes is not None:
-            own = self.pivots[:self.cells]
-            order = np.argsort(_distances(own, own), axis=1, kind="stable")[:, :probes]
+            order = np.argsort(_distances(self.centres, self.centres), axis=1, kind="stable")[:, :probes]
             probed = [(i, int(j)) for i, row in enumerate(order) for j in row]
             near = near.join(F.broadcast(self.table.sparkSession.createDataFrame(probed, "cell int, other int")), ["cell", "other"])
         slim = self.table.drop("points")
@@ -190,12 +203,13 @@ class Blocks:
             "cell", F.col("a.block").alias("block"), "other", F.col("b.block").alias("other_block"), "gap")
 
     def _stream(self, probes: int | None) -> DataFrame:
-        """A block's points, then the blocks that it meets, nearest first."""
+        """A team's blocks, then the other blocks that any of them meets, nearest first."""
+        team = lambda cell, block: (F.floor(F.col(cell) / TEAM) * (1 << 32) + F.floor(F.col(block) / TEAM)).alias("team")
         data = self.table.select(F.col("cell").alias("other"), F.col("block").alias("other_block"), "lo", "hi", "points")
-        met = self.pairs(probes).select("cell", "block", "other", "other_block", "gap").join(data, ["other", "other_block"])
-        own = self.table.select("cell", "block", F.lit(-1.0).alias("gap"), "lo", "hi", "points")
-        rows = own.unionByName(met.select("cell", "block", "gap", "lo", "hi", "points"))
-        return rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "gap")
+        met = self.pairs(probes).groupBy(team("cell", "block"), "other", "other_block").agg(F.min("gap").alias("gap"))
+        rows = self.table.select(team("cell", "block"), F.lit(-1.0).alias("gap"), "lo", "hi", "points").unionByName(
+            met.join(data, ["other", "other_block"]).select("team", "gap", "lo", "hi", "points"))
+        return rows.repartition("team").sortWithinPartitions("team", "gap")
 
     def compared(self) -> float:
         """The share of all ordered pairs of points that an exact search compares."""
@@ -214,30 +228,31 @@ class Blocks:
 
 def _searched(references: np.ndarray, k: int | None, eps: float, count: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = found = kind = own = None
+        here, team, kind = None, [], None  # team: (nearest so far, distances to the references) of each block
 
-        def told() -> pa.RecordBatch:
+        def told(found: Nearest) -> pa.RecordBatch:
             if count:
                 return pa.RecordBatch.from_arrays([pa.array([found.compared], pa.int64())], names=["n"])
             ids = pa.array(found.ids[found.row], kind)
             return pa.RecordBatch.from_arrays([ids, pa.array(found.ranks(), pa.int32()), pa.array(found.nid, kind), pa.array(found.dist, pa.float64())], names=["id", "rank", "nid", "dist"])
         for b in batches:
-            for i, key in enumerate(zip(b.column("cell").to_pylist(), b.column("block").to_pylist())):
+            for i, (key, near) in enumerate(zip(b.column("team").to_pylist(), b.column("gap").to_pylist())):
                 points = b.column("points")[i].values
-                ids, v = _ids(points.field("_id")), _matrix(points.field("_v"))
+                ids, v, kind = _ids(points.field("_id")), _matrix(points.field("_v")), points.field("_id").type
                 if key != here:
-                    if found is not None:
-                        yield told()
-                    here, found, kind, own = key, Nearest(ids, v, k, eps), points.field("_id").type, _distances(v, references)
+                    yield from (told(found) for found, _ in team)
+                    here, team = key, []
+                if near < 0:
+                    team.append((Nearest(ids, v, k, eps), _distances(v, references)))
                     continue
                 lo, hi = (b.column(c)[i].values.to_numpy() for c in ("lo", "hi"))
-                gap = np.maximum(lo - own, own - hi).max(axis=1)
-                found.meet(ids, v, np.flatnonzero(gap <= found.limit * (1 + SLACK)))
-                if k is None and len(found.row) and not count:  # every pair counts: hand them on
-                    yield told()
-                    found.row, found.nid, found.dist = found.row[:0], found.nid[:0], found.dist[:0]
-        if found is not None:
-            yield told()
+                for found, own in team:
+                    gap = np.maximum(lo - own, own - hi).max(axis=1)
+                    found.meet(ids, v, np.flatnonzero(gap <= found.limit * (1 + SLACK)))
+                    if k is None and len(found.row) and not count:  # every pair counts: hand them on
+                        yield told(found)
+                        found.row, found.nid, found.dist = found.row[:0], found.nid[:0], found.dist[:0]
+        yield from (told(found) for found, _ in team)
     return run
 
 
