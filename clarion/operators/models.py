@@ -1,8 +1,7 @@
-"""Model training, tuning and ensembles on MLlib.
+"""Models on all rows with MLlib (M1-M3, M11) and the search spaces (M6).
 
-Every estimator reads a vector column ``features`` and a double ``label``;
-folds come from the deterministic stratified fold column (T3) so results do
-not depend on partitioning.  The metric is recall of class 1.
+Every estimator reads a vector column ``features`` and a double ``label``.  The
+search over all five models, its ensembles and their scores are in ``search``.
 """
 
 from __future__ import annotations
@@ -10,17 +9,11 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
-
-import numpy as np
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +24,7 @@ GRIDS = {
     "gradient_boosting": {"n_estimators": [200, 400], "max_depth": [3, 5, 7], "learning_rate": [0.01, 0.05, 0.1],
                           "subsample": [0.8, 1.0]},
     "svm": {"C": [0.1, 1, 10, 100], "gamma": ["scale", "auto"]},
-    "mlp": {"hidden_layer_sizes": [[64], [64, 32], [128, 64, 32]]},
+    "mlp": {"hidden_layer_sizes": [[64], [64, 32], [128, 64, 32]], "alpha": [0.0001, 0.001, 0.01], "learning_rate_init": [0.001, 0.01]},
 }
 RANDOM_DRAWS = 25          # random search draws for the tree models
 FOLDS = 5
@@ -40,40 +33,6 @@ MAX_DEPTH_NONE = 30        # MLlib's depth cap stands for "no limit"
 TOP_N_ENSEMBLE = 3
 
 
-def recall_evaluator(label: str = "label", pred: str = "prediction") -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(labelCol=label, predictionCol=pred,
-                                             metricName="recallByLabel", metricLabel=1.0)
-
-
-class RandomFourierFeatures(Transformer):
-    """z(x) = sqrt(2/D) cos(W x + b) (Rahimi-Recht 2007): an explicit RBF
-    kernel map.  W (D x d) and b are drawn once from the seed and inlined as
-    literals, so the map is plain column arithmetic."""
-
-    def __init__(self, d: int, n_components: int, gamma: float, seed: int, in_col: str, out_col: str):
-        super().__init__()
-        rng = np.random.default_rng(seed)
-        self.W = rng.normal(0.0, np.sqrt(2 * gamma), size=(n_components, d))
-        self.b = rng.uniform(0, 2 * np.pi, size=n_components)
-        self.in_col, self.out_col = in_col, out_col
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        x = vector_to_array(F.col(self.in_col))
-        scale = float(np.sqrt(2.0 / len(self.b)))
-        feats = []
-        for i in range(len(self.b)):
-            dot = sum((F.lit(float(self.W[i, j])) * x[j] for j in range(self.W.shape[1])), F.lit(float(self.b[i])))
-            feats.append(F.lit(scale) * F.cos(dot))
-        return df.withColumn(self.out_col, array_to_vector(F.array(*feats)))
-
-
-class MarginColumn(Transformer):
-    """Platt scaling input: the LinearSVC margin as a one-element vector."""
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_margin", array_to_vector(F.array(vector_to_array("_margin_raw")[1])))
-
-
 def make_estimator(name: str, params: dict, n_rows: int, n_features: int, seed: int = SEED,
                    features: str = "features", label: str = "label", weight_col: str | None = None):
     """One estimator (or pipeline) per reference model name; sklearn-style
@@ -97,20 +56,6 @@ def make_estimator(name: str, params: dict, n_rows: int, n_features: int, seed:
         return GBTClassifier(featuresCol=features, labelCol=label, maxIter=int(params.get("n_estimators", 100)),
                              maxDepth=int(params.get("max_depth", 3)), stepSize=float(params.get("learning_rate", 0.1)),
                              subsamplingRate=float(params.get("subsample", 1.0)), seed=seed)
-    if name == "svm":
-        gamma = params.get("gamma", "scale")
-        g = 1.0 / n_features if gamma in ("auto", "scale") else float(gamma)  # standardised inputs: scale == auto
-        rff = RandomFourierFeatures(n_features, int(params.get("n_components", 64)), g, seed, features, "_rff")
-        svc = LinearSVC(featuresCol="_rff", labelCol=label, regParam=1.0 / (float(params.get("C", 1.0)) * max(n_rows, 1)),
-                        rawPredictionCol="_margin_raw", predictionCol="_svc_pred")
-        platt_in = MarginColumn()
-        platt = LogisticRegression(featuresCol="_margin", labelCol=label)
-        return Pipeline(stages=[rff, svc, platt_in, platt])
-    if name == "mlp":
-        hidden = list(params.get("hidden_layer_sizes", [64]))
-        return MultilayerPerceptronClassifier(featuresCol=features, labelCol=label,
-                                              layers=[n_features, *hidden, 2], seed=seed,
-                                              maxIter=int(params.get("max_iter", 200)))
     raise ValueError(f"unknown model: {name}")
 
 
@@ -132,86 +77,10 @@ def assemble(df: DataFrame, feature_cols: Sequence[str], label: str = "label",
     return va.transform(df).select(*extra, "features", F.col(label).cast("double").alias("label"))
 
 
-def cross_validate(name: str, data: DataFrame, fold_col: str, candidates: list[dict], n_features: int,
-                   parallelism: int = 4, seed: int = SEED):
-    """M6/M7: k-fold search with a fold column (stratified, T3); every
-    candidate is a separate estimator, so each gets its own parameters.
-    ``parallelism`` fits run at a time.
-    Returns (best_model refit on all rows, best params, mean recall, std recall)."""
-    n = data.count()
-    folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
-    ev = recall_evaluator()
-
-    def recall(job):
-        params, f = job
-        m = make_estimator(name, params, n, n_features, seed).fit(data.where(F.col(fold_col) != f))
-        return ev.evaluate(m.transform(data.where(F.col(fold_col) == f)))
-
-    with ThreadPool(parallelism) as pool:
-        found = pool.map(inheritable_thread_target(data.sparkSession)(recall), list(itertools.product(candidates, folds)), chunksize=1)
-    best = None
-    for i, params in enumerate(candidates):
-        scores = found[i * len(folds): (i + 1) * len(folds)]
-        mean, std = float(np.mean(scores)), float(np.std(scores))
-        if best is None or mean > best[1]:
-            best = (params, mean, std)
-    params, mean, std = best
-    model = make_estimator(name, params, n, n_features, seed).fit(data)
-    return model, params, mean, std
-
-
-def tune_with_crossvalidator(estimator, grid_builder: ParamGridBuilder, data: DataFrame, fold_col: str,
-                             parallelism: int = 4):
-    """M6 with MLlib's CrossValidator (foldCol) for a single estimator whose
-    grid maps onto its own params."""
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid_builder.build(),
-                        evaluator=recall_evaluator(), foldCol=fold_col, parallelism=parallelism)
-    return cv.fit(data)
-
-
 def positive_probability(model, df: DataFrame, out_col: str, prob_col: str = "probability") -> DataFrame:
     return model.transform(df).withColumn(out_col, vector_to_array(prob_col)[1])
 
 
-def voting_probability(models: dict, df: DataFrame, id_col: str) -> DataFrame:
-    """M8: soft voting -- mean of the members' class-1 probabilities, joined by id."""
-    out = None
-    for name, m in models.items():
-        p = m.transform(df).select(id_col, vector_to_array("probability")[1].alias(f"_p_{name}"))
-        out = p if out is None else out.join(p, id_col)
-    cols = [F.col(f"_p_{n}") for n in models]
-    return out.select(id_col, (sum(cols[1:], cols[0]) / len(cols)).alias("score"))
-
-
-def stacking_fit(names_params: dict, data: DataFrame, fold_col: str, n_features: int, seed: int = SEED):
-    """M9: out-of-fold class-1 probabilities of the base models (fit on the
-    other folds, scored on the held-out fold, unioned), a logistic
-    meta-model on them, base models refit on all rows."""
-    n = data.count()
-    folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
-    oof = None
-    for f in folds:
-        tr, ho = data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)
-        part = ho.select("_rid", "label")
-        for name, params in names_params.items():
-            m = make_estimator(name, params, n, n_features, seed).fit(tr)
-            part = part.join(m.transform(ho).select("_rid", vector_to_array("probability")[1].alias(f"_p_{name}")),
-                             "_rid")
-        oof = part if oof is None else oof.unionByName(part)
-    meta_in = VectorAssembler(inputCols=[f"_p_{n}" for n in names_params], outputCol="meta_features")
-    meta = LogisticRegression(featuresCol="meta_features", labelCol="label").fit(meta_in.transform(oof))
-    bases = {name: make_estimator(name, p, n, n_features, seed).fit(data) for name, p in names_params.items()}
-    return bases, meta_in, meta
-
-
-def stacking_probability(bases: dict, meta_in, meta, df: DataFrame, id_col: str) -> DataFrame:
-    out = None
-    for name, m in bases.items():
-        p = m.transform(df).select(id_col, vector_to_array("probability")[1].alias(f"_p_{name}"))
-        out = p if out is None else out.join(p, id_col)
-    return meta.transform(meta_in.transform(out)).select(id_col, vector_to_array("probability")[1].alias("score"))
-
-
 def fallback_model(data: DataFrame, seed: int = SEED) -> PipelineModel:
     """300-tree random forest with balanced class weights."""
     from clarion.operators.features import with_class_weights

@@ -15,8 +15,10 @@ from clarion.operators import evaluate as ev
 from clarion.operators import features as fe
 from clarion.operators import imbalance as im
 from clarion.operators import models as mo
+from clarion.operators import search as se
 from clarion.operators import split as sp
 from clarion.plans.common import Registry, finish
+from clarion.session import kept
 from clarion.plans.sql import doc_features_cte, with_ctes
 from clarion.sources import bindings as b
 
@@ -70,42 +72,36 @@ def resampling_effect(spark, d):
     return finish(ev.classification_table(long_df, ["model"], "label", "pred", "score"), 4)
 
 
+def _folded(spark, d):
+    z = kept(sp.stratified_folds(scaled_docs(spark, d), "label", "row_id", mo.FOLDS, SEED), "folded")
+    return z.where("split = 'train'"), z.where("split = 'test'")
+
+
 @REG.add("ensemble_comparison")
 def ensemble_comparison(spark, d):
-    """M1-M9: per model of ``mo.GRIDS`` a fold-column search of its candidates on
-    recall of class 1 (stratified folds, T3), refit on all training rows; top 3
-    by mean CV recall form the soft-voting and stacking ensembles; one grouped
-    evaluation of all models on the held-out rows."""
-    z = scaled_docs(spark, d)
-    z = sp.stratified_folds(z, "label", "row_id", mo.FOLDS, SEED).cache()
-    train = mo.vector_column(z.where(F.col("split") == "train"), "v").select(
-        F.col("row_id").alias("_rid"), "fold", "features", F.col("label").cast("double").alias("label")).cache()
-    test = mo.vector_column(z.where(F.col("split") == "test"), "v").select(
-        F.col("row_id").alias("_rid"), "features", F.col("label").cast("double").alias("label")).cache()
-    nf = len(b.DOC_FEATURES)
-    fitted, cv = {}, []
-    for pos, name in enumerate(mo.GRIDS):
-        model, params, mean, std = mo.cross_validate(name, train, "fold", mo.param_candidates(name), nf)
-        fitted[name] = (model, params)
-        cv.append((mean, pos, name))
-    top = [n for _, _, n in sorted(cv, key=lambda t: (-t[0], t[1]))[:mo.TOP_N_ENSEMBLE]]
-    scored = []
-    for name, (model, _) in fitted.items():
-        p = mo.positive_probability(model, test, "score").select(F.lit(name).alias("model"), "_rid", "label", "score")
-        scored.append(p)
-    vote = mo.voting_probability({n: fitted[n][0] for n in top}, test, "_rid")
-    scored.append(vote.join(test.select("_rid", "label"), "_rid").select(
-        F.lit("ensemble_voting").alias("model"), "_rid", "label", "score"))
-    bases, meta_in, meta = mo.stacking_fit({n: fitted[n][1] for n in top}, train, "fold", nf)
-    stack = mo.stacking_probability(bases, meta_in, meta, test, "_rid")
-    scored.append(stack.join(test.select("_rid", "label"), "_rid").select(
-        F.lit("ensemble_stacking").alias("model"), "_rid", "label", "score"))
-    long_df = scored[0]
-    for s in scored[1:]:
-        long_df = long_df.unionByName(s)
-    long_df = long_df.withColumn("pred", threshold_label("score"))
-    table = ev.classification_table(long_df, ["model"], "label", "pred", "score")
-    return finish(table.select("model", "accuracy", "precision", "recall", "f1", "roc_auc"), 4)
+    """M1-M9: the candidates of all five models searched on recall of class 1
+    (stratified folds, T3), the best of each fitted on the training rows; top 3
+    by mean recall vote and are stacked; one grouped evaluation of all models on
+    the held-out rows, which meet every model in one pass."""
+    train, test = _folded(spark, d)
+    found = se.search(train, "row_id", "v", "label", "fold")
+    scored = se.scores(test.select("row_id", "v", "label"), "v", found["models"])
+    each = [F.struct(F.lit(n).alias("model"), F.col(f"p.{n}").alias("score")) for n in found["models"]]
+    each.append(F.struct(F.lit("ensemble_voting").alias("model"), se.voting(found["top"]).alias("score")))
+    each.append(F.struct(F.lit("ensemble_stacking").alias("model"), se.stacking(found["top"], found["meta"]).alias("score")))
+    rows = kept(scored.select("row_id", "label", F.explode(F.array(*each)).alias("m")).select("row_id", "label", "m.*"), "scored")
+    table = ev.classification_table(rows.withColumn("pred", threshold_label("score")), ["model"], "label", "pred", "score")
+    best = found["candidates"].where("rank = 1").select("model", "params", "mean_recall", "std_recall")
+    return finish(table.join(best, "model", "left").select("model", "accuracy", "precision", "recall", "f1", "roc_auc", "params", "mean_recall", "std_recall"), 4)
+
+
+@REG.add("search_candidates")
+def search_candidates(spark, d):
+    """M6/M7: mean and std of the folds' recall for every candidate of every model."""
+    train, _ = _folded(spark, d)
+    x, y, folds, _ = se.training_rows(train, "row_id", "v", "label", "fold")
+    grids = {name: mo.param_candidates(name) for name in mo.GRIDS}
+    return finish(se.candidate_table(se.cross_validated(spark, grids, x, y, folds)))
 
 
 @REG.add("anomaly_threshold")

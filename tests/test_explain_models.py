@@ -38,40 +38,15 @@ def test_local_surrogate_shape(spark):
     assert all(isinstance(r["weight"], float) for r in rows)
 
 
-def test_registered_search_is_the_whole_grid(spark, monkeypatch):
-    from clarion.operators import models as mo
+def test_registered_logistic_regressions_are_the_same(spark, monkeypatch):
     from clarion.plans import models as pm
 
-    searched, fitted = {}, []
-
-    def record(name, data, fold_col, candidates, n_features, **kw):
-        searched[name] = (candidates, data.select(fold_col).distinct().count())
-        model = mo.make_estimator("logistic_regression", {}, data.count(), n_features).fit(data)
-        return model, {}, 0.0, 0.0
-
-    monkeypatch.setattr(mo, "cross_validate", record)
-    monkeypatch.setattr(mo, "stacking_fit", lambda *a: fitted.append(a) or (_ for _ in ()).throw(StopIteration))
-    try:
-        pm.ensemble_comparison(spark, "/root/testdata/sf0.001")
-    except StopIteration:
-        pass
-    assert searched == {name: (mo.param_candidates(name), mo.FOLDS) for name in mo.GRIDS} and "svm" in searched
     used = []
     monkeypatch.setattr(pm, "_fit_eval", lambda name, params, train, test: used.append(params) or test.selectExpr("label", "0.5D AS score"))
     pm.resampling_effect(spark, "/root/testdata/sf0.001")
     assert used == [{"C": 1.0}] * 2
 
 
-def test_search_in_threads_keeps_the_order_of_candidates(spark):
-    from clarion.operators import models as mo
-
-    rows = [(float(i % 9), float(i % 7), float((i % 9) + (i % 7) > 7), i % 3) for i in range(180)]
-    data = mo.assemble(spark.createDataFrame(rows, "a double, b double, label double, fold int"), ["a", "b"], extra=["fold"]).cache()
-    cands = [{"C": c} for c in (0.001, 1.0, 100.0)]
-    one, many = (mo.cross_validate("logistic_regression", data, "fold", cands, 2, parallelism=n)[1:] for n in (1, 4))
-    assert one == many
-
-
 def test_registered_shapley_explains_every_feature_of_every_test_row(spark, monkeypatch):
     from clarion.plans import explain as pe
     from clarion.sources import bindings as b
