@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +76,29 @@ def word_count(text: Column) -> Column:
     """Number of words of a text (null: 0), without building the words."""
     squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "w")
     return F.length(F.translate(squeezed, " \t\n\x0b\x0c\r", "")).cast("long")
+
+
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    libc = ctypes.CDLL(None)
+    return libc if hasattr(libc, "malloc_trim") else None
+
+
+def tidy() -> None:
+    """Give memory that a worker no longer uses back to the machine: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+def parts(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of the column ``text``, so that few texts are Python objects at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0)
+        done, at = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(done, (done[at - 1] if at else 0) + most, side="right"))
+            end = min(max(end, at + 1), batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+    tidy()

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarion.llm.common import stored
+from clarion.llm.common import parts, stored
 
 #: A term: letters of ASCII and everything beyond it.
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -65,17 +65,6 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``SLICE_BYTES``."""
-    done = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < batch.num_rows:
-        end = int(np.searchsorted(done, (done[at - 1] if at else 0) + SLICE_BYTES, side="right"))
-        end = min(max(end, at + 1), batch.num_rows)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def count_chunks(part: pa.RecordBatch, first: int, buckets: int, few: int) -> pa.RecordBatch | None:
     """One row per bucket with the chunk counts of a slice of documents; ``first`` numbers its first document."""
     groups = list(zip(part.column("lang").to_pylist(), part.column("source").to_pylist()))
@@ -132,11 +121,10 @@ def _schema(text: str) -> pa.Schema:
 def _counter(buckets: int, few: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in _slices(batch):
-                if (out := count_chunks(part, first, buckets, few)) is not None:
-                    yield out
-                first += part.num_rows
+        for part in parts(batches, "text", SLICE_BYTES):
+            if (out := count_chunks(part, first, buckets, few)) is not None:
+                yield out
+            first += part.num_rows
     return run
 
 

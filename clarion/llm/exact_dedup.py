@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarion.llm.common import fresh, stored
+from clarion.llm.common import fresh, parts, stored
 
 BLANKS = b" \t\n\x0b\x0c\r"
 BUCKET_KEYS, MOST_DEPTH = 2_000, 16
@@ -78,7 +78,7 @@ def build_directory(loads: np.ndarray, bucket_keys: int = BUCKET_KEYS) -> np.nda
 
 def _members(key_of: Callable[[bytes], int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, "text"):
             texts = b.column("text").to_pylist()
             bodies = [normalise(t) for t in texts]
             yield pa.RecordBatch.from_arrays([
@@ -96,7 +96,8 @@ def _pages(directory: np.ndarray, key_of: Callable[[bytes], int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pages: dict[bytes, list] = {}
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                text = text.as_py()
                 body, row = normalise(text), (len(text or ""), doc_id)
                 page = pages.setdefault(body, [row, 0])
                 page[1] += 1

@@ -22,10 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from clarion.llm.common import tidy
+
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 PER_LANG, SPANS, SPAN, MOST_DOCS = 400, 12, 200, 20_000
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.02, 11
@@ -132,13 +135,13 @@ def sample(df: DataFrame, text: str, lang: str, key: str) -> DataFrame:
     spans = F.transform(F.sequence(F.lit(0), F.lit(SPANS - 1)), lambda i: F.substring(F.col("t"), (F.lit(1) + F.floor(i * length / SPANS)).cast("int"), F.lit(SPAN)))
     w = Window.partitionBy("lang").orderBy("h")
     # only hashes and labels are ranked; the spans are cut from the few rows chosen
-    cut = rows.select("lang", "h").withColumn("r", F.row_number().over(w)).where(F.col("r") <= PER_LANG).orderBy("r", "h").limit(MOST_DOCS)
+    cut = rows.select("lang", "h").withColumn("r", F.row_number().over(w)).where(F.col("r") <= PER_LANG).orderBy("r", "h", "lang").limit(MOST_DOCS)
     return rows.join(F.broadcast(cut.select("lang", "h").distinct()), ["lang", "h"]).select("lang", "h", F.array_distinct(spans).alias("spans"))
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ByteNet:
     """Train on a bounded sample of the rows of ``df`` that have a text and a label."""
-    rows = sorted((r.lang, r.h, tuple(r.spans)) for r in sample(df, text, lang, key).limit(2 * MOST_DOCS).collect())
+    rows = sorted((r.lang, r.h, tuple(r.spans)) for r in sample(df, text, lang, key).orderBy("h", "lang", F.xxhash64("spans"), "spans").limit(2 * MOST_DOCS).collect())
     langs = sorted({r[0] for r in rows})
     net = ByteNet(langs)
     if not rows:
@@ -162,17 +165,18 @@ def predict_column(text: Column, net: ByteNet) -> Column:
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tabs = net.tables()
         for batch in batches:
-            texts = batch.to_pylist()
-            langs, scores, best = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-            todo = [k for k, t in enumerate(texts) if net.langs and t and _LETTER.search(t)]
+            langs, scores, best = (np.full(len(batch), x) for x in ("und", 0.0, 0.0))
+            langs = langs.astype(object)
+            sizes = pc.fill_null(pc.binary_length(batch), 0).to_pylist()
+            todo = [k for k, t in enumerate(batch) if net.langs and _LETTER.search(t.as_py() or "")]
             at = 0
             while at < len(todo):
                 part, size = [], 0
                 while at < len(todo) and (not part or size < 4_000_000):
                     part.append(todo[at])
-                    size += len(texts[todo[at]])
+                    size += sizes[todo[at]]
                     at += 1
-                x, owner, filled = windows([texts[k].encode() for k in part])
+                x, owner, filled = windows([batch[k].as_buffer().to_pybytes() for k in part])
                 p = net.probabilities(x, tabs)
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 top = np.maximum.reduceat(p.max(axis=1), starts)
@@ -183,6 +187,7 @@ def predict_column(text: Column, net: ByteNet) -> Column:
                     scores[k] = min(1.0, round(float(row.max()), 6))
                     best[k] = min(1.0, round(float(most), 6))
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(best, pa.float64())], fields=list(kind))
+        tidy()
 
     return predict(text)
 

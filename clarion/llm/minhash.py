@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarion.llm.common import SHINGLE_WORDS, SIMILARITY, stored
+from clarion.llm.common import SHINGLE_WORDS, SIMILARITY, parts, stored, tidy
 
 BANDS, ROWS = 32, 5
 UNIVERSE, SEED = 1 << 22, 20_250_101
@@ -89,8 +89,9 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """The first permutation, and for each place the second one's values under all shifts."""
     rng = np.random.default_rng(SEED)
-    scatter = rng.permutation(UNIVERSE).astype(np.int32)
-    ring = rng.permutation(UNIVERSE).astype(np.int32)
+    scatter, ring = np.arange(UNIVERSE, dtype=np.int32), np.arange(UNIVERSE, dtype=np.int32)
+    rng.shuffle(scatter)
+    rng.shuffle(ring)
     k = BANDS * ROWS
     return scatter, np.lib.stride_tricks.sliding_window_view(np.concatenate([ring, ring[: k - 1]]), k)
 
@@ -113,7 +114,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, "text"):
             n, keys, bands = [], [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, words)
@@ -122,13 +123,18 @@ def _sketch(words: int):
                 bands.append(band_keys(signature(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.string()),
                                               pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "class", "bands"])
+        _HASHES.clear()
+        _tables.cache_clear()
+        tidy()
     return run
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([shingles(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["rep", "hashes"])
+        _HASHES.clear()
+        tidy()
     return run
 
 
