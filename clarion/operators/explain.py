@@ -147,7 +147,8 @@ def shapley_sampled(model, rows: DataFrame, id_col: str, features: Sequence[str]
     rp = rp.withColumn("_order", F.transform(order, lambda s: s["i"])) \
            .withColumn("_bk", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_id"), F.col("_perm")), F.lit(n_bg)))
     bgr = bg.select("_bk", F.array(*[F.col(c) for c in features]).alias("_b"))
-    rp = rp.join(F.broadcast(bgr) if n_bg <= 10_000 else bgr, "_bk").withColumn(
+    # Spark broadcasts the background while it is small
+    rp = rp.join(bgr, "_bk").withColumn(
         "_x", F.array(*[F.col(c) for c in features]))
     # step j = 0..d : first j features of the permutation come from x
     steps = rp.select("_id", "_perm", "_order", "_x", "_b",
@@ -160,18 +161,19 @@ def shapley_sampled(model, rows: DataFrame, id_col: str, features: Sequence[str]
     va = VectorAssembler(inputCols=list(features), outputCol=features_col)
     scored = model.transform(va.transform(coal)).select(
         "_id", "_perm", "_order", "_j", vector_to_array(prob_col)[1].alias("_f"))
-    w = Window.partitionBy("_id", "_perm").orderBy("_j")
-    diffs = scored.withColumn("_prev", F.lag("_f").over(w)).where(F.col("_j") > 0).select(
-        "_id", F.element_at("_order", F.col("_j")).alias("_fi"), (F.col("_f") - F.col("_prev")).alias("_delta"))
+    # a coalition's score counts for the feature that it adds and against the one that the next coalition adds;
+    # a row's coalitions are made in one task, so what is shuffled is one sum per row and feature
+    signed = F.array(F.struct(F.when(F.col("_j") > 0, F.element_at("_order", F.greatest("_j", F.lit(1)))).alias("i"), F.col("_f").alias("f")),
+                     F.struct(F.when(F.col("_j") < d, F.element_at("_order", F.least(F.col("_j") + 1, F.lit(d)))).alias("i"), (-F.col("_f")).alias("f")))
+    sums = scored.select("_id", F.explode(signed).alias("s")).where("s.i IS NOT NULL").groupBy("_id", F.col("s.i").alias("_fi")).agg(F.sum("s.f").alias("_sum"))
     names = F.array(*[F.lit(c) for c in features])
-    return diffs.groupBy("_id", "_fi").agg(F.avg("_delta").alias("contribution")).select(
-        F.col("_id").alias(id_col), F.element_at(names, F.col("_fi") + 1).alias("feature"), "contribution")
+    return sums.select(F.col("_id").alias(id_col), F.element_at(names, F.col("_fi") + 1).alias("feature"), (F.col("_sum") / n_permutations).alias("contribution"))
 
 
 # ------------------------------------------------------------------ X6 local surrogate
 
 def local_surrogate(model, rows: DataFrame, id_col: str, features: Sequence[str], training: DataFrame,
-                    n_samples: int = 500, num_features: int = 8, kernel_width: float | None = None,
+                    n_samples: int = 5_000, num_features: int = 8, kernel_width: float | None = None,
                     seed: int = 42, prob_col: str = "probability", features_col: str = "features",
                     ridge: float = 1.0) -> DataFrame:
     """Quartile-discretised local linear surrogate per row.

@@ -6,10 +6,10 @@ All statistics of a frame are computed in one aggregation pass where possible
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,23 +82,42 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Dat
     return filled, med_long
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
-    """Q9/A5: Pearson matrix in one distributed pass (MLlib ``Correlation``:
-    a treeAggregate of the centred Gramian, not d(d-1)/2 aggregate
-    expressions).  Rows with a NULL in any column are skipped (complete
-    cases).  The d x d result is bounded by the column count."""
-    va = VectorAssembler(inputCols=[c for c in columns], outputCol="_corr_v", handleInvalid="skip")
-    vec = va.transform(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
-    m = Correlation.corr(vec, "_corr_v", "pearson").first()[0]
-    return m.toArray().tolist()
+def _pair_sums(shift: list[float]):
+    """Per task the sums over rows that have both columns of a pair, of values less ``shift``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = len(shift)
+        sums = np.zeros((6, d, d))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(float) - shift
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            sums += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        i, j = np.triu_indices(d, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(s[i, j]) for s in sums]], names=["i", "j", *_SUMS])
+    return run
+
+
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
 
 
 def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Q9: every ordered pair i < j as (col_i, col_j, r)."""
+    """Q9/A5: Pearson's r of every pair i < j as (col_i, col_j, r), over the rows that have both values.
+
+    One pass of masked co-moments (n, sums, squares and products per pair, added
+    up over the tasks) around the column means; NULL where fewer than two rows
+    have both or a column does not vary there.
+    """
     cols = list(columns)
-    m = correlation_matrix(df, cols)
-    rows = [(a, c, float(m[i][j])) for i, a in enumerate(cols) for j, c in enumerate(cols) if j > i]
-    return df.sparkSession.createDataFrame(rows, "col_i string, col_j string, r double")
+    plain = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
+    means = plain.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    parts = plain.mapInArrow(_pair_sums([float(m) if m is not None else 0.0 for m in means]), "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS))
+    # a row per pair and task
+    total = parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+    n, x, y, xx, yy, xy = (F.col(s) for s in _SUMS)
+    spread = (xx - x * x / n) * (yy - y * y / n)
+    r = F.when((n >= 2) & (xx - x * x / n > 0) & (yy - y * y / n > 0), (xy - x * y / n) / F.sqrt(spread))
+    names = F.array(*[F.lit(c) for c in cols])
+    return total.select(names[F.col("i")].alias("col_i"), names[F.col("j")].alias("col_j"), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("r"))
 
 
 def box_summary(df: DataFrame, columns: Sequence[str], label: str = "label", whis: float = 1.5) -> DataFrame:

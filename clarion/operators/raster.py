@@ -320,14 +320,24 @@ def heatmap_iou(hm: DataFrame, heat: str = "heat", mask: str = "mask", threshold
     return agg.withColumn("iou", F.when(F.col("union") > 0, F.col("intersection") / F.col("union")).otherwise(0.0))
 
 
+def mean_iou(iou: DataFrame) -> DataFrame:
+    """One row (n_masked, mean_iou) over the images with a mask; NULL mean without one."""
+    return iou.agg(F.count(F.lit(1)).alias("n_masked"), F.avg("iou").alias("mean_iou"))
+
+
+#: What the segmentation loss of a mode adds up.
+LOSS_PARTS = {"dice": ("dice",), "bce": ("bce",), "dice_bce": ("dice", "bce")}
+
+
 def segmentation_losses(px: DataFrame, logit: str = "logit", target: str = "target",
                         mode: str = "dice_bce") -> DataFrame:
     """Per-image Dice loss 1 - (2 sum pt + eps) / (sum p + sum t + eps) with
     p = sigmoid(logit), and mean pixel BCE-with-logits; averaged over images
     with a mask only, exactly 0 when no image has one.  One row:
     (n_masked, dice, bce, loss)."""
-    if mode not in {"dice", "bce", "dice_bce"}:
-        raise ValueError(f"unknown lesion_loss_type: {mode}")
+    summed = LOSS_PARTS.get(mode)
+    if summed is None:
+        raise KeyError(f"segmentation loss {mode!r}: one of {sorted(LOSS_PARTS)}")
     x, t = F.col(logit), F.col(target)
     p = 1.0 / (1.0 + F.exp(-x))
     bce = F.greatest(x, F.lit(0.0)) - x * t + F.log1p(F.exp(-F.abs(x)))
@@ -336,10 +346,8 @@ def segmentation_losses(px: DataFrame, logit: str = "logit", target: str = "targ
     per = per.select(
         (1.0 - (2.0 * F.col("_pt") + EPS_DICE) / (F.col("_p") + F.col("_t") + EPS_DICE)).alias("_dice"), "_bce")
     agg = per.agg(F.count(F.lit(1)).alias("n_masked"), F.avg("_dice").alias("dice"), F.avg("_bce").alias("bce"))
-    dice = F.coalesce(F.col("dice"), F.lit(0.0))
-    bce_m = F.coalesce(F.col("bce"), F.lit(0.0))
-    loss = {"dice": dice, "bce": bce_m, "dice_bce": dice + bce_m}[mode]
-    return agg.select("n_masked", dice.alias("dice"), bce_m.alias("bce"), loss.alias("loss"))
+    per_part = agg.select("n_masked", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("dice", "bce")])
+    return per_part.withColumn("loss", sum((F.col(c) for c in summed[1:]), F.col(summed[0])))
 
 
 def joint_loss(class_df: DataFrame, seg: DataFrame, weight: float = 0.5,

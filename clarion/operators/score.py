@@ -12,6 +12,24 @@ from clarion.functions.columns import (
     DEFAULT_THRESHOLD, half_even, risk_tier, threshold_class, threshold_label)
 
 
+def select_family(df: DataFrame, family: str | Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """The columns of a family, in table order, and ``extra`` behind them.
+
+    A string is a suffix (``mean`` takes every column that ends in ``_mean``), a
+    sequence names the columns; nothing chosen is an error, as is a name that
+    the table does not have.
+    """
+    if isinstance(family, str):
+        chosen = [c for c in df.columns if c.endswith(f"_{family}")]
+    else:
+        chosen = [c for c in df.columns if c in set(family)]
+        if absent := sorted(set(family) - set(chosen)):
+            raise ValueError(f"no such columns: {', '.join(absent)}")
+    if not chosen:
+        raise ValueError(f"no column of the family {family!r}")
+    return df.select(*chosen, *[c for c in extra if c not in chosen])
+
+
 def label_scores(df: DataFrame, score: str = "score", threshold: float = DEFAULT_THRESHOLD,
                  strict: bool = False, digits: int = 4) -> DataFrame:
     """Predicted class and risk tier from the raw probability; the

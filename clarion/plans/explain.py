@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,13 @@ from clarion.operators import raster as ra
 from clarion.operators import split as sp
 from clarion.plans import tabular as tb
 from clarion.plans.common import Registry, finish
-from clarion.plans.raster import attention_concentration as _conc_q, glcm_features as _glcm_q  # noqa: F401
+from clarion.plans.raster import REG as RASTER
 from clarion.plans.sql import HEAT_MASK_CTE, LINE_FEATURES_CTE, r6, with_ctes
 from clarion.sources import bindings as b
 
 REG = Registry()
+MODEL_SOURCE = "fixed coefficients"
+PROVENANCE = ("score", "model_source", "is_demo")
 
 
 def _scaled_split(spark, d):
@@ -36,14 +40,14 @@ def contribution_rows(spark, d):
     """row_id, model, score and the contributions of every test row, for both linear scorers."""
     z = _scaled_split(spark, d)
     train, test = z.where(F.col("split") == "train"), z.where(F.col("split") == "test")
-    parts = [ex.contribution_rows(test.select("*", F.lit(name).alias("model"), squash(tb._zscore_logit(name)).alias("score")),
-                                  ["row_id", "model", "score"], list(w), w, train)
+    parts = [ex.contribution_rows(test.select("*", F.lit(name).alias("model"), squash(tb._zscore_logit(name)).alias("score"), F.lit(MODEL_SOURCE).alias("model_source"), F.lit(False).alias("is_demo")),
+                                  ["row_id", "model", "score", "model_source", "is_demo"], list(w), w, train)
              for name, (_, w) in tb.SCALED_SCORERS.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
 def contributions(spark, d):
-    return ex.linear_contributions(contribution_rows(spark, d).drop("score"))
+    return ex.linear_contributions(contribution_rows(spark, d).drop(*PROVENANCE))
 
 
 def _contrib_sql_ctes() -> list[str]:
@@ -72,7 +76,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY row_id, model ORDER BY abs(cont
 SELECT row_id, model, CAST(rank AS INTEGER) AS rank, feature, {r6('value')} AS value,
        {r6('contribution')} AS contribution FROM rk WHERE rank <= {ex.TOP_K_DEFAULT}"""))
 def top_contributors(spark, d):
-    return finish(ex.top_contributors(contribution_rows(spark, d).drop("score"), ex.TOP_K_DEFAULT))
+    return finish(ex.top_contributors(contribution_rows(spark, d).drop(*PROVENANCE), ex.TOP_K_DEFAULT))
 
 
 @REG.add("global_importance", with_ctes(LINE_FEATURES_CTE, *_contrib_sql_ctes(), """
@@ -111,7 +115,7 @@ def summary_text(spark, d):
 @REG.add("drill_down", with_ctes(LINE_FEATURES_CTE, *_contrib_sql_ctes(), """
 rk AS (SELECT *, row_number() OVER (PARTITION BY row_id, model ORDER BY abs(contribution) DESC, feature) AS rank
        FROM contrib)""", body=f"""
-SELECT row_id, model, {r6('any_value(score)')} AS score,
+SELECT row_id, model, '{MODEL_SOURCE}' AS model_source, FALSE AS is_demo, {r6('any_value(score)')} AS score,
        CASE WHEN any_value(score) >= 0.5 THEN 'Malignant' ELSE 'Benign' END AS predicted_class,
        CASE WHEN any_value(score) < 0.35 THEN 'Low' WHEN any_value(score) < 0.65 THEN 'Moderate' ELSE 'High' END AS risk_tier,
        string_agg(feature, ',' ORDER BY rank) AS contributors, {r6('sum(contribution)')} AS contribution_sum
@@ -120,7 +124,7 @@ def drill_down(spark, d):
     """X3 over the whole test split."""
     x = ex.drill_down(contribution_rows(spark, d))
     total = F.aggregate("contributors", F.lit(0.0), lambda acc, s: acc + s["contribution"])
-    return finish(x.select("row_id", "model", "score", "predicted_class", "risk_tier",
+    return finish(x.select("row_id", "model", "model_source", "is_demo", "score", "predicted_class", "risk_tier",
                            F.array_join("contributors.feature", ",").alias("contributors"), total.alias("contribution_sum")))
 
 
@@ -138,14 +142,21 @@ def specimen_tag_q(spark, d):
     return b.table(spark, d, "pages").select("page_id", specimen_tag("url").alias("tag"))
 
 
-@REG.add("attention_narrative")
+@REG.add("attention_narrative", f"""
+WITH conc AS ({RASTER.oracles["attention_concentration"]}), tex AS ({RASTER.oracles["glcm_features"]})
+SELECT image_id, concentration, CASE WHEN concentration > 0.4
+    THEN 'Grad-CAM attention is concentrated on a localized region (attention concentration ' || printf('%.2f', concentration)
+      || '), consistent with a discrete mass/calcification pattern, alongside a GLCM contrast of ' || printf('%.1f', glcm_contrast)
+      || ' and homogeneity of ' || printf('%.2f', glcm_homogeneity) || ' in the analyzed region.'
+    ELSE 'Grad-CAM attention is diffuse across the tissue (concentration ' || printf('%.2f', concentration)
+      || ') rather than localized on a single structure, with a GLCM contrast of ' || printf('%.1f', glcm_contrast) || ' over the full patch.' END AS narrative
+FROM conc JOIN tex USING (image_id)""")
 def attention_narrative(spark, d):
     """X10 over every image: concentration of its heatmap with the texture of its grid."""
     conc = ra.attention_concentration(b.heat_mask(spark, d))
     tex = ra.glcm_features(b.grids(spark, d))
-    j = conc.join(tex, "image_id")
-    return j.select("image_id", F.round("concentration", 6).alias("concentration"),
-                    ex.attention_narrative(j).alias("narrative"))
+    j = finish(conc.join(tex, "image_id"))
+    return j.select("image_id", "concentration", ex.attention_narrative(j).alias("narrative"))
 
 
 @REG.add("shapley_contributions")
@@ -159,8 +170,23 @@ def shapley_contributions(spark, d):
     va = VectorAssembler(inputCols=feats, outputCol="features")
     model = LogisticRegression(featuresCol="features", labelCol="label", maxIter=50).fit(
         va.transform(train).select("features", F.col("label").cast("double").alias("label")))
-    from pyspark.ml import PipelineModel
     pipe = PipelineModel(stages=[model])
     bg = sp.capped_sample(train, 100, "row_id", tb.SEED)
     test = z.where(F.col("split") == "test")
     return finish(ex.shapley_sampled(pipe, test, "row_id", feats, bg))
+
+
+@REG.add("local_surrogate")
+def local_surrogate(spark, d):
+    """X6 for the most uncertain rows of the test split, the cases a reader opens: the 20 whose
+    probability is nearest one half (a top-k report).  Training-dependent: rows-only check."""
+    z = _scaled_split(spark, d)
+    feats = list(b.LINE_FEATURES)
+    train = z.where(F.col("split") == "train")
+    va = VectorAssembler(inputCols=feats, outputCol="features")
+    model = PipelineModel(stages=[LogisticRegression(featuresCol="features", labelCol="label", maxIter=50).fit(
+        va.transform(train).select("features", F.col("label").cast("double").alias("label")))])
+    test = z.where(F.col("split") == "test")
+    near = model.transform(va.transform(test)).withColumn("_d", F.abs(vector_to_array("probability")[1] - 0.5))
+    cases = near.orderBy("_d", "row_id").limit(20).select("row_id", *feats)
+    return finish(ex.local_surrogate(model, cases, "row_id", feats, train))

@@ -152,6 +152,15 @@ def heatmap_iou(spark, d):
     return finish(ra.heatmap_iou(b.heat_mask(spark, d)))
 
 
+@REG.add("mean_iou", with_ctes(HEAT_MASK_CTE, """
+per AS (SELECT image_id, count(*) FILTER (WHERE heat >= 0.5 AND mask > 0.5) AS i, count(*) FILTER (WHERE heat >= 0.5 OR mask > 0.5) AS u
+        FROM heat_mask WHERE has_mask GROUP BY image_id)""", body=f"""
+SELECT count(*) AS n_masked, {r6('avg(CASE WHEN u > 0 THEN i / u ELSE 0.0 END)')} AS mean_iou FROM per"""))
+def mean_iou(spark, d):
+    """R15 over all images with a mask."""
+    return finish(ra.mean_iou(ra.heatmap_iou(b.heat_mask(spark, d))))
+
+
 def _loss_frame(spark, d):
     hm = b.heat_mask(spark, d)
     return hm.select("image_id", "has_mask", (LOGIT_GAIN * (F.col("heat") - 0.5)).alias("logit"),

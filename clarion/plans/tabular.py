@@ -102,6 +102,23 @@ def corr_long(spark, d):
     return finish(qa.correlation_long(b.line_features(spark, d), ALL_COLS))
 
 
+@REG.add("corr_missing", with_ctes(with_missing_cte(), body=" UNION ALL ".join(
+    f"SELECT '{a}' AS col_i, '{c}' AS col_j, {r6(f'corr({a}, {c}) FILTER ({a} IS NOT NULL AND {c} IS NOT NULL)')} AS r FROM with_missing"
+    for a, c in _pairs(ALL_COLS))))
+def corr_missing(spark, d):
+    """Q9 where values are missing: each pair over the rows that have both."""
+    return finish(qa.correlation_long(b.with_missing(spark, d), ALL_COLS))
+
+
+@REG.add("corr_family", with_ctes(LINE_FEATURES_CTE, body=" UNION ALL ".join(
+    f"SELECT '{a}' AS col_i, '{c}' AS col_j, {r6(f'corr({a}, {c})')} AS r FROM line_features"
+    for a, c in _pairs(["ext", "net", "label"]))))
+def corr_family(spark, d):
+    """The price family and the label, then Q9 over them."""
+    chosen = sc.select_family(b.line_features(spark, d), b.FAMILIES["price"], extra=["label"])
+    return finish(qa.correlation_long(chosen, chosen.columns))
+
+
 def _box_sql() -> str:
     unp = " UNION ALL ".join(f"SELECT label, '{c}' AS feature, {c} AS x FROM line_features" for c in BOX_FEATURES)
     return with_ctes(LINE_FEATURES_CTE, f"lg AS ({unp})", """

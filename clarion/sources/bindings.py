@@ -158,6 +158,9 @@ def heat_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce("has_mask", F.lit(False)).alias("has_mask")))
 
 
+#: Families of line features (P2): the measures that end in a suffix, or are named.
+FAMILIES = {"price": ["ext", "net"], "rate": ["discount", "tax"], "amount": ["quantity", "unit", "charge"]}
+
 # Fixed-coefficient scorers (logit squashed to (0,1), see ``squash``) over line features (the same expressions
 # are written in SQL for the oracle).  name -> (intercept, {feature: weight}).
 SCORERS = {
