@@ -1,9 +1,11 @@
 """Raster-grid operators on pixel tables ``(image_id, r, c, level)``.
 
-Per-image library calls become relational jobs: a neighbourhood is an
-equi-join on shifted coordinates, a histogram is a ``groupBy``, a top
-fraction is a rank inside one image (bounded by the image's resolution, never
-by the data size).  All grouping is keyed by ``image_id`` first.
+Per-image library calls become relational jobs: a histogram is a ``groupBy``, a
+top fraction is a rank inside one image (bounded by the image's resolution,
+never by the data size).  Neighbourhoods work on ``strips``: some rows of an
+image as arrays, with a halo of the rows around them, gathered in one shuffle;
+the neighbours of a pixel are then places in the arrays, so nothing is joined
+and a large image is many rows.  All grouping is keyed by ``image_id`` first.
 """
 
 from __future__ import annotations
@@ -44,13 +46,47 @@ def dims(px: DataFrame) -> DataFrame:
     return px.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
 
 
-def _reflect101(x, n):
-    """OpenCV BORDER_REFLECT_101 for one step outside: -1 -> 1, n -> n - 2."""
-    return F.when(x < 0, -x).when(x >= n, 2 * (n - 1) - x).otherwise(x)
+#: Rows of an image that make a strip.
+STRIP = 64
 
 
-def _replicate(x, n):
-    return F.least(F.greatest(x, F.lit(0)), n - 1)
+def strips(px: DataFrame, halo: int, value: str = "level") -> DataFrame:
+    """(image_id, first, own, w, top, lines): ``own`` rows of an image from row ``first`` on, each an array
+    of doubles; ``lines`` also has the up to ``halo`` rows around them and begins with row ``top``.
+
+    Images have all their pixels.  A strip is bounded by the image's width.
+    """
+    of = F.explode(F.sequence(F.greatest(F.floor((F.col("r") - halo) / STRIP), F.lit(0)), F.floor((F.col("r") + halo) / STRIP)))
+    dealt = px.select("image_id", "r", "c", F.col(value).cast("double").alias("v"), of.alias("strip"))
+    held = dealt.groupBy("image_id", "strip").agg(F.sort_array(F.collect_list(F.struct("r", "c", "v"))).alias("p"), (F.max("c") + 1).alias("w"),
+                                                  F.min("r").alias("top"), F.max("r").alias("bottom"))
+    first = (F.col("strip") * STRIP).cast("int")
+    own = F.least(first + STRIP - 1, F.col("bottom")) - first + 1
+    lines = F.transform(F.sequence(F.lit(0), F.col("bottom") - F.col("top")), lambda i: F.transform(F.slice("p", i * F.col("w") + 1, F.col("w")), lambda x: x["v"]))
+    return held.where(F.col("bottom") >= first).select("image_id", first.alias("first"), own.alias("own"), "w", "top", "bottom", lines.alias("lines"))
+
+
+def _mirrored(at, last):
+    """OpenCV BORDER_REFLECT_101: -1 -> 1, last + 1 -> last - 1; a side of one stays."""
+    back = F.when(at < 0, -at).when(at > last, 2 * last - at).otherwise(at)
+    return F.least(F.greatest(back, F.lit(0)), last)
+
+
+def _repeated(at, last):
+    return F.least(F.greatest(at, F.lit(0)), last)
+
+
+def neighbourhoods(px: DataFrame, of_pixel, border=_mirrored, halo: int = 1, value: str = "level") -> DataFrame:
+    """(image_id, r, c, out): ``of_pixel(at)`` for every pixel, where ``at(dr, dc)`` is a neighbour's value."""
+    held = strips(px, halo, value)
+    # the border is laid around the strip, so that every neighbour is there
+    line = lambda r: F.col("lines")[(F.greatest(F.least(border(r, F.col("bottom")), F.col("bottom")), F.col("top")) - F.col("top")).cast("int")]
+    wide = lambda row: F.transform(F.sequence(F.lit(-halo), F.col("w") - 1 + halo), lambda c: row[border(c, F.col("w") - 1).cast("int")])
+    held = held.withColumn("m", F.transform(F.sequence(F.col("first") - halo, F.col("first") + F.col("own") - 1 + halo), lambda r: wide(line(r))))
+    made = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.transform(
+        F.sequence(F.lit(0), F.col("w") - 1), lambda c: of_pixel(lambda dr, dc: F.col("m")[(i + halo + dr).cast("int")][(c + halo + dc).cast("int")])))
+    rows = held.select("image_id", "first", F.posexplode(made).alias("i", "line"))
+    return rows.select("image_id", (F.col("first") + F.col("i")).alias("r"), F.posexplode("line").alias("c", "out"))
 
 
 def grayscale(bgr: DataFrame) -> DataFrame:
@@ -60,32 +96,12 @@ def grayscale(bgr: DataFrame) -> DataFrame:
     return bgr.select("image_id", "r", "c", y.cast("int").alias("level"))
 
 
-def _neighbour_values(px: DataFrame, offsets, border: str = "reflect101", value: str = "level") -> DataFrame:
-    """For every target pixel and offset (dr, dc, w): the source value with the
-    border rule applied.  Returns (image_id, r, c, w, v[, k])."""
-    d = dims(px)
-    offs = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(float(w)).alias("w"),
-                              F.lit(k).alias("k"))
-                     for k, (dr, dc, w) in enumerate(offsets)])
-    fix = _reflect101 if border == "reflect101" else _replicate
-    tgt = px.select("image_id", "r", "c").join(d, "image_id").select(
-        "image_id", "r", "c", "h", "w", F.explode(offs).alias("o"))
-    tgt = tgt.select("image_id", "r", "c", F.col("o.w").alias("wt"), F.col("o.k").alias("k"),
-                     fix(F.col("r") + F.col("o.dr"), F.col("h")).alias("sr"),
-                     fix(F.col("c") + F.col("o.dc"), F.col("w")).alias("sc"))
-    src = px.select("image_id", F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(value).alias("v"))
-    return tgt.join(src, ["image_id", "sr", "sc"]).select("image_id", "r", "c", "wt", "k", "v")
-
-
 def sobel_magnitude(px: DataFrame) -> DataFrame:
     """Per pixel Sobel gx, gy (3x3, reflect-101 border) and magnitude."""
-    offs = sorted({(dr, dc) for dr, dc, _ in SOBEL_X + SOBEL_Y})
-    wx = {(dr, dc): w for dr, dc, w in SOBEL_X}
-    wy = {(dr, dc): w for dr, dc, w in SOBEL_Y}
-    nb = _neighbour_values(px, [(dr, dc, 0) for dr, dc in offs])
-    kx = F.element_at(F.array(*[F.lit(float(wx.get(o, 0))) for o in offs]), F.col("k") + 1)
-    ky = F.element_at(F.array(*[F.lit(float(wy.get(o, 0))) for o in offs]), F.col("k") + 1)
-    g = nb.groupBy("image_id", "r", "c").agg(F.sum(kx * F.col("v")).alias("gx"), F.sum(ky * F.col("v")).alias("gy"))
+    def of_pixel(at):
+        gx, gy = (sum((float(w) * at(dr, dc) for dr, dc, w in kernel[1:]), float(kernel[0][2]) * at(*kernel[0][:2])) for kernel in (SOBEL_X, SOBEL_Y))
+        return F.struct(gx.alias("gx"), gy.alias("gy"))
+    g = neighbourhoods(px, of_pixel).select("image_id", "r", "c", "out.gx", "out.gy")
     return g.withColumn("mag", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
 
 
@@ -95,27 +111,29 @@ def sobel_stats(px: DataFrame) -> DataFrame:
         F.avg("mag").alias("sobel_mean"), F.stddev_pop("mag").alias("sobel_std"))
 
 
+AROUND = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
+
+
 def median_denoise(px: DataFrame) -> DataFrame:
     """R5 median 3x3 (replicated border): the 5th of the 9 sorted neighbours."""
-    offs = [(dr, dc, 1) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
-    nb = _neighbour_values(px, offs, border="replicate")
-    return nb.groupBy("image_id", "r", "c").agg(
-        F.element_at(F.array_sort(F.collect_list("v")), 5).cast("int").alias("level"))
+    middle = lambda at: F.element_at(F.array_sort(F.array(*[at(dr, dc) for dr, dc in AROUND])), 5)
+    return neighbourhoods(px, middle, _repeated).select("image_id", "r", "c", F.col("out").cast("int").alias("level"))
 
 
 def gaussian_denoise(px: DataFrame) -> DataFrame:
     """R5 Gaussian 3x3 (kernel [1,2,1] x [1,2,1] / 16, reflect-101 border)."""
-    offs = [(dr, dc, (2 - abs(dr)) * (2 - abs(dc)) / 16.0) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
-    nb = _neighbour_values(px, offs)
-    return nb.groupBy("image_id", "r", "c").agg(F.sum(F.col("wt") * F.col("v")).alias("value"))
+    blurred = lambda at: sum((at(dr, dc) * ((2 - abs(dr)) * (2 - abs(dc)) / 16.0) for dr, dc in AROUND), F.lit(0.0))
+    return neighbourhoods(px, blurred).select("image_id", "r", "c", F.col("out").alias("value"))
+
+
+#: R5 by name.
+DENOISERS = {"median": median_denoise, "gaussian": gaussian_denoise}
 
 
 def denoise(px: DataFrame, method: str = "median") -> DataFrame:
-    if method == "median":
-        return median_denoise(px)
-    if method == "gaussian":
-        return gaussian_denoise(px)
-    raise ValueError(f"unknown denoise method: {method}")
+    if method not in DENOISERS:
+        raise KeyError(f"denoiser {method!r}: one of {sorted(DENOISERS)}")
+    return DENOISERS[method](px)
 
 
 def area_resize(px: DataFrame, out_h: int, out_w: int, value: str = "level") -> DataFrame:
@@ -173,11 +191,6 @@ def binarize_mask(px: DataFrame, value: str = "level", threshold: float = 127) -
     return px.withColumn("mask", (F.col(value) > threshold).cast("int"))
 
 
-def to_uint8(value_col: str = "value"):
-    """clip(v, 0, 1) * 255 truncated to an integer (the reference's uint8 cast)."""
-    return F.floor(F.least(F.greatest(F.col(value_col), F.lit(0.0)), F.lit(1.0)) * 255.0).cast("int")
-
-
 def intensity_histogram(px: DataFrame, value: str = "level", bins: int = HIST_BINS) -> DataFrame:
     """Dense 32-bin histogram over [0, 255] (last bin closed) per image:
     (image_id, bin, center, count)."""
@@ -197,46 +210,45 @@ def intensity_moments(px: DataFrame, value: str = "level") -> DataFrame:
                                       F.stddev_pop(value).alias("std_intensity"))
 
 
-def glcm_pairs(px: DataFrame) -> DataFrame:
-    """Co-occurring level pairs for the 8 (distance, angle) offsets:
-    (image_id, distance, angle, i, j) -- an equi-join on shifted coordinates."""
-    offs = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(a).alias("a"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc"))
-                     for d, a, dr, dc in glcm_offsets()])
-    src = px.select("image_id", "r", "c", F.col("level").alias("i"), F.explode(offs).alias("o")).select(
-        "image_id", "i", F.col("o.d").alias("distance"), F.col("o.a").alias("angle"),
-        (F.col("r") + F.col("o.dr")).alias("r2"), (F.col("c") + F.col("o.dc")).alias("c2"))
-    dst = px.select("image_id", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("level").alias("j"))
-    return src.join(dst, ["image_id", "r2", "c2"]).select("image_id", "distance", "angle", "i", "j")
+def glcm_cells(px: DataFrame) -> DataFrame:
+    """(image_id, distance, angle, a, b, cnt): how often two levels a <= b lie at each of the 8 offsets.
+
+    Pairs are places in the strips' arrays and are counted where they are made."""
+    offsets = glcm_offsets()
+    held = strips(px, max(dr for *_, dr, _ in offsets))
+
+    none = F.array().cast("array<struct<k: int, i: int, j: int>>")
+
+    def pairs(here, k, dr, dc):
+        """Of the line ``here`` at one offset, where that stays in the image."""
+        level = lambda r, c: F.col("lines")[r.cast("int")][c.cast("int")].cast("int")
+        first = F.lit(max(0, -dc))
+        made = F.transform(F.sequence(first, F.greatest(F.col("w") - 1 - max(0, dc), first)), lambda c: F.struct(F.lit(k).alias("k"), level(here, c).alias("i"), level(here + dr, c + dc).alias("j")))
+        return F.when((here + dr < F.size("lines")) & (F.col("w") > abs(dc)), made).otherwise(none)
+    rows = held.select("image_id", "first", "top", "w", "lines", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"))
+    here = F.col("first") - F.col("top") + F.col("i")
+    each = rows.select("image_id", F.explode(F.concat(*[pairs(here, k, dr, dc) for k, (_, _, dr, dc) in enumerate(offsets)])).alias("p"))
+    at = F.array(*[F.struct(F.lit(d).alias("distance"), F.lit(a).alias("angle")) for d, a, _, _ in offsets])
+    counts = each.groupBy("image_id", "p.k", F.least("p.i", "p.j").alias("a"), F.greatest("p.i", "p.j").alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.select("image_id", at[F.col("k")]["distance"].alias("distance"), at[F.col("k")]["angle"].alias("angle"), "a", "b", "cnt")
 
 
 def glcm_features(px: DataFrame) -> DataFrame:
     """Symmetric, normalised GLCM properties averaged over the 8 offsets:
-    contrast, homogeneity, energy, correlation, dissimilarity, ASM.
-
-    Pair moments give contrast / dissimilarity / homogeneity / correlation;
-    only ASM needs the (i, j) cell counts.
-    """
-    pairs = glcm_pairs(px)
+    contrast, homogeneity, energy, correlation, dissimilarity, ASM."""
     keys = ["image_id", "distance", "angle"]
-    dd = (F.col("i") - F.col("j")).cast("double")
-    mom = pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(dd * dd).alias("s_con"), F.sum(F.abs(dd)).alias("s_dis"),
-        F.sum(1.0 / (1.0 + dd * dd)).alias("s_hom"),
-        F.sum(F.col("i") + F.col("j")).alias("s_ij"),
-        F.sum(F.col("i") * F.col("i") + F.col("j") * F.col("j")).alias("s_sq"),
-        F.sum(F.col("i") * F.col("j")).alias("s_x"))
-    cells = pairs.groupBy(*keys, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(
-        F.count(F.lit(1)).alias("cnt"))
+    a, b, cnt = F.col("a"), F.col("b"), F.col("cnt")
+    dd = (a - b).cast("double")
     # symmetric matrix: off-diagonal cells appear twice with cnt / 2n, diagonal once with 2cnt / 2n
-    asm_term = F.when(F.col("a") == F.col("b"), F.col("cnt") * F.col("cnt") * 4.0) \
-                .otherwise(F.col("cnt") * F.col("cnt") * 2.0)
-    asm = cells.groupBy(*keys).agg(F.sum(asm_term).alias("_asm_num"))
+    mom = glcm_cells(px).groupBy(*keys).agg(
+        F.sum(cnt).alias("n"), F.sum(cnt * dd * dd).alias("s_con"), F.sum(cnt * F.abs(dd)).alias("s_dis"), F.sum(cnt / (1.0 + dd * dd)).alias("s_hom"),
+        F.sum(cnt * (a + b)).alias("s_ij"), F.sum(cnt * (a * a + b * b)).alias("s_sq"), F.sum(cnt * a * b).alias("s_x"),
+        F.sum(F.when(a == b, cnt * cnt * 4.0).otherwise(cnt * cnt * 2.0)).alias("_asm_num"))
     n2 = 2.0 * F.col("n")
     mu = F.col("s_ij") / n2
     var = F.col("s_sq") / n2 - mu * mu
     cov = F.col("s_x") / F.col("n") - mu * mu
-    per = mom.join(asm, keys).select(
+    per = mom.select(
         "image_id",
         (F.col("s_con") / F.col("n")).alias("contrast"),
         (F.col("s_hom") / F.col("n")).alias("homogeneity"),
@@ -377,16 +389,24 @@ def clahe(px: DataFrame, clip_limit: float = CLAHE_CLIP, tiles: int = CLAHE_TILE
     max(int(clip * tile_pixels / 256), 1), the clipped excess spread evenly
     (remainder one count every 256 // residual bins), cumulative LUT
     round(cdf * 255 / tile_pixels); each pixel blends the LUTs of its four
-    nearest tile centres bilinearly.  Every window holds one tile's 256 bins.
+    nearest tile centres bilinearly.  Every window holds one tile's 256 bins; the
+    tables meet an image's strips, not its pixels.
     """
     d = dims(px)
-    p = px.join(d, "image_id").select(
-        "image_id", "r", "c", "level", (F.col("h") / tiles).cast("int").alias("th"),
-        (F.col("w") / tiles).cast("int").alias("tw"))
-    p = p.withColumn("ty", (F.col("r") / F.col("th")).cast("int")).withColumn(
-        "tx", (F.col("c") / F.col("tw")).cast("int"))
-    hist = p.groupBy("image_id", "ty", "tx", "level").agg(F.count(F.lit(1)).alias("cnt"))
-    tile = p.select("image_id", "ty", "tx", "th", "tw").distinct()
+    # sides that are no multiple of the tiles are mirrored beyond their end for the histograms
+    odd = (F.col("h") % tiles != 0) | (F.col("w") % tiles != 0)
+    more = lambda side: F.when(odd, F.lit(tiles) - F.col(side) % tiles).otherwise(F.lit(0))
+    sized = d.select("image_id", "h", "w", ((F.col("h") + more("h")) / tiles).cast("int").alias("th"), ((F.col("w") + more("w")) / tiles).cast("int").alias("tw"))
+    p = px.select("image_id", "r", "c", "level").join(sized, "image_id")
+
+    def places(at, side, tile):
+        beyond = 2 * (F.col(side) - 1) - F.col(at)
+        return F.when((beyond >= F.col(side)) & (beyond < F.col(tile) * tiles), F.array(F.col(at), beyond)).otherwise(F.array(F.col(at)))
+    laid = p.select("image_id", "level", "c", "w", "th", "tw", F.explode(places("r", "h", "th")).alias("rr")).select(
+        "image_id", "level", "th", "tw", "rr", F.explode(places("c", "w", "tw")).alias("cc"))
+    hist = laid.groupBy("image_id", (F.col("rr") / F.col("th")).cast("int").alias("ty"), (F.col("cc") / F.col("tw")).cast("int").alias("tx"), "level").agg(F.count(F.lit(1)).alias("cnt"))
+    every = F.sequence(F.lit(0), F.lit(tiles - 1))
+    tile = sized.select("image_id", "th", "tw", F.explode(every).alias("ty")).select("*", F.explode(every).alias("tx"))
     dense = tile.select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")) \
         .join(hist, ["image_id", "ty", "tx", "level"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     total = F.col("th") * F.col("tw")
@@ -403,26 +423,22 @@ def clahe(px: DataFrame, clip_limit: float = CLAHE_CLIP, tiles: int = CLAHE_TILE
     cdf = F.sum("_new").over(tkey.orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
     lut = dense.withColumn("lut", F.least(F.greatest(F.bround(cdf * (255.0 / total), 0), F.lit(0.0)), F.lit(255.0))) \
         .select("image_id", "ty", "tx", "level", "lut")
-    # bilinear position between tile centres
-    ntx, nty = tiles, tiles
-    txf = F.col("c") / F.col("tw") - 0.5
-    tyf = F.col("r") / F.col("th") - 0.5
-    q = p.select("image_id", "r", "c", "level",
-                 F.floor(txf).cast("int").alias("_tx1"), (txf - F.floor(txf)).alias("_xa"),
-                 F.floor(tyf).cast("int").alias("_ty1"), (tyf - F.floor(tyf)).alias("_ya"))
-    q = q.select("*", F.greatest(F.col("_tx1"), F.lit(0)).alias("tx1"),
-                 F.least(F.col("_tx1") + 1, F.lit(ntx - 1)).alias("tx2"),
-                 F.greatest(F.col("_ty1"), F.lit(0)).alias("ty1"),
-                 F.least(F.col("_ty1") + 1, F.lit(nty - 1)).alias("ty2"))
-
-    def pick(ty, tx, name):
-        return lut.select("image_id", F.col("ty").alias(ty), F.col("tx").alias(tx), "level",
-                          F.col("lut").alias(name))
-    j = (q.join(pick("ty1", "tx1", "l11"), ["image_id", "ty1", "tx1", "level"])
-          .join(pick("ty1", "tx2", "l12"), ["image_id", "ty1", "tx2", "level"])
-          .join(pick("ty2", "tx1", "l21"), ["image_id", "ty2", "tx1", "level"])
-          .join(pick("ty2", "tx2", "l22"), ["image_id", "ty2", "tx2", "level"]))
-    xa, ya = F.col("_xa"), F.col("_ya")
-    val = (F.col("l11") * (1 - xa) + F.col("l12") * xa) * (1 - ya) + (F.col("l21") * (1 - xa) + F.col("l22") * xa) * ya
-    return j.select("image_id", "r", "c", F.least(F.greatest(F.bround(val, 0), F.lit(0.0)), F.lit(255.0))
-                    .cast("int").alias("level"))
+    # one row per image: the table of all its tiles, tiles x tiles x 256 values
+    luts = lut.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ty", "tx", "level", "lut"))), lambda x: x["lut"]).alias("lut"))
+    held = strips(px, 0).join(sized.select("image_id", "th", "tw"), "image_id").join(luts, "image_id")
+
+    def between(at, tile):
+        """The tiles whose centres lie around a place, and how far it is from the first."""
+        x = at / F.col(tile) - 0.5
+        low = F.floor(x).cast("int")
+        return F.greatest(low, F.lit(0)), F.least(low + 1, F.lit(tiles - 1)), x - F.floor(x)
+
+    def blended(r, c, level):
+        y1, y2, ya = between(r, "th")
+        x1, x2, xa = between(c, "tw")
+        at = lambda y, x: F.col("lut")[((y * tiles + x) * LEVELS + level).cast("int")]
+        val = (at(y1, x1) * (1 - xa) + at(y1, x2) * xa) * (1 - ya) + (at(y2, x1) * (1 - xa) + at(y2, x2) * xa) * ya
+        return F.least(F.greatest(F.bround(val, 0), F.lit(0.0)), F.lit(255.0)).cast("int")
+    made = F.transform("lines", lambda line, i: F.transform(line, lambda v, c: blended(F.col("first") + i, c, v)))
+    rows = held.select("image_id", "first", F.posexplode(made).alias("i", "line"))
+    return rows.select("image_id", (F.col("first") + F.col("i")).alias("r"), F.posexplode("line").alias("c", "level"))

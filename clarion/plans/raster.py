@@ -185,7 +185,26 @@ def dice_bce(spark, d):
 CLAHE_TILES_GRID = 2   # 8 x 8 grids -> 2 x 2 tiles of 4 x 4 pixels
 
 
-@REG.add("clahe_equalize")
+_TILE = 8 // CLAHE_TILES_GRID
+
+
+@REG.add("clahe_equalize", with_ctes(GRIDS_CTE, f"""
+bins AS (SELECT image_id, ty, tx, level, coalesce(cnt, 0) AS cnt
+  FROM (SELECT * FROM (SELECT DISTINCT image_id FROM grids), (SELECT unnest(range(0, {CLAHE_TILES_GRID})) AS ty), (SELECT unnest(range(0, {CLAHE_TILES_GRID})) AS tx), (SELECT unnest(range(0, 256)) AS level))
+  LEFT JOIN (SELECT image_id, r // {_TILE} AS ty, c // {_TILE} AS tx, level, count(*) AS cnt FROM grids GROUP BY ALL) USING (image_id, ty, tx, level))""", f"""
+clip AS (SELECT *, greatest(floor({_f(ra.CLAHE_CLIP)} * {_TILE * _TILE} / 256), 1)::BIGINT AS lim FROM bins)""", """
+over AS (SELECT *, sum(greatest(cnt - lim, 0)) OVER (PARTITION BY image_id, ty, tx)::BIGINT AS excess FROM clip)""", """
+spread AS (SELECT *, least(cnt, lim) + excess // 256 + CASE WHEN excess % 256 > 0 AND level % greatest(256 // greatest(excess % 256, 1), 1) = 0
+    AND level // greatest(256 // greatest(excess % 256, 1), 1) < excess % 256 THEN 1 ELSE 0 END AS n FROM over)""", f"""
+lut AS (SELECT image_id, ty, tx, level, least(greatest(round_even(sum(n) OVER (PARTITION BY image_id, ty, tx ORDER BY level) * (CAST(255.0 AS DOUBLE) / {_TILE * _TILE}), 0), 0.0), 255.0) AS v FROM spread)""", f"""
+at_ AS (SELECT image_id, r, c, level, floor(r / {_f(_TILE)} - 0.5)::INTEGER AS y, r / {_f(_TILE)} - 0.5 - floor(r / {_f(_TILE)} - 0.5) AS ya,
+    floor(c / {_f(_TILE)} - 0.5)::INTEGER AS x, c / {_f(_TILE)} - 0.5 - floor(c / {_f(_TILE)} - 0.5) AS xa FROM grids)""", body=f"""
+SELECT p.image_id, p.r, p.c, least(greatest(round_even((l11.v * (1 - xa) + l12.v * xa) * (1 - ya) + (l21.v * (1 - xa) + l22.v * xa) * ya, 0), 0.0), 255.0)::INTEGER AS level
+FROM at_ p
+JOIN lut l11 ON l11.image_id = p.image_id AND l11.level = p.level AND l11.ty = greatest(y, 0) AND l11.tx = greatest(x, 0)
+JOIN lut l12 ON l12.image_id = p.image_id AND l12.level = p.level AND l12.ty = greatest(y, 0) AND l12.tx = least(x + 1, {CLAHE_TILES_GRID - 1})
+JOIN lut l21 ON l21.image_id = p.image_id AND l21.level = p.level AND l21.ty = least(y + 1, {CLAHE_TILES_GRID - 1}) AND l21.tx = greatest(x, 0)
+JOIN lut l22 ON l22.image_id = p.image_id AND l22.level = p.level AND l22.ty = least(y + 1, {CLAHE_TILES_GRID - 1}) AND l22.tx = least(x + 1, {CLAHE_TILES_GRID - 1})"""))
 def clahe_equalize(spark, d):
     """R4 on every grid (clip 2.0, 2 x 2 tiles); rows-only check, range and
     shape invariants in tests."""

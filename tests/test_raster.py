@@ -61,7 +61,7 @@ def test_denoise_keeps_shape_and_rejects_unknown(spark):
     px = _grid(spark, list(range(16)), 4, 4)
     assert ra.denoise(px, "median").count() == 16 and ra.denoise(px, "gaussian").count() == 16
     import pytest
-    with pytest.raises(ValueError):
+    with pytest.raises(KeyError, match="gaussian"):
         ra.denoise(px, "bilateral")
 
 
@@ -79,3 +79,56 @@ def test_clahe_keeps_shape_and_range(spark):
     px = _grid(spark, [int(x) for x in rng.integers(0, 255, 64)], 8, 8)
     out = ra.clahe(px, 2.0, 2).collect()
     assert len(out) == 64 and all(0 <= r["level"] <= 255 for r in out)
+
+
+def _random(spark, h, w, seed=0, image_id=1):
+    import numpy as np
+    g = np.random.default_rng(seed).integers(0, 256, (h, w))
+    return g, _grid(spark, [int(x) for x in g.ravel()], h, w, image_id)
+
+
+def test_neighbourhoods_across_strips(spark):
+    """An image of several strips whose sides are no multiple of them, against numpy with the borders laid around."""
+    import numpy as np
+    g, px = _random(spark, 2 * ra.STRIP + 7, 5)
+    shift = lambda p: np.stack([p[1 + dr: p.shape[0] - 1 + dr, 1 + dc: p.shape[1] - 1 + dc] for dr, dc in ra.AROUND])
+    held = lambda df, col: np.array([r[col] for r in df.orderBy("r", "c").collect()]).reshape(g.shape)
+    assert np.array_equal(held(ra.median_denoise(px), "level"), np.sort(shift(np.pad(g, 1, mode="edge")), axis=0)[4])
+    around = shift(np.pad(g, 1, mode="reflect"))
+    weights = np.array([(2 - abs(dr)) * (2 - abs(dc)) / 16 for dr, dc in ra.AROUND])
+    assert np.allclose(held(ra.gaussian_denoise(px), "value"), np.tensordot(weights, around, 1))
+    kernel = lambda k: np.tensordot(np.array([dict(((a, b), w) for a, b, w in k).get(o, 0) for o in ra.AROUND]), around, 1)
+    assert np.allclose(held(ra.sobel_magnitude(px), "mag"), np.hypot(kernel(ra.SOBEL_X), kernel(ra.SOBEL_Y)))
+    for h, w in ((1, 1), (1, 4), (3, 1), (ra.STRIP, 2), (ra.STRIP + 1, 2)):
+        assert ra.sobel_magnitude(_random(spark, h, w)[1]).count() == h * w
+
+
+def test_cooccurrence_across_strips(spark):
+    from collections import Counter
+    g, px = _random(spark, ra.STRIP + 5, 6, 1)
+    want = Counter()
+    for d, a, dr, dc in ra.glcm_offsets():
+        for r in range(g.shape[0]):
+            for c in range(g.shape[1]):
+                if r + dr < g.shape[0] and 0 <= c + dc < g.shape[1]:
+                    i, j = sorted((int(g[r, c]), int(g[r + dr, c + dc])))
+                    want[d, a, i, j] += 1
+    assert {(r.distance, r.angle, r.a, r.b): r.cnt for r in ra.glcm_cells(px).collect()} == want
+    assert ra.glcm_cells(_random(spark, 2, 1)[1]).count() > 0
+
+
+def test_clahe_of_sides_that_are_no_multiple(spark):
+    g, px = _random(spark, 13, 9, 2)
+    out = ra.clahe(px, 2.0, 4).collect()
+    assert sorted((r["r"], r["c"]) for r in out) == [(r, c) for r in range(13) for c in range(9)]
+    assert all(0 <= r["level"] <= 255 for r in out)
+    flat = ra.clahe(_grid(spark, [100] * 35, 5, 7), 2.0, 2).collect()
+    assert len({r["level"] for r in flat}) == 1
+
+
+def test_grayscale_unit_scale_and_nearest(spark):
+    bgr = spark.createDataFrame([(1, 0, 0, 255, 255, 255), (1, 0, 1, 255, 0, 0), (1, 1, 0, 0, 255, 0), (1, 1, 1, 0, 0, 255)], "image_id long, r int, c int, b int, g int, r_ int")
+    assert [r.level for r in ra.grayscale(bgr).orderBy("r", "c").collect()] == [255, 29, 150, 76]
+    assert [r.value for r in ra.unit_scale(_grid(spark, [0, 51, 255, 102], 2, 2)).orderBy("r", "c").collect()] == [0.0, 0.2, 1.0, 0.4]
+    near = ra.nearest_resize(_grid(spark, list(range(16)), 4, 4), 2, 2).orderBy("r", "c").collect()
+    assert [r.level for r in near] == [0, 2, 8, 10]
