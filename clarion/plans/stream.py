@@ -22,7 +22,7 @@ def event_window_drift(spark, d):
     """EXT2: hourly tumbling windows of the events stream (10 minute watermark)."""
     ev = st.read_stream(spark, d, "events.parquet")
     agg = st.window_balance(ev, "ts", F.col("event_type") == "purchase", "value", ["event_type"])
-    res = st.run_to_completion(agg, mode="complete", sink="table")
+    res = st.closed_and_open(agg)
     return finish(res.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                              "event_type", "n", "n_pos", "mean_score"))
 
@@ -38,5 +38,5 @@ def stream_risk_tiers(spark, d):
     li = st.read_stream(spark, d, "lineitem.parquet")
     scored = st.score_stream(li, lambda s: sc.label_scores(b.scored(spark, d, b._line_projection(s)))
                              .select("row_id", "model", "risk_tier"))
-    rows = st.run_to_completion(scored, sink="parquet")
+    rows = st.run_to_completion(scored)
     return rows.groupBy("model", "risk_tier").agg(F.count(F.lit(1)).alias("n"))

@@ -3,7 +3,7 @@
 * EXT1 ``score_stream``: score a directory of arriving files with the fixed
   scorers / any column expression, stateless, written to a parquet sink.
 * EXT2 ``window_balance``: tumbling-window class balance and score drift with
-  a watermark; rows later than the watermark are dropped by Spark.
+  a watermark; rows later than the watermark are dropped by Spark (append mode).
 
 Checkpoints and file sinks live under the shared folder named by
 ``spark.checkpoint.dir`` so a restarted query resumes where it stopped.
@@ -12,6 +12,7 @@ Checkpoints and file sinks live under the shared folder named by
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,41 +51,31 @@ def window_balance(events: DataFrame, ts: str = "ts", label_expr=None, score: st
                  F.avg(score).alias("mean_score")))
 
 
-def run_to_completion(sdf: DataFrame, mode: str = "complete", sink: str = "memory") -> DataFrame:
-    """Drive a streaming frame over everything available and return the result.
+def run_to_completion(sdf: DataFrame, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """Drive a streaming frame over everything available in append mode and read back the Parquet files.
 
-    ``memory`` holds the output on the driver; ``parquet`` writes to the shared
-    checkpoint folder and reads the files back (row-level outputs); ``table`` is
-    for mode ``complete``: each batch writes the whole result there, the last is
-    read back."""
-    spark = sdf.sparkSession
-    ckpt = _scratch(spark, "ckpt")
-    if sink == "memory":
-        name = f"clarion_{uuid.uuid4().hex[:10]}"
-        q = (sdf.writeStream.format("memory").queryName(name).outputMode(mode)
-             .option("checkpointLocation", ckpt).start())
-        q.processAllAvailable()
-        q.stop()
-        return spark.table(name)
-    out = _scratch(spark, "out")
-    if sink == "table":
-        last = [None]
-
-        def keep(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/{batch_id}")
-            last[0] = batch_id
-
-        q = sdf.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", ckpt).start()
-        q.processAllAvailable()
-        q.stop()
-        if last[0] is None:
-            return spark.createDataFrame([], sdf.schema)
-        return spark.read.schema(sdf.schema).parquet(f"{out}/{last[0]}")
-    q = (sdf.writeStream.format("parquet").outputMode("append").option("path", out)
-         .option("checkpointLocation", ckpt).start())
+    ``checkpoint`` and ``out`` (both or none) let a later run go on where this one stopped."""
+    ckpt, out = checkpoint or _scratch(sdf.sparkSession, "ckpt"), out or _scratch(sdf.sparkSession, "out")
+    q = sdf.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", ckpt).start()
     q.processAllAvailable()
     q.stop()
-    return spark.read.parquet(out)
+    return sdf.sparkSession.read.schema(sdf.schema).parquet(out)
+
+
+def closed_and_open(sdf: DataFrame, groups: Sequence[str] = ("event_type",), checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """EXT2: the windows of ``window_balance`` that the watermark has closed, and those that are still open.
+
+    Closed windows are written once, in append mode, and rows that come later
+    than the watermark are dropped.  Open ones stand in the state store and are
+    read from there, so no window is missing and none is written twice.
+    """
+    spark = sdf.sparkSession
+    ckpt, out = checkpoint or _scratch(spark, "ckpt"), out or _scratch(spark, "out")
+    closed = run_to_completion(sdf, ckpt, out)
+    state = spark.read.format("statestore").load(ckpt)
+    # what the three aggregates keep: rows, positives, and the score's sum and number (by place: names repeat)
+    flat = state.select("key", F.col("value").cast("struct<n: long, n_pos: long, s: double, c: long>").alias("v")).select("key.*", "v.*").toDF("w", *groups, "n", "n_pos", "s", "c")
+    return closed.unionByName(flat.select("w", *groups, "n", "n_pos", (F.col("s") / F.col("c")).alias("mean_score")))
 
 
 def score_stream(stream: DataFrame, project) -> DataFrame:

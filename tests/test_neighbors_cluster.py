@@ -74,17 +74,6 @@ def test_numbers_of_clusters_over_range_partitions(spark):
     assert numbered(spread.limit(0), "comp", "cluster").count() == 0
 
 
-def test_windows_of_the_event_stream_are_not_held_by_the_driver(spark, monkeypatch):
-    from clarion.plans import stream as ps
-    from clarion.streaming import score_stream as st
-
-    sinks, run = [], st.run_to_completion
-    monkeypatch.setattr(st, "run_to_completion", lambda *a, **kw: sinks.append(kw["sink"]) or run(*a, **kw))
-    d = "/root/testdata/sf0.001"
-    got = ps.event_window_drift(spark, d)
-    assert sinks == ["table"] and got.selectExpr("sum(n)").first()[0] == spark.read.parquet(f"{d}/events.parquet").count()
-
-
 def _brute(x, k):
     d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
