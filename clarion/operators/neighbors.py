@@ -71,18 +71,23 @@ def _ids(values: pa.Array) -> np.ndarray:
 
 
 class Nearest:
-    """The nearest points found so far for the points of a block."""
+    """The nearest points found so far for the points of a block, ``k`` of each of ``tags`` kinds."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int | None, eps: float):
-        self.ids, self.v, self.k, self.eps = ids, v, k, eps
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int | None, eps: float, tags: int = 1):
+        self.ids, self.v, self.k, self.eps, self.tags = ids, v, k, eps, tags
         self.centre = v.mean(axis=0)
         self.size = ((v - self.centre) ** 2).sum(axis=1)
-        self.limit = np.full(len(ids), eps)  # distance of the k-th neighbour so far
-        self.row, self.nid, self.dist = np.empty(0, np.int64), ids[:0], np.empty(0)
+        self.limit = np.full((len(ids), tags), eps)  # distance of the k-th neighbour so far
+        self.key, self.nid, self.dist = np.empty(0, np.int64), ids[:0], np.empty(0)  # key: place in the block and kind
         self.compared = 0
 
-    def meet(self, ids: np.ndarray, v: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+    def meet(self, ids: np.ndarray, v: np.ndarray, tag: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         """Compare the points ``rows`` of the block with all of ``v``."""
+        for t in np.unique(tag):
+            own = tag == t
+            self._meet(ids[own], v[own], int(t), rows)
+
+    def _meet(self, ids: np.ndarray, v: np.ndarray, t: int, rows: np.ndarray | slice) -> None:
         x, y = (self.v - self.centre)[rows], v - self.centre
         if not len(x):
             return
@@ -90,7 +95,7 @@ class Nearest:
         other = (y ** 2).sum(axis=1)
         near = self.size[rows, None] + other - 2 * x @ y.T  # close to the squares of the distances
         slack = SLACK * (self.size.max() + other.max())
-        most = self.limit[rows] ** 2 + slack
+        most = self.limit[rows, t] ** 2 + slack
         if self.k is not None and len(ids) > self.k:  # one more than k: a point may be met itself
             most = np.minimum(most, np.partition(near, self.k, axis=1)[:, self.k] + 2 * slack)
         row, col = np.nonzero(near <= most[:, None])
@@ -98,20 +103,23 @@ class Nearest:
         ok = self.ids[row] != ids[col]
         row, col = row[ok], col[ok]
         dist = np.sqrt(((self.v[row] - v[col]) ** 2).sum(axis=1))
-        ok = dist <= self.limit[row]
-        row, nid, dist = (np.concatenate(p) for p in ((self.row, row[ok]), (self.nid, ids[col[ok]]), (self.dist, dist[ok])))
+        ok = dist <= self.limit[row, t]
+        key, nid, dist = (np.concatenate(p) for p in ((self.key, row[ok] * self.tags + t), (self.nid, ids[col[ok]]), (self.dist, dist[ok])))
         if self.k is not None:
-            order = np.lexsort((nid, dist, row))
-            row, nid, dist = row[order], nid[order], dist[order]
-            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            order = np.lexsort((nid, dist, key))
+            key, nid, dist = key[order], nid[order], dist[order]
+            rank = np.arange(len(key)) - np.searchsorted(key, key)
             ok = rank < self.k
             last = rank == self.k - 1
-            self.limit[row[last]] = dist[last]
-            row, nid, dist = row[ok], nid[ok], dist[ok]
-        self.row, self.nid, self.dist = row, nid, dist
+            self.limit.ravel()[key[last]] = dist[last]
+            key, nid, dist = key[ok], nid[ok], dist[ok]
+        self.key, self.nid, self.dist = key, nid, dist
 
     def ranks(self) -> np.ndarray:
-        return np.arange(len(self.row)) - np.searchsorted(self.row, self.row) + 1
+        return np.arange(len(self.key)) - np.searchsorted(self.key, self.key) + 1
+
+    def forget(self) -> None:
+        self.key, self.nid, self.dist = self.key[:0], self.nid[:0], self.dist[:0]
 
 
 def _pivots(points: DataFrame, n: int) -> np.ndarray:
@@ -138,7 +146,7 @@ def _assign(pivots: np.ndarray, want: int):
     return run, ordered
 
 
-def _bounded(pivots: np.ndarray, k: int | None, eps: float):
+def _bounded(pivots: np.ndarray, k: int | None, eps: float, tags: int):
     """Of each block: its number, the largest distance that matters and the ranges of distances to the references."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,8 +157,8 @@ def _bounded(pivots: np.ndarray, k: int | None, eps: float):
                 d = _distances(v, pivots[:REFERENCES])
                 bound = eps
                 if k is not None:
-                    own = Nearest(ids, v, k, np.inf)
-                    own.meet(ids, v)
+                    own = Nearest(ids, v, k, np.inf, tags)
+                    own.meet(ids, v, points.field("_t").to_numpy())
                     bound = float(own.limit.max())
                 slack = SLACK * float(np.abs(d).max() + np.sqrt((v ** 2).sum(axis=1)).max())
                 rows.append((len(ids), bound + slack, (d.min(axis=0) - slack).tolist(), (d.max(axis=0) + slack).tolist()))
@@ -170,8 +178,10 @@ def _gap(a: str, b: str) -> Column:
 class Blocks:
     """Points in blocks, with bounds: what all searches start from."""
 
-    def __init__(self, df: DataFrame, id_col: str, vec_col: str, k: int | None, eps: float = float("inf")):
-        points = kept(df.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")), "points")
+    def __init__(self, df: DataFrame, id_col: str, vec_col: str, k: int | None, eps: float = float("inf"), tag_col: str | None = None, tags: int = 1):
+        tag = F.col(tag_col).cast("int") if tag_col else F.lit(0)
+        points = kept(df.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"), tag.alias("_t")), "points")
+        self.tags = tags
         self.k, self.eps, self.id_type = k, eps, points.schema["_id"].dataType
         self.n = points.count()
         self.pivots = _pivots(points, self.n)
@@ -181,9 +191,9 @@ class Blocks:
         celled = kept(points.mapInArrow(assign, kind), "cells")
         sizes = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))  # a row per pivot at most
         block = F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")
-        grouped = celled.join(F.broadcast(sizes), "cell").groupBy("cell", block.alias("block")).agg(F.collect_list(F.struct("_id", "_v")).alias("points"))
+        grouped = celled.join(F.broadcast(sizes), "cell").groupBy("cell", block.alias("block")).agg(F.collect_list(F.struct("_id", "_v", "_t")).alias("points"))
         out = T.StructType.fromDDL("cell int, block int, n long, bound double, lo array<double>, hi array<double>").add("points", grouped.schema["points"].dataType)
-        self.table = kept(grouped.mapInArrow(_bounded(self.pivots, k, eps), out), "blocks")
+        self.table = kept(grouped.mapInArrow(_bounded(self.pivots, k, eps, tags), out), "blocks")
         self.refs = min(REFERENCES, len(self.pivots))
 
     def pairs(self, probes: int | None = None) -> DataFrame:
@@ -215,26 +225,27 @@ class Blocks:
         """The share of all ordered pairs of points that an exact search compares."""
         if not self.n:
             return 0.0
-        counts = self._stream(None).mapInArrow(_searched(self.pivots[:REFERENCES], self.k, self.eps, count=True), "n long")
+        counts = self._stream(None).mapInArrow(_searched(self.pivots[:REFERENCES], self.k, self.eps, self.tags, count=True), "n long")
         return counts.agg(F.sum(F.col("n").cast("double"))).first()[0] / self.n ** 2
 
     def search(self, probes: int | None = None) -> DataFrame:
-        """(id, rank, nid, dist)."""
-        out = T.StructType([T.StructField("id", self.id_type), T.StructField("rank", T.IntegerType()), T.StructField("nid", self.id_type), T.StructField("dist", T.DoubleType())])
+        """(id, rank, nid, dist, tag): neighbours of one tag are ranked together."""
+        out = T.StructType([T.StructField("id", self.id_type), T.StructField("rank", T.IntegerType()), T.StructField("nid", self.id_type), T.StructField("dist", T.DoubleType()), T.StructField("tag", T.IntegerType())])
         if not self.n:
             return self.table.sparkSession.createDataFrame([], out)
-        return self._stream(probes).mapInArrow(_searched(self.pivots[:REFERENCES], self.k, self.eps), out)
+        return self._stream(probes).mapInArrow(_searched(self.pivots[:REFERENCES], self.k, self.eps, self.tags), out)
 
 
-def _searched(references: np.ndarray, k: int | None, eps: float, count: bool = False):
+def _searched(references: np.ndarray, k: int | None, eps: float, tags: int, count: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, team, kind = None, [], None  # team: (nearest so far, distances to the references) of each block
 
         def told(found: Nearest) -> pa.RecordBatch:
             if count:
                 return pa.RecordBatch.from_arrays([pa.array([found.compared], pa.int64())], names=["n"])
-            ids = pa.array(found.ids[found.row], kind)
-            return pa.RecordBatch.from_arrays([ids, pa.array(found.ranks(), pa.int32()), pa.array(found.nid, kind), pa.array(found.dist, pa.float64())], names=["id", "rank", "nid", "dist"])
+            ids = pa.array(found.ids[found.key // tags], kind)
+            return pa.RecordBatch.from_arrays([ids, pa.array(found.ranks(), pa.int32()), pa.array(found.nid, kind), pa.array(found.dist, pa.float64()), pa.array(found.key % tags, pa.int32())],
+                                              names=["id", "rank", "nid", "dist", "tag"])
         for b in batches:
             for i, (key, near) in enumerate(zip(b.column("team").to_pylist(), b.column("gap").to_pylist())):
                 points = b.column("points")[i].values
@@ -243,15 +254,15 @@ def _searched(references: np.ndarray, k: int | None, eps: float, count: bool = F
                     yield from (told(found) for found, _ in team)
                     here, team = key, []
                 if near < 0:
-                    team.append((Nearest(ids, v, k, eps), _distances(v, references)))
+                    team.append((Nearest(ids, v, k, eps, tags), _distances(v, references)))
                     continue
                 lo, hi = (b.column(c)[i].values.to_numpy() for c in ("lo", "hi"))
                 for found, own in team:
                     gap = np.maximum(lo - own, own - hi).max(axis=1)
-                    found.meet(ids, v, np.flatnonzero(gap <= found.limit * (1 + SLACK)))
-                    if k is None and len(found.row) and not count:  # every pair counts: hand them on
+                    found.meet(ids, v, points.field("_t").to_numpy(), np.flatnonzero(gap <= found.limit.max(axis=1) * (1 + SLACK)))
+                    if k is None and len(found.key) and not count:  # every pair counts: hand them on
                         yield told(found)
-                        found.row, found.nid, found.dist = found.row[:0], found.nid[:0], found.dist[:0]
+                        found.forget()
         yield from (told(found) for found, _ in team)
     return run
 
@@ -263,13 +274,18 @@ def radius_pairs(df: DataFrame, id_col: str, vec_col: str, eps: float) -> DataFr
 
 def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5) -> DataFrame:
     """Exact k nearest neighbours (self excluded, ties by neighbour id): (id, rank, nid, dist)."""
-    return Blocks(df, id_col, vec_col, k).search()
+    return Blocks(df, id_col, vec_col, k).search().drop("tag")
+
+
+def knn_by_tag(df: DataFrame, id_col: str, vec_col: str, tag_col: str, tags: int, k: int = 5) -> DataFrame:
+    """The k nearest neighbours of each tag 0 .. tags - 1 (folds, say) in one search: (id, rank, nid, dist, tag)."""
+    return Blocks(df, id_col, vec_col, k, tag_col=tag_col, tags=tags).search()
 
 
 def knn_probed(df: DataFrame, id_col: str, vec_col: str, k: int = 5, probes: int = PROBES) -> DataFrame:
     """Approximate k nearest neighbours: each point is compared with the points of the ``probes`` cells
     nearest to its own (measure the recall with ``recall``)."""
-    return Blocks(df, id_col, vec_col, k).search(probes)
+    return Blocks(df, id_col, vec_col, k).search(probes).drop("tag")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

@@ -18,8 +18,8 @@ from clarion.operators import models as mo
 from clarion.operators import search as se
 from clarion.operators import split as sp
 from clarion.plans.common import Registry, finish
+from clarion.plans.sql import doc_features_cte, split_cte, with_ctes
 from clarion.session import kept
-from clarion.plans.sql import doc_features_cte, with_ctes
 from clarion.sources import bindings as b
 
 REG = Registry()
@@ -47,6 +47,19 @@ def smote_counts(spark, d):
     return res.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@REG.add("smote_fold_counts", with_ctes(doc_features_cte(), """
+doc_rows AS (SELECT CAST(doc_id AS VARCHAR) AS row_id, label FROM doc_features)""", split_cte("doc_rows"), f"""
+folded AS (SELECT label, split, (row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}' || '|' || row_id)) - 1) % {mo.FOLDS} AS fold FROM split_rows)""", f"""
+parts AS (SELECT CAST(held AS INTEGER) AS held, label, count(*) FILTER (fold <> held) AS n FROM folded, (SELECT unnest(range(0, {mo.FOLDS})) AS held) WHERE split = 'train' GROUP BY ALL)""", """
+most AS (SELECT held, max(n) AS mx FROM parts GROUP BY held)""", body="""
+SELECT held, label, mx - n AS n FROM parts JOIN most USING (held) WHERE mx > n AND n >= 2"""))
+def smote_fold_counts(spark, d):
+    """F6 fold by fold: synthetic rows of each training part (no parent in the held fold)."""
+    train, _ = _folded(spark, d)
+    made = im.smote_in_folds(train, "doc_id", "v", "label", "fold", mo.FOLDS, im.SMOTE_K, SEED)
+    return made.groupBy("held", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _fit_eval(name, params, train, test):
     n = train.count()
     model = mo.make_estimator(name, params, n, len(b.DOC_FEATURES), SEED).fit(train)

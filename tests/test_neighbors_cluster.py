@@ -131,3 +131,21 @@ def test_a_long_path_takes_few_rounds(spark):
     assert stars.count() == n - 1 and stars.agg({"dst": "max"}).first()[0] == 0
     two = cl.connected_components(spark.range(5), spark.createDataFrame([(1, 2), (2, 1), (4, 4), (3, 1)], "src long, dst long"))
     assert {tuple(r) for r in two.collect()} == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_synthetic_rows_have_no_parent_in_the_held_fold(spark):
+    df, x = _vectors(spark, 240, 3)
+    df = df.selectExpr("id", "v", "CAST(id % 6 = 0 AS INT) AS label", "CAST(id % 4 AS INT) AS fold")
+    fold = {str(r.id): r.fold for r in df.collect()}
+    minor = [int(i) for i in range(240) if i % 6 == 0]
+    rows = im.smote_in_folds(df, "id", "v", "label", "fold", 4, 3, 42).collect()
+    want = {f: sum(1 for i in range(240) if i % 6 and i % 4 != f) - sum(1 for i in minor if i % 4 != f) for f in range(4)}
+    assert {f: sum(r.held == f for r in rows) for f in range(4)} == want and len({r.id for r in rows}) == len(rows)
+    for r in rows:
+        assert r.label == 1 and fold[r.base] != r.held and fold[r.neighbour] != r.held and r.base != r.neighbour
+        # the neighbour is one of the 3 nearest of the training part
+        own = sorted((i for i in minor if i % 4 != r.held and i != int(r.base)), key=lambda i: np.linalg.norm(x[i] - x[int(r.base)]))[:3]
+        assert int(r.neighbour) in own
+        a, b, v = x[int(r.base)], x[int(r.neighbour)], np.array(r.v)
+        u = np.dot(v - a, b - a) / np.dot(b - a, b - a)
+        assert -1e-9 <= u <= 1 and np.allclose(v, a + u * (b - a))
