@@ -18,10 +18,6 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def sigmoid(c) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-col_(c)))
-
-
 def squash(c) -> Column:
     """Monotone map of a logit to (0, 1) with only + - * / and abs:
     0.5 + 0.5 * z / (1 + |z|).  Bit-identical on every IEEE engine (``exp``

@@ -6,8 +6,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,11 +162,6 @@ def auc_gap(df: DataFrame, dataset_col: str, in_name: str, out_name: str,
                        (F.col(in_name) - F.col(out_name)).alias("auc_gap"))
 
 
-def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """A10: (a, b, n) -- one row per non-empty cell."""
-    return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-
-
 def ari_nmi(df: DataFrame, truth: str, pred: str, group_cols=()) -> DataFrame:
     """Adjusted Rand index (pair-confusion form) and NMI with arithmetic
     normaliser and natural log.  Noise (-1) is an ordinary cluster here."""
@@ -206,25 +199,6 @@ def ari_nmi(df: DataFrame, truth: str, pred: str, group_cols=()) -> DataFrame:
     return t.select(*g, "n", ari.alias("ari"), nmi.alias("nmi"))
 
 
-def silhouette_sq(df: DataFrame, features: str, cluster: str) -> float:
-    """E8 (squared-Euclidean form): MLlib's linear-time silhouette; noise (-1)
-    removed first; NaN if fewer than 2 points or clusters.  Not the Euclidean
-    number -- never label it as such."""
-    valid = df.where(F.col(cluster) != -1)
-    stats = valid.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(cluster).alias("k")).first()
-    if stats["n"] < 2 or stats["k"] < 2:
-        return float("nan")
-    feat = valid.select(array_to_vector(F.col(features)).alias("_f") if _is_array(df, features)
-                        else F.col(features).alias("_f"), F.col(cluster).cast("double").alias("_c"))
-    ev = ClusteringEvaluator(featuresCol="_f", predictionCol="_c", distanceMeasure="squaredEuclidean")
-    return float(ev.evaluate(feat))
-
-
-def _is_array(df: DataFrame, c: str) -> bool:
-    from pyspark.sql.types import ArrayType
-    return isinstance(df.schema[c].dataType, ArrayType)
-
-
 def silhouette_sq_frame(df: DataFrame, id_col: str, features: str, cluster: str,
                         group_cols: Sequence[str] = ()) -> DataFrame:
     """E8 as a relational job: per-cluster (count, vector sum, sum of squared

@@ -39,8 +39,8 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str = "label", k: int
     Returns (id, label, v, synthetic) -- synthetic ids are "s:<class>:<draw>".
     """
     spark = df.sparkSession
-    base = df.select(F.col(id_col).cast("string").alias("id"), F.col(label).alias("label"),
-                     F.col(vec_col).alias("v")).cache()
+    base = kept(df.select(F.col(id_col).cast("string").alias("id"), F.col(label).alias("label"),
+                          F.col(vec_col).alias("v")), "smote")
     counts = {r["label"]: r["n"] for r in base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_major = max(counts.values())
     originals = base.withColumn("synthetic", F.lit(False))

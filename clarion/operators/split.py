@@ -9,12 +9,11 @@ and only rows of the one boundary cell per class are ranked.
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clarion.session import kept
+
 CELL_HEX_DIGITS = 4  # 16^4 = 65,536 cells
 
 
@@ -80,7 +79,7 @@ def three_way_split(df: DataFrame, label: str = "label", key_col: str = "row_id"
                     test_fraction: float = 0.2, val_fraction: float = 0.15, seed: int = 42) -> DataFrame:
     """Test first, then a validation share of the remaining rows."""
     # read twice (the rest is split again, the test part is kept): keep it once
-    first = stratified_split(df, label, key_col, test_fraction, seed, "_s1").persist(StorageLevel.MEMORY_AND_DISK)
+    first = kept(stratified_split(df, label, key_col, test_fraction, seed, "_s1"), "split")
     rest = first.where(F.col("_s1") == "train").drop("_s1")
     second = stratified_split(rest, label, key_col, val_fraction, f"{seed}v", "split")
     second = second.withColumn("split", F.when(F.col("split") == "test", "val").otherwise("train"))
@@ -106,7 +105,3 @@ def capped_sample(df: DataFrame, n: int, key_col: str, seed: int = 42) -> DataFr
     """T4/T5: the first ``n`` rows by content hash (a bounded background set).
     ``n`` is the feature here (a sampling operator), not a cost cap."""
     return df.withColumn("_h", order_key(key_col, seed)).orderBy("_h").limit(n).drop("_h")
-
-
-def test_fraction_ceil(n: int, fraction: float) -> int:
-    return int(math.ceil(fraction * n))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clarion.operators import cluster as cl
+from clarion.operators import embedding as em
 from clarion.operators import evaluate as ev
 from clarion.operators import neighbors as nb
 from clarion.plans.common import Registry, finish
@@ -160,3 +161,9 @@ def projection_feed(spark, d):
     truth = vec.select(F.col("vec_id").alias("id"), (F.col("true_label") != 0).cast("int").alias("label"))
     clusters = cl.kmeans_best(vec, "vec_id", "v", N_CLUSTERS)
     return cl.projection_feed(proj, truth, clusters, "label")
+
+
+@REG.add("neighbour_projection")
+def neighbour_projection(spark, d):
+    """Laplacian eigenmap of all vectors (signs are arbitrary: rows-only check)."""
+    return finish(em.laplacian_eigenmap(b.vectors(spark, d), "vec_id", "v", 2))

@@ -28,7 +28,8 @@ SEED = 42
 
 def scaled_docs(spark, d):
     """doc_features -> split -> standardised on train -> (doc_id, vec, label, split, fold)."""
-    df = b.doc_features(spark, d).withColumn("row_id", F.col("doc_id").cast("string"))
+    # the texts are read once; the split and the scaler read a few numbers of each
+    df = kept(b.doc_features(spark, d).withColumn("row_id", F.col("doc_id").cast("string")), "doc-features")
     s = sp.stratified_split(df, "label", "row_id", 0.2, SEED)
     stats = fe.scaler_stats(s.where(F.col("split") == "train"), b.DOC_FEATURES)
     z = fe.apply_scaler(s, stats, b.DOC_FEATURES)
@@ -70,13 +71,13 @@ def _fit_eval(name, params, train, test):
 def resampling_effect(spark, d):
     """The same logistic regression without and with SMOTE on the
     training rows, evaluated on the held-out rows."""
-    z = scaled_docs(spark, d).cache()
+    z = kept(scaled_docs(spark, d), "scaled")
     train = z.where(F.col("split") == "train")
     test = mo.vector_column(z.where(F.col("split") == "test"), "v").select(
         F.col("doc_id").cast("string").alias("id"), "features", F.col("label").cast("double").alias("label"))
-    base = mo.vector_column(train, "v").select("features", F.col("label").cast("double").alias("label")).cache()
-    sm = im.smote(train, "doc_id", "v", "label", im.SMOTE_K, SEED)
-    res = mo.vector_column(sm, "v").select("features", F.col("label").cast("double").alias("label")).cache()
+    base = mo.vector_column(train, "v").select("features", F.col("label").cast("double").alias("label"))
+    made = kept(im.smote(train, "doc_id", "v", "label", im.SMOTE_K, SEED), "resampled")
+    res = mo.vector_column(made, "v").select("features", F.col("label").cast("double").alias("label"))
     rows = []
     for run, tr in (("baseline_no_smote", base), ("with_smote", res)):
         p = _fit_eval("logistic_regression", {"C": 1.0}, tr, test)
@@ -123,7 +124,5 @@ def anomaly_threshold(spark, d):
     of the training split; every vector scored; strict > threshold."""
     vec = b.vectors(spark, d).withColumn("row_id", F.col("vec_id").cast("string"))
     vec = vec.withColumn("label", (F.col("true_label") != 0).cast("int"))
-    s = sp.stratified_split(vec, "label", "row_id", 0.2, SEED).cache()
-    normal = s.where((F.col("split") == "train") & (F.col("label") == 0))
-    scores, _ = an.anomaly_scores(normal, s, "vec_id", "v")
-    return finish(scores)
+    s = kept(sp.stratified_split(vec, "label", "row_id", 0.2, SEED), "split")
+    return finish(an.anomaly_scores(s, "vec_id", "v", (F.col("split") == "train") & (F.col("label") == 0)))

@@ -107,17 +107,17 @@ def doc_features(spark: SparkSession, sf_dir: str, target: str = "quality") -> D
     n_words = F.size(words)
     word_chars = F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: acc + F.length(w))
     label = (1 - F.col("quality")) if target == "quality" else F.col("toxic")
-    return (docs.join(labels, "doc_id")
-            .select(
-                "doc_id",
-                F.col("n_chars").cast("double").alias("n_chars"),
-                n_words.cast("double").alias("n_words"),
-                F.when(n_words == 0, F.lit(0.0)).otherwise(word_chars / n_words).alias("mean_word_len"),
-                F.when(F.length("text") == 0, F.lit(0.0)).otherwise(
-                    F.length(F.regexp_replace("text", "[^0-9]", "")) / F.length("text")).alias("digit_share"),
-                F.when(n_words == 0, F.lit(0.0)).otherwise(
-                    F.size(F.array_distinct(words)) / n_words).alias("unique_share"),
-                label.cast("int").alias("label")))
+    # the statistics are taken before the join: texts are not shuffled
+    stats = docs.select(
+        "doc_id",
+        F.col("n_chars").cast("double").alias("n_chars"),
+        n_words.cast("double").alias("n_words"),
+        F.when(n_words == 0, F.lit(0.0)).otherwise(word_chars / n_words).alias("mean_word_len"),
+        F.when(F.length("text") == 0, F.lit(0.0)).otherwise(
+            F.length(F.regexp_replace("text", "[^0-9]", "")) / F.length("text")).alias("digit_share"),
+        F.when(n_words == 0, F.lit(0.0)).otherwise(
+            F.size(F.array_distinct(words)) / n_words).alias("unique_share"))
+    return stats.join(labels.select("doc_id", label.cast("int").alias("label")), "doc_id")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def test_exact_percentiles_grouped_with_hot_value(spark):
 def test_running_totals_match_plain_window(spark):
     rows = [("m", float(i) / 97.0, i % 3) for i in range(500)]
     df = spark.createDataFrame(rows, "model string, score double, pos long")
-    rt = running_totals(df, ["model"], "score", ["pos"], descending=True, n_cells=16).collect()
+    rt = running_totals(df, ["model"], "score", ["pos"], descending=True).collect()
     by = sorted(rows, key=lambda r: -r[1])
     cum, want = 0, {}
     for r in by:
