@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarion.llm.common import fresh, ranked, word_count
+from clarion.llm.common import ranked, word_count
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, 7
 
@@ -69,14 +69,13 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     taken = plan(docs, weights, share, most, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0")
-    size, times = fresh(docs, "size"), fresh(docs, "times")
-    sized = docs.withColumn(size, word_count(F.col("text")))
-    taken = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_all", "_rows")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col(size) == F.col("_z"))
-    one = sized.join(taken.where("_rows = 1"), same).withColumn(times, F.col("_all"))
-    # repeated rows share their copies
+    # the document travels as one column, so its names clash with none of these
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), word_count(F.col("text")).alias("words"))
+    taken = taken.withColumnRenamed("source", "from")
+    same = F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & F.col("doc.source").eqNullSafe(F.col("from")) & (F.col("words") == F.col("size"))
+    one = sized.join(taken.where("_rows = 1"), same).withColumn("times", F.col("_all"))
+    # repeated rows share their copies, in order of what they hold
     again = sized.join(taken.where("_rows > 1"), same)
-    turn = F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy(F.lit(0)))
-    again = again.withColumn(times, F.floor(F.col("_all") / F.col("_rows")) + F.when(turn <= F.col("_all") % F.col("_rows"), 1).otherwise(0))
-    both = one.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int"))).alias(times))
-    return both.drop(times)
+    turn = F.row_number().over(Window.partitionBy("doc_id", "from", "size").orderBy(F.xxhash64("doc.text"), F.xxhash64("doc")))
+    again = again.withColumn("times", F.floor(F.col("_all") / F.col("_rows")) + F.when(turn <= F.col("_all") % F.col("_rows"), 1).otherwise(0))
+    return one.unionByName(again).select("doc", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("doc.*")

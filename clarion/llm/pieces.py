@@ -9,7 +9,7 @@ once by the library, and a text's ids are its chunks' ids joined by position.
 
 The table belongs to a task (joining the positions of all texts through a
 shuffle would move several times the input).  It is emptied when it reaches
-``TABLE_CHUNKS`` entries, so memory stays bounded.
+``TABLE_CHUNKS`` entries or ``TABLE_CHARS`` characters, so memory stays bounded.
 
 Null and empty texts give no ids; decoding a null or empty list gives "".
 Vocabularies whose pieces cross markers, or that define symbols of their own,
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from clarion.llm.common import fresh
 
 MARK = "▁"
-TABLE_CHUNKS = 100_000
+TABLE_CHUNKS, TABLE_CHARS = 100_000, 4_000_000
 #: Characters of text whose chunks are held at a time.
 SLICE_CHARS = 500_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -58,13 +58,15 @@ class PieceCoder:
             _CROSSES.search(self.sp.id_to_piece(i)) for i in range(n))
         self.lone = lone
         self.table: dict[str, tuple[int, ...]] = {}
+        self.chars = 0
 
     def _learn(self, wanted: set[str]) -> None:
         """Segment the chunks that the table lacks, each once."""
         new = [c for c in wanted if c not in self.table]
-        if len(self.table) + len(new) > TABLE_CHUNKS:
+        if len(self.table) + len(new) > TABLE_CHUNKS or self.chars + sum(map(len, new)) > TABLE_CHARS:
             self.table.clear()
-            new = list(wanted)
+            new, self.chars = list(wanted), 0
+        self.chars += sum(map(len, new))
         # the library puts the first marker in front by itself, but not for an empty text
         for chunk, ids in zip(new, self.sp.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1)):
             self.table[chunk] = tuple(ids) if len(chunk) > 1 else (self.lone,)

@@ -15,29 +15,45 @@ repeated documents are placed like any other; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clarion.llm.common import ranked
+from clarion.llm.common import fresh, ranked
 
 SHARDS = 16
 
 
-def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot for every row of ``docs`` (doc_id, text)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_h"))
+def _placed(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` (doc_id, size, text_crc32, _h and what else is carried) plus ``shard``, ``slot`` and ``row_no``."""
     placed, totals = ranked(rows, ["_h", "text_crc32", "doc_id", "size"], ["size"], "shard-order")
     total = F.lit(max(1, totals.first()["total_size"]))
     # the middle of the row in halves of bytes, in wide integers
     middle = (F.lit(2) * F.col("before_size") + F.col("size")).cast("decimal(30,0)")
     cut = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards) / (F.lit(2) * total)).cast("int")))
     first = cut.groupBy("shard").agg(F.min("row_no").alias("_first"))  # one row per shard
-    return cut.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row_no") - F.col("_first")).cast("long").alias("slot"))
+    return cut.join(F.broadcast(first), "shard").withColumn("slot", (F.col("row_no") - F.col("_first")).cast("long"))
+
+
+def _measured(text: Column) -> list[Column]:
+    text = F.coalesce(text, F.lit(""))
+    return [(F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_h")]
+
+
+def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot for every row of ``docs`` (doc_id, text)."""
+    rows = docs.select("doc_id", *_measured(F.col("text")))
+    return _placed(rows, shards).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def write(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write ``docs`` under ``path``, one folder ``shard=N`` per shard, rows by slot."""
-    where = assign(docs, shards).select(F.col("doc_id").alias("_d"), "shard", "slot").distinct()
-    out = docs.join(where, docs["doc_id"].eqNullSafe(where["_d"])).drop("_d")
-    out.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Write every row of ``docs`` under ``path``, one folder ``shard=N`` per shard.
+
+    Whole rows are placed, so repeated doc_ids and rows stay what they are.  A
+    shard's files are written by the tasks that hold its part of the order, each
+    in order of the slots.  Where ``docs`` has a column ``shard`` the folders take
+    the next free name.
+    """
+    folder = "shard" if "shard" not in {c.lower() for c in docs.columns} else fresh(docs, "shard")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", *_measured(F.col("text")))
+    out = _placed(rows, shards).repartitionByRange("row_no").sortWithinPartitions("row_no")
+    out.select("doc.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)

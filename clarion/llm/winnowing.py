@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarion.llm.common import stored
+from clarion.llm.common import fresh, stored
 
 K, W = 16, 16
 _BASE = 0x9E3779B97F4A7C15
@@ -84,7 +84,7 @@ def name(hashes: np.ndarray, at: np.ndarray) -> str:
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """``docs`` plus ``hashes`` (array<long>) and ``positions`` (array<long>) of column text."""
+    """``docs`` plus ``hashes`` (array<long>) and ``positions`` (array<long>) of column text; columns of these names are replaced."""
     kind = pa.struct([("hashes", pa.list_(pa.int64())), ("positions", pa.list_(pa.int64()))])
 
     @F.arrow_udf("hashes array<long>, positions array<long>")
@@ -92,8 +92,8 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
         both = [winnow(t, k, w) for t in batch.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([h.view(np.int64) for h, _ in both], pa.list_(pa.int64())), pa.array([p for _, p in both], pa.list_(pa.int64()))], fields=list(kind))
 
-    f = chosen(F.col("text"))
-    return docs.withColumn("_f", f).withColumn("hashes", F.col("_f.hashes")).withColumn("positions", F.col("_f.positions")).drop("_f")
+    f = fresh(docs, "f")
+    return docs.withColumn(f, chosen(F.col("text"))).withColumn("hashes", F.col(f"{f}.hashes")).withColumn("positions", F.col(f"{f}.positions")).drop(f)
 
 
 class _Doc:

@@ -224,3 +224,29 @@ def test_edited_neighbours(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
     with_f = winnowing.fingerprints(docs)
     assert all(r.hashes == [int(x) for x in winnowing.winnow(r.text)[0].view(np.int64)] for r in with_f.collect())
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    """Repeated doc_ids, repeated rows, nulls and a column named shard: every row once, in order of the slots."""
+    rows = [(i // 2, f"text {i % 7} " * (i % 5), f"x{i}", i) for i in range(100)] + [(None, None, None, 1), (None, None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size string, shard int")
+    sharding.write(docs, f"file://{tmp_path}/out", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(map(repr, back.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    want = {r["shard"]: r["count"] for r in sharding.assign(docs, 4).groupBy("shard").count().collect()}
+    assert {r["_shard"]: r["count"] for r in back.groupBy("_shard").count().collect()} == want
+
+
+def test_mix_with_clashing_names_and_repeated_ids(spark):
+    rows = [(1, "a b c", "s", 1, 2, 3), (1, "d e f", "s", 4, 5, 6), (1, "d e f", "s", 4, 5, 6), (2, "g", None, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _d int, size int, times int")
+    one = sorted(map(tuple, mixing.mix(docs).collect()), key=repr)
+    assert set(one) <= set(rows) and one
+    for n in (1, 5):
+        assert sorted(map(tuple, mixing.mix(docs.repartition(n, "text")).collect()), key=repr) == one
+
+
+def test_fingerprints_keep_a_column_named_f(spark):
+    docs = spark.createDataFrame([(1, "some text that is long enough to have fingerprints", 5)], "doc_id long, text string, _f int")
+    out = winnowing.fingerprints(docs)
+    assert out.columns == ["doc_id", "text", "_f", "hashes", "positions"] and out.first()["_f"] == 5

@@ -91,3 +91,14 @@ def test_pair_tables_equal_the_plain_convolution():
 
 def test_digest_is_sha256_of_ids():
     assert pieces.digest_one([1, 2], "x")[1] == hashlib.sha256(b"1,2").hexdigest()
+
+
+def test_the_chunk_table_is_bounded_by_its_characters(monkeypatch):
+    import public_tokenizers
+
+    coder = pieces.PieceCoder(pieces.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+    monkeypatch.setattr(pieces, "TABLE_CHARS", 2_000)
+    texts = [f"{'x' * 300}{i} word{i}" for i in range(40)]
+    got = [x.tolist() for i in range(0, 40, 4) for x in coder.encode(texts[i:i + 4])]
+    assert got == [coder.sp.encode(t) for t in texts]
+    assert sum(map(len, coder.table)) <= 2_000 and coder.chars == sum(map(len, coder.table))
