@@ -8,7 +8,7 @@ resemble no template.  A quarter of the training rows is held back to calibrate
 the probabilities: the temperature with the least loss on them is used.  A
 predicted family stands if its calibrated probability is at least
 ``LEAST_PROBABILITY`` and a template of the family confirms it: of the word
-pairs of the shorter one, ``LEAST_SHARED`` are shared.
+pairs of the shorter one, ``LEAST_SHARED`` are shared, ``LEAST_PAIRS`` of them at least.
 
 The vocabulary consists of all word pairs of the templates, however common their
 words are, and of the templates' words that are rare in the sample.  A paragraph
@@ -100,6 +100,8 @@ UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *sorted(TEMPLATES)]
 UNKNOWN_ROWS, WINDOW_WORDS, COMMON = 4_000, (6, 12, 24), 0.002
 LEAST_PROBABILITY, LEAST_SHARED = 0.5, 0.6
+#: Pairs that a confirmed line shares with its template at least, where that has so many.
+LEAST_PAIRS = 3
 ITERATIONS, L1 = 40, 0.0005
 TEMPERATURES = (0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0)
 
@@ -145,9 +147,10 @@ def _windows(templates: DataFrame) -> DataFrame:
 
 
 def resemblance(pairs: Column, template: Column) -> Column:
-    """Shared word pairs as a share of the shorter side's."""
-    least = F.least(F.size(pairs), F.size(template))
-    return F.when(least > 0, F.size(F.array_intersect(pairs, template)) / least).otherwise(0.0)
+    """Shared word pairs as a share of the shorter side's; a few words of a notice are none: at least
+    ``LEAST_PAIRS`` pairs are shared, or all of a shorter template's."""
+    least, shared = F.least(F.size(pairs), F.size(template)), F.size(F.array_intersect(pairs, template))
+    return F.when((least > 0) & (shared >= F.least(F.lit(LEAST_PAIRS), F.size(template))), shared / least).otherwise(0.0)
 
 
 class LicenceModel:
@@ -196,9 +199,10 @@ def fit(docs: DataFrame) -> LicenceModel:
     unknown = stored(near.select("words").unionByName(others).coalesce(2), "licence-sample")
     # the vocabulary is bounded by the templates
     n = max(1, unknown.count())
-    often = {r.w for r in unknown.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().where(F.col("count") > max(1, COMMON * n)).orderBy(F.desc("count")).limit(50_000).select("w").collect()}
-    grams = templates.select(F.explode(F.concat("words", "pairs")).alias("g")).distinct()
-    vocabulary = sorted(r.g for r in grams.collect() if " " in r.g or r.g not in often)
+    grams = sorted(r.g for r in templates.select(F.explode(F.concat("words", "pairs")).alias("g")).distinct().collect())
+    single = [g for g in grams if " " not in g]
+    often = {r.w for r in unknown.select(F.explode(F.array_distinct("words")).alias("w")).where(F.col("w").isin(single)).groupBy("w").count().where(F.col("count") > max(1, COMMON * n)).select("w").collect()}
+    vocabulary = [g for g in grams if " " in g or g not in often]
     anchors = sorted({w for g in vocabulary for w in g.split(" ")})
     model = LicenceModel(vocabulary, anchors, None, 1.0)
     rows = _windows(templates).unionByName(unknown.withColumn("family", F.lit(UNKNOWN)))

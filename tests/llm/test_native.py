@@ -38,6 +38,14 @@ def test_licences_are_named(scanned):
         assert (got[r.doc_id] in found) if found else got[r.doc_id] is None
 
 
+def test_a_few_words_of_a_notice_confirm_nothing(spark, scanned):
+    _, docs, model = scanned
+    lines = ["the License", "under the License", "See the License.", "of the License", "All rights reserved.", "Released under the MIT License."]
+    few = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.family for r in licences.by_document(few, model).collect()}
+    assert [got[i] for i in range(6)] == [None, None, None, None, "proprietary", "MIT"]
+
+
 def test_licences_of_an_empty_table(spark, scanned):
     _, docs, model = scanned
     assert licences.by_document(docs.limit(0), model).count() == 0
