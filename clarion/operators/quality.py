@@ -115,9 +115,10 @@ def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     total = parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
     n, x, y, xx, yy, xy = (F.col(s) for s in _SUMS)
     spread = (xx - x * x / n) * (yy - y * y / n)
-    r = F.when((n >= 2) & (xx - x * x / n > 0) & (yy - y * y / n > 0), (xy - x * y / n) / F.sqrt(spread))
+    # least and greatest pass NULL over, so they stand inside
+    r = F.when((n >= 2) & (xx - x * x / n > 0) & (yy - y * y / n > 0), F.greatest(F.least((xy - x * y / n) / F.sqrt(spread), F.lit(1.0)), F.lit(-1.0)))
     names = F.array(*[F.lit(c) for c in cols])
-    return total.select(names[F.col("i")].alias("col_i"), names[F.col("j")].alias("col_j"), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("r"))
+    return total.select(names[F.col("i")].alias("col_i"), names[F.col("j")].alias("col_j"), r.alias("r"))
 
 
 def box_summary(df: DataFrame, columns: Sequence[str], label: str = "label", whis: float = 1.5) -> DataFrame:
