@@ -195,6 +195,35 @@ def test_edited_passages_whose_halves_stand_in_earlier_documents(spark):
     assert got == set(pairs)
 
 
+def test_passages_whose_seeds_stand_earlier_in_the_same_document(spark):
+    rng = random.Random(25)
+    passage = prose(rng, 60).split(" ")
+    edited = [w if k % 9 else "changed" for k, w in enumerate(passage, 1)]
+    quotes = [w for at in range(0, 60, 20) for w in passage[at: at + 23] + prose(rng, 60).split(" ")]
+    texts = [" ".join([prose(rng, 40), *passage, prose(rng, 40)]),
+             " ".join([*passage, prose(rng, 30), *passage, prose(rng, 30), *passage]),
+             " ".join(quotes + edited)]
+    got = {(r.doc_id, r.ref_id, r.start, r.end, r.ref_start, r.ref_end) for r in passages.repeated(frame(spark, texts)).collect()}
+    assert {(1, 0, at, at + 60, 40, 100) for at in (0, 90, 180)} <= got
+    assert any(doc == 2 and start >= len(quotes) and end - start >= 50 for doc, _, start, end, _, _ in got)
+
+
+def test_matches_are_all_longest_equal_runs():
+    rng = np.random.default_rng(26)
+    for _ in range(200):
+        a, b = (rng.integers(0, 3, rng.integers(0, 25)).astype(np.uint64) for _ in range(2))
+        runs = set()
+        for x in range(len(a)):
+            for y in range(len(b)):
+                if a[x] == b[y] and (not x or not y or a[x - 1] != b[y - 1]):
+                    n = next((i for i in range(min(len(a) - x, len(b) - y)) if a[x + i] != b[y + i]), min(len(a) - x, len(b) - y))
+                    runs |= {(x, y, n)} if n >= 4 else set()
+        found = list(zip(*(c.tolist() for c in passages.matches(a, b))))
+        assert len(found) == len(runs) and set(found) == runs
+    same = np.zeros(5_000, np.uint64)
+    assert len(passages.matches(same, same[:4_000])[0]) == 5_000 + 4_000 - 2 * 4 + 1  # one for each diagonal
+
+
 def longest_alike(same, least=50, similarity=0.8):
     """The longest stretch between two equal words that is at least 80 % equal, by trying all."""
     return max((j - i for i in range(len(same)) for j in range(i + least, len(same) + 1) if same[i] and same[j - 1] and sum(same[i:j]) >= similarity * (j - i)), default=0)
