@@ -217,10 +217,15 @@ def _held(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(words.join(words.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s"), "near-held")
 
 
-def _most_typical(groups: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _with_holders(groups: DataFrame, held: DataFrame) -> DataFrame:
+    """The members with ``c``, their number of held shingles, and ``typical``, how widely these are held; each is joined once."""
+    holders = held.groupBy("rep").agg((F.sum("df") / F.first("n")).alias("typical"), F.count(F.lit(1)).alias("c"))
+    return stored(groups.join(holders, "rep"), "near-open")  # without a shared shingle there is no partner
+
+
+def _most_typical(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A star around each group's member with the most widely held shingles: most likely what the others are edits of."""
-    typical = held.groupBy("rep").agg((F.sum("df") / F.first("n")).alias("typical"))
-    pairs, rest = _star(groups.join(typical, "rep"), F.struct(-F.col("typical"), F.xxhash64("rep")))  # without a shared shingle there is no partner
+    pairs, rest = _star(groups, F.struct(-F.col("typical"), F.xxhash64("rep")))
     return pairs, rest.drop("typical")
 
 
@@ -232,10 +237,8 @@ def _largest(groups: DataFrame) -> DataFrame:
 
 def _remaining(groups: DataFrame, held: DataFrame, percent: int, small: int) -> DataFrame:
     """The pairs of members that pivots have not settled and that are in each other's reach."""
-    left = held.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
-    members = groups.join(left, "rep")  # without a shared shingle there is no partner
-    smallest = members.groupBy("g").agg(F.min("n").alias("_m"))
-    members = members.join(smallest, "g").where(_in_reach(F.col("c"), F.col("n"), F.greatest("_m", F.ceil(F.col("n") * percent / 100)), percent)).drop("_m")
+    smallest = groups.groupBy("g").agg(F.min("n").alias("_m"))
+    members = groups.join(smallest, "g").where(_in_reach(F.col("c"), F.col("n"), F.greatest("_m", F.ceil(F.col("n") * percent / 100)), percent)).drop("_m")
     members = stored(_several(members), "near-members")
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
     narrow = members.join(sizes.where(F.col("members") <= small), "g", "left_semi").select("g", "rep", "n", "c", "root", F.lit(1).alias("place"))
@@ -250,7 +253,7 @@ def _remaining(groups: DataFrame, held: DataFrame, percent: int, small: int) ->
     outside = many.join(_largest(many), "g").where("root <> main").select("rep").distinct()
     wanted = head.join(outside, "rep", "left_semi").select("s").distinct()
     head = head.join(wanted, "s", "left_semi").join(large, "rep")
-    split = head.select(F.xxhash64(F.lit("prefix"), "s").alias("g"), "rep", "n", "c", "root", "place")
+    split = stored(head.select(F.xxhash64(F.lit("prefix"), "s").alias("g"), "rep", "n", "c", "root", "place"), "near-split")
     parts = stored(narrow.unionByName(_several(split)), "near-parts")
     one = parts.join(_largest(parts), "g").where("root <> main").select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"), F.col("place").alias("pa"))
     two = parts.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("root").alias("rb"), F.col("place").alias("pb"))
@@ -297,7 +300,7 @@ def _components_of(docs: DataFrame, words: int, similarity: float, small: int =
         groups = stored(_contract(rest, edges), "near-groups")
     if not groups.isEmpty():
         held = _held(groups, sets)
-        pairs, rest = _most_typical(groups, held)
+        pairs, rest = _most_typical(_with_holders(groups, held))
         edges = link(pairs)
         groups = stored(_contract(rest, edges), "near-groups")
         if not groups.isEmpty():
