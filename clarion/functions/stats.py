@@ -125,6 +125,7 @@ def running_totals(df: DataFrame, key_cols: Sequence[str], order_col: str, value
     totals = parted.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
+    offsets = kept(offsets, "running-offsets")  # written so that Spark knows how small it is
     within = Window.partitionBy("_part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = same_keys(parted, offsets, [*keys, "_part"])
     return out.select(*df.columns, *[(F.col(f"_o_{v}") + F.sum(v).over(within)).alias(f"{prefix}{v}") for v in value_cols])

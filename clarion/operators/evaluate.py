@@ -89,7 +89,8 @@ def roc_curve(df: DataFrame, group_cols=("model",), label="label", score="score"
     g = _g(group_cols)
     # read for the points, the totals and the next points
     rg = kept(_ranked_groups(df, g, label, score).withColumnRenamed("cum_one", "idx"), "ranked-scores")
-    totals = rg.groupBy(*g).agg(F.max("idx").alias("_L"), F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    # one row per group, written so that Spark knows its size: dealt by group, a curve would meet in one task
+    totals = kept(rg.groupBy(*g).agg(F.max("idx").alias("_L"), F.sum("pos").alias("_P"), F.sum("neg").alias("_N")), "roc-totals")
     nxt = rg.select(*g, (F.col("idx") - 1).alias("idx"), F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
     pts = _join(rg, totals, g).join(nxt, [*g, "idx"], "left")
     if drop_intermediate:
@@ -238,7 +239,7 @@ def roc_downsample(roc: DataFrame, group_cols=("model",), target_points: int = 6
     g = _g(group_cols)
     ones = roc.withColumn("_one", F.lit(1)).withColumn("_o", F.col("idx").cast("double"))
     pos = running_totals(ones, g, "_o", ["_one"], descending=False, prefix="_cum")
-    n = pos.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    n = kept(pos.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")), "roc-points")
     step = F.greatest(F.lit(1), (F.col("_n") / target_points).cast("long"))
     j = _join(pos, n, g).withColumn("_pos", F.col("_cum_one") - 1)
     keep = ((F.col("_pos") % step) == 0) | (F.col("_pos") == F.col("_n") - 1)

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from clarion.functions.columns import risk_tier, specimen_tag
@@ -67,3 +69,18 @@ def test_risk_tier_boundaries(spark):
 def test_specimen_tag_fixture(spark):
     df = spark.createDataFrame([("scan_001.png",)], "name string")
     assert df.select(specimen_tag("name")).first()[0] == "SPEC-7GP5PM"
+
+
+def test_curves_are_not_dealt_by_model(spark):
+    df = spark.range(6_000).select(F.concat(F.lit("m"), F.col("id") % 2).alias("model"), (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") * 37 % 5_003 / 5_003).alias("score"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        roc = ev.roc_curve(df)
+        down = ev.roc_downsample(roc)
+        for out in (roc, down):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"hashpartitioning\(model#\d+, \d+\)", plan)
+        assert down.count() > 2 * 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
