@@ -138,36 +138,35 @@ def shapley_sampled(model, rows: DataFrame, id_col: str, features: Sequence[str]
     bg = background.select(*[F.col(c).cast("double").alias(c) for c in features]) \
         .withColumn("_bk", F.row_number().over(Window.orderBy(*features)) - 1)
     n_bg = bg.count()
-    r = rows.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in features])
+    r = rows.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)])
     perm_ids = F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("_perm")
-    rp = r.select("*", perm_ids)
-    # permutation of feature positions by hash order, background row by hash
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.struct(
-        F.xxhash64(F.lit(seed), F.col("_id"), F.col("_perm"), i).alias("h"), i.alias("i"))))
-    rp = rp.withColumn("_order", F.transform(order, lambda s: s["i"])) \
-           .withColumn("_bk", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_id"), F.col("_perm")), F.lit(n_bg)))
-    bgr = bg.select("_bk", F.array(*[F.col(c) for c in features]).alias("_b"))
+    # permutation of feature positions by hash order, background row by hash; plain columns, which Spark compiles
+    hashed = r.select("*", perm_ids).select(
+        "*", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_id"), F.col("_perm")), F.lit(n_bg)).alias("_bk"),
+        *[F.xxhash64(F.lit(seed), F.col("_id"), F.col("_perm"), F.lit(i)).alias(f"_h{i}") for i in range(d)])
+
+    def place(i: int) -> Column:
+        """How many features stand before feature ``i`` in the permutation; equal hashes by number."""
+        before = [F.col(f"_h{k}") <= F.col(f"_h{i}") if k < i else F.col(f"_h{k}") < F.col(f"_h{i}") for k in range(d) if k != i]
+        return sum((b.cast("int") for b in before), F.lit(0)).alias(f"_p{i}")
+
+    rp = hashed.select("_id", "_perm", "_bk", *[f"_x{i}" for i in range(d)], *[place(i) for i in range(d)])
+    bgr = bg.select("_bk", *[F.col(c).alias(f"_b{i}") for i, c in enumerate(features)])
     # Spark broadcasts the background while it is small
-    rp = rp.join(bgr, "_bk").withColumn(
-        "_x", F.array(*[F.col(c) for c in features]))
     # step j = 0..d : first j features of the permutation come from x
-    steps = rp.select("_id", "_perm", "_order", "_x", "_b",
-                      F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_j"))
-    pos_of = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.array_position(F.col("_order"), i) - 1)
-    mixed = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                        lambda i: F.when(F.element_at(pos_of, i + 1) < F.col("_j"), F.col("_x")[i]).otherwise(F.col("_b")[i]))
-    coal = steps.withColumn("_m", mixed).select("_id", "_perm", "_order", "_j",
-                                                *[F.col("_m")[i].alias(c) for i, c in enumerate(features)])
+    steps = rp.join(bgr, "_bk").select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_j"))
+    coal = steps.select("_id", "_j", *[f"_p{i}" for i in range(d)],
+                        *[F.when(F.col(f"_p{i}") < F.col("_j"), F.col(f"_x{i}")).otherwise(F.col(f"_b{i}")).alias(c) for i, c in enumerate(features)])
     va = VectorAssembler(inputCols=list(features), outputCol=features_col)
     scored = model.transform(va.transform(coal)).select(
-        "_id", "_perm", "_order", "_j", vector_to_array(prob_col)[1].alias("_f"))
+        "_id", "_j", *[f"_p{i}" for i in range(d)], vector_to_array(prob_col)[1].alias("_f"))
     # a coalition's score counts for the feature that it adds and against the one that the next coalition adds;
-    # a row's coalitions are made in one task, so what is shuffled is one sum per row and feature
-    signed = F.array(F.struct(F.when(F.col("_j") > 0, F.element_at("_order", F.greatest("_j", F.lit(1)))).alias("i"), F.col("_f").alias("f")),
-                     F.struct(F.when(F.col("_j") < d, F.element_at("_order", F.least(F.col("_j") + 1, F.lit(d)))).alias("i"), (-F.col("_f")).alias("f")))
-    sums = scored.select("_id", F.explode(signed).alias("s")).where("s.i IS NOT NULL").groupBy("_id", F.col("s.i").alias("_fi")).agg(F.sum("s.f").alias("_sum"))
-    names = F.array(*[F.lit(c) for c in features])
-    return sums.select(F.col("_id").alias(id_col), F.element_at(names, F.col("_fi") + 1).alias("feature"), (F.col("_sum") / n_permutations).alias("contribution"))
+    # a row's coalitions are made in one task, so what is shuffled is one row of sums per row
+    sums = scored.groupBy("_id").agg(*[
+        F.sum(F.when(F.col("_j") == F.col(f"_p{i}") + 1, F.col("_f")).when(F.col("_j") == F.col(f"_p{i}"), -F.col("_f")).otherwise(F.lit(0.0))).alias(f"_s{i}")
+        for i in range(d)])
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"_s{i}") / n_permutations).alias("contribution")) for i, c in enumerate(features)])
+    return sums.select(F.col("_id").alias(id_col), F.inline(each))
 
 
 # ------------------------------------------------------------------ X6 local surrogate
