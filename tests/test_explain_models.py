@@ -1,6 +1,7 @@
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from clarion.operators import explain as ex
@@ -58,3 +59,20 @@ def test_registered_shapley_explains_every_feature_of_every_test_row(spark, monk
     n = pe._scaled_split(spark, d).where("split = 'test'").count()
     assert {r["feature"]: r["count"] for r in out.groupBy("feature").count().collect()} == {f: n for f in b.LINE_FEATURES}
     assert used == [{}]
+
+
+class _Linear:
+    """Stands for a fitted model: probability 0.1 + 0.02 a + 0.05 b."""
+
+    def transform(self, df):
+        v = vector_to_array("features")
+        p = 0.1 + 0.02 * v[0] + 0.05 * v[1]
+        return df.withColumn("probability", array_to_vector(F.array(1 - p, p)))
+
+
+def test_sampled_shapley_by_plain_columns(spark):
+    rows = spark.createDataFrame([("x", 1.0, 2.0), ("y", 3.0, 5.0)], "id string, a double, b double")
+    out = ex.shapley_sampled(_Linear(), rows, "id", ["a", "b"], spark.createDataFrame([(1.0, 1.0)], "a double, b double"), n_permutations=4)
+    got = {(r.id, r.feature): round(r.contribution, 9) for r in out.collect()}
+    assert got == {("x", "a"): 0.0, ("x", "b"): 0.05, ("y", "a"): 0.04, ("y", "b"): 0.2}
+    assert "array_position" not in out._jdf.queryExecution().optimizedPlan().toString()
