@@ -50,3 +50,36 @@ def test_correlation_takes_each_pairs_own_rows(spark):
                 both = ~holes[:, i] & ~holes[:, j]
                 assert got[p, q] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
     assert got["a", "flat"] is None and got["a", "none"] is None and len(got) == 10
+
+
+def test_importance_does_not_depend_on_partitions(spark):
+    """Weights are drawn by content: the forest was fitted from weights that were held for each row and tree of a partition."""
+    df, _ = _frame(spark, 600)
+    cols = ["a", "b", "c", "d"]
+    one, many = ([tuple(r) for r in fe.importance_ranking(df.repartition(n, "id"), cols, num_trees=20).orderBy("rank").collect()] for n in (1, 7))
+    assert one == many and {one[0][0], one[1][0]} == {"a", "b"}
+    assert sum(r[1] for r in one) == pytest.approx(1.0)
+
+
+def test_importance_is_near_that_of_mllib(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    df, _ = _frame(spark, 600)
+    cols = ["a", "c", "d"]
+    mine = {r.feature: r.importance for r in fe.importance_ranking(df, cols, num_trees=60).collect()}
+    model = RandomForestClassifier(featuresCol="f", labelCol="label", numTrees=60, seed=1).fit(VectorAssembler(inputCols=cols, outputCol="f").transform(df))
+    assert [mine[c] for c in cols] == pytest.approx(model.featureImportances.toArray().tolist(), abs=0.05)
+
+
+def test_weights_of_a_cell_are_poisson():
+    from clarion.operators.forest import poisson
+    n = np.repeat([1, 6, 1000], 20_000)
+    w = poisson(np.random.default_rng(0).integers(0, 2 ** 63, len(n)).astype(np.uint64), n, 3)
+    for k in (1, 6, 1000):
+        assert w[n == k].mean() == pytest.approx(k, rel=0.03) and w[n == k].var() == pytest.approx(k, rel=0.06)
+
+
+def test_importance_refuses_missing_values(spark):
+    df = spark.createDataFrame([(1.0, None, 0), (2.0, 1.0, 1)], "a double, b double, label int")
+    with pytest.raises(Exception, match="(?i)null"):
+        fe.importance_ranking(df, ["a", "b"], num_trees=2).collect()
