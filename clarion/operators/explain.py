@@ -196,13 +196,12 @@ def local_surrogate(model, rows: DataFrame, id_col: str, features: Sequence[str]
     def bin_of(col, qs):
         return (F.when(col <= qs[0], 0).when(col <= qs[1], 1).when(col <= qs[2], 2).otherwise(3))
 
-    mins = training.agg(*[F.min(c).alias(c) for c in features]).first()
-    maxs = training.agg(*[F.max(c).alias(c) for c in features]).first()
+    ends = training.agg(*[F.min(c).alias(f"min_{c}") for c in features], *[F.max(c).alias(f"max_{c}") for c in features]).first()
     samples = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_s"))
     cols = []
     for k, c in enumerate(features):
         qs = quart[c]
-        edges = [float(mins[c])] + qs + [float(maxs[c])]
+        edges = [float(ends[f"min_{c}"])] + qs + [float(ends[f"max_{c}"])]
         u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_id"), F.col("_s"), F.lit(k)), F.lit(1_000_003)) / 1_000_003.0)
         keep = (F.pmod(F.xxhash64(F.lit(seed + 7), F.col("_id"), F.col("_s"), F.lit(k)), F.lit(2)) == 0) | (F.col("_s") == 0)
         b = F.pmod(F.xxhash64(F.lit(seed + 13), F.col("_id"), F.col("_s"), F.lit(k)), F.lit(4)).cast("int")

@@ -50,10 +50,8 @@ def correlation_prune(df: DataFrame, columns: Sequence[str], threshold: float =
     spark = df.sparkSession
     pos = spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "position int, column string")
     pairs = correlation_long(df, cols)
-    dropped = pairs.where(F.abs("r") > threshold).select(F.col("col_j").alias("column")).distinct()
-    kept = pos.join(dropped, "column", "left_anti").withColumn("kept", F.lit(True))
-    gone = pos.join(dropped, "column", "left_semi").withColumn("kept", F.lit(False))
-    return kept.unionByName(gone).select("position", "column", "kept")
+    dropped = pairs.where(F.abs("r") > threshold).select(F.col("col_j").alias("column"), F.lit(False).alias("kept")).distinct()
+    return pos.join(dropped, "column", "left").select("position", "column", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def kept_columns(prune_table: DataFrame) -> list[str]:

@@ -82,43 +82,60 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Dat
     return filled, med_long
 
 
-def _pair_sums(shift: list[float]):
-    """Per task the sums over rows that have both columns of a pair, of values less ``shift``."""
+def _pair_moments(d: int):
+    """Per task the counts, means and centred squares and products of the rows that have both columns of a pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = len(shift)
-        sums = np.zeros((6, d, d))
+        held = np.zeros((6, d, d))  # n, mean of x, mean of y, xx, yy, xy
         for b in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(float) - shift
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(float)
             there = ~np.isnan(x)
-            x, m = np.where(there, x, 0.0), there.astype(float)
-            sums += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            m = there.astype(float)
+            if not len(x):
+                continue
+            # around a value first: what does not vary is exactly 0 then
+            shift = np.where(there.any(axis=0), x[there.argmax(axis=0), np.arange(d)], 0.0)
+            x = np.where(there, x - shift, 0.0)
+            middle = x.sum(axis=0) / np.maximum(m.sum(axis=0), 1)
+            x, shift = np.where(there, x - middle, 0.0), shift + middle
+            n, sx, sy = m.T @ m, x.T @ m, m.T @ x
+            mx, my = sx / np.maximum(n, 1), sy / np.maximum(n, 1)
+            held = _merged(held, np.stack([n, mx + shift[:, None], my + shift, (x * x).T @ m - sx * mx, m.T @ (x * x) - sy * my, x.T @ x - sx * my]))
         i, j = np.triu_indices(d, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(s[i, j]) for s in sums]], names=["i", "j", *_SUMS])
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(s[i, j]) for s in held]], names=["i", "j", *_MOMENTS])
     return run
 
 
-_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = a[0] + b[0]
+    share = b[0] / np.maximum(n, 1)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    apart = a[0] * share
+    return np.stack([n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * apart, a[4] + b[4] + dy * dy * apart, a[5] + b[5] + dx * dy * apart])
+
+
+_MOMENTS = ("n", "x", "y", "xx", "yy", "xy")
 
 
 def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Q9/A5: Pearson's r of every pair i < j as (col_i, col_j, r), over the rows that have both values.
 
-    One pass of masked co-moments (n, sums, squares and products per pair, added
-    up over the tasks) around the column means; NULL where fewer than two rows
+    One pass of masked co-moments (n, means, centred squares and products per pair),
+    merged over the batches of a task and over the tasks; NULL where fewer than two rows
     have both or a column does not vary there.
     """
     cols = list(columns)
     plain = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
-    means = plain.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    parts = plain.mapInArrow(_pair_sums([float(m) if m is not None else 0.0 for m in means]), "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS))
-    # a row per pair and task
-    total = parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
-    n, x, y, xx, yy, xy = (F.col(s) for s in _SUMS)
-    spread = (xx - x * x / n) * (yy - y * y / n)
+    parts = plain.mapInArrow(_pair_moments(len(cols)), "i int, j int, " + ", ".join(f"{s} double" for s in _MOMENTS))
+    # a row per pair and task: centred anew around the means of all
+    w = Window.partitionBy("i", "j")
+    parts = parts.where("n > 0").withColumns({f"d{c}": F.col(c) - F.min(c).over(w) for c in "xy"})
+    parts = parts.withColumns({f"d{c}": F.col(f"d{c}") - F.sum(F.col("n") * F.col(f"d{c}")).over(w) / F.sum("n").over(w) for c in "xy"})
+    total = parts.groupBy("i", "j").agg(F.sum("n").alias("n"), *[F.sum(F.col(a + c) + F.col("n") * F.col(f"d{a}") * F.col(f"d{c}")).alias(a + c) for a, c in ("xx", "yy", "xy")])
+    pairs = df.sparkSession.createDataFrame([(i, j) for j in range(len(cols)) for i in range(j)], "i int, j int")
     # least and greatest pass NULL over, so they stand inside
-    r = F.when((n >= 2) & (xx - x * x / n > 0) & (yy - y * y / n > 0), F.greatest(F.least((xy - x * y / n) / F.sqrt(spread), F.lit(1.0)), F.lit(-1.0)))
+    r = F.when((F.col("n") >= 2) & (F.col("xx") > 0) & (F.col("yy") > 0), F.greatest(F.least(F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")), F.lit(1.0)), F.lit(-1.0)))
     names = F.array(*[F.lit(c) for c in cols])
-    return total.select(names[F.col("i")].alias("col_i"), names[F.col("j")].alias("col_j"), r.alias("r"))
+    return pairs.join(total, ["i", "j"], "left").select(names[F.col("i")].alias("col_i"), names[F.col("j")].alias("col_j"), r.alias("r"))
 
 
 def box_summary(df: DataFrame, columns: Sequence[str], label: str = "label", whis: float = 1.5) -> DataFrame:

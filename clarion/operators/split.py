@@ -56,8 +56,11 @@ def _cell_offsets(cells: DataFrame, label: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str = "label", key_col: str = "row_id",
                      test_fraction: float = 0.2, seed: int = 42, split_col: str = "split") -> DataFrame:
-    """Adds ``split`` in {'train','test'}; exact per-class test counts."""
-    cells = _with_cells(df, key_col, seed)
+    """Adds ``split`` in {'train','test'}; exact per-class test counts.
+
+    The rows are written with their cell: the counts, the rows of plain cells and
+    those of boundary cells read them, and every later reader of the split does."""
+    cells = kept(_with_cells(df, key_col, seed).drop("_h"), "split-cells")
     offsets = _cell_offsets(cells, label)
     quota = class_quota(offsets.groupBy(label).agg(F.sum("_cnt").alias("n")), label, test_fraction)
     # (classes x 65,536) rows at most: bounded independent of the data size.
@@ -68,7 +71,7 @@ def stratified_split(df: DataFrame, label: str = "label", key_col: str = "row_id
          .otherwise(F.lit("boundary")).alias("_state"), "k")
     marked = cells.join(F.broadcast(marks), [label, "_cell"])
     plain = marked.where(F.col("_state") != "boundary").withColumn(split_col, F.col("_state"))
-    edge = marked.where(F.col("_state") == "boundary")
+    edge = marked.where(F.col("_state") == "boundary").withColumn("_h", order_key(key_col, seed))
     rn = F.row_number().over(Window.partitionBy(label, "_cell").orderBy("_h"))
     edge = edge.withColumn(split_col, F.when(F.col("_before") + rn <= F.col("k"), "test").otherwise("train"))
     out_cols = [*df.columns, split_col]

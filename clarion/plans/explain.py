@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -29,9 +28,8 @@ PROVENANCE = ("score", "model_source", "is_demo")
 
 
 def _scaled_split(spark, d):
-    # feeds the background means (train) and the explained rows (test): keep it once
-    s = sp.stratified_split(b.line_features(spark, d), "label", "row_id", tb.TEST_FRACTION, tb.SEED).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    # feeds the background means (train) and the explained rows (test): the split's rows are written once
+    s = sp.stratified_split(b.line_features(spark, d), "label", "row_id", tb.TEST_FRACTION, tb.SEED)
     stats = fe.scaler_stats(s.where(F.col("split") == "train"), b.LINE_FEATURES)
     return fe.apply_scaler(s, stats, b.LINE_FEATURES)
 

@@ -83,3 +83,13 @@ def test_importance_refuses_missing_values(spark):
     df = spark.createDataFrame([(1.0, None, 0), (2.0, 1.0, 1)], "a double, b double, label int")
     with pytest.raises(Exception, match="(?i)null"):
         fe.importance_ranking(df, ["a", "b"], num_trees=2).collect()
+
+
+def test_columns_that_do_not_vary_have_no_correlation_in_any_partitioning(spark):
+    """Counts, means and moments of many tasks are merged; 0.1 added up is not 0.1 times the count."""
+    rows = [(0.1, 1e9 + i % 7, float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "flat double, far double, i double")
+    for n in (1, 7):
+        got = {(r.col_i, r.col_j): r.r for r in qa.correlation_long(df.repartition(n), df.columns).collect()}
+        assert got["flat", "far"] is None and got["flat", "i"] is None
+        assert got["far", "i"] == pytest.approx(np.corrcoef([r[1] - 1e9 for r in rows], [r[2] for r in rows])[0, 1], abs=1e-9)

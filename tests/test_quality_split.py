@@ -112,3 +112,18 @@ def test_correlation_prune_chain(spark):
     kept = fe.kept_columns(fe.correlation_prune(df, ["a", "b", "c"], 0.95))
     assert kept[0] == "a" and "b" not in kept
     del b
+
+
+def test_split_computes_its_rows_once(spark):
+    """The rows of a split are written with their cells: readers of the split do not compute them again."""
+    from clarion.operators import split as sp
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+    df = spark.range(500).selectExpr("cast(id as string) as row_id", "cast(id % 3 = 0 as int) as label").mapInArrow(counted, "row_id string, label int")
+    s = sp.stratified_split(df)
+    assert s.where("split = 'test'").count() == 100 and s.count() == 500
+    assert runs.value == 500
