@@ -20,6 +20,7 @@ from clarion.plans import tabular as tb
 from clarion.plans.common import Registry, finish
 from clarion.plans.raster import REG as RASTER
 from clarion.plans.sql import HEAT_MASK_CTE, LINE_FEATURES_CTE, r6, with_ctes
+from clarion.session import kept
 from clarion.sources import bindings as b
 
 REG = Registry()
@@ -28,10 +29,10 @@ PROVENANCE = ("score", "model_source", "is_demo")
 
 
 def _scaled_split(spark, d):
-    # feeds the background means (train) and the explained rows (test): the split's rows are written once
+    # feeds the background means, models and bins (train) and the explained rows (test): written once, scaled
     s = sp.stratified_split(b.line_features(spark, d), "label", "row_id", tb.TEST_FRACTION, tb.SEED)
     stats = fe.scaler_stats(s.where(F.col("split") == "train"), b.LINE_FEATURES)
-    return fe.apply_scaler(s, stats, b.LINE_FEATURES)
+    return kept(fe.apply_scaler(s, stats, b.LINE_FEATURES), "scaled-split")
 
 
 def contribution_rows(spark, d):

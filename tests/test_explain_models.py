@@ -76,3 +76,14 @@ def test_sampled_shapley_by_plain_columns(spark):
     got = {(r.id, r.feature): round(r.contribution, 9) for r in out.collect()}
     assert got == {("x", "a"): 0.0, ("x", "b"): 0.05, ("y", "a"): 0.04, ("y", "b"): 0.2}
     assert "array_position" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scaled_split_is_read_from_written_rows(spark, tmp_path):
+    """Models, bins, background means and explained rows read the scaled rows; none of them splits and scales the table again."""
+    from clarion.plans import explain as pe
+    rows = [(i // 4, i % 50, i % 10, i % 4, float(1 + i % 50), 100.0 + i, (i % 11) / 100, (i % 9) / 100, "RAN"[i % 3], "OF"[i % 2]) for i in range(400)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{d}/lineitem.parquet")
+    z = pe._scaled_split(spark, d)
+    plan = z._jdf.queryExecution().optimizedPlan().toString()
+    assert z.count() == 400 and "Join" not in plan and "Union" not in plan
