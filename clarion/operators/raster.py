@@ -11,9 +11,12 @@ and a large image is many rows.  All grouping is keyed by ``image_id`` first.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -381,6 +384,30 @@ CLAHE_TILES = 8
 LEVELS = 256
 
 
+def _tables(clip_limit: float, tiles: int):
+    """The look-up tables of an image's tiles in order, from the counts of (tile, level) bins."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = tiles * tiles * LEVELS
+        level = np.arange(LEVELS)
+        for b in (whole.slice(i, step) for step in (max(1, 4_000_000 // wide),) for whole in batches for i in range(0, whole.num_rows, step)):
+            bins, cnt = b.column("bin"), b.column("cnt")
+            count = np.zeros(b.num_rows * wide, np.int64)
+            image = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(bins), 0).to_numpy(zero_copy_only=False))
+            count[image * wide + bins.flatten().to_numpy()] = cnt.flatten().to_numpy()
+            count = count.reshape(b.num_rows, tiles * tiles, LEVELS)
+            total = (b.column("th").to_numpy().astype(np.int64) * b.column("tw").to_numpy())[:, None, None]
+            limit = np.maximum(np.floor(clip_limit * total / LEVELS), 1).astype(np.int64)
+            clipped = np.maximum(count - limit, 0).sum(axis=2, keepdims=True)
+            batch, resid = clipped // LEVELS, clipped % LEVELS
+            step = np.maximum(LEVELS // np.maximum(resid, 1), 1)
+            extra = (resid > 0) & (level % step == 0) & (level // step < resid)
+            cdf = (np.minimum(count, limit) + batch + extra).cumsum(axis=2)
+            lut = np.clip(np.rint(cdf * (255.0 / total)), 0, 255).astype(np.int16).ravel()
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * wide)
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), b.column("th"), b.column("tw"), pa.ListArray.from_arrays(offsets, pa.array(lut))], names=["image_id", "th", "tw", "lut"])
+    return run
+
+
 def clahe(px: DataFrame, clip_limit: float = CLAHE_CLIP, tiles: int = CLAHE_TILES) -> DataFrame:
     """Contrast-limited adaptive histogram equalisation of 8-bit images
     whose sides are multiples of ``tiles``.
@@ -389,8 +416,8 @@ def clahe(px: DataFrame, clip_limit: float = CLAHE_CLIP, tiles: int = CLAHE_TILE
     max(int(clip * tile_pixels / 256), 1), the clipped excess spread evenly
     (remainder one count every 256 // residual bins), cumulative LUT
     round(cdf * 255 / tile_pixels); each pixel blends the LUTs of its four
-    nearest tile centres bilinearly.  Every window holds one tile's 256 bins; the
-    tables meet an image's strips, not its pixels.
+    nearest tile centres bilinearly.  Only bins that occur travel; the tables, of
+    small integers, meet an image's strips, not its pixels.
     """
     d = dims(px)
     # sides that are no multiple of the tiles are mirrored beyond their end for the histograms
@@ -404,28 +431,13 @@ def clahe(px: DataFrame, clip_limit: float = CLAHE_CLIP, tiles: int = CLAHE_TILE
         return F.when((beyond >= F.col(side)) & (beyond < F.col(tile) * tiles), F.array(F.col(at), beyond)).otherwise(F.array(F.col(at)))
     laid = p.select("image_id", "level", "c", "w", "th", "tw", F.explode(places("r", "h", "th")).alias("rr")).select(
         "image_id", "level", "th", "tw", "rr", F.explode(places("c", "w", "tw")).alias("cc"))
-    hist = laid.groupBy("image_id", (F.col("rr") / F.col("th")).cast("int").alias("ty"), (F.col("cc") / F.col("tw")).cast("int").alias("tx"), "level").agg(F.count(F.lit(1)).alias("cnt"))
-    every = F.sequence(F.lit(0), F.lit(tiles - 1))
-    tile = sized.select("image_id", "th", "tw", F.explode(every).alias("ty")).select("*", F.explode(every).alias("tx"))
-    dense = tile.select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")) \
-        .join(hist, ["image_id", "ty", "tx", "level"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
-    total = F.col("th") * F.col("tw")
-    limit = F.greatest(F.floor(F.lit(clip_limit) * total / LEVELS), F.lit(1)).cast("long")
-    dense = dense.withColumn("_lim", limit)
-    tkey = Window.partitionBy("image_id", "ty", "tx")
-    dense = dense.withColumn("_clipped", F.sum(F.greatest(F.col("cnt") - F.col("_lim"), F.lit(0))).over(tkey))
-    batch = (F.col("_clipped") / LEVELS).cast("long")
-    resid = F.col("_clipped") - batch * LEVELS
-    step = F.greatest((F.lit(LEVELS) / F.greatest(resid, F.lit(1))).cast("long"), F.lit(1))
-    extra = F.when((resid > 0) & (F.col("level") % step == 0) & ((F.col("level") / step).cast("long") < resid), 1) \
-        .otherwise(0)
-    dense = dense.withColumn("_new", F.least(F.col("cnt"), F.col("_lim")) + batch + extra)
-    cdf = F.sum("_new").over(tkey.orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
-    lut = dense.withColumn("lut", F.least(F.greatest(F.bround(cdf * (255.0 / total), 0), F.lit(0.0)), F.lit(255.0))) \
-        .select("image_id", "ty", "tx", "level", "lut")
-    # one row per image: the table of all its tiles, tiles x tiles x 256 values
-    luts = lut.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ty", "tx", "level", "lut"))), lambda x: x["lut"]).alias("lut"))
-    held = strips(px, 0).join(sized.select("image_id", "th", "tw"), "image_id").join(luts, "image_id")
+    ty, tx = ((F.col(at) / F.col(t)).cast("int") for at, t in (("rr", "th"), ("cc", "tw")))
+    hist = laid.where(F.col("level").between(0, LEVELS - 1)).groupBy("image_id", ((ty * tiles + tx) * LEVELS + F.col("level")).alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
+    # one row per image: the counts of its tiles' bins that occur; a task makes the table of all its tiles, tiles x tiles x 256 values, of them
+    kind = px.schema["image_id"].dataType.simpleString()
+    counts = hist.groupBy("image_id").agg(F.collect_list("bin").alias("bin"), F.collect_list("cnt").alias("cnt"))
+    luts = sized.join(counts, "image_id", "left").select("image_id", "th", "tw", "bin", "cnt").mapInArrow(_tables(clip_limit, tiles), f"image_id {kind}, th int, tw int, lut array<smallint>")
+    held = strips(px, 0).join(luts, "image_id")
 
     def between(at, tile):
         """The tiles whose centres lie around a place, and how far it is from the first."""

@@ -132,3 +132,22 @@ def test_grayscale_unit_scale_and_nearest(spark):
     assert [r.value for r in ra.unit_scale(_grid(spark, [0, 51, 255, 102], 2, 2)).orderBy("r", "c").collect()] == [0.0, 0.2, 1.0, 0.4]
     near = ra.nearest_resize(_grid(spark, list(range(16)), 4, 4), 2, 2).orderBy("r", "c").collect()
     assert [r.level for r in near] == [0, 2, 8, 10]
+
+
+def test_clahe_moves_only_bins_that_occur(spark):
+    """No row per bin of every tile: the plan makes no table of 256 levels and no window over one; sizes of several images against one alone."""
+    plan = ra.clahe(_grid(spark, list(range(64)), 8, 8), 2.0, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "0 to 255" not in plan and "lag" not in plan
+    a, b = _random(spark, 8, 8, 3, 1)[1], _random(spark, 13, 9, 4, 2)[1]
+    both = sorted(map(tuple, ra.clahe(a.unionByName(b), 2.0, 2).collect()))
+    assert both == sorted(map(tuple, ra.clahe(a, 2.0, 2).collect() + ra.clahe(b, 2.0, 2).collect()))
+
+
+def test_clahe_tables_by_hand():
+    """Two tiles' worth of one image: 4 pixels of one level are clipped at 1, the rest is dealt from level 0 on."""
+    import pyarrow as pa
+    b = pa.record_batch({"image_id": [7, 8], "th": pa.array([2, 2], pa.int32()), "tw": pa.array([2, 2], pa.int32()), "bin": [[10], None], "cnt": [[4], None]},
+                        schema=pa.schema([("image_id", pa.int64()), ("th", pa.int32()), ("tw", pa.int32()), ("bin", pa.list_(pa.int64())), ("cnt", pa.list_(pa.int64()))]))
+    out, = ra._tables(2.0, 1)(iter([b]))
+    lut = out.column("lut").to_pylist()
+    assert lut[0][0] == 64 and lut[0][9] == 64 and lut[0][10] == 128 and lut[0][85] == 191 and lut[0][255] == 255 and set(lut[1]) == {0}
