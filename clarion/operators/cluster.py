@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarion.operators.neighbors import radius_pairs
+from clarion.operators.neighbors import Blocks
 from clarion.session import cut_lineage, kept
 
 # Reference defaults (fixed values).
@@ -109,20 +109,18 @@ def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = DBSCAN_EPS,
     core id; a border point joins the smallest adjacent cluster.
     """
     pts = df.select(F.col(id_col).alias("id"))
-    pairs = kept(radius_pairs(df, id_col, vec_col, eps), "pairs")
-    deg = pairs.groupBy("id").agg((F.count(F.lit(1)) + 1).alias("n_eps"))
-    core = deg.where(F.col("n_eps") >= min_samples).select("id")
-    core_edges = (pairs.join(core, "id", "left_semi")
-                  .join(core.withColumnRenamed("id", "nid"), "nid", "left_semi")
-                  .select(F.col("id").alias("src"), F.col("nid").alias("dst")))
-    comps = connected_components(core, core_edges)
+    data = kept(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "vectors")
+    # the pairs within the radius grow with the square: they are counted and joined where they are found
+    near = Blocks(data, "id", "v", None, float(eps)).gathered("counts").groupBy("id").agg(F.sum("n").alias("n")).where("n > 0")
+    core = kept(near.where(F.col("n") + 1 >= min_samples).select("id"), "core")
+    links = Blocks(data.join(core, "id", "left_semi"), "id", "v", None, float(eps)).gathered("links")
+    comps = kept(connected_components(core, links.select(F.col("id").alias("src"), F.col("nid").alias("dst"))), "components")
     # number clusters 0..K-1 in order of their smallest core id (table of K rows)
     # by the id itself: strings and longs beyond 2 ** 53 keep their order
     order = numbered(comps.select("comp").distinct(), "comp", "cluster")
-    core_lab = comps.join(order, "comp").select("id", "cluster")
-    border = (pairs.join(core, "id", "left_anti")
-              .join(core_lab.withColumnRenamed("id", "nid"), "nid")
-              .groupBy("id").agg(F.min("cluster").alias("cluster")))
+    core_lab = kept(comps.join(order, "comp").select("id", "cluster"), "core-labels")
+    tagged = data.join(core_lab, "id", "left").select("id", "v", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    border = Blocks(tagged, "id", "v", None, float(eps), tag_col="cluster").gathered("least").groupBy("id").agg(F.min("label").alias("cluster"))
     lab = core_lab.unionByName(border)
     return pts.join(lab, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 

@@ -236,6 +236,102 @@ class Blocks:
         return self._stream(probes).mapInArrow(_searched(self.pivots[:REFERENCES], self.k, self.eps, self.tags), out)
 
 
+    def gathered(self, what: str) -> DataFrame:
+        """What a team makes of all pairs within the radius, without a row per pair (see ``_gathered``)."""
+        first, second = {"counts": ("n", T.LongType()), "links": ("nid", self.id_type), "least": ("label", T.IntegerType())}[what]
+        out = T.StructType([T.StructField("id", self.id_type), T.StructField(first, second)])
+        if not self.n:
+            return self.table.sparkSession.createDataFrame([], out)
+        return self._stream(None).mapInArrow(_gathered(self.pivots[:REFERENCES], self.eps, what), out)
+
+
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place connected with each place, after joining the places ``a`` and ``b``."""
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _gathered(references: np.ndarray, eps: float, what: str):
+    """Of a team's points and all points within the radius of them:
+
+    * ``counts``: (id, n), their number, one row per point;
+    * ``links``: (id, nid), edges that connect what the pairs connect: from a point that is met to one of
+      its neighbours in the team, and from each point of the team to the least one that pairs connect it with;
+    * ``least``: (id, label), for points with a negative tag the least tag of 0 or more around them.
+    """
+    name = {"counts": "n", "links": "nid", "least": "label"}[what]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, team, kind = None, [], None  # team: (points, distances to the references, tags, place of the first) of each block
+        made = np.empty(0, np.int64)
+
+        def rows(ids, values, of) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(values, of)], names=["id", name])
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if not team:
+                return
+            ids = np.concatenate([found.ids for found, *_ in team])
+            if what == "counts":
+                yield rows(ids, made, pa.int64())
+            elif what == "links":
+                moved = np.flatnonzero(made != np.arange(len(ids)))
+                yield rows(ids[moved], ids[made[moved]], kind)
+            else:
+                near = np.flatnonzero(made < 2 ** 31)
+                yield rows(ids[near], made[near], pa.int32())
+
+        for b in batches:
+            for i, (key, gap) in enumerate(zip(b.column("team").to_pylist(), b.column("gap").to_pylist())):
+                points = b.column("points")[i].values
+                ids, v, kind = _ids(points.field("_id")), _matrix(points.field("_v")), points.field("_id").type
+                tag = points.field("_t").to_numpy()
+                if key != here:
+                    yield from told()
+                    here, team, made = key, [], np.empty(0, np.int64)
+                if gap < 0:
+                    team.append((Nearest(ids, v, None, eps), _distances(v, references), tag, len(made)))
+                    more = {"counts": np.zeros(len(ids), np.int64), "links": len(made) + np.arange(len(ids)), "least": np.full(len(ids), 2 ** 31)}[what]
+                    made = np.concatenate([made, more])
+                    continue
+                lo, hi = (b.column(c)[i].values.to_numpy() for c in ("lo", "hi"))
+                if what == "least":
+                    ids, v, tag = ids[tag >= 0], v[tag >= 0], tag[tag >= 0]
+                    if not len(ids):
+                        continue
+                order = np.argsort(ids, kind="stable")
+                placed, met = [], []  # place in the team, place in the block that is met
+                for found, own, own_tag, first in team:
+                    near = np.maximum(lo - own, own - hi).max(axis=1) <= eps * (1 + SLACK)
+                    found.meet(ids, v, np.zeros(len(ids), np.int64), np.flatnonzero(near & (own_tag < 0) if what == "least" else near))
+                    if what == "counts":
+                        made[first : first + len(found.ids)] += np.bincount(found.key, minlength=len(found.ids))
+                    else:
+                        placed.append(found.key + first)
+                        met.append(order[np.searchsorted(ids[order], found.nid)])
+                    found.forget()
+                if what == "counts" or not placed:
+                    continue
+                at, other = np.concatenate(placed), np.concatenate(met)
+                if what == "least":
+                    np.minimum.at(made, at, tag[other])
+                elif len(at):
+                    by = np.argsort(other, kind="stable")
+                    at, other = at[by], other[by]
+                    same = other[1:] == other[:-1]  # neighbours of one point that is met are connected
+                    made = _joined(made, at[:-1][same], at[1:][same])
+                    new = np.r_[True, ~same]
+                    every = np.concatenate([found.ids for found, *_ in team])
+                    yield rows(ids[other[new]], every[at[new]], kind)
+        yield from told()
+    return run
+
+
 def _searched(references: np.ndarray, k: int | None, eps: float, tags: int, count: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, team, kind = None, [], None  # team: (nearest so far, distances to the references) of each block

@@ -149,3 +149,21 @@ def test_synthetic_rows_have_no_parent_in_the_held_fold(spark):
         a, b, v = x[int(r.base)], x[int(r.neighbour)], np.array(r.v)
         u = np.dot(v - a, b - a) / np.dot(b - a, b - a)
         assert -1e-9 <= u <= 1 and np.allclose(v, a + u * (b - a))
+
+
+def test_what_a_radius_gathers_has_no_row_per_pair(spark):
+    """200 points that all lie within the radius make 39,800 pairs: counts, links and labels are some rows a point."""
+    from clarion.operators import cluster as cl
+    from clarion.operators.neighbors import Blocks
+    rng = np.random.default_rng(0)
+    v = np.r_[rng.normal(size=(200, 3)) * 0.1, rng.normal(size=(200, 3)) * 0.1 + 50, [[50.0, 50.0, 51.2], [0.0, 0.0, 99.0]]]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+    blocks = Blocks(df, "id", "v", None, 1.0)
+    d = np.sqrt(((v[:, None] - v) ** 2).sum(axis=2)) <= 1.0
+    counts = {r.id: r.n for r in blocks.gathered("counts").groupBy("id").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert counts == {i: int(d[i].sum()) - 1 for i in range(len(v))}
+    links = blocks.gathered("links").collect()
+    assert len(links) <= 4 * len(v) and all(d[r.id, r.nid] or (r.id < 200) == (r.nid < 200) for r in links)
+    found = {r.id: r.cluster for r in cl.dbscan(df, "id", "v", 1.0, 30).collect()}
+    near = bool(d[400, 200:400].any())
+    assert [found[i] for i in range(400)] == [0] * 200 + [1] * 200 and found[400] == (1 if near else -1) and found[401] == -1
