@@ -38,8 +38,9 @@ from clarion.session import kept
 #: Points of a block, and the most pivots (each is a vector that every task holds).
 BLOCK, MOST_PIVOTS = 256, 1_024
 REFERENCES = 16
-#: Neighbouring cells, and blocks of one cell, that make a team.
-TEAM = 16
+#: Blocks of one cell, and the most neighbouring cells, that make a team; teams for each core, however many
+#: points there are: every team gets nearly all vectors where nothing can be pruned.
+TEAM, MOST_CELLS, TEAMS_A_CORE = 16, 64, 2
 #: Distances are rounded: bounds give way by this share of the vectors' size.
 SLACK = 1e-9
 PROBES = 8
@@ -95,10 +96,11 @@ class Nearest:
         other = (y ** 2).sum(axis=1)
         near = self.size[rows, None] + other - 2 * x @ y.T  # close to the squares of the distances
         slack = SLACK * (self.size.max() + other.max())
-        most = self.limit[rows, t] ** 2 + slack
-        if self.k is not None and len(ids) > self.k:  # one more than k: a point may be met itself
-            most = np.minimum(most, np.partition(near, self.k, axis=1)[:, self.k] + 2 * slack)
-        row, col = np.nonzero(near <= most[:, None])
+        hit = near <= (self.limit[rows, t] ** 2 + slack)[:, None]
+        if self.k is not None:  # one more than k: a point may be met itself
+            many = np.flatnonzero(hit.sum(axis=1) > 2 * self.k + 1)
+            hit[many] &= near[many] <= np.partition(near[many], self.k, axis=1)[:, [self.k]] + 2 * slack if len(many) else False
+        row, col = np.nonzero(hit)
         row = np.arange(len(self.ids))[rows][row]
         ok = self.ids[row] != ids[col]
         row, col = row[ok], col[ok]
@@ -195,6 +197,8 @@ class Blocks:
         out = T.StructType.fromDDL("cell int, block int, n long, bound double, lo array<double>, hi array<double>").add("points", grouped.schema["points"].dataType)
         self.table = kept(grouped.mapInArrow(_bounded(self.pivots, k, eps, tags), out), "blocks")
         self.refs = min(REFERENCES, len(self.pivots))
+        teams = TEAMS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+        self.team_cells = min(MOST_CELLS, -(-want // teams))
 
     def pairs(self, probes: int | None = None) -> DataFrame:
         """(cell, block, other, other_block, gap) of the blocks to meet; with ``probes`` those of the nearest cells only."""
@@ -214,7 +218,7 @@ class Blocks:
 
     def _stream(self, probes: int | None) -> DataFrame:
         """A team's blocks, then the other blocks that any of them meets, nearest first."""
-        team = lambda cell, block: (F.floor(F.col(cell) / TEAM) * (1 << 32) + F.floor(F.col(block) / TEAM)).alias("team")
+        team = lambda cell, block: (F.floor(F.col(cell) / self.team_cells) * (1 << 32) + F.floor(F.col(block) / TEAM)).alias("team")
         data = self.table.select(F.col("cell").alias("other"), F.col("block").alias("other_block"), "lo", "hi", "points")
         met = self.pairs(probes).groupBy(team("cell", "block"), "other", "other_block").agg(F.min("gap").alias("gap"))
         rows = self.table.select(team("cell", "block"), F.lit(-1.0).alias("gap"), "lo", "hi", "points").unionByName(

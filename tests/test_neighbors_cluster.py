@@ -167,3 +167,15 @@ def test_what_a_radius_gathers_has_no_row_per_pair(spark):
     found = {r.id: r.cluster for r in cl.dbscan(df, "id", "v", 1.0, 30).collect()}
     near = bool(d[400, 200:400].any())
     assert [found[i] for i in range(400)] == [0] * 200 + [1] * 200 and found[400] == (1 if near else -1) and found[401] == -1
+
+
+def test_teams_do_not_grow_with_the_points(spark):
+    """Each team may need every vector: there are teams for the cores, not for every so many points."""
+    from clarion.operators.neighbors import TEAMS_A_CORE, Blocks
+    rng = np.random.default_rng(1)
+    most = TEAMS_A_CORE * spark.sparkContext.defaultParallelism
+    for n in (6_000, 600):
+        df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(n, 2)))], "id long, v array<double>")
+        blocks = Blocks(df, "id", "v", 3)
+        teams = blocks._stream(None).select("team").distinct().count()
+        assert min(blocks.cells, most) // 2 <= teams <= most
