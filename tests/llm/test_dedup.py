@@ -278,3 +278,45 @@ def test_fenwick_chaining_is_the_quadratic_optimum():
         first = passages.chains(segs, most_gap=1000)[0]
         value = sum(n for _, _, n in first) - passages.GAP_COST * sum((b[0] - a[0] - a[2]) + (b[1] - a[1] - a[2]) for a, b in zip(first, first[1:]))
         assert abs(value - max(score)) < 1e-9
+
+
+def test_only_keys_that_documents_share_are_moved(spark):
+    rng = random.Random(31)
+    apart = [" ".join(f"w{i}x{j}" for j in range(300)) for i in range(40)]
+    words = sum(len(t.split()) for t in apart)
+    assert passages.moved_keys(frame(spark, apart).select("doc_id", "text"), 50, 3).agg({"n": "sum"}).first()[0] is None
+    passage = prose(rng, 60)
+    texts = [*apart, f"{prose(rng, 30)} {passage}", f"{passage} {prose(rng, 30)}", None]
+    cells = passages.moved_keys(frame(spark, texts).select("doc_id", "text"), 50, 3).collect()
+    assert {d for c in cells for d in np.cumsum(passages.unpacked(c["doc_ids"])).tolist()} == {40, 41}
+    assert 2 * 57 <= sum(c["n"] for c in cells) < words // 20
+
+
+def test_pairs_of_moved_keys_against_all_keys(spark):
+    rng = random.Random(32)
+    parts = [prose(rng, 30) for _ in range(12)]
+    texts = [" ".join(rng.choice(parts) if rng.random() < 0.6 else prose(rng, 25) for _ in range(6)) for _ in range(40)] + ["tick tock " * 40] * 2
+    first, want = {}, {}
+    for doc, text in enumerate(texts):
+        words = passages.word_hashes(text)
+        h, p = passages.seeds(words)
+        ch, cp, cn = passages.contexts(words)
+        for key, at, n in zip([*h.tolist(), *ch.tolist()], [*p.tolist(), *cp.tolist()], [4] * len(h) + cn.tolist()):
+            ref, ref_at, ref_n = first.setdefault(key, (doc, at, n))
+            if ref != doc:
+                a, b, c, d = want.get((doc, ref), (at, at + n, ref_at, ref_at + ref_n))
+                want[doc, ref] = min(a, at), max(b, at + n), min(c, ref_at), max(d, ref_at + ref_n)
+    got = {}
+    links = passages.moved_keys(frame(spark, texts).select("doc_id", "text"), 50, 3).repartitionById(3, "bucket").mapInArrow(
+        passages._linked, "doc_id long, ref_id long, low int, high int, ref_low int, ref_high int")
+    for doc, ref, *ends in links.collect():
+        a, b, c, d = got.get((doc, ref), ends)
+        got[doc, ref] = min(a, ends[0]), max(b, ends[1]), min(c, ends[2]), max(d, ends[3])
+    assert got == want and len(want) > 100
+
+
+def test_numbers_packed_by_byte():
+    for a in ([], [0], [5, 0, 255], [2**63, 1, 2**64 - 1], list(range(70_000))):
+        assert passages.unpacked(passages.packed(np.array(a, np.uint64))).tolist() == a
+    ids = np.array([-7, -7, 3, 2**62])
+    assert np.cumsum(passages.unpacked(passages.packed(passages._steps(ids)))).view(np.int64).tolist() == ids.tolist()
