@@ -320,3 +320,97 @@ def test_numbers_packed_by_byte():
         assert passages.unpacked(passages.packed(np.array(a, np.uint64))).tolist() == a
     ids = np.array([-7, -7, 3, 2**62])
     assert np.cumsum(passages.unpacked(passages.packed(passages._steps(ids)))).view(np.int64).tolist() == ids.tolist()
+
+
+def test_words_hashed_all_at_once_are_as_one_by_one():
+    import xxhash
+
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("abXYZé中 \t\n\x0b\x1c") for _ in range(rng.randrange(0, 300))) for _ in range(40)]
+    texts += [" ".join("".join(rng.choice("abcXY9é") for _ in range(n)) for _ in range(20)) for n in range(1, 40)] + ["", " "]
+    got = passages.all_word_hashes([t.encode() for t in texts])
+    for text, words in zip(texts, got, strict=True):
+        assert words.tolist() == [xxhash.xxh3_64_intdigest(w) for w in text.encode().lower().split()]
+    assert passages.all_word_hashes([]) == []
+
+
+def test_stable_order_is_that_of_a_stable_sort():
+    rng = np.random.default_rng(32)
+    for h in (rng.integers(0, 50, 1_000), rng.integers(0, 2 ** 63, 1_000), np.repeat(rng.integers(0, 2 ** 63, 300), 3), np.zeros(1, int), np.zeros(0, int)):
+        h = h.astype(np.uint64)
+        assert (passages.stable_order(h) == np.argsort(h, kind="stable")).all()
+
+
+def periodic(rng, n):
+    """Texts of repeated words and lines, with edits."""
+    words = [f"w{rng.randrange(6)}" for _ in range(9)]
+    out = []
+    while len(out) < n:
+        out += [rng.choice(words)] * rng.randrange(1, 40) if rng.random() < 0.6 else words * rng.randrange(1, 8)
+    return ["edit" if rng.random() < 0.03 else w for w in out[:n]]
+
+
+def test_chains_left_out_have_no_stretch():
+    rng, left_out = random.Random(33), 0
+    for _ in range(60):
+        a, b = (passages.word_hashes(" ".join(periodic(rng, rng.randrange(60, 400)))) for _ in range(2))
+        ref = passages.Reference(b)
+        found = passages.chains(passages.segments(*ref.matches(a)))
+        spans = np.array([(*c[0][:2], c[-1][0] + c[-1][2], c[-1][1] + c[-1][2]) for c in found], np.int64).reshape(-1, 4)
+        never = passages.hopeless(a, ref, ref.coded(a), spans, 50, 0.8)
+        left_out += int(never.sum())
+        for c in (c for c, n in zip(found, never) if n):
+            assert not any(passages.stretches(a, b, passages.aligned(a, b, c, far), 50, 0.8) for far in (False, True))
+        if ref.possible(ref.coded(a), 50, 0.8) is None:
+            assert not any(passages.stretches(a, b, passages.aligned(a, b, c, far), 50, 0.8) for c in found for far in (False, True))
+    assert left_out > 1_000
+
+
+def test_stretches_against_trying_all():
+    rng = random.Random(34)
+    for _ in range(200):
+        x = y = 0
+        found = []
+        for _ in range(rng.randrange(1, 40)):
+            n = rng.randrange(1, 12)
+            found.append((x, y, n))
+            x, y = x + n + rng.randrange(0, 4), y + n + rng.randrange(0, 4)
+        a, b = np.arange(x + 20, dtype=np.uint64), np.arange(1_000, 1_020 + y, dtype=np.uint64)  # nothing equal in the gaps
+        want, open_ = [], [(0, len(found))]
+        while open_:
+            lo, hi = open_.pop()
+            best = None
+            for i in range(lo, hi):
+                for j in range(i, hi):
+                    wide, high = (found[j][s] + found[j][2] - found[i][s] for s in (0, 1))
+                    ident = sum(n for *_, n in found[i: j + 1]) / max(wide, high)
+                    if min(wide, high) >= 20 and ident >= 0.8 - 1e-9 and (best is None or wide > best[0]):
+                        best = wide, i, j, ident
+            if best:
+                _, i, j, ident = best
+                want.append((found[i][0], found[j][0] + found[j][2], found[i][1], found[j][1] + found[j][2], ident))
+                open_ += [(lo, i), (j + 1, hi)]
+        assert passages.stretches(a, b, found, 20, 0.8) == [pytest.approx(w) for w in want]
+
+
+def test_long_periodic_texts_are_cut_in_little_time():
+    """Periods of 30 and 29 words with edits: thousands of runs, none of which make one stretch of all (39 s for 5,000 words before)."""
+    import time
+
+    rng = random.Random(35)
+    base = prose(rng, 30).split()
+    other = [w if i % 7 else "x" + w for i, w in enumerate(base)][:29]
+    a, b = (passages.word_hashes(" ".join((p * 90)[:2_500])) for p in (base, other))
+    begun = time.process_time()
+    list(passages._compared(a, passages.Reference(b), 50, 0.8))
+    assert time.process_time() - begun < 5
+
+
+def test_a_common_reference_is_met_in_parts(spark, monkeypatch):
+    rng = random.Random(36)
+    passage = prose(rng, 70)
+    docs = frame(spark, [" ".join([prose(rng, 15), passage, prose(rng, 15)]) for _ in range(30)])
+    whole = sorted(tuple(r) for r in passages.repeated(docs).collect())
+    monkeypatch.setattr(passages, "PAIRS", 4)
+    assert sorted(tuple(r) for r in passages.repeated(docs).collect()) == whole
+    assert {r[0] for r in whole if r[3] == 0} == set(range(1, 30))
