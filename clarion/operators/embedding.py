@@ -98,7 +98,7 @@ def eigenvectors(edges: DataFrame, wanted: int) -> tuple[DataFrame, np.ndarray,
 
 def laplacian_eigenmap(df: DataFrame, id_col: str, vec_col: str, dims: int = 2, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(id, x, y[, z]): the eigenvectors behind the first, per square root of the degree."""
-    edges = neighbour_edges(knn(df, id_col, vec_col, neighbours))
+    edges = neighbour_edges(kept(knn(df, id_col, vec_col, neighbours).select("id", "nid"), "near"))  # searched once
     rows, _, _ = eigenvectors(edges, dims + 1)
     degree = edges.where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return rows.join(degree, "id").select("id", *[(F.col("x")[j + 1] / F.sqrt("n")).alias(name) for j, name in zip(range(dims), "xyz")])

@@ -43,6 +43,8 @@ REFERENCES = 16
 TEAM, MOST_CELLS, TEAMS_A_CORE = 16, 64, 2
 #: Distances are rounded: bounds give way by this share of the vectors' size.
 SLACK = 1e-9
+#: Squares of lengths between which pairs are first told apart in single precision.
+SMALL, LARGE = 1e-24, 1e24
 PROBES = 8
 
 
@@ -77,36 +79,66 @@ class Nearest:
     def __init__(self, ids: np.ndarray, v: np.ndarray, k: int | None, eps: float, tags: int = 1):
         self.ids, self.v, self.k, self.eps, self.tags = ids, v, k, eps, tags
         self.centre = v.mean(axis=0)
-        self.size = ((v - self.centre) ** 2).sum(axis=1)
+        x = v - self.centre
+        self.size = (x ** 2).sum(axis=1)
+        self.most = float(self.size.max(initial=0.0))
+        self.flat = np.concatenate([-2 * x, np.ones((len(x), 2))], axis=1).astype(np.float32) if SMALL < self.most < LARGE else None
         self.limit = np.full((len(ids), tags), eps)  # distance of the k-th neighbour so far
         self.key, self.nid, self.dist = np.empty(0, np.int64), ids[:0], np.empty(0)  # key: place in the block and kind
+        self.waiting, self.unsorted = [], 0
         self.compared = 0
 
     def meet(self, ids: np.ndarray, v: np.ndarray, tag: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         """Compare the points ``rows`` of the block with all of ``v``."""
+        if self.tags == 1 and len(tag) and tag[0] == tag[-1] == 0 and not tag.any():
+            return self._meet(ids, v, 0, rows)
         for t in np.unique(tag):
             own = tag == t
             self._meet(ids[own], v[own], int(t), rows)
 
     def _meet(self, ids: np.ndarray, v: np.ndarray, t: int, rows: np.ndarray | slice) -> None:
-        x, y = (self.v - self.centre)[rows], v - self.centre
-        if not len(x):
+        y, limit = v - self.centre, self.limit[rows, t]
+        if not len(limit):
             return
-        self.compared += len(x) * len(y)
+        self.compared += len(limit) * len(y)
         other = (y ** 2).sum(axis=1)
-        near = self.size[rows, None] + other - 2 * x @ y.T  # close to the squares of the distances
-        slack = SLACK * (self.size.max() + other.max())
-        hit = near <= (self.limit[rows, t] ** 2 + slack)[:, None]
-        if self.k is not None:  # one more than k: a point may be met itself
-            many = np.flatnonzero(hit.sum(axis=1) > 2 * self.k + 1)
-            hit[many] &= near[many] <= np.partition(near[many], self.k, axis=1)[:, [self.k]] + 2 * slack if len(many) else False
-        row, col = np.nonzero(hit)
+        most, far = float(other.max(initial=0.0)), float(limit.max()) ** 2
+        if self.flat is not None and most < LARGE and far < LARGE:
+            # single precision tells which pairs may be near enough; slack: the most that its products and sums can be wrong
+            slack = np.finfo(np.float32).eps * (y.shape[1] + 16) * (2 * (self.most + most) + far)
+            x = self.flat[rows].copy()
+            x[:, -2] = self.size[rows] - limit ** 2 - slack
+            near = x @ np.concatenate([y, np.ones((len(y), 1)), other[:, None]], axis=1).astype(np.float32).T
+            hit = near <= 0
+        else:
+            slack = SLACK * (self.most + most)
+            near = self.size[rows, None] + other - 2 * (self.v - self.centre)[rows] @ y.T  # close to the squares of the distances
+            hit = near <= (limit ** 2 + slack)[:, None]
+        place = np.flatnonzero(hit.ravel())
+        if not len(place):
+            return
+        if self.k is not None and len(place) > 2 * self.k + 1:  # one more than k: a point may be met itself
+            many = np.flatnonzero(np.bincount(place // len(y), minlength=len(limit)) > 2 * self.k + 1)
+            if len(many):
+                hit[many] &= near[many] <= np.partition(near[many], self.k, axis=1)[:, [self.k]] + 2 * slack
+                place = np.flatnonzero(hit.ravel())
+        row, col = np.divmod(place, len(y))
         row = np.arange(len(self.ids))[rows][row]
         ok = self.ids[row] != ids[col]
         row, col = row[ok], col[ok]
         dist = np.sqrt(((self.v[row] - v[col]) ** 2).sum(axis=1))
         ok = dist <= self.limit[row, t]
-        key, nid, dist = (np.concatenate(p) for p in ((self.key, row[ok] * self.tags + t), (self.nid, ids[col[ok]]), (self.dist, dist[ok])))
+        self.waiting.append((row[ok] * self.tags + t, ids[col[ok]], dist[ok]))
+        self.unsorted += len(self.waiting[-1][0])
+        if self.k is None or self.unsorted > len(self.key) // 4:  # sorted when there are many: until then the limits are only wider
+            self.settle()
+
+    def settle(self) -> None:
+        """Sort in what was found since the last time."""
+        if not self.waiting:
+            return
+        key, nid, dist = (np.concatenate(p) for p in zip((self.key, self.nid, self.dist), *self.waiting))
+        self.waiting, self.unsorted = [], 0
         if self.k is not None:
             order = np.lexsort((nid, dist, key))
             key, nid, dist = key[order], nid[order], dist[order]
@@ -161,6 +193,7 @@ def _bounded(pivots: np.ndarray, k: int | None, eps: float, tags: int):
                 if k is not None:
                     own = Nearest(ids, v, k, np.inf, tags)
                     own.meet(ids, v, points.field("_t").to_numpy())
+                    own.settle()
                     bound = float(own.limit.max())
                 slack = SLACK * float(np.abs(d).max() + np.sqrt((v ** 2).sum(axis=1)).max())
                 rows.append((len(ids), bound + slack, (d.min(axis=0) - slack).tolist(), (d.max(axis=0) + slack).tolist()))
@@ -343,6 +376,7 @@ def _searched(references: np.ndarray, k: int | None, eps: float, tags: int, coun
         def told(found: Nearest) -> pa.RecordBatch:
             if count:
                 return pa.RecordBatch.from_arrays([pa.array([found.compared], pa.int64())], names=["n"])
+            found.settle()
             ids = pa.array(found.ids[found.key // tags], kind)
             return pa.RecordBatch.from_arrays([ids, pa.array(found.ranks(), pa.int32()), pa.array(found.nid, kind), pa.array(found.dist, pa.float64()), pa.array(found.key % tags, pa.int32())],
                                               names=["id", "rank", "nid", "dist", "tag"])

@@ -36,3 +36,13 @@ def test_two_rings_are_separated(spark):
     assert len(out) == 240
     first, second = (np.array([r.x for r in out if (r.id < 120) == inner]) for inner in (True, False))
     assert max(np.ptp(first), np.ptp(second)) < 0.5 * abs(first.mean() - second.mean())
+
+
+def test_neighbours_are_searched_once(spark, monkeypatch):
+    from clarion.operators import neighbors
+
+    kept, calls = neighbors.kept, []
+    monkeypatch.setattr(em, "kept", lambda df, tag: (calls.append((tag, "MapInArrow" in df._jdf.queryExecution().toString())), kept(df, tag))[1])
+    x = np.random.default_rng(2).normal(size=(120, 2))
+    assert em.laplacian_eigenmap(_rows(spark, x), "id", "v", 2, 4).count() == 120
+    assert [tag for tag, searched in calls if searched] == ["near"]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from clarion.operators import cluster as cl
 from clarion.operators import imbalance as im
@@ -179,3 +180,25 @@ def test_teams_do_not_grow_with_the_points(spark):
         blocks = Blocks(df, "id", "v", 3)
         teams = blocks._stream(None).select("team").distinct().count()
         assert min(blocks.cells, most) // 2 <= teams <= most
+
+
+@pytest.mark.parametrize("scale", [1e-20, 1e-3, 1.0, 1e9, 1e20])
+def test_single_precision_only_chooses_pairs_to_compare(scale):
+    """Near ties, points far from the origin and all sizes: the same neighbours as by distances in double precision."""
+    rng = np.random.default_rng(41)
+    v = np.concatenate([rng.normal(size=(300, 8)), 1 + rng.normal(size=(300, 8)) * 1e-6, np.repeat(rng.normal(size=(50, 8)), 4, axis=0)]) * scale
+    ids, k = np.arange(len(v)), 5
+    for tags in (1, 2):
+        tag = (ids % tags).astype(np.int32)
+        found = nb.Nearest(ids[:200], v[:200], k, np.inf, tags)
+        for i in range(0, len(v), 64):
+            found.meet(ids[i: i + 64], v[i: i + 64], tag[i: i + 64])
+        found.settle()
+        got = list(zip((found.key // tags).tolist(), (found.key % tags).tolist(), found.nid.tolist()))
+        want = []
+        for i in range(200):
+            d = np.sqrt(((v[i] - v) ** 2).sum(axis=1))
+            for t in range(tags):
+                own = [j for j in ids[tag == t].tolist() if j != i]
+                want += [(i, t, j) for j in sorted(own, key=lambda j: (d[j], j))[:k]]
+        assert got == want
