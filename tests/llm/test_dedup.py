@@ -414,3 +414,14 @@ def test_a_common_reference_is_met_in_parts(spark, monkeypatch):
     monkeypatch.setattr(passages, "PAIRS", 4)
     assert sorted(tuple(r) for r in passages.repeated(docs).collect()) == whole
     assert {r[0] for r in whole if r[3] == 0} == set(range(1, 30))
+
+
+def test_equal_texts_and_those_of_changed_words_are_one_passage():
+    rng = random.Random(37)
+    words = prose(rng, 90).split()
+    a = passages.word_hashes(" ".join(words))
+    changed = passages.word_hashes(" ".join(w if i % 15 != 7 else "changed" for i, w in enumerate(words)))
+    inside = np.r_[passages.word_hashes(prose(rng, 20)), changed]
+    assert list(passages._compared(a, passages.Reference(a), 50, 0.8)) == [(0, 90, 0, 90, 1.0)]
+    assert list(passages._compared(a, passages.Reference(inside), 50, 0.8)) == [(0, 90, 20, 110, pytest.approx(84 / 90))]
+    assert list(passages._compared(a[:40], passages.Reference(a[:40]), 50, 0.8)) == []
